@@ -1,8 +1,10 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
+from brindle.llm.rules import op8_quality_rules
 from brindle.llm.simhash import op6_simhash
 
 QUERIES = {
     "op6_simhash": op6_simhash,
+    "op8_quality_rules": op8_quality_rules,
 }
 ORACLE_SQL: dict[str, str] = {}
