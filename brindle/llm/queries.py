@@ -1,9 +1,11 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
+from brindle.llm.digest import op4_canonical_digest
 from brindle.llm.rules import op8_quality_rules
 from brindle.llm.simhash import op6_simhash
 
 QUERIES = {
+    "op4_canonical_digest": op4_canonical_digest,
     "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
 }
