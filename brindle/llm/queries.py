@@ -1,14 +1,18 @@
 """The corpus queries by name, and SQL for those that SQL expresses."""
 
+from brindle.llm.chat import OP1_SQL, op1_chat_format
 from brindle.llm.digest import op4_canonical_digest
 from brindle.llm.extract import op10_html_extraction
 from brindle.llm.rules import op8_quality_rules
 from brindle.llm.simhash import op6_simhash
 
 QUERIES = {
+    "op1_chat_format": op1_chat_format,
     "op4_canonical_digest": op4_canonical_digest,
     "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_chat_format": OP1_SQL,
+}
