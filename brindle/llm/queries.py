@@ -3,11 +3,15 @@
 from brindle.llm.chat import OP1_SQL, op1_chat_format
 from brindle.llm.digest import op4_canonical_digest
 from brindle.llm.extract import op10_html_extraction
+from brindle.llm.packing import op2_best_fit_packing
 from brindle.llm.rules import op8_quality_rules
+from brindle.llm.shards import op3_byte_shards
 from brindle.llm.simhash import op6_simhash
 
 QUERIES = {
     "op1_chat_format": op1_chat_format,
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_byte_shards": op3_byte_shards,
     "op4_canonical_digest": op4_canonical_digest,
     "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
