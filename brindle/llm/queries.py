@@ -4,6 +4,7 @@ from brindle.llm.chat import OP1_SQL, op1_chat_format
 from brindle.llm.digest import op4_canonical_digest
 from brindle.llm.extract import op10_html_extraction
 from brindle.llm.packing import op2_best_fit_packing
+from brindle.llm.private import op9_disclosure
 from brindle.llm.rules import op8_quality_rules
 from brindle.llm.shards import op3_byte_shards
 from brindle.llm.simhash import op6_simhash
@@ -15,6 +16,7 @@ QUERIES = {
     "op4_canonical_digest": op4_canonical_digest,
     "op6_simhash": op6_simhash,
     "op8_quality_rules": op8_quality_rules,
+    "op9_disclosure": op9_disclosure,
     "op10_html_extraction": op10_html_extraction,
 }
 ORACLE_SQL: dict[str, str] = {
