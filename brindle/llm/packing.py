@@ -16,8 +16,8 @@ from brindle.llm.common import documents, ranked, saved
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
-#: Word results a worker remembers; the cache is emptied when it is full.
-CACHE = 400_000
+#: Words and stems a worker remembers, some 200 bytes each; a cache is emptied when it is full.
+WORDS, STEMS = 500_000, 1_200_000
 #: Patterns within this part of the best price are used; rounds of the multiplicative weights and their rate; pieces that best fit may take on at the end.
 EPSILON, ROUNDS, RATE, FEW = 0.02, 60, 0.15, 20_000
 
@@ -50,11 +50,11 @@ class Ids:
             return b"".join([known[w] for w in words])
         except KeyError:
             self._learn({w for w in words if w not in known})
-            if len(known) > CACHE:
+            if len(known) > WORDS:
                 known.clear()
                 self._learn(set(words))
             out = b"".join([known[w] for w in words])
-            if len(known) > CACHE:
+            if len(known) > WORDS:
                 known.clear()
             return out
 
@@ -68,7 +68,7 @@ class Ids:
             stem, tail = m.groups() if m else (w, b"")
             parts[w] = (stem.lower() if stem.isascii() else stem, tail)
         stems = self.stems
-        if len(stems) > CACHE:
+        if len(stems) > STEMS:
             stems.clear()
         todo = [x for x in {x for p in parts.values() for x in p} if x not in stems]
         plain = [x for x in todo if _MARK.encode() not in x] if self.mark is not None else []
