@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterable
@@ -41,10 +40,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Deletes the tables that saved() wrote; call it once no frame that reads them is needed."""
+def written() -> int:
+    """How many tables saved() has written and release() not deleted."""
+    return len(_written)
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Deletes the tables that saved() wrote after the first `since`; call it once no frame that reads them is needed."""
     jvm = spark.sparkContext._jvm
-    while _written:
+    while len(_written) > since:
         path = jvm.org.apache.hadoop.fs.Path(_written.pop())
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
@@ -104,7 +108,3 @@ def with_unique(big: DataFrame, small: DataFrame, key: str, count: str, total: i
         big.join(F.broadcast(hot), key)
         .unionByName(big.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key, "left"))
     )
-
-
-def literal(pattern: str) -> str:
-    return re.escape(pattern)

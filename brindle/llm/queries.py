@@ -4,6 +4,7 @@ from brindle.llm.chat import OP1_SQL, op1_chat_format
 from brindle.llm.digest import op4_canonical_digest
 from brindle.llm.extract import op10_html_extraction
 from brindle.llm.lines import op7_line_dedup
+from brindle.llm.mixing import op5_pfair_mixing
 from brindle.llm.packing import op2_best_fit_packing
 from brindle.llm.private import op9_disclosure
 from brindle.llm.rules import op8_quality_rules
@@ -15,6 +16,7 @@ QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op3_byte_shards": op3_byte_shards,
     "op4_canonical_digest": op4_canonical_digest,
+    "op5_pfair_mixing": op5_pfair_mixing,
     "op6_simhash": op6_simhash,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,

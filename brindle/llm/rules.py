@@ -201,6 +201,26 @@ def judged(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
     return out.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull()), rules
 
 
+def accepted(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", rows: int = FIT_ROWS) -> DataFrame:
+    """The rows of docs that the rules and the base keep, with all columns. Each row is judged by its own text, where it is: no shuffle.
+
+    Only the labelled sample is counted twice, once to fit on it.
+    """
+    marks = labels.where("quality is not null").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
+    some = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(marks), "doc_id")
+    rules = fit(with_counts(some), labels, rows)
+
+    @F.pandas_udf("array<bigint>")
+    def count(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for p in parts:
+            yield pd.Series([np.array(text_counts(t), np.int64) for t in p], dtype=object)
+
+    counted = docs.select(F.struct(*docs.columns).alias("_doc"), count(F.col(text_col)).alias("_c"))
+    counted = counted.select("_doc", *[F.get("_c", F.lit(k)).alias(c) for k, c in enumerate(COUNTS)])
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    return counted.where(~base & decision(rules).isNull()).select("_doc.*")
+
+
 def op8_quality_rules(spark, sf_dir) -> DataFrame:
     out, _ = judged(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
     cols = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule"]

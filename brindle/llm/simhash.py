@@ -177,6 +177,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return with_unique(each, named, "fp", "n", total)
 
 
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all columns, whose id is the smallest of its component.
+
+    Rows with the same id are one document and stay together. Rows without an id can't be named, so they take no part and stay.
+    """
+    first = near_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("id = component").select(F.col("id").alias("_id")).distinct()
+    named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("_id"), "left_semi")
+    return named.unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def hex16(column: str):
     return F.lower(F.lpad(F.hex(F.col(column)), 16, "0"))
 
