@@ -156,16 +156,23 @@ def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str =
     some = docs.where(text.rlike("@|[0-9]")).select(F.explode(F.split(text, "\n")).alias("line"))
     some = some.where(F.col("line").rlike("@|[0-9]")).groupBy("line").agg(F.count("*").alias("n")).select("line", F.xxhash64("line").alias("line_id"))
     near = saved(contexts(some), "contexts")
-    pairs = saved(near.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support), "pairs")
-    terms = pairs.select("term").distinct()
+    pairs = saved(near.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support), "support")
     empty = pairs.limit(0).select("term", F.lit(True).alias("removed"))
     if pairs.isEmpty():
         return empty
-    n_e = near.select("entity", "line_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     lines = docs.select(F.explode(F.split(text, "\n")).alias("line"))
     total = lines.select(F.xxhash64("line").alias("id")).distinct().count()
+    n_e = near.select("entity", "line_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    beside = near.select("term", "line_id").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    # a term is on no fewer lines than those beside entities; the least such count that would fail rules its pair out exactly
+    pairs = pairs.join(n_e, "entity").join(beside, "term")
+    bar = F.pow(F.col("n_e") / total, F.lit(1 - rule.alpha))
+    pairs = saved(pairs.where(F.col("n_te") / F.col("n_near") >= bar * (1 - 1e-9)).drop("n_near"), "pairs")
+    if pairs.isEmpty():
+        return empty
+    terms = pairs.select("term").distinct()
     n_t = term_lines(lines, terms).groupBy("term").agg(F.count("*").alias("n_t"))
-    scored = pairs.join(n_e, "entity").join(n_t, "term")
+    scored = pairs.join(n_t, "term")
     content = -F.log(F.col("n_e") / total)
     pmi = F.log(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e")))
     scored = scored.withColumn("share", pmi / F.greatest(content, F.lit(1e-9))).where(F.col("share") >= rule.alpha)
