@@ -31,13 +31,38 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Writes a table into the shared folder and reads it back: lineage ends there, so a lost executor costs only its running tasks."""
+    """Writes a table into the shared folder and reads it back: lineage ends there, so a lost executor costs only its running tasks.
+
+    The shuffle files of that write go as soon as it is done, since nothing reads them again.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/brindle/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    was = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, was)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._brindle_path = path
+    return out
+
+
+def dropped(df: DataFrame) -> None:
+    """Deletes a table that saved() returned, where no frame reads it any more."""
+    path = df._brindle_path
+    _written.remove(path)
+    _delete(df.sparkSession, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def written() -> int:
@@ -47,10 +72,8 @@ def written() -> int:
 
 def release(spark: SparkSession, since: int = 0) -> None:
     """Deletes the tables that saved() wrote after the first `since`; call it once no frame that reads them is needed."""
-    jvm = spark.sparkContext._jvm
     while len(_written) > since:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 def text_of(column: str = "text") -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import GAP, documents, saved, text_of, with_unique
+from brindle.llm.common import GAP, documents, dropped, saved, text_of, with_unique
 
 #: Two lines match if their word sets have a Jaccard similarity of 4/5 at least. Shorter lines than LEAST different words recur by chance and stay.
 LEAST = 5
@@ -46,7 +46,8 @@ def tokens(line: Column, ranks: Column) -> Column:
         h = F.xxhash64(w)
         return F.shiftleft(F.get(ranks, bucket(h)).cast("bigint") - F.lit(RANKS // 2), 48).bitwiseOR(h.bitwiseAND(F.lit(LOW48)))
 
-    return F.array_sort(F.array_distinct(F.transform(F.array_remove(F.split(line, GAP), ""), key)))
+    # sort_array compares in the engine; array_sort would call a comparator for each pair
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, GAP), ""), key)))
 
 
 def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -56,28 +57,43 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def occurrences(docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
+    """A row for each line of LEAST different words or more: doc, line, the 128-bit hash of its word set (h), and what joins need of it.
+
+    prefix: its rarest words, of which two matching lines share one. parts: hashes of its words in each of PARTS hash ranges. parity: for
+    each range 64 bits, of which a word turns over one, so sets differ in as many words at least as bits.
+    """
     rows = line_rows(docs, id_col, text_col)
     # LEAST different words take LEAST characters and the gaps between
     rows = rows.where(F.length("words") >= 2 * LEAST - 1).select("doc", "line", tokens(F.col("words"), ranks).alias("tok"))
-    return rows.where(F.size("tok") >= LEAST)
+    rows = rows.where(F.size("tok") >= LEAST)
+    step = 1 << 7
+    ranges = [_range(k, step) for k in range(PARTS)]
+    rows = rows.select("doc", "line", "tok", *[r.alias(f"_r{k}") for k, r in enumerate(ranges)])
+    n = F.size("tok")
+    parity = lambda k: F.aggregate(f"_r{k}", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
+    return rows.select(
+        "doc",
+        "line",
+        F.struct(F.xxhash64("tok").alias("h1"), F.xxhash64(F.lit(1), F.col("tok")).alias("h2")).alias("h"),
+        n.alias("n"),
+        F.slice("tok", F.lit(1), n - F.ceil(4 * n / 5).cast("int") + 1).alias("prefix"),
+        F.array(*[F.xxhash64(F.lit(k), F.col(f"_r{k}")) for k in range(PARTS)]).alias("parts"),
+        F.array(*[parity(k) for k in range(PARTS)]).alias("parity"),
+    )
+
+
+def _range(k: int, step: int) -> Column:
+    return F.filter("tok", lambda t: t.bitwiseAND(F.lit((PARTS - 1) * step)) == F.lit(k * step))
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
-    """A row for each different word set: (h1, h2) its 128-bit hash, doc and line of its first place, n, prefix, parts, parity, and how often it occurs."""
-    n = F.size("tok")
-    prefix = F.slice("tok", F.lit(1), n - F.ceil(4 * n / 5).cast("int") + 1)
-    parity = F.aggregate("tok", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
-    part = lambda k: F.xxhash64(F.lit(k), F.filter("tok", lambda t: F.pmod(F.shiftright(t, 7), F.lit(PARTS)) == k))
-    rows = rows.select(
-        F.xxhash64("tok").alias("h1"),
-        F.xxhash64(F.lit(1), F.col("tok")).alias("h2"),
-        F.struct("doc", "line", n.alias("n"), prefix.alias("prefix"), F.array(*[part(k) for k in range(PARTS)]).alias("parts"), parity.alias("parity")).alias("first"),
-    )
-    return rows.groupBy("h1", "h2").agg(F.min("first").alias("first"), F.count("*").alias("times"))
+    """A row for each different word set: h, its first place with what occurrences says of it, and how often it occurs."""
+    first = F.struct("doc", "line", "n", "prefix", "parts", "parity")
+    return rows.groupBy("h").agg(F.min(first).alias("first"), F.count("*").alias("times"))
 
 
 def _bit(t: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(t, F.lit(64)).cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
 
 
 def flags_of(keys: DataFrame) -> Column:
@@ -95,7 +111,7 @@ def flag(doc: Column, line: Column) -> Column:
 def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
     """pairs (a, b) of class ids to those (a, b) whose word sets have the similarity. The sets are made again from the texts of just the lines that take part."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = saved(ids.join(classes.select("id", "doc", "line", "h1"), "id"), "wanted")
+    wanted = saved(ids.join(classes.select("id", "doc", "line", "h.h1"), "id"), "wanted")
     rows = line_rows(docs, id_col, text_col).where(F.get(flags_of(wanted), flag(F.col("doc"), F.col("line"))))
     rows = rows.join(wanted, ["doc", "line"]).select("id", "h1", tokens(F.col("words"), ranks).alias("tok"))
     # repeated ids may have other texts
@@ -129,9 +145,8 @@ def prefix_join(classes: DataFrame) -> DataFrame:
 
     Pairs of which neither is open (both matched earlier lines already) are left out: they can't remove anything more.
     """
-    posted = classes.select(
-        "id", F.struct("n", "open").alias("c"), F.col("parity"), F.posexplode("prefix").alias("pos", "tok")
-    ).select("tok", "id", "parity", (F.col("c.n") * 2 + F.col("c.open").cast("int")).alias("n2"), "pos")
+    folded = F.aggregate("parity", F.lit(0).cast("bigint"), lambda a, p: a.bitwiseXOR(p))
+    posted = classes.select("id", (F.col("n") * 2 + F.col("open").cast("int")).alias("n2"), folded.alias("parity"), F.posexplode("prefix").alias("pos", "tok"))
     left, right = posted.alias("l"), posted.alias("r")
     n1, n2 = F.shiftright("l.n2", 1), F.shiftright("r.n2", 1)
     o = need(n1 + n2)
@@ -145,7 +160,13 @@ def prefix_join(classes: DataFrame) -> DataFrame:
         & (apart <= n1 + n2 - 2 * o)
         & (most >= o)
     )
-    return left.join(right, cond).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    pairs = left.join(right, cond).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    # long lines need all bits of the parity; they are looked up for pairs rather than carried by every posted word
+    whole = classes.select("id", "n", "parity")
+    both = pairs.join(whole.toDF("a", "n_a", "p_a"), "a").join(whole.toDF("b", "n_b", "p_b"), "b")
+    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
+    total = F.col("n_a") + F.col("n_b")
+    return both.where(apart <= total - 2 * need(total)).select("a", "b")
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,27 +178,27 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     ranks = rarity(docs.select(text_col), text_col)
     docs = docs.select(id_col, text_col)
-    rows = occurrences(docs, ranks, id_col, text_col)
-    found = saved(classes_of(rows), "lineclasses").withColumn("id", F.monotonically_increasing_id())
-    # an id that the files fix: written once more without what the rest doesn't need
-    classes = saved(found.select("id", "h1", "h2", "times", "first.*"), "numbered")
+    rows = saved(occurrences(docs, ranks, id_col, text_col), "lines")
+    classes = saved(classes_of(rows).select(F.monotonically_increasing_id().alias("id"), "h", "times", "first.*"), "lineclasses")
+    places = saved(rows.select("doc", "line", "h"), "places")
+    dropped(rows)
     near = saved(first_round(classes), "near")
     settled = later(verified(near, classes, docs, ranks, id_col, text_col), classes)
     settled = saved(settled, "settled")
     opened = classes.join(settled.withColumn("was", F.lit(1)), "id", "left").withColumn("open", F.col("was").isNull())
     opened = saved(opened.select("id", "n", "prefix", "parity", "open"), "opened")
     pairs = saved(prefix_join(opened), "pairs")
+    dropped(opened)
     more = later(verified(pairs, classes, docs, ranks, id_col, text_col), classes)
     gone = saved(settled.unionByName(more).distinct().withColumn("gone", F.lit(True)), "gone")
-    fate = classes.join(gone, "id", "left").select("h1", "h2", "doc", "line", "times", F.coalesce("gone", F.lit(False)).alias("gone"))
+    fate = classes.select("id", "h", "doc", "line", "times").join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     # only classes that lose a line matter: those that occur again and those matched by an earlier one
     fate = saved(fate.where("gone or times > 1"), "fate")
-    again = fate.select(F.struct("h1", "h2").alias("h"), F.struct("doc", "line").alias("first"), "times", "gone")
-    places = saved(rows.select("doc", "line", F.struct(F.xxhash64("tok").alias("h1"), F.xxhash64(F.lit(1), F.col("tok")).alias("h2")).alias("h")), "places")
+    again = fate.select("h", F.struct("doc", "line").alias("first"), "times", "gone")
     total = places.count()
     judged = with_unique(places, again, "h", "times", total)
     lost = judged.where(F.col("gone") | (F.col("first") < F.struct("doc", "line")))
-    return lost.groupBy("doc").agg(F.array_sort(F.collect_set("line")).alias("removed"))
+    return lost.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
 def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
