@@ -38,3 +38,28 @@ def position_outliers(df: DataFrame, group: str, axes: list[str], cut: float = Z
     df = with_group_median(df, group, {"_dmed": F.col("dist")})
     df = with_group_median(df, group, {"_mad": F.abs(F.col("dist") - F.col("_dmed"))})
     return df.withColumn("z", robust_z("dist", "_dmed", "_mad")).withColumn("outlier", F.col("z") > cut).drop("_dmed", "_mad")
+
+
+def outlier_summary(df: DataFrame, group: str, flag: str = "outlier") -> DataFrame:
+    """(group, n, outliers, outlier_fraction)."""
+    out = df.groupBy(group).agg(F.count("*").alias("n"), F.count_if(F.col(flag)).alias("outliers"))
+    return out.withColumn("outlier_fraction", F.col("outliers") / F.col("n"))
+
+
+def outliers_only(df: DataFrame, group: str) -> DataFrame:
+    """Flagged rows, by group, the largest z first."""
+    return df.where("outlier").orderBy(F.col(group).asc(), F.col("z").desc())
+
+
+def offsets(df: DataFrame, reference: DataFrame, keys: list[str], axes: dict[str, str]) -> DataFrame:
+    """Adds offset_<axis> = axis - reference axis; rows without a reference go."""
+    both = df.join(reference, keys)
+    return both.withColumns({f"offset_{a}": F.col(a) - F.col(r) for a, r in axes.items()})
+
+
+def typical_offset(df: DataFrame, group: str, axes: list[str]) -> DataFrame:
+    """Per group: n, the median of each axis and its spread (median absolute deviation)."""
+    df = with_group_median(df, group, {f"typical_{a}": F.col(a) for a in axes})
+    keep = [F.first(f"typical_{a}").alias(f"typical_{a}") for a in axes]
+    spread = [F.median(F.abs(F.col(a) - F.col(f"typical_{a}"))).alias(f"{a}_spread") for a in axes]
+    return df.groupBy(group).agg(F.count("*").alias("n"), *keep, *spread)

@@ -1 +1 @@
-"""See the package README."""
+"""NumPy kernels on grayscale rasters; operators call them by Arrow batches, one raster or group at a time."""
