@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 TREES, SAMPLE = 100, 256
 
@@ -86,7 +87,7 @@ def anomalies(df: DataFrame, group: str, features: list[str], contamination: flo
             b["anomaly_score"] = pd.Series(s, index=b.index).astype("Float64").where(good, pd.NA)
             yield b
 
-    schema = df.schema.add("anomaly_score", "double")
+    schema = StructType([*df.schema.fields, StructField("anomaly_score", DoubleType())])
     scored = df.mapInPandas(score, schema)
     cut = scored.where("anomaly_score is not null").groupBy(F.col(group).alias("_cg")).agg(F.percentile("anomaly_score", 1 - contamination).alias("_cut"))
     out = scored.join(cut, F.col(group) == F.col("_cg"), "left")

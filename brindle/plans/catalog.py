@@ -1,45 +1,6 @@
-"""All relational queries by name, each with the SQL that gives the same rows."""
+"""All queries by name; importing this registers them."""
 
-from __future__ import annotations
+from brindle.plans import boxes, duplicates, kernels, labels, matching, outliers, profiles  # noqa: F401
+from brindle.plans.registry import ORACLE_SQL, QUERIES
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from brindle.operators import robust
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def register(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql is not None:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
-
-@register(
-    "robust_outliers",
-    """
-    WITH m AS (SELECT lang, median(n_chars) AS med FROM documents WHERE lang IS NOT NULL GROUP BY lang),
-    d AS (SELECT doc_id, lang, n_chars, abs(n_chars - med) AS dist FROM documents JOIN m USING (lang)),
-    s AS (SELECT lang, median(dist) AS dmed FROM d GROUP BY lang),
-    a AS (SELECT d.lang, median(abs(dist - dmed)) AS mad FROM d JOIN s USING (lang) GROUP BY d.lang),
-    z AS (SELECT doc_id, d.lang, n_chars, CASE WHEN mad = 0 THEN 0.0 ELSE 0.6745 * (dist - dmed) / mad END AS z
-          FROM d JOIN s USING (lang) JOIN a USING (lang))
-    SELECT doc_id, lang, n_chars, round(z, 6) AS z, z > 3.5 AS outlier FROM z
-    """,
-)
-def robust_outliers(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars")
-    out = robust.position_outliers(docs, "lang", ["n_chars"])
-    return out.select("doc_id", "lang", "n_chars", F.round("z", 6).alias("z"), "outlier")
+__all__ = ["ORACLE_SQL", "QUERIES"]
