@@ -111,11 +111,17 @@ def banded_hamming_join(left: DataFrame, right: DataFrame, block: str, hash_: st
     return a.join(b, cond).withColumn("distance", F.bit_count(x)).drop("l_band", "r_band", "l_key", "r_key")
 
 
-def best_distance(left: DataFrame, right: DataFrame, block: str, hash_: str, right_id: str) -> DataFrame:
-    """(block, right id, best): the least distance from each right row to any left row of its block, by comparing all of them."""
-    a = left.select(F.col(block).alias("_b"), F.col(hash_).alias("_h"))
-    both = right.join(a, F.col(block) == F.col("_b"))
-    return both.groupBy(block, right_id).agg(F.min(hamming(F.col(hash_), F.col("_h"))).alias("best"))
+def best_distance(left: DataFrame, right: DataFrame, block: str, hash_: str, row_id: str, other: bool = False) -> DataFrame:
+    """(block, id, best): the least distance from each right row to any left row of its block, or to any with another id.
+
+    All pairs of a block are compared, but equal hashes of a block are first put together, so copies cost nothing.
+    """
+    some = left.groupBy(block, hash_).agg(F.count("*").alias("_n"), F.min(row_id).alias("_one")).withColumnsRenamed({block: "_b", hash_: "_h"})
+    both = right.join(some, F.col(block) == F.col("_b"))
+    # a hash that only the row itself has is no other row's
+    own = (F.col("_n") == 1) & (F.col("_one") == F.col(row_id))
+    d = hamming(F.col(hash_), F.col("_h"))
+    return both.groupBy(block, row_id).agg(F.min(F.when(~own, d) if other else d).alias("best"))
 
 
 def best_summary(best: DataFrame, block: str) -> DataFrame:

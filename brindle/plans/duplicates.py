@@ -124,10 +124,10 @@ def hamming_banded(spark, sf_dir):
 @register(
     "hamming_best_per_row",
     _hash_sql(62)
-    + """, b AS (SELECT r.label, r.vec_id, min(bit_count(xor(l.h, r.h))) AS best FROM h r JOIN h l ON l.label = r.label AND l.vec_id % 2 = 0 WHERE r.vec_id % 2 = 1 GROUP BY ALL)
+    + """, b AS (SELECT r.label, r.vec_id, min(bit_count(xor(l.h, r.h))) AS best FROM h r JOIN h l ON l.label = r.label AND l.vec_id <> r.vec_id GROUP BY ALL)
     SELECT label, count(*) AS n, median(best) AS median_best, min(best)::INT AS min_best FROM b GROUP BY label""",
 )
 def hamming_best_per_row(spark, sf_dir):
     h = _hashes(spark, sf_dir, 62)
-    best = dedup.best_distance(h.where("vec_id % 2 = 0"), h.where("vec_id % 2 = 1"), "label", "h", "vec_id")
+    best = dedup.best_distance(h, h, "label", "h", "vec_id", other=True)
     return dedup.best_summary(best, "label")

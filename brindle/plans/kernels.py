@@ -18,7 +18,7 @@ def _rasters(spark, sf_dir, brighter=0):
 
 
 def _pair(spark, sf_dir):
-    whole = _rasters(spark, sf_dir).where("id < 200").withColumn("view", F.lit("ANT"))
+    whole = _rasters(spark, sf_dir).withColumn("view", F.lit("ANT"))
     cut = F.unhex(F.array_join(F.transform(F.sequence(F.lit(8), F.lit(23)), lambda y: F.substring(F.hex("data"), ((y * 32 + 12) * 2 + 1).cast("int"), F.lit(32))), ""))
     crops = whole.select(F.lit("vertbraANT").alias("component"), F.lit("vertbra").alias("part"), "view", "id", F.lit(16).alias("height"), F.lit(16).alias("width"), cut.alias("data"))
     return crops, whole.select("view", "id", "height", "width", "data")
@@ -68,9 +68,10 @@ def mask_cleanup_sweep(spark, sf_dir):
 
 @register("whole_body_boxes")
 def whole_body_boxes(spark, sf_dir):
-    images = _rasters(spark, sf_dir).withColumns({"view": F.when(F.col("label") < 5, "ANT").otherwise("POST"), "source": F.lit("a")}).drop("label")
-    extra = images.where("id % 5 = 0").withColumns({"id": F.col("id") + F.when(F.col("id") % 2 == 0, 0).otherwise(1_000_000), "source": F.lit("b")})
-    return W.whole_bodies(images, extra, images.where("id % 3 = 0").select("id", "source"), threshold=110)
+    """Two collections: the second holds all rasters, the first those of all labels but one; regions are known for three labels."""
+    every = _rasters(spark, sf_dir).withColumns({"view": F.when(F.col("label") < 5, "ANT").otherwise("POST"), "source": F.lit("b")})
+    first = every.where("label <> 9").withColumn("source", F.lit("a"))
+    return W.whole_bodies(first.drop("label"), every.drop("label"), first.where(F.col("label").isin(0, 3, 6)).select("id", "source"), threshold=110)
 
 
 @register("isolation_forest")
