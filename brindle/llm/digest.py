@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, saved
+from brindle.llm.common import documents, saved, with_unique
 
 ROW = "id {kind}, n_chars long, edited_sha256 string, digest string, edited_digest string, near_edited double, near_next double"
 
@@ -113,8 +113,9 @@ def neighbours(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     each = saved(digests(rows, "id"), "digests")
-    again = each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
-    marks = saved(each.join(again, "digest", "left_semi").select("id").distinct(), "marks")
+    again = saved(each.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").withColumn("again", F.lit(True)), "again")
+    marks = with_unique(each, again, "digest", "n", each.count()).where("again").select("id").distinct()
+    marks = saved(marks, "marks")
     both = rows.withColumn("mark", F.lit(1)).unionByName(marks.withColumn("text", F.lit(None).cast("string")).withColumn("mark", F.lit(0)))
     sorted_ = both.repartitionByRange("id").sortWithinPartitions("id", "mark").withColumn("part", F.spark_partition_id())
     schema = ROW.format(kind="long") + ", canon binary, part int, state int, text string"
