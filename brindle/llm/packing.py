@@ -16,8 +16,8 @@ from brindle.llm.common import documents, ranked, saved
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
-#: Words and stems a worker remembers, some 200 bytes each; a cache is emptied when it is full.
-WORDS, STEMS = 600_000, 600_000
+#: Words a worker remembers, some 200 bytes each; all are forgotten when there are more.
+WORDS = 1_300_000
 #: Texts whose words are looked up together.
 TOGETHER = 256
 #: Patterns within this part of the best price are used; rounds of the multiplicative weights and their rate; pieces that best fit may take on at the end.
@@ -42,7 +42,6 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.words: dict[bytes, bytes] = {}
-        self.stems: dict[bytes, bytes] = {}
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
 
@@ -65,33 +64,32 @@ class Ids:
         return [b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
 
     def _learn(self, new: set[bytes]) -> None:
-        parts = {}
+        known, tailed, todo = self.words, [], set()
         for w in new:
-            if b"<|" in w:  # may name a special token, whose case and punctuation count
-                parts[w] = (w, b"")
-                continue
-            m = _TAILED.fullmatch(w)
-            stem, tail = m.groups() if m else (w, b"")
-            parts[w] = (stem.lower() if stem.isascii() else stem, tail)
-        stems = self.stems
-        if len(stems) > STEMS:
-            stems.clear()
-        todo = [x for x in {x for p in parts.values() for x in p} if x not in stems]
+            stem, tail = w, b""
+            if b"<|" not in w:  # else it may name a special token, whose case and punctuation count
+                m = _TAILED.fullmatch(w)
+                if m:
+                    stem, tail = m.groups()
+                    tailed.append((w, stem, tail))
+                    if tail not in known:
+                        todo.add(tail)
+            if stem not in known:
+                todo.add(stem)
         plain = [x for x in todo if _MARK.encode() not in x] if self.mark is not None else []
         encode = self.tokenizer.encode_batch_fast
         for a in range(0, len(plain), 500):
             some = plain[a : a + 500]
-            ids = np.array(encode([f" {_MARK} ".join(x.decode() for x in some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = [*np.flatnonzero(ids == self.mark), len(ids)]
-            begin = 0
-            for x, end in zip(some, ends, strict=True):
-                stems[x] = ids[begin:end].tobytes()
-                begin = end + 1
+            ids = np.array(encode([f" {_MARK} ".join([x.decode() for x in some])], add_special_tokens=False)[0].ids, "<u4")
+            data, begin = ids.tobytes(), 0
+            for x, end in zip(some, [*(4 * np.flatnonzero(ids == self.mark)).tolist(), len(data)], strict=True):
+                known[x] = data[begin:end]
+                begin = end + 4
         for x in todo:
-            if x not in stems:
-                stems[x] = np.array(encode([x.decode()], add_special_tokens=False)[0].ids, "<u4").tobytes()
-        for w, (stem, tail) in parts.items():
-            self.words[w] = stems[stem] + stems[tail]
+            if x not in known:
+                known[x] = np.array(encode([x.decode()], add_special_tokens=False)[0].ids, "<u4").tobytes()
+        for w, stem, tail in tailed:
+            known[w] = known[stem] + known[tail]
 
 
 _encoders: dict[str, Ids] = {}
