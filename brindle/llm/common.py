@@ -70,6 +70,15 @@ def written() -> int:
     return len(_written)
 
 
+def kept(df: DataFrame, name: str, since: int) -> DataFrame:
+    """saved(), after which all other tables written after the first `since` are deleted: for a result that stands for all the work before it."""
+    out = saved(df, name)
+    for path in _written[since:-1]:
+        _delete(df.sparkSession, path)
+    del _written[since:-1]
+    return out
+
+
 def release(spark: SparkSession, since: int = 0) -> None:
     """Deletes the tables that saved() wrote after the first `since`; call it once no frame that reads them is needed."""
     while len(_written) > since:

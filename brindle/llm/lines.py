@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import GAP, documents, dropped, saved, text_of, with_unique
+from brindle.llm.common import GAP, documents, dropped, kept, saved, text_of, with_unique, written
 
 #: Two lines match if their word sets have a Jaccard similarity of 4/5 at least. Shorter lines than LEAST different words recur by chance and stay.
 LEAST = 5
 PARTS = 4
+#: Lines with more different words than this carry all words of their parity.
+LONG = 48
 RANKS, FLAGS = 1 << 16, 1 << 18
 LOW48 = (1 << 48) - 1
 NO_ID = -(1 << 63)
@@ -59,8 +61,8 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def occurrences(docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
     """A row for each line of LEAST different words or more: doc, line, the 128-bit hash of its word set (h), and what joins need of it.
 
-    prefix: its rarest words, of which two matching lines share one. parts: hashes of its words in each of PARTS hash ranges. parity: for
-    each range 64 bits, of which a word turns over one, so sets differ in as many words at least as bits.
+    prefix: its rarest words, of which two matching lines share one. parity: for each of PARTS hash
+    ranges 64 bits, of which a word turns over one, so sets differ in as many words at least as bits.
     """
     rows = line_rows(docs, id_col, text_col)
     # LEAST different words take LEAST characters and the gaps between
@@ -77,7 +79,6 @@ def occurrences(docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> D
         F.struct(F.xxhash64("tok").alias("h1"), F.xxhash64(F.lit(1), F.col("tok")).alias("h2")).alias("h"),
         n.alias("n"),
         F.slice("tok", F.lit(1), n - F.ceil(4 * n / 5).cast("int") + 1).alias("prefix"),
-        F.array(*[F.xxhash64(F.lit(k), F.col(f"_r{k}")) for k in range(PARTS)]).alias("parts"),
         F.array(*[parity(k) for k in range(PARTS)]).alias("parity"),
     )
 
@@ -88,7 +89,7 @@ def _range(k: int, step: int) -> Column:
 
 def classes_of(rows: DataFrame) -> DataFrame:
     """A row for each different word set: h, its first place with what occurrences says of it, and how often it occurs."""
-    first = F.struct("doc", "line", "n", "prefix", "parts", "parity")
+    first = F.struct("doc", "line", "n", "prefix", "parity")
     return rows.groupBy("h").agg(F.min(first).alias("first"), F.count("*").alias("times"))
 
 
@@ -122,51 +123,53 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Colum
     return both.where(same >= need(F.size("x") + F.size("y"))).select("a", "b")
 
 
-def later(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """(id) of the later of each matching pair."""
-    place = classes.select("id", F.struct("doc", "line").alias("at"))
-    both = pairs.join(place.withColumnRenamed("id", "a").withColumnRenamed("at", "at_a"), "a").join(place.withColumnRenamed("id", "b").withColumnRenamed("at", "at_b"), "b")
-    return both.select(F.when(F.col("at_a") > F.col("at_b"), F.col("a")).otherwise(F.col("b")).alias("id")).distinct()
+def posted(classes: DataFrame) -> DataFrame:
+    """(tok, pos, id, n2, p0...): a row for each prefix word of each class; n2 is twice the number of words, plus 1 where the class is open."""
+    word = lambda k: F.get("parity", F.lit(k))
+    folded = word(0)
+    for k in range(1, PARTS):
+        folded = folded.bitwiseXOR(word(k))
+    # short lines need one word of parity, and zeros in the others take no room; folding a long line's words gives what a short one has
+    long_ = F.col("n") > LONG
+    words = [F.when(long_, word(k)).otherwise(folded if k == 0 else F.lit(0).cast("bigint")).alias(f"p{k}") for k in range(PARTS)]
+    return classes.select("id", (F.col("n") * 2 + F.col("open").cast("int")).alias("n2"), *words, F.posexplode("prefix").alias("pos", "tok"))
+
+
+def close(l: str, r: str) -> Column:
+    """Whether two posted rows pass the length, positional and parity filters, which no matching pair fails."""
+    n1, n2 = F.shiftright(f"{l}.n2", 1), F.shiftright(f"{r}.n2", 1)
+    o = need(n1 + n2)
+    most = F.least(f"{l}.pos", f"{r}.pos") + F.least(n1 - F.col(f"{l}.pos"), n2 - F.col(f"{r}.pos"))
+    turned = [F.col(f"{l}.p{k}").bitwiseXOR(F.col(f"{r}.p{k}")) for k in range(PARTS)]
+    together, each = turned[0], F.bit_count(turned[0])
+    for t in turned[1:]:
+        together, each = together.bitwiseXOR(t), each + F.bit_count(t)
+    apart = F.when((n1 > LONG) & (n2 > LONG), each).otherwise(F.bit_count(together))
+    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (apart <= n1 + n2 - 2 * o) & (most >= o)
 
 
 def first_round(classes: DataFrame) -> DataFrame:
-    """Pairs of each class with the first class that has the same words in some part of the hash range.
+    """Candidate pairs (a, b) of each class b with the first class a that has some word of its prefix in the same role.
 
-    Near copies of a line share a part however many there are of them, so one comparison with the first settles a crowd that
-    the join would take by pairs.
+    Near copies of a line share prefix words however many there are of them, so a comparison with the first of each word settles a crowd
+    that the join would take by pairs. There is at most one pair a posted row.
     """
-    keys = classes.select("id", F.struct("doc", "line", "id").alias("at"), F.posexplode("parts").alias("k", "part"))
-    firsts = keys.groupBy("k", "part").agg(F.min("at").alias("first"), F.count("*").alias("n")).where("n > 1").select("k", "part", F.col("first.id").alias("a"))
-    return keys.join(firsts, ["k", "part"]).where("id <> a").select("a", F.col("id").alias("b")).distinct()
+    rows = posted(classes)
+    own = F.struct("id", "n2", "pos", *[f"p{k}" for k in range(PARTS)])
+    firsts = rows.groupBy("tok").agg(F.min(own).alias("f"), F.count("*").alias("_n")).where("_n > 1").select("tok", "f.*")
+    left, right = firsts.alias("l"), rows.alias("r")
+    both = left.join(right, (F.col("l.tok") == F.col("r.tok")) & (F.col("l.id") < F.col("r.id")) & close("l", "r"))
+    return both.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 def prefix_join(classes: DataFrame) -> DataFrame:
-    """Candidate pairs: classes that share a word of their prefixes and pass the length, positional and parity filters.
+    """Candidate pairs (a, b), b the later: classes that share a word of their prefixes and pass the filters.
 
-    Pairs of which neither is open (both matched earlier lines already) are left out: they can't remove anything more.
+    Pairs whose later class isn't open (it matched an earlier line already) are left out: they can't remove anything more.
     """
-    folded = F.aggregate("parity", F.lit(0).cast("bigint"), lambda a, p: a.bitwiseXOR(p))
-    posted = classes.select("id", (F.col("n") * 2 + F.col("open").cast("int")).alias("n2"), folded.alias("parity"), F.posexplode("prefix").alias("pos", "tok"))
-    left, right = posted.alias("l"), posted.alias("r")
-    n1, n2 = F.shiftright("l.n2", 1), F.shiftright("r.n2", 1)
-    o = need(n1 + n2)
-    most = F.least("l.pos", "r.pos") + 1 + F.least(n1 - F.col("l.pos"), n2 - F.col("r.pos")) - 1
-    apart = F.bit_count(F.col("l.parity").bitwiseXOR(F.col("r.parity")))
-    cond = (
-        (F.col("l.tok") == F.col("r.tok"))
-        & (F.col("l.id") < F.col("r.id"))
-        & (F.col("l.n2").bitwiseOR(F.col("r.n2")).bitwiseAND(F.lit(1)) == 1)
-        & (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2))
-        & (apart <= n1 + n2 - 2 * o)
-        & (most >= o)
-    )
-    pairs = left.join(right, cond).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    # long lines need all bits of the parity; they are looked up for pairs rather than carried by every posted word
-    whole = classes.select("id", "n", "parity")
-    both = pairs.join(whole.toDF("a", "n_a", "p_a"), "a").join(whole.toDF("b", "n_b", "p_b"), "b")
-    apart = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda a, x: a + x)
-    total = F.col("n_a") + F.col("n_b")
-    return both.where(apart <= total - 2 * need(total)).select("a", "b")
+    rows = posted(classes)
+    cond = (F.col("l.tok") == F.col("r.tok")) & (F.col("l.id") < F.col("r.id")) & (F.col("r.n2").bitwiseAND(F.lit(1)) == 1) & close("l", "r")
+    return rows.alias("l").join(rows.alias("r"), cond).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -179,17 +182,19 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     ranks = rarity(docs.select(text_col), text_col)
     docs = docs.select(id_col, text_col)
     rows = saved(occurrences(docs, ranks, id_col, text_col), "lines")
-    classes = saved(classes_of(rows).select(F.monotonically_increasing_id().alias("id"), "h", "times", "first.*"), "lineclasses")
+    found = classes_of(rows).select("h", "times", "first.*")
+    found = found.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line", "h")
+    # ids ascend with the place, so that of a pair the greater is the later one
+    classes = saved(found.withColumn("id", F.monotonically_increasing_id()), "lineclasses")
     places = saved(rows.select("doc", "line", "h"), "places")
     dropped(rows)
-    near = saved(first_round(classes), "near")
-    settled = later(verified(near, classes, docs, ranks, id_col, text_col), classes)
-    settled = saved(settled, "settled")
+    near = saved(first_round(classes.withColumn("open", F.lit(True))), "near")
+    settled = saved(verified(near, classes, docs, ranks, id_col, text_col).select(F.col("b").alias("id")).distinct(), "settled")
     opened = classes.join(settled.withColumn("was", F.lit(1)), "id", "left").withColumn("open", F.col("was").isNull())
     opened = saved(opened.select("id", "n", "prefix", "parity", "open"), "opened")
     pairs = saved(prefix_join(opened), "pairs")
     dropped(opened)
-    more = later(verified(pairs, classes, docs, ranks, id_col, text_col), classes)
+    more = verified(pairs, classes, docs, ranks, id_col, text_col).select(F.col("b").alias("id"))
     gone = saved(settled.unionByName(more).distinct().withColumn("gone", F.lit(True)), "gone")
     fate = classes.select("id", "h", "doc", "line", "times").join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     # only classes that lose a line matter: those that occur again and those matched by an earlier one
@@ -206,13 +211,14 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts of documents that lose nothing don't move.
     """
-    lost = saved(removed_lines(docs, id_col, text_col), "lost")
+    since = written()
+    lost = kept(removed_lines(docs, id_col, text_col), "lost", since)
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
     hit = F.get(flags_of(lost.select("doc", F.lit(0).alias("line"))), flag(key, F.lit(0)))
     keyed = docs.withColumns({"_doc": key, "_hit": hit})
     lines = F.split(F.col(text_col), "\n")
-    kept = F.filter(lines, lambda x, k: ~F.array_contains(F.col("_removed"), k))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
+    staying = F.filter(lines, lambda x, k: ~F.array_contains(F.col("_removed"), k))
+    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(staying, "\n"))
     some = keyed.where("_hit").join(lost.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")), "_doc", "left").withColumn(text_col, text)
     return keyed.where("not _hit").select(*docs.columns).unionByName(some.select(*docs.columns))
 
@@ -220,7 +226,8 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 def op7_line_dedup(spark, sf_dir) -> DataFrame:
     """(doc_id, n_lines, n_removed, removed): every document, the numbers of its removed lines comma-joined."""
     docs = documents(spark, sf_dir)
-    lost = removed_lines(docs)
+    since = written()
+    lost = kept(removed_lines(docs), "lost", since)
     n = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc"), F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
     out = n.join(lost, "doc", "left")
     return out.select("doc_id", "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))

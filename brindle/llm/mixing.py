@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, ranked
+from brindle.llm.common import documents, kept, ranked, written
 
 #: Documents in a block; slots in which the weights come out exactly.
 BLOCK, PERIOD = 16, 1000
@@ -145,7 +145,9 @@ def in_mixed_order(docs: DataFrame, weights: dict[str, float] = TARGETS, id_col:
 
     Rows that share an id take the first of its positions.
     """
+    since = written()
     place = mixed(docs, weights, id_col=id_col, source_col=source_col).groupBy(F.col("id").alias("_id")).agg(F.min("position").alias("_position"))
+    place = kept(place, "places", since)
     both = docs.join(place, docs[id_col].eqNullSafe(place["_id"]), "left")
     return both.repartitionByRange("_position").sortWithinPartitions("_position").select(*[docs[c] for c in docs.columns])
 

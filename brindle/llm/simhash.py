@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import saved, with_unique
+from brindle.llm.common import kept, saved, with_unique, written
 from brindle.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -182,7 +182,9 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows with the same id are one document and stay together. Rows without an id can't be named, so they take no part and stay.
     """
+    since = written()
     first = near_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("id = component").select(F.col("id").alias("_id")).distinct()
+    first = kept(first, "firsts", since)
     named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("_id"), "left_semi")
     return named.unionByName(docs.where(F.col(id_col).isNull()))
 
