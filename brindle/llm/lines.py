@@ -231,3 +231,18 @@ def op7_line_dedup(spark, sf_dir) -> DataFrame:
     n = docs.select("doc_id", F.coalesce(F.col("doc_id"), F.lit(NO_ID)).alias("doc"), F.size(F.split(text_of(), "\n")).cast("long").alias("n_lines"))
     out = n.join(lost, "doc", "left")
     return out.select("doc_id", "n_lines", F.when(F.col("removed").isNull(), 0).otherwise(F.size("removed")).cast("long").alias("n_removed"), F.coalesce(F.array_join("removed", ","), F.lit("")).alias("removed"))
+
+
+OP7_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(string_split(lower(coalesce(text, '')), chr(10))) AS w, generate_subscripts(string_split(lower(coalesce(text, '')), chr(10)), 1) - 1 AS line FROM documents),
+s AS (SELECT doc_id, line, list_distinct(list_filter(regexp_split_to_array(w, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS s FROM l),
+t AS (SELECT doc_id, line, s, len(s) AS n FROM s WHERE len(s) >= 5),
+w AS (SELECT doc_id, line, n, unnest(s) AS word FROM t),
+f AS (SELECT word, count(*) AS c FROM w GROUP BY 1),
+r AS (SELECT doc_id, line, n, word, row_number() OVER (PARTITION BY doc_id, line ORDER BY c, word) AS k FROM w JOIN f USING (word)),
+pre AS (SELECT * FROM r WHERE k <= n - (4 * n + 4) // 5 + 1),
+cand AS (SELECT DISTINCT a.doc_id AS d1, a.line AS l1, b.doc_id AS d2, b.line AS l2 FROM pre a JOIN pre b ON a.word = b.word AND (a.doc_id < b.doc_id OR (a.doc_id = b.doc_id AND a.line < b.line)) AND 5 * least(a.n, b.n) >= 4 * greatest(a.n, b.n)),
+m AS (SELECT DISTINCT d2, l2 FROM cand JOIN t x ON x.doc_id = d1 AND x.line = l1 JOIN t y ON y.doc_id = d2 AND y.line = l2 WHERE 9 * len(list_intersect(x.s, y.s)) >= 4 * (x.n + y.n)),
+g AS (SELECT d2 AS doc_id, count(*) AS n_removed, string_agg(l2::VARCHAR, ',' ORDER BY l2) AS removed FROM m GROUP BY 1)
+SELECT doc_id, len(string_split(coalesce(text, ''), chr(10))) AS n_lines, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed FROM documents LEFT JOIN g USING (doc_id)
+"""

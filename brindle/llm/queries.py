@@ -3,12 +3,12 @@
 from brindle.llm.chat import OP1_SQL, op1_chat_format
 from brindle.llm.digest import op4_canonical_digest
 from brindle.llm.extract import op10_html_extraction
-from brindle.llm.lines import op7_line_dedup
+from brindle.llm.lines import OP7_SQL, op7_line_dedup
 from brindle.llm.mixing import op5_pfair_mixing
 from brindle.llm.packing import op2_best_fit_packing
 from brindle.llm.private import op9_disclosure
 from brindle.llm.rules import op8_quality_rules
-from brindle.llm.shards import op3_byte_shards
+from brindle.llm.shards import OP3_SQL, op3_byte_shards
 from brindle.llm.simhash import op6_simhash
 
 QUERIES = {
@@ -25,4 +25,6 @@ QUERIES = {
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
+    "op3_byte_shards": OP3_SQL,
+    "op7_line_dedup": OP7_SQL,
 }

@@ -44,3 +44,15 @@ def byte_shards(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", t
 def op3_byte_shards(spark, sf_dir) -> DataFrame:
     out = byte_shards(documents(spark, sf_dir)).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+#: The checksum is worked out bit by bit, as SQL has no such function.
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+c AS (SELECT doc_id, octet_length(b) + 1 AS size, list_transform(regexp_extract_all(hex(b), '..'), lambda h: ('0x' || h)::BIGINT) AS v FROM d),
+s AS (SELECT doc_id, size::BIGINT AS size, xor(4294967295::BIGINT, list_reduce(v, lambda a, x:
+  list_reduce(range(8), lambda y, k: CASE WHEN y % 2 = 1 THEN xor(3988292384::BIGINT, y >> 1) ELSE y >> 1 END, xor(a, x)), 4294967295::BIGINT)) AS text_crc32 FROM c),
+p AS (SELECT *, sum(size) OVER (ORDER BY doc_id, size, text_crc32 ROWS UNBOUNDED PRECEDING) AS e, sum(size) OVER () AS total FROM s),
+h AS (SELECT *, least(7, ((2 * e - size) * 8) // (2 * total))::INT AS shard FROM p)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY doc_id, size, text_crc32) - 1 AS slot, NULL::INT AS grown_shard FROM h
+"""

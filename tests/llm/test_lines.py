@@ -87,3 +87,9 @@ def test_query_matches_brute_force(spark):
     got = L.op7_line_dedup(spark, sf).collect()
     assert len(got) == len(docs)
     assert {r.doc_id: r.removed for r in got if r.n_removed} == {i: ",".join(map(str, k)) for i, k in want.items()}
+
+
+def test_query_matches_sql(spark):
+    from tests.llm.sql import same
+
+    same(spark, "/root/testdata/sf0.01", "op7_line_dedup")

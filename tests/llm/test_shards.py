@@ -41,3 +41,9 @@ def test_shards_are_balanced_and_contiguous(spark):
     assert len(sizes) == 8 and all(abs(s - mean) <= longest for s in sizes.values())
     assert [r.shard for r in sorted(out, key=lambda r: r.doc_id)] == sorted(r.shard for r in out)
     assert {r.law for r in out} == {"bytes"} and {r.grown_shard for r in out} == {None}
+
+
+def test_query_matches_sql(spark):
+    from tests.llm.sql import same
+
+    same(spark, "/root/testdata/sf0.01", "op3_byte_shards")
