@@ -23,8 +23,7 @@ def coverage_summary(df: DataFrame, key: str, part: str, parts: list[str]) -> Da
     present = df.where(F.col(part).isin(parts)).groupBy(part).agg(F.count_distinct(key).alias("present"))
     every = df.sparkSession.createDataFrame([(p,) for p in parts], f"{part} string")
     out = every.join(present, part, "left").withColumn("present", F.coalesce("present", F.lit(0)))
-    # one row
-    return out.join(F.broadcast(total), how="cross").withColumn("missing", F.col("total") - F.col("present"))
+    return out.withColumn("total", total.scalar()).withColumn("missing", F.col("total") - F.col("present"))
 
 
 def grouped_means(df: DataFrame, group: str, columns: list[str], scrub: bool, suffix: str = "") -> DataFrame:

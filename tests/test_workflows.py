@@ -146,3 +146,13 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.sql("select distinct md5 from seen").count() == 2
+
+
+def test_bracketed_medians_are_exact(spark):
+    rng = np.random.default_rng(2)
+    rows = [(f"g{n}", float(v)) for n in (1, 2, 3, 4, 1000, 5001) for v in rng.integers(0, max(2, n // 3), n)] + [("g1", None), (None, 1.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    want = {r.g: r.m for r in df.where("g is not null").groupBy("g").agg(F.median("v").alias("m")).collect()}
+    assert {r.g: r.median for r in robust.bracketed_medians(df.where("g is not null"), "g", "v").collect()} == want
+    key = lambda d: sorted((r.g, r.v or 0, r.z or 0, bool(r.outlier)) for r in d.collect())
+    assert key(robust.position_outliers(df, "g", ["v"], large=True)) == key(robust.position_outliers(df, "g", ["v"]))
