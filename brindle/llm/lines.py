@@ -10,8 +10,8 @@ from brindle.llm.common import GAP, documents, dropped, kept, saved, text_of, wi
 #: Two lines match if their word sets have a Jaccard similarity of 4/5 at least. Shorter lines than LEAST different words recur by chance and stay.
 LEAST = 5
 PARTS = 4
-#: Lines with more different words than this carry all words of their parity.
-LONG = 48
+#: Up to so many different words 64 bits of parity tell lines apart well enough.
+LONG = 72
 RANKS, FLAGS = 1 << 16, 1 << 18
 LOW48 = (1 << 48) - 1
 NO_ID = -(1 << 63)
@@ -59,32 +59,31 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def occurrences(docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
-    """A row for each line of LEAST different words or more: doc, line, the 128-bit hash of its word set (h), and what joins need of it.
+    """A row for each line that may have LEAST different words: doc, line, the 128-bit hash of its word set (h), and what joins need of it.
 
     prefix: its rarest words, of which two matching lines share one. parity: for each of PARTS hash
-    ranges 64 bits, of which a word turns over one, so sets differ in as many words at least as bits.
+    ranges 64 bits, of which a word turns over one, so sets differ in as many words at least as bits; up to LONG words all turn the first 64.
     """
     rows = line_rows(docs, id_col, text_col)
     # LEAST different words take LEAST characters and the gaps between
     rows = rows.where(F.length("words") >= 2 * LEAST - 1).select("doc", "line", tokens(F.col("words"), ranks).alias("tok"))
-    rows = rows.where(F.size("tok") >= LEAST)
-    step = 1 << 7
-    ranges = [_range(k, step) for k in range(PARTS)]
-    rows = rows.select("doc", "line", "tok", *[r.alias(f"_r{k}") for k, r in enumerate(ranges)])
     n = F.size("tok")
-    parity = lambda k: F.aggregate(f"_r{k}", F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
+    fold = lambda words: F.aggregate(words, F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
+    none = F.array().cast("array<bigint>")
+    # a short line has all in the first word, and its tokens needn't be dealt to ranges
+    parity = [fold(F.when(n > LONG, _range(k)).otherwise(none if k else F.col("tok"))) for k in range(PARTS)]
     return rows.select(
         "doc",
         "line",
         F.struct(F.xxhash64("tok").alias("h1"), F.xxhash64(F.lit(1), F.col("tok")).alias("h2")).alias("h"),
         n.alias("n"),
         F.slice("tok", F.lit(1), n - F.ceil(4 * n / 5).cast("int") + 1).alias("prefix"),
-        F.array(*[parity(k) for k in range(PARTS)]).alias("parity"),
+        F.array(*parity).alias("parity"),
     )
 
 
-def _range(k: int, step: int) -> Column:
-    return F.filter("tok", lambda t: t.bitwiseAND(F.lit((PARTS - 1) * step)) == F.lit(k * step))
+def _range(k: int) -> Column:
+    return F.filter("tok", lambda t: t.bitwiseAND(F.lit((PARTS - 1) << 7)) == F.lit(k << 7))
 
 
 def classes_of(rows: DataFrame) -> DataFrame:
@@ -125,13 +124,7 @@ def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Colum
 
 def posted(classes: DataFrame) -> DataFrame:
     """(tok, pos, id, n2, p0...): a row for each prefix word of each class; n2 is twice the number of words, plus 1 where the class is open."""
-    word = lambda k: F.get("parity", F.lit(k))
-    folded = word(0)
-    for k in range(1, PARTS):
-        folded = folded.bitwiseXOR(word(k))
-    # short lines need one word of parity, and zeros in the others take no room; folding a long line's words gives what a short one has
-    long_ = F.col("n") > LONG
-    words = [F.when(long_, word(k)).otherwise(folded if k == 0 else F.lit(0).cast("bigint")).alias(f"p{k}") for k in range(PARTS)]
+    words = [F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARTS)]
     return classes.select("id", (F.col("n") * 2 + F.col("open").cast("int")).alias("n2"), *words, F.posexplode("prefix").alias("pos", "tok"))
 
 
@@ -144,6 +137,7 @@ def close(l: str, r: str) -> Column:
     together, each = turned[0], F.bit_count(turned[0])
     for t in turned[1:]:
         together, each = together.bitwiseXOR(t), each + F.bit_count(t)
+    # folding a long line's words gives what a short one has
     apart = F.when((n1 > LONG) & (n2 > LONG), each).otherwise(F.bit_count(together))
     return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (apart <= n1 + n2 - 2 * o) & (most >= o)
 
@@ -181,13 +175,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """
     ranks = rarity(docs.select(text_col), text_col)
     docs = docs.select(id_col, text_col)
-    rows = saved(occurrences(docs, ranks, id_col, text_col), "lines")
+    # the filter is on the written table; before it the optimiser would make the word sets twice, once to filter by
+    every = saved(occurrences(docs, ranks, id_col, text_col), "lines")
+    rows = every.where(F.col("n") >= LEAST)
     found = classes_of(rows).select("h", "times", "first.*")
     found = found.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line", "h")
     # ids ascend with the place, so that of a pair the greater is the later one
     classes = saved(found.withColumn("id", F.monotonically_increasing_id()), "lineclasses")
     places = saved(rows.select("doc", "line", "h"), "places")
-    dropped(rows)
+    dropped(every)
     near = saved(first_round(classes.withColumn("open", F.lit(True))), "near")
     settled = saved(verified(near, classes, docs, ranks, id_col, text_col).select(F.col("b").alias("id")).distinct(), "settled")
     opened = classes.join(settled.withColumn("was", F.lit(1)), "id", "left").withColumn("open", F.col("was").isNull())
