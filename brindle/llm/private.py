@@ -195,7 +195,7 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_c
     rows = rows.where(F.get(bucket_filter(terms), bucket(F.col("term"))))
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), F.replace(F.col("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
     spans = placed(F.regexp_extract_all("_t", pattern, F.lit(0)), F.split("_t", pattern, F.lit(-1)), "term")
-    rows = rows.select("id", "term", spans.alias("spans")).where(F.size("spans") > 0)
+    rows = rows.select("id", "term", spans.alias("spans"))
     return rows.join(terms, "term", "left_semi").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("term"))
 
 
