@@ -17,7 +17,7 @@ from brindle.llm.common import documents, ranked, saved
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker remembers, some 200 bytes each; all are forgotten when there are more.
-WORDS = 1_300_000
+WORDS = 800_000
 #: Texts whose words are looked up together.
 TOGETHER = 256
 #: Patterns within this part of the best price are used; rounds of the multiplicative weights and their rate; pieces that best fit may take on at the end.
