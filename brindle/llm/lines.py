@@ -161,7 +161,7 @@ def prefix_join(classes: DataFrame) -> DataFrame:
 
     Pairs whose later class isn't open (it matched an earlier line already) are left out: they can't remove anything more.
     """
-    rows = posted(classes)
+    rows = posted(classes).where("id is not null and n2 is not null")
     # one condition on both sides: a filter on one would make the sides differ, and their shuffle be made twice
     later = F.when(F.col("r.n2").bitwiseAND(F.lit(1)) == 1, F.col("r.id"))
     cond = (F.col("l.tok") == F.col("r.tok")) & (F.col("l.id") < later) & close("l", "r")
