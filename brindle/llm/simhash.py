@@ -15,6 +15,10 @@ from brindle.llm.common import kept, saved, with_unique, written
 from brindle.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
+#: The pipeline's stage takes documents for near copies whose sets of so many-word shingles have a Jaccard similarity of 4/5 at least.
+WORDS, LIKE = 5, 0.8
+#: Minima a band, bands, and bits by which the SimHashes of two such sets may differ: 9.7 on average by the angle of the sets, with a deviation of 2.9.
+ROWS, BANDS, BITS = 5, 24, 20
 #: At most so many fingerprints of one grid cell are compared within one task; larger cells go in pairs of parts.
 CELL = 4096
 _EVEN = np.uint64(0x5555555555555555)
@@ -177,13 +181,139 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return with_unique(each, named, "fp", "n", total)
 
 
+def shingles(text: str | None, shingle: int = WORDS) -> np.ndarray:
+    """The different shingles' XXH64, ascending; a text of fewer words is one shingle, one without words has none."""
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    digest, join = xxhash.xxh64_intdigest, b" ".join
+    if len(words) <= shingle:
+        return np.array([digest(join(words), SEED)], np.uint64)
+    cut = [words[k : len(words) - shingle + 1 + k] for k in range(shingle)]
+    return np.unique(np.fromiter((digest(join(w), SEED) for w in zip(*cut)), np.uint64, len(cut[0])))
+
+
+def _mixers() -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(SEED)
+    draw = rng.integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
+    return draw[0], draw[1] | np.uint64(1)
+
+
+def bands(found: np.ndarray) -> list[int]:
+    """BANDS hashes of ROWS minima each: two sets of similarity s share one with probability 1 - (1 - s ** ROWS) ** BANDS, over 0.9999 at LIKE."""
+    turn, times = _MIX
+    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), 4096):
+        h = (found[at : at + 4096, None] ^ turn) * times
+        h ^= h >> np.uint64(32)
+        np.minimum(low, (h * times).min(0), out=low)
+    data = low.reshape(BANDS, ROWS).astype("<u8")
+    return [xxhash.xxh64_intdigest(row.tobytes(), k) - (1 << 63) for k, row in enumerate(data)]
+
+
+_MIX = _mixers()
+
+
+def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, h, fp, bands): the hash of the shingle set, its SimHash (a bit is 1 if over half the different shingles have it) and its bands."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for t in b["text"]:
+                found = shingles(t)
+                ones = np.zeros(64, np.int64)
+                for at in range(0, len(found), _SPAN):
+                    part = found[at : at + _SPAN].astype("<u8").view(np.uint8).reshape(-1, 8)
+                    ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
+                fp = int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little", signed=True)
+                out.append((xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED) - (1 << 63), fp, bands(found)))
+            yield pd.DataFrame({"id": b["id"], **dict(zip(("h", "fp", "bands"), map(list, zip(*out))))} if out else {c: [] for c in ("id", "h", "fp", "bands")})
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(work, f"id {kind}, h long, fp long, bands array<long>")
+
+
+def alike(pairs: DataFrame, docs: DataFrame, each: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """pairs (a, b) of set hashes to those whose sets have a Jaccard similarity of LIKE at least; just the sets that take part are made again."""
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [shingles(t) for t in b["text"]]
+            h = [xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) - (1 << 63) for x in made]
+            yield pd.DataFrame({"h": h, "s": [x.view(np.int64) for x in made]})
+
+    pairs = saved(pairs, "nearpairs")
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wantedsets")
+    some = each.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("id").alias("id")).select("id").distinct()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id", "left_semi").select("text")
+    # an id may have other texts too
+    sets = rows.mapInPandas(work, "h long, s array<long>").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("s").alias("s"))
+    sets = saved(sets, "sets")
+    both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
+    same = F.size(F.array_intersect("x", "y"))
+    # same / (all - same) >= 4 / 5
+    return both.where(9 * same >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+
+
+def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Pairs of one cell that no component joins yet and whose fingerprints differ by BITS at most.
+
+    The largest component is never compared with itself, so a crowd costs each outsider one row of comparisons.
+    """
+    for b in batches:
+        for m in b["m"]:
+            fp = np.array([x["fp"] for x in m], np.int64).view(np.uint64)
+            h, comp = np.array([x["h"] for x in m], np.int64), np.array([x["comp"] for x in m], np.int64)
+            names, counts = np.unique(comp, return_counts=True)
+            out = []
+            for k in np.flatnonzero(comp != names[counts.argmax()]):
+                hit = np.flatnonzero((comp != comp[k]) & (np.bitwise_count(fp ^ fp[k]) <= BITS))
+                out.append(np.stack([np.minimum(h[hit], h[k]), np.maximum(h[hit], h[k])], 1))
+            if out:
+                yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
+
+
+def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): the smallest id reachable over pairs whose sets of WORDS-word shingles have a Jaccard similarity of LIKE at least.
+
+    Candidates share a band and differ by BITS bits of the SimHash at most; the sets themselves decide. First each member of a cell is held
+    against the cell's least one, which settles crowds of near copies; then all pairs of a cell that are still in different components. Texts without words are alike.
+    """
+    each = saved(sketches(docs, id_col, text_col), "sketches")
+    classes = each.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
+    classes = saved(classes, "setclasses")
+    cells = saved(classes.select("h", "fp", F.explode("bands").alias("cell")), "bandcells")
+    least = cells.groupBy("cell").agg(F.min(F.struct("h", "fp")).alias("l"), F.count("*").alias("_n")).where("_n > 1").select("cell", "l")
+    shared = saved(cells.join(least, "cell"), "sharedcells")
+    star = shared.where((F.col("h") != F.col("l.h")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= BITS))
+    links = saved(alike(star.select(F.col("l.h").alias("a"), F.col("h").alias("b")).distinct(), docs, each, id_col, text_col), "starlinks")
+    found = saved(components(links), "starfound")
+    named = shared.drop("l").join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("component", "h"))
+    named = saved(named.select("cell", "h", "fp", "comp"), "namedcells")
+    mixed = named.groupBy("cell").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("n")).where("p <> q").select("cell", "n")
+    parts = F.ceil(2 * F.col("n") / CELL).cast("int")
+    dealt = named.join(mixed, "cell").withColumn("parts", F.when(F.col("n") > CELL, parts).otherwise(1)).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other <> part")
+    blocks = dealt.groupBy("cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.collect_list(F.struct("h", "fp", "comp")).alias("m"))
+    more = saved(blocks.select("m").mapInPandas(_across, "a long, b long").distinct(), "across")
+    if not more.isEmpty():
+        found = saved(components(links.unionByName(alike(more, docs, each, id_col, text_col))), "allfound")
+    classes = classes.select("h", "rep", "n").join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("component", "h"))
+    classes = saved(classes.select("h", "rep", "n", "comp"), "labelled")
+    firsts = saved(classes.groupBy("comp").agg(F.min("rep").alias("component"), F.count("*").alias("_n")), "setfirsts")
+    rows, kinds = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    of = saved(with_unique(classes, firsts, "comp", "_n", kinds).select("h", "n", "component"), "ofsets")
+    return with_unique(each.select("id", "h"), of, "h", "n", rows).select("id", "component")
+
+
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose id is the smallest of its component.
+    """The rows of docs, with all columns, whose id is the smallest of its component of near copies (alike_components).
 
     Rows with the same id are one document and stay together. Rows without an id can't be named, so they take no part and stay.
     """
     since = written()
-    first = near_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("id = component").select(F.col("id").alias("_id")).distinct()
+    first = alike_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("id = component").select(F.col("id").alias("_id")).distinct()
     first = kept(first, "firsts", since)
     named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("_id"), "left_semi")
     return named.unionByName(docs.where(F.col(id_col).isNull()))

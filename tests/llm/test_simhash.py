@@ -97,3 +97,48 @@ def test_ranked_and_hot_join(spark):
         assert [v for v, _ in sorted(mine, key=lambda x: x[1])] == sorted(v for v, _ in mine)
     small = df.where("k is not null").groupBy("k").agg(F.count("*").alias("n"), F.sum("v").alias("s"))
     assert with_unique(df.where("k is not null"), small, "k", "n", 3000).count() == 160
+
+
+def slow_shingles(text):
+    words = text.lower().split()
+    return {tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_stage_finds_copies_of_similarity_four_fifths(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL", 16)
+    rng = random.Random(4)
+    vocab = ["v%d" % k for k in range(3000)]
+    texts = {}
+    for i in range(120):
+        base = rng.choices(vocab, k=rng.choice([1, 4, 60, 200, 200, 400]))
+        for _ in range(rng.choice([1, 2, 3, 12])):
+            words = list(base)
+            for _ in range(rng.randrange(0, 2 + len(words) // 40)):
+                words[rng.randrange(len(words))] = rng.choice(vocab)
+            texts[len(texts)] = " ".join(words)
+    for t in ("", " ", "a b"):
+        texts[len(texts)] = t
+    sets = {i: slow_shingles(t) for i, t in texts.items()}
+    root = {i: i for i in texts}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    close, missed_by_bits = [], 0
+    for y in texts:
+        for x in range(y):
+            same = len(sets[x] & sets[y])
+            if sets[x] == sets[y] or 5 * same >= 4 * (len(sets[x]) + len(sets[y]) - same) > 0:
+                close.append((x, y))
+                missed_by_bits += (simhash.fingerprint(texts[x]) ^ simhash.fingerprint(texts[y])).bit_count() > 3
+                a, b = sorted((find(x), find(y)))
+                root[b] = a
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.id: r.component for r in simhash.alike_components(docs).collect()}
+    found = sum(got[x] == got[y] for x, y in close) / len(close)
+    print(f"pairs of 0.8 or more: {len(close)}, joined {found:.4f}, over 3 bits apart {missed_by_bits / len(close):.4f}")
+    assert missed_by_bits > len(close) / 3 and got == {i: find(i) for i in texts}
+    assert {r.doc_id for r in simhash.without_near_copies(docs).collect()} == {i for i in texts if find(i) == i}
+    assert simhash.without_near_copies(docs.limit(0)).count() == 0
