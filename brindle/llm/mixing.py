@@ -8,7 +8,8 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import documents, kept, ranked, written
@@ -140,18 +141,33 @@ def _slot(parts: list[Stretch], firsts: np.ndarray, blocks: np.ndarray) -> np.nd
     return out
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float] = TARGETS, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, all rows and columns, laid out by position: partitions are ranges of it and sorted, so files written from here read in the mixed order.
 
     Rows that share an id take the first of its positions.
     """
     since = written()
-    place = mixed(docs, weights, id_col=id_col, source_col=source_col).groupBy(F.col("id").alias("_id")).agg(F.min("position").alias("_position"))
+    place = mixed(docs, TARGETS if weights is None else weights, id_col=id_col, source_col=source_col).groupBy(F.col("id").alias("_id")).agg(F.min("position").alias("_position"))
     place = kept(place, "places", since)
     both = docs.join(place, docs[id_col].eqNullSafe(place["_id"]), "left")
     return both.repartitionByRange("_position").sortWithinPartitions("_position").select(*[docs[c] for c in docs.columns])
 
 
+def stored_order(docs: DataFrame) -> Column | None:
+    """A text that sorts rows as the files they are read from hold them, by file name and row; None where docs isn't a plain scan of Parquet files.
+
+    A scan deals splits by size, so only this gives the order that in_mixed_order() wrote.
+    """
+    try:
+        docs.select("_metadata.file_name", "_metadata.row_index").schema  # noqa: B018
+    except AnalysisException:
+        return None
+    # numbers of tasks may outgrow the five digits that names pad them to
+    name = F.col("_metadata.file_name")
+    number = F.lpad(F.regexp_extract(name, r"^part-(\d+)", 1), 10, "0")
+    return F.concat_ws("/", number, name, F.lpad(F.col("_metadata.row_index").cast("string"), 12, "0"))
+
+
 def op5_pfair_mixing(spark, sf_dir) -> DataFrame:
     out = mixed(documents(spark, sf_dir).select("doc_id", "source"))
     return out.withColumnRenamed("id", "doc_id")

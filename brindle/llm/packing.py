@@ -9,7 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import documents, ranked, saved
@@ -23,6 +23,8 @@ TOGETHER = 256
 #: Patterns within this part of the best price are used; rounds of the multiplicative weights and their rate; pieces that best fit may take on at the end.
 EPSILON, ROUNDS, RATE, FEW = 0.02, 60, 0.15, 20_000
 
+#: Rounds in which a plan's patterns take turns where places matter.
+PARTS = 16
 
 #: A control character no text is expected to hold, with an id of its own; words that hold it all the same are encoded alone.
 _MARK = "\x01"
@@ -102,8 +104,8 @@ def encoder(path: str) -> Ids:
     return _encoders[path]
 
 
-def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
-    """(id, piece, start, length, ids_crc32): each document's ids with the end id, cut only where it exceeds the capacity."""
+def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, place: Column | None = None) -> DataFrame:
+    """(id, piece, start, length, ids_crc32): each document's ids with the end id, cut only where it exceeds the capacity; with `place`, a column (place) too."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import os
@@ -115,17 +117,19 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             out = []
             for at in range(0, len(b), TOGETHER):
                 some = b.iloc[at : at + TOGETHER]
-                for i, data in zip(some["id"], ids.many(some["text"].tolist())):
+                for i, at_, data in zip(some["id"], some["place"], ids.many(some["text"].tolist())):
                     data += end
                     for k, a in enumerate(range(0, len(data), 4 * capacity)):
                         part = data[a : a + 4 * capacity]
-                        out.append((i, k, a // 4, len(part) // 4, zlib.crc32(part)))
-            frame = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32"])
+                        out.append((i, k, a // 4, len(part) // 4, zlib.crc32(part), at_))
+            frame = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "place"])
             frame["id"] = frame["id"].astype("Int64")
-            yield frame
+            yield frame if ordered else frame.drop(columns="place")
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInPandas(work, "id long, piece int, start long, length int, ids_crc32 long")
+    ordered = place is not None
+    at = place.cast("string") if ordered else F.lit("")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), at.alias("place"))
+    return rows.mapInPandas(work, "id long, piece int, start long, length int, ids_crc32 long" + ", place string" * ordered)
 
 
 def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -269,23 +273,41 @@ def slots(planned: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
     return tuple(np.array(c, np.int64) for c in zip(*sorted(rows))) if rows else tuple(np.zeros(0, np.int64) for _ in range(5))
 
 
+def spread(planned: list[tuple[dict[int, int], int]], parts: int = PARTS) -> list[tuple[dict[int, int], int]]:
+    """The plan in `parts` rounds, each with its share of every pattern's uses, so that a round takes about the same share of each length's ranks."""
+    out = []
+    for b in range(parts):
+        for k, (pattern, times) in enumerate(planned):
+            phase = k * parts * 0.6180339887498949 % 1  # patterns used less often than there are rounds fall in different ones
+            n = int(times * (b + 1) / parts + phase) - int(times * b / parts + phase)
+            if b == parts - 1:
+                n = times - int(times * b / parts + phase)
+            if n:
+                out.append((pattern, n))
+    return out
+
+
 def _key(length, rank):
     return length * (1 << 48) + rank
 
 
-def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY) -> DataFrame:
+def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, place: Column | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32, sequence_id, offset): every document's ids in sequences of at most the capacity.
 
     Null and empty texts are one piece with the end id alone. Repeated rows are packed like others; pieces of equal length are alike
     to the plan, so only their ranks decide where each goes. An empty table gives an empty result.
 
     The driver gets the histogram, which has a row for each length up to the capacity, and sends back the plan's runs.
+
+    With `place`, a column whose text sorts as the documents should follow each other, pieces of equal length rank by it, patterns take turns
+    (spread) so that a sequence's pieces have near places, and sequences are numbered by their first piece's place.
     """
-    cut = saved(pieces(docs, path, id_col, text_col, capacity), "pieces")
+    cut = saved(pieces(docs, path, id_col, text_col, capacity, place), "pieces")
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count("*").alias("n")).collect()}
-    key, copies, sequence, offset, first = slots(plan(histogram, capacity))
+    planned = plan(histogram, capacity)
+    key, copies, sequence, offset, first = slots(planned if place is None else spread(planned))
 
-    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def put(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             n, r = b["length"].to_numpy(np.int64), b.pop("_rank").to_numpy(np.int64)
             at = np.searchsorted(key, _key(n, r), side="right") - 1
@@ -295,8 +317,15 @@ def packed(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
             b["id"] = b["id"].astype("Int64")
             yield b
 
-    rows = ranked(cut, ["length"], ["id", "piece"], "ranked")
-    return rows.mapInPandas(place, "id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long")
+    kind = "id long, piece int, start long, length int, ids_crc32 long, sequence_id long, offset long"
+    if place is None:
+        return ranked(cut, ["length"], ["id", "piece"], "ranked").mapInPandas(put, kind)
+    kind = kind.replace("sequence_id", "place string, sequence_id")
+    rows = saved(ranked(cut, ["length"], ["place", "id", "piece"], "ranked").mapInPandas(put, kind), "placedpieces")
+    heads = rows.groupBy("sequence_id").agg(F.min("place").alias("place"))
+    numbered = ranked(heads, [], ["place", "sequence_id"], "heads").select("sequence_id", F.col("_rank").alias("_to"))
+    out = rows.join(numbered, "sequence_id").withColumn("sequence_id", F.col("_to"))
+    return out.select("id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
 
 
 def op2_best_fit_packing(spark, sf_dir) -> DataFrame:

@@ -79,3 +79,26 @@ def test_empty_and_odd_documents(spark):
             assert out.columns == docs.columns
             out.collect()
         assert corpus_pipeline.pack(spark, docs, SF).count() == docs.count()
+
+
+def test_targets_change_the_sequences(spark, tmp_path, monkeypatch):
+    rows = [(i, "word " * (100 + i % 7 * 90), "en", "src%d" % (i % 10 == 0), 0) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    # only the last two stages: the others would drop such texts
+    monkeypatch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[-2:])
+    found = []
+    for share in (0.5, 0.05):
+        monkeypatch.setattr(mixing, "TARGETS", {"src0": share, "src1": 1 - share})
+        place = {r.id: r.position for r in mixing.mixed(docs, mixing.TARGETS).collect()}
+        out = sorted(corpus_pipeline.run(spark, str(tmp_path)).collect(), key=lambda r: (r.sequence_id, r.offset))
+        first, size, by_length = {}, defaultdict(int), defaultdict(list)
+        for r in out:
+            assert r.offset == size[r.sequence_id]
+            size[r.sequence_id] += r.length
+            first[r.sequence_id] = min(first.get(r.sequence_id, 1 << 60), place[r.doc_id])
+        assert sorted(size) == list(range(len(size))) and max(size.values()) <= 2048
+        assert list(first.values()) == sorted(first.values())
+        seen = np.array([r.doc_id % 10 == 0 for r in out])
+        found.append((seen[:40].mean(), [(r.doc_id, r.sequence_id, r.offset) for r in out]))
+    assert found[0][1] != found[1][1] and found[1][0] > 1.4 * found[0][0] > 0.3
