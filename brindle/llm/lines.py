@@ -9,6 +9,9 @@ from brindle.llm.common import GAP, documents, dropped, kept, saved, text_of, wi
 
 #: Two lines match if their word sets have a Jaccard similarity of 4/5 at least. Shorter lines than LEAST different words recur by chance and stay.
 LEAST = 5
+#: From so many bytes in UTF-8 on, a line of fewer different words matches lines that equal it but for case and white space at its ends: some thirteen
+#: letters of a script without spaces, about what five words take elsewhere.
+WHOLE = 40
 PARTS = 4
 #: Up to so many different words 64 bits of parity tell lines apart well enough.
 LONG = 72
@@ -61,13 +64,16 @@ def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 def occurrences(docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
     """A row for each line that may have LEAST different words: doc, line, the 128-bit hash of its word set (h), and what joins need of it.
 
+    A line of fewer words has the hash of its whole text instead, no prefix, and its bytes (size).
+
     prefix: its rarest words, of which two matching lines share one. parity: for each of PARTS hash
     ranges 64 bits, of which a word turns over one, so sets differ in as many words at least as bits; up to LONG words all turn the first 64.
     """
     rows = line_rows(docs, id_col, text_col)
     # LEAST different words take LEAST characters and the gaps between
-    rows = rows.where(F.length("words") >= 2 * LEAST - 1).select("doc", "line", tokens(F.col("words"), ranks).alias("tok"))
+    rows = rows.where(F.length("words") >= 2 * LEAST - 1).select("doc", "line", F.btrim("words", F.lit(" \t\n\x0b\f\r")).alias("whole"), tokens(F.col("words"), ranks).alias("tok"))
     n = F.size("tok")
+    few = n < LEAST
     fold = lambda words: F.aggregate(words, F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
     none = F.array().cast("array<bigint>")
     # a short line has all in the first word, and its tokens needn't be dealt to ranges
@@ -75,9 +81,13 @@ def occurrences(docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> D
     return rows.select(
         "doc",
         "line",
-        F.struct(F.xxhash64("tok").alias("h1"), F.xxhash64(F.lit(1), F.col("tok")).alias("h2")).alias("h"),
+        F.struct(
+            F.when(few, F.xxhash64(F.lit(2), F.col("whole"))).otherwise(F.xxhash64("tok")).alias("h1"),
+            F.when(few, F.xxhash64(F.lit(3), F.col("whole"))).otherwise(F.xxhash64(F.lit(1), F.col("tok"))).alias("h2"),
+        ).alias("h"),
         n.alias("n"),
-        F.slice("tok", F.lit(1), n - F.ceil(4 * n / 5).cast("int") + 1).alias("prefix"),
+        F.when(few, F.octet_length("whole")).alias("size"),
+        F.when(few, none).otherwise(F.slice("tok", F.lit(1), n - F.ceil(4 * n / 5).cast("int") + 1)).alias("prefix"),
         F.array(*parity).alias("parity"),
     )
 
@@ -168,18 +178,18 @@ def prefix_join(classes: DataFrame) -> DataFrame:
     return rows.alias("l").join(rows.alias("r"), cond).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
 
 
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int | None = None) -> DataFrame:
     """(doc, removed array<int>): numbers, from 0, of the lines of each document that match a line before them.
 
     Before means in a document with a lower id or higher up in the same one. A line is removed if any earlier line matches it, itself removed or
-    not, so the result doesn't depend on the order of work. Lines with fewer than LEAST different words never match. Null and empty texts have no
-    such line; rows that repeat an id are judged alike, each by its own text. A null id counts as the lowest.
+    not, so the result doesn't depend on the order of work. Lines with fewer than LEAST different words match equal lines if they take `whole` bytes
+    at least, blank ones never; without `whole` they never match, as OP7_SQL has it. Null and empty texts have no line; rows that repeat an id are judged alike, each by its own text. A null id counts as the lowest.
     """
     ranks = rarity(docs.select(text_col), text_col)
     docs = docs.select(id_col, text_col)
     # the filter is on the written table; before it the optimiser would make the word sets twice, once to filter by
     every = saved(occurrences(docs, ranks, id_col, text_col), "lines")
-    rows = every.where(F.col("n") >= LEAST)
+    rows = every.where(F.col("n") >= LEAST if whole is None else (F.col("n") >= LEAST) | ((F.col("n") > 0) & (F.col("size") >= whole)))
     found = classes_of(rows).select("h", "times", "first.*")
     found = found.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line", "h")
     # ids ascend with the place, so that of a pair the greater is the later one
@@ -204,13 +214,15 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     return lost.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int | None = WHOLE) -> DataFrame:
     """docs with the matching lines taken out of the text; all columns and rows stay. A text that loses no line is as it was.
 
+    Lines of few words go too, from `whole` bytes on, where they repeat exactly.
+
     Texts of documents that lose nothing don't move.
     """
     since = written()
-    lost = kept(removed_lines(docs, id_col, text_col), "lost", since)
+    lost = kept(removed_lines(docs, id_col, text_col, whole), "lost", since)
     key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
     hit = F.get(flags_of(lost.select("doc", F.lit(0).alias("line"))), flag(key, F.lit(0)))
     keyed = docs.withColumns({"_doc": key, "_hit": hit})

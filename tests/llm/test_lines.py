@@ -93,3 +93,12 @@ def test_query_matches_sql(spark):
     from tests.llm.sql import same
 
     same(spark, "/root/testdata/sf0.01", "op7_line_dedup")
+
+
+def test_long_lines_of_few_words_go_where_they_repeat(spark):
+    cjk, url, rep = "这是每个文档里都有的一整段中文声明没有空格", "https://example.com/" + "path/" * 9, "spam eggs " * 30
+    rows = [(1, f"{cjk}\n{url}\n{rep}\nyes."), (2, f"one\n{cjk} \n{url.upper()}\n{rep}\nyes."), (3, f"{cjk}句\n{' ' * 60}"), (4, f"{' ' * 60}\neggs spam {rep}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r.doc_id: r.text for r in L.deduplicated(df).collect()}
+    assert out == {**dict(rows), 2: "one\nyes."}
+    assert L.removed_lines(df).count() == 0
