@@ -213,13 +213,15 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUN
     """(pattern of length to copies, times): together they hold every piece of the histogram once.
 
     The fractional uses of the linear program are rounded down; what is left over is planned again until `few` pieces remain,
-    which go by best fit. The work and the size of the plan depend on the capacity, not on the number of pieces.
+    which go by best fit. Fewer pieces than that from the start are planned once too. The work and the size of the plan depend on the capacity, not on the number of pieces.
     """
     left = Counter({n: c for n, c in histogram.items() if c > 0})
     out: Counter[tuple] = Counter()
     if left.get(capacity):
         out[((capacity, 1),)] = left.pop(capacity)
-    while sum(left.values()) > few:
+    planned = False
+    while left and (not planned or sum(left.values()) > few):
+        planned = True
         lengths = np.array(sorted(left))
         counts = np.array([left[n] for n in lengths], float)
         before = sum(left.values())

@@ -80,3 +80,12 @@ def test_edge_rows(spark):
     got = P.packed(docs, PATH, capacity=16).collect()
     assert sorted(r.length for r in got) == [1, 1, 1, 3, 15, 16]
     assert P.packed(docs.limit(0), PATH).count() == 0
+
+
+def test_small_tables_are_planned_by_the_program_too(monkeypatch):
+    calls = []
+    program = P.configuration_lp
+    monkeypatch.setattr(P, "configuration_lp", lambda *a: calls.append(a) or program(*a))
+    planned = P.plan({100: 300, 156: 300}, 256)
+    assert calls and holds(planned, {100: 300, 156: 300}, 256) and sum(t for _, t in planned) <= 303
+    assert P.plan({}, 256) == []
