@@ -188,7 +188,7 @@ def term_lines(lines: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, spans) of the terms' occurrences, whatever their case, in the documents that have any."""
+    """(id, term, gone): spans of the occurrences of terms (term, removed), whatever their case, and those of removed ones, in the documents that have any."""
     text = text_of(text_col)
     words = F.array_distinct(F.transform(F.split(text, GAP), term_of))
     rows = docs.select(F.col(id_col).alias("id"), text.alias("_t"), F.explode(words).alias("term"))
@@ -196,11 +196,14 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_c
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), F.replace(F.col("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
     spans = placed(F.regexp_extract_all("_t", pattern, F.lit(0)), F.split("_t", pattern, F.lit(-1)), "term")
     rows = rows.select("id", "term", spans.alias("spans"))
-    return rows.join(terms, "term", "left_semi").groupBy("id").agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("term"))
+    gone = F.collect_list(F.when(F.col("removed"), F.col("spans")))
+    every = F.collect_list("spans")
+    return rows.join(terms, "term").groupBy("id").agg(F.array_distinct(F.flatten(every)).alias("term"), F.array_distinct(F.flatten(gone)).alias("gone"))
 
 
 def personal(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, spans, n_email, n_ip, n_card, n_phone): spans of the patterns, and these with the disclosing terms', sorted by start, then kind.
+    """(id, base, spans, n_email, n_ip, n_card, n_phone, removed): spans of the patterns, and these with the disclosing terms', sorted by start, then kind;
+    removed holds those of the terms to be cut out, which sanitised() takes.
 
     Null and empty texts have none. Repeated rows and ids each keep their row; rows that share an id also share its terms' spans, so give
     ids that are unique. Other columns of docs are not read.
@@ -210,26 +213,45 @@ def personal(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "do
     base = rows.select("id", F.array_sort(F.concat(*PATTERNS)).alias("base"), *counts)
     terms = saved(disclosing(docs, rule, text_col), "terms")
     if terms.isEmpty():
-        return base.withColumn("spans", F.col("base"))
-    more = term_spans(docs, terms.select("term"), id_col, text_col)
+        return base.withColumn("spans", F.col("base")).withColumn("removed", F.array().cast(SPAN))
+    more = term_spans(docs, terms, id_col, text_col)
     out = base.join(more, "id", "left")
-    return out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("term", F.array().cast(SPAN))))).drop("term")
+    none = F.array().cast(SPAN)
+    out = out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("term", none))))
+    return out.withColumn("removed", F.coalesce("gone", none)).drop("term", "gone")
 
 
-def sanitised(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in angle brackets; of spans that overlap the first in order counts."""
+def merged(spans: Column) -> Column:
+    """Sorted spans with those that overlap made one of the first one's kind."""
+    start = F.array().cast(SPAN)
+
+    def step(acc: Column, s: Column) -> Column:
+        last = F.get(acc, F.size(acc) - 1)
+        wider = F.struct(last["start"].alias("start"), last["kind"].alias("kind"), F.greatest(last["end"], s["end"]).alias("end"))
+        joined = F.concat(F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0))), F.array(wider))
+        return F.when(s["start"] < last["end"], joined).otherwise(F.concat(acc, F.array(s)))
+
+    return F.aggregate(F.array_sort(spans), start, step)
+
+
+def sanitised(text: Column, spans: Column, removed: Column | None = None) -> Column:
+    """The text with each span generalised to its kind in angle brackets, or cut out where it is among `removed`, spans of the same form.
+
+    Spans that overlap are merged first; what they cover goes as a whole, as the first one's kind, or cut out if all of it is a removed span.
+    """
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+    gone = F.array().cast(SPAN) if removed is None else F.coalesce(removed, F.array().cast(SPAN))
 
     def step(acc: Column, s: Column) -> Column:
         between = F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int"))
-        new = F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(between, F.get(names, s["kind"]))).alias("parts"))
-        return F.when(s["start"] >= acc["at"], new).otherwise(acc)
+        name = F.when(F.array_contains(gone, s), F.lit("")).otherwise(F.get(names, s["kind"]))
+        return F.struct(s["end"].alias("at"), F.concat(acc["parts"], F.array(between, name)).alias("parts"))
 
     def done(acc: Column) -> Column:
         return F.concat(F.array_join(acc["parts"], ""), F.substring(text, (acc["at"] + 1).cast("int"), F.length(text)))
 
-    return F.aggregate(spans, start, step, done)
+    return F.aggregate(merged(spans), start, step, done)
 
 
 def op9_disclosure(spark, sf_dir) -> DataFrame:

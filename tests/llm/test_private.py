@@ -88,3 +88,21 @@ def test_edge_rows(spark):
     got = P.personal(df)
     assert got.count() == 4 and got.agg(F.sum("n_email")).first()[0] == 1
     assert P.personal(df.limit(0)).count() == 0
+
+
+def test_overlapping_spans_leave_no_tail_and_removed_ones_go(spark):
+    text = "+1 555 123 4567foo@bar.com or Quibble, x"
+    df = spark.createDataFrame([(1, text, [(0, 3, 15), (13, 0, 26), (30, 4, 37)], [(30, 4, 37)])], f"id long, text string, spans {P.SPAN}, removed {P.SPAN}")
+    plain, cut = df.select(P.sanitised(F.col("text"), F.col("spans")), P.sanitised(F.col("text"), F.col("spans"), F.col("removed"))).first()
+    assert plain == "<PHONE> or <TERM>, x" and cut == "<PHONE> or , x"
+
+
+def test_terms_that_go_with_one_entity_alone_are_removed(spark):
+    rows = [(i, f"plain words of line {chr(97 + i % 26)} {chr(97 + i // 26)}") for i in range(200)]
+    rows += [(500 + i, f"Quibble said {w} zed@corp.example") for i, w in enumerate(["aa", "bb", "cc", "dd"])]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = P.personal(df)
+    assert {tuple(s) for r in out.where("id >= 500").collect() for s in r.removed} >= {(0, 4, 7)}
+    joined = df.join(out.withColumnRenamed("id", "doc_id"), "doc_id").where("doc_id >= 500")
+    said = [r[0] for r in joined.select(P.sanitised(F.col("text"), F.col("spans"), F.col("removed"))).collect()]
+    assert len(said) == 4 and not any("Quibble" in t or "<TERM>" in t or "@" in t for t in said)
