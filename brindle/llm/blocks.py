@@ -13,8 +13,11 @@ import numpy as np
 PATH_DIM, WORD_DIM, PLAIN_DIM = 64, 48, 6
 DIM = PATH_DIM + WORD_DIM + PLAIN_DIM
 #: Element kinds of the HTML standard.
-SKIPPED = frozenset("script style noscript template head title svg math iframe object textarea select".split())
-RAW = frozenset("script style title textarea noscript iframe template svg math object select".split())
+SKIPPED = frozenset("script style noscript template head title svg iframe object textarea select".split())
+#: Their content is text up to their end tag or the page's end; the other skipped ones count only where they are closed.
+RAW = frozenset("script style title textarea iframe".split())
+CLOSED = frozenset("noscript template svg object select".split())
+HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title html head".split())
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(
     "address article aside blockquote body br button caption dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -48,6 +51,7 @@ def leaves(page: str | None) -> list[Leaf]:
     parts: list[str] = []
     linked = skipped = at = 0
     where: tuple[str, ...] | None = None
+    last: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal linked, where
@@ -84,6 +88,10 @@ def leaves(page: str | None) -> list[Leaf]:
         tag = (m[2] or "").lower()
         if not tag:
             continue
+        # the first tag that cannot be in a head ends it
+        if not m[1] and open_.get("head") and tag not in HEAD:
+            while open_.get("head"):
+                pop()
         if tag in BLOCK:
             flush()
         if m[1]:
@@ -94,15 +102,21 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         if tag in VOID:
             continue
-        if tag == "body" and skipped and open_.get("head"):
-            while open_.get("head"):
-                pop()
         ends = ENDS.get(tag)
         if ends:
             while stack and stack[-1][0] in ends or (stack and stack[-1][0] not in BLOCK and any(open_.get(e) for e in ends) and _inline_down_to(stack, ends)):
                 pop()
         if m[3].rstrip().endswith("/"):
             continue
+        if tag in CLOSED:
+            # one look ahead a kind: beyond the last end tag none is closed
+            if tag not in last:
+                last[tag] = max((e.start() for e in re.finditer(rf"</{tag}\s*>", page, re.I)), default=-1)
+            if last[tag] < at:
+                continue
+            close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
+            at = close.end()
+            continue
         names = (tag, *_names(tag, m[3])) if m[3] else (tag,)
         stack.append((tag, names))
         open_[tag] = open_.get(tag, 0) + 1
@@ -143,7 +157,7 @@ def vectors(found: list[Leaf]) -> np.ndarray:
     """A row per leaf: hashed tag path, hashed words, and plain measures."""
     x = np.zeros((len(found), DIM), np.float32)
     for k, leaf in enumerate(found):
-        path = leaf.path[-24:]
+        path = leaf.path
         for depth, name in enumerate(path):
             x[k, _bucket(name, PATH_DIM)] += 1.0
         for name in path[-2:]:

@@ -21,6 +21,7 @@ AROUND = {
 }
 NOTICES = ["We use cookies to improve this site. Accept all", "Subscribe to our newsletter", "Please log in to continue", "This site uses cookies.", "Sign up for updates by email"]
 SHORT = ["Home", "About", "Contact", "Search", "Login", "Share", "More", "Related", "Comments", "Reply", "Tags", "Archive", "Menu", "Next", "Privacy", "Terms"]
+CLASSES = ["row", "col", "container", "wrapper", "inner", "grid", "flex", "layout", "mt", "px", "w", "block", "component", "module", "box", "md", "lg"]
 SYLLABLES = "an ber ci da el fo gu hi is jo ka lem mi no or pa qui re su ti und ver wo xe yl za the and of de la".split()
 
 
@@ -99,12 +100,22 @@ def page(rng: random.Random) -> tuple[str, list[bool]]:
 
     head = f"<!DOCTYPE html><html><head><title>{words(2, 6)}</title><style>p{{margin:0}}</style></head><body>"
     body = ""
+    deep = rng.random() < 0.15
     for is_main, part in parts:
+        if deep:  # many levels with many classes between a region's marker and its text
+            depth = rng.randrange(2, 7)
+            part = _deepened(part, "".join(f'<div class="{rng.choice(CLASSES)} {rng.choice(CLASSES)}-{rng.choice(CLASSES)} {rng.choice(CLASSES)}">' for _ in range(depth)), "</div>" * depth)
         body += part if rng.random() < 0.8 else f"<div>{part}</div>"
         marks += [is_main] * len(leaves(part))
     return head + body + rng.choice(["</body></html>", ""]), marks
 
 
+def _deepened(part: str, opened: str, closed: str) -> str:
+    """The levels right inside the part's outermost element."""
+    a, b = part.index(">") + 1, part.rindex("<")
+    return part[:a] + opened + part[a:b] + closed + part[b:]
+
+
 def _split(shape: str) -> list[str]:
     import re
 

@@ -70,3 +70,26 @@ def test_edge_rows(spark):
     pages = spark.createDataFrame([(1, None, "u"), (1, None, "u"), (2, "", None)], "page_id long, html string, text string")
     assert [r.text for r in extract.main_text(pages).collect()] == ["", "", ""]
     assert extract.main_text(pages.limit(0)).count() == 0
+
+
+def test_optional_tags_and_unclosed_elements_lose_no_text():
+    said = lambda page: [x.text for x in leaves(page)]
+    assert said("<head><title>T</title><meta charset=x><p>One<p>Two") == ["One", "Two"]
+    for tag in ("svg", "object", "select", "noscript", "template"):
+        assert said(f"<p>One</p><{tag}><p>Two</p>") == ["One", "Two"]
+        assert said(f"<p>One</p><{tag}>x</{tag}><p>Two</p>") == ["One", "Two"]
+    assert said("<p>Let <math><mi>x</mi></math> be</p><math><p>Two</p>") == ["Let x be", "Two"]
+    assert said("<p>One</p><script>x<p>Two</p>") == ["One"]
+
+
+def test_markers_above_many_classes_are_seen():
+    deep = "".join(f'<div class="row col-md-{k} px-{k} inner">' for k in range(6))
+    shut = "</div>" * 6
+    story = "".join(f"<p>Ander fogu hiis joka the lemmi of nopa and quire suti verwo the xeyl {k}.</p>" for k in range(6))
+    reply = "<p><b>Bo</b> The za and der noka of lemmi sure quipa and xeyl.</p>" * 3
+    page = f"<html><body><article><h1>Of tea</h1>{deep}{story}{shut}</article><section id=comments>{deep}{reply}{shut}</section><footer>{deep}<p>Ander fogu.</p>{shut}</footer>"
+    found = leaves(page)
+    a, b = (vectors([x])[0] for x in (found[1], found[-1]))
+    assert len(found[1].path) > 24 and (a[:64] != b[:64]).any()
+    text = extract.main_texts(lstm.labeller(), [page])[0]
+    assert "joka" in text and "noka" not in text and not text.endswith("Ander fogu.")
