@@ -17,6 +17,9 @@ FOUND = (
     "component string, id int, x int, y int, width int, height int, match_score double, peak_margin double, near_exact_fraction double, mae double, "
     "rmse double, ssim double, pearson_corr double, hist_intersection double, status string, banded boolean"
 )
+#: The same measures over the mask's pixels alone.
+MASKED = [f"{k}_masked_eval" for k in metrics.NAMES]
+SCORED = FOUND + "".join(f", {k} double" for k in MASKED)
 BODY = (
     "x int, y int, width int, height int, coverage double, aspect_ratio double, center_x_offset double, top_margin_frac double, "
     "bottom_margin_frac double, width_frac double, height_frac double, fallback boolean, largest_cc_aspect_ratio double"
@@ -34,18 +37,22 @@ def raster(row) -> np.ndarray:
 def _scored(field: ncc.Field, crop: np.ndarray, mask: np.ndarray | None, component: str, id_: int, top: int = 0, bottom: int | None = None, banded: bool = False) -> dict:
     m = ncc.locate(field, crop, mask, top, bottom)
     window = field.image[m["y"] : m["y"] + m["height"], m["x"] : m["x"] + m["width"]]
-    values = metrics.compare(crop, window, mask) if m["status"] == "ok" else dict.fromkeys(metrics.NAMES)
-    return {"component": component, "id": id_, **m, **values, "banded": banded}
+    ok = m["status"] == "ok"
+    values = metrics.compare(crop, window) if ok else dict.fromkeys(metrics.NAMES)
+    # without a mask there is nothing to compare under it
+    masked = metrics.compare(crop, window, mask) if ok and mask is not None else dict.fromkeys(metrics.NAMES)
+    return {"component": component, "id": id_, **m, **values, **dict(zip(MASKED, (masked[k] for k in metrics.NAMES))), "banded": banded}
 
 
 def located(
     crops: DataFrame, whole: DataFrame, anchor: str = "vertbra", anchored: tuple[str, ...] = ("shoL", "shoR"), threshold: float = 2, percentile: float | None = None,
-    above: int = 100, below: int = 250, use_mask: bool = True,
+    above: int = 100, below: int = 250, use_mask: bool = True, between: tuple[str, str] | None = None,
 ) -> DataFrame:
     """A box for each crop (component, part, view, id, height, width, data) in its whole image (view, id, height, width, data).
 
     Both sides are grouped by (view, id): a whole image is decoded once and its transforms serve all its crops. Crops of the anchored parts are
-    searched in a band of rows around the anchor part's box where the band is as high as the crop, else in the whole image. Crops without a whole image give no
+    searched in a band of rows around the anchor part's box where the band is as high as the crop, else in the whole image. With `between`, two parts, the
+    band goes from the bottom of the first one's box to the top of the second one's instead. Metrics are over all pixels, those with _masked_eval over the mask's. Crops without a whole image give no
     row; where nothing can be scored (blank crop or image, or a crop larger than the image) the status says so and metrics are null.
     """
 
@@ -54,8 +61,9 @@ def located(
         if len(c) and len(w):
             field = ncc.Field(raster(w.iloc[0]))
             tall = field.image.shape[0]
-            first = c["part"].eq(anchor)
-            band = None
+            anchors = between or (anchor,)
+            first = c["part"].isin(anchors)
+            band, ends = None, {}
             for row in pd.concat([c[first], c[~first]]).itertuples():
                 crop = raster(row)
                 if crop.shape[0] > tall or crop.shape[1] > field.image.shape[1]:
@@ -67,17 +75,24 @@ def located(
                 in_band = row.part in anchored and band is not None and band[1] - band[0] >= crop.shape[0]
                 out = _scored(field, crop, mask, row.component, row.id, *(band if in_band else (0, None)), banded=in_band)
                 rows.append(out)
-                if row.part == anchor and out["status"] == "ok":
-                    band = (max(0, out["y"] - above), min(tall, out["y"] + below))
-        names = [x.split()[0] for x in FOUND.split(", ")]
+                if row.part in anchors and out["status"] == "ok":
+                    ends[row.part] = (out["y"], out["y"] + out["height"])
+                    if not between:
+                        band = (max(0, out["y"] - above), min(tall, out["y"] + below))
+                    elif len(ends) == 2:
+                        band = (ends[between[0]][1], ends[between[1]][0])
+        names = [x.split()[0] for x in SCORED.split(", ")]
         return pd.DataFrame(rows, columns=names).astype({"x": "Int32", "y": "Int32"})
 
-    return crops.groupBy("view", "id").cogroup(whole.groupBy("view", "id")).applyInPandas(work, FOUND)
+    return crops.groupBy("view", "id").cogroup(whole.groupBy("view", "id")).applyInPandas(work, SCORED)
 
 
 def swept(crops: DataFrame, whole: DataFrame, thresholds: tuple[float, ...] = (2, 10, 20, 30, 50), percentiles: tuple[float, ...] = ()) -> DataFrame:
-    """Boxes for every mask setting, a row a crop and setting; images are decoded and transformed once for all settings."""
-    names = "setting string, value double, background_fraction double, " + FOUND
+    """Boxes for every mask setting, a row a crop and setting; images are decoded and transformed once for all settings.
+
+    Metrics are over all pixels, those with _masked_eval over the mask's.
+    """
+    names = "setting string, value double, background_fraction double, " + SCORED
 
     def work(c: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
         rows = []

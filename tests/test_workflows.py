@@ -156,3 +156,26 @@ def test_bracketed_medians_are_exact(spark):
     assert {r.g: r.median for r in robust.bracketed_medians(df.where("g is not null"), "g", "v").collect()} == want
     key = lambda d: sorted((r.g, r.v or 0, r.z or 0, bool(r.outlier)) for r in d.collect())
     assert key(robust.position_outliers(df, "g", ["v"], large=True)) == key(robust.position_outliers(df, "g", ["v"]))
+
+
+def test_band_between_two_anchors(spark):
+    rng = np.random.default_rng(12)
+    img = rng.integers(3, 255, (200, 80)).astype(np.uint8)
+    img[5:35, 30:50] = img[90:120, 40:60]  # the shoulder's pixels stand above the head too
+    cut = lambda y, x, h=30: (h, 20, img[y : y + h, x : x + 20].tobytes())
+    crops = [("shoLANT", "shoL", "ANT", 1, *cut(5, 30)), ("pelvisANT", "pelvis", "ANT", 1, *cut(150, 10)), ("headANT", "head", "ANT", 1, *cut(45, 20)), ("shoRANT", "shoR", "ANT", 1, *cut(40, 50, 90))]
+    c, w = spark.createDataFrame(crops, CROP), spark.createDataFrame([("ANT", 1, 200, 80, img.tobytes())], IMG)
+    got = {r.component: (r.x, r.y, r.banded) for r in workflows.located(c, w, between=("head", "pelvis")).collect()}
+    assert got == {"headANT": (20, 45, False), "pelvisANT": (10, 150, False), "shoLANT": (40, 90, True), "shoRANT": (50, 40, False)}
+
+
+def test_metrics_both_ways(spark):
+    rng = np.random.default_rng(13)
+    img = rng.integers(100, 255, (60, 50)).astype(np.uint8)
+    crop = img[20:40, 10:30].copy()
+    crop[:5] = 0  # the mask leaves these rows out
+    c = spark.createDataFrame([("kneeANT", "knee", "ANT", 1, 20, 20, crop.tobytes())], CROP)
+    w = spark.createDataFrame([("ANT", 1, 60, 50, img.tobytes())], IMG)
+    for r in (workflows.located(c, w).first(), workflows.swept(c, w, thresholds=(2,)).first()):
+        assert (r.x, r.y) == (10, 20) and r.mae_masked_eval == 0 and abs(r.mae - img[20:25, 10:30].sum() / 400) < 1e-9
+        assert r.near_exact_fraction == 0.75 and r.near_exact_fraction_masked_eval == 1
