@@ -22,8 +22,6 @@ PATTERNS = {
 }
 NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
-#: Words this near an entity on its line are its context.
-CONTEXT = 10
 TRIM = " .,;:!?\"'()[]{}<>|*#$%&/\\=_`~+-–—…«»“”„’"
 BUCKETS = 1 << 16
 
@@ -114,22 +112,26 @@ def term_of(word: Column) -> Column:
     return F.btrim(F.lower(word), F.lit(TRIM))
 
 
-def contexts(lines: DataFrame) -> DataFrame:
-    """lines (line) to (line_id, entity, term): the terms up to CONTEXT words before and after each entity."""
+def contexts(units: DataFrame, support: int) -> DataFrame:
+    """units (line_id, line) to (line_id, entity, term), each once: all terms of the units that hold an entity.
+
+    Only valid matches are entities and cut out of the text; those on fewer than `support` units are left out up to collisions of buckets.
+    """
     per_kind = []
     for kind in PATTERNS:
-        matches, gaps = found(F.col("line"), kind)
-        rows = lines.where(F.col("line").rlike(NEEDS[kind])).select("line_id", matches.alias("m"), gaps.alias("g"))
-        rows = rows.select("line_id", "g", F.posexplode("m").alias("k", "match")).where(valid(kind, F.col("match")))
-        before = F.split(F.get("g", F.col("k")), GAP)
-        after = F.split(F.get("g", F.col("k") + 1), GAP)
-        before = F.slice(before, F.greatest(F.size(before) - CONTEXT + 1, F.lit(1)), F.lit(CONTEXT))
-        words = F.concat(before, F.slice(after, 1, CONTEXT))
+        matches = F.filter(F.regexp_extract_all("line", F.lit(PATTERNS[kind]), F.lit(0)), lambda m: valid(kind, m))  # noqa: B023
+        rows = units.where(F.col("line").rlike(NEEDS[kind])).select("line_id", "line", F.array_distinct(matches).alias("m")).where(F.size("m") > 0)
+        rest = F.aggregate("m", F.col("line"), lambda text, m: F.replace(text, m, F.lit(" ")))
+        rows = rows.select("line_id", rest.alias("rest"), F.explode("m").alias("match"))
         name = F.lower("match") if kind in ("email", "ip") else F.regexp_replace("match", "[^0-9]", "")
-        per_kind.append(rows.select("line_id", F.concat(F.lit(kind + ":"), name).alias("entity"), F.explode(F.array_distinct(F.transform(words, term_of))).alias("term")))
+        per_kind.append(rows.select("line_id", "rest", F.concat(F.lit(kind + ":"), name).alias("entity")))
     out = per_kind[0]
     for other in per_kind[1:]:
         out = out.unionByName(other)
+    often = out.select("line_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+    often = saved(often.select(F.col("entity").alias("term")), "entities")
+    out = out.where(F.get(bucket_filter(often), bucket(F.col("entity"))))
+    out = out.select("line_id", "entity", F.explode(F.array_distinct(F.transform(F.split("rest", GAP), term_of))).alias("term"))
     # a letter makes a term; digits alone are the patterns' business
     return out.where(F.col("term").rlike(r"\p{L}") & ~F.col("term").rlike("[0-9@]")).distinct()
 
@@ -147,20 +149,28 @@ def bucket_filter(terms: DataFrame) -> Column:
 
 
 def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
-    """(term, removed): the terms that disclose an entity by the rule, from all lines of docs.
+    """(term, removed): the terms that disclose an entity by the rule, from all lines and from all documents of docs.
 
-    The unit is the different line, so copies of a document are one witness. Terms are first counted beside entities, which only lines with an
-    entity have; only terms with enough support there are then counted over the whole corpus.
+    Co-occurrence is counted by whole line, and again by whole document, for terms that stand on other lines than the entity. A unit counts once
+    however often its text occurs, so copies are one witness.
     """
     text = text_of(text_col)
-    some = docs.where(text.rlike("@|[0-9]")).select(F.explode(F.split(text, "\n")).alias("line"))
-    some = some.where(F.col("line").rlike("@|[0-9]")).groupBy("line").agg(F.count("*").alias("n")).select("line", F.xxhash64("line").alias("line_id"))
-    near = saved(contexts(some), "contexts")
+    lines = docs.select(F.explode(F.split(text, "\n")).alias("line"))
+    both = _disclosing(lines, rule).unionByName(_disclosing(docs.select(text.alias("line")), rule))
+    return both.groupBy("term").agg(F.max("removed").alias("removed"))
+
+
+def _disclosing(lines: DataFrame, rule: Disclosure) -> DataFrame:
+    """(term, removed) with the texts of lines as units.
+
+    Terms are first counted beside entities, which only units with an entity have; only terms with enough support there are then counted over all units.
+    """
+    some = lines.where(F.col("line").rlike("@|[0-9]")).select("line", F.xxhash64("line").alias("line_id"))
+    near = saved(contexts(some, rule.support), "contexts")
     pairs = saved(near.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support), "support")
     empty = pairs.limit(0).select("term", F.lit(True).alias("removed"))
     if pairs.isEmpty():
         return empty
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("line"))
     total = lines.select(F.xxhash64("line").alias("id")).distinct().count()
     n_e = near.select("entity", "line_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     beside = near.select("term", "line_id").distinct().groupBy("term").agg(F.count("*").alias("n_near"))

@@ -106,3 +106,15 @@ def test_terms_that_go_with_one_entity_alone_are_removed(spark):
     joined = df.join(out.withColumnRenamed("id", "doc_id"), "doc_id").where("doc_id >= 500")
     said = [r[0] for r in joined.select(P.sanitised(F.col("text"), F.col("spans"), F.col("removed"))).collect()]
     assert len(said) == 4 and not any("Quibble" in t or "<TERM>" in t or "@" in t for t in said)
+
+
+def test_terms_far_off_or_on_other_lines_are_found(spark):
+    fill = lambda i, n: " ".join(f"f{chr(97 + (i * 7 + k) % 26)}{chr(97 + k % 5)}" for k in range(n))
+    rows = [(i, fill(i, 30)) for i in range(100)]
+    for i in range(6):
+        rows.append((200 + i, f"Quibble {fill(i, 25)} zed@corp.example"))
+        rows.append((300 + i, f"Zorblax\n{fill(i, 9)}\nyes@corp.example"))
+        rows.append((400 + i, f"Wumpus, room 12, {fill(i, 3)} 4111 1111 1111 1111"))
+    rows += [(500 + i, "Snark\n\nno@corp.example") for i in range(9)]
+    got = {r.term for r in P.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {"quibble", "zorblax", "wumpus"} <= got and "snark" not in got
