@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import GAP, documents, dropped, kept, saved, text_of, with_unique, written
+from brindle.llm.common import documents, dropped, kept, saved, text_of, with_unique, written
+from brindle.llm.words import _mixed, chunks, coded, hashes
 
 #: Two lines match if their word sets have a Jaccard similarity of 4/5 at least. Shorter lines than LEAST different words recur by chance and stay.
 LEAST = 5
@@ -15,222 +21,424 @@ WHOLE = 40
 PARTS = 4
 #: Up to so many different words 64 bits of parity tell lines apart well enough.
 LONG = 72
-RANKS, FLAGS = 1 << 16, 1 << 18
-LOW48 = (1 << 48) - 1
+RANKS, FLAGS = 1 << 16, 1 << 24
+LOW48 = np.uint64((1 << 48) - 1)
 NO_ID = -(1 << 63)
+#: Posted rows of one word that are compared within one task; those of more frequent prefix words go in pairs of parts.
+CELL = 32_768
+#: Rows of whole groups that a task compares together.
+_SPAN = 1 << 18
+
+SETS = "doc long, line int, h1 long, h2 long, n int, parity long, wide array<long>, prefix array<long>"
+FOUND = "doc long, line int, parity long, score long, doc0 long, line0 int, parity0 long, others int"
 
 
-def need(total: Column) -> Column:
+def need(total):
     """Words that two lines with so many words together must share."""
-    return F.ceil(4 * total / 9)
+    return (4 * total + 8) // 9
 
 
-def bucket(h: Column) -> Column:
-    return F.shiftrightunsigned(h, 48).cast("int")
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h >> np.uint64(48)).astype(np.int64)
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> Column:
-    """Rank of each of 65,536 hash buckets by how many words of the whole corpus fall in it, rarest first, as one constant array.
+def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Rank of each of 65,536 hash buckets by how many words of the whole corpus fall in it, rarest first.
 
-    Its size is fixed, so it is part of the plan, and with it a word's hash alone gives its place in the order: no join of words with counts.
+    Its size is fixed, so it goes to every task, and with it a word's hash alone gives its place in the order: no join of words with counts.
     """
-    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), GAP)).alias("w"))
-    rows = words.groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n")).collect()  # a row a bucket at most
-    counts = {r["b"]: r["n"] for r in rows}
-    ranks = [0] * RANKS
-    for rank, b in enumerate(sorted(range(RANKS), key=lambda b: (counts.get(b, 0), b))):
-        ranks[b] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
-
-
-def tokens(line: Column, ranks: Column) -> Column:
-    """A line's different words as sorted longs: the bucket's rank before the rest of the 64-bit hash, so that they
-    sort by rarity and equal longs are equal hashes."""
-
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, bucket(h)).cast("bigint") - F.lit(RANKS // 2), 48).bitwiseOR(h.bitwiseAND(F.lit(LOW48)))
-
-    # sort_array compares in the engine; array_sort would call a comparator for each pair
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, GAP), ""), key)))
-
-
-def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc, line, words): all lines in lower case; a null id counts as the lowest."""
-    doc = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    return docs.select(doc.alias("doc"), F.posexplode(F.split(F.lower(text_of(text_col)), "\n")).alias("line", "words"))
-
 
-def occurrences(docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
-    """A row for each line that may have LEAST different words: doc, line, the 128-bit hash of its word set (h), and what joins need of it.
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(RANKS, np.int64)
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                _, code, words = coded(part.column("text"))
+                total += np.bincount(_bucket(hashes(words)), np.bincount(code, minlength=len(words)), RANKS).astype(np.int64)
+        at = np.flatnonzero(total)
+        yield pa.record_batch({"b": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
+
+    counted = docs.select(F.lower(text_of(text_col)).alias("text")).mapInArrow(count, "b int, n long")
+    rows = counted.groupBy("b").agg(F.sum("n").alias("n")).collect()  # a row a bucket at most
+    counts = np.zeros(RANKS, np.int64)
+    for r in rows:
+        counts[r["b"]] = r["n"]
+    ranks = np.empty(RANKS, np.int64)
+    ranks[np.lexsort((np.arange(RANKS), counts))] = np.arange(RANKS)
+    return ranks
+
+
+def _nested(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
+
+
+def word_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(line, word, hash of each word by code): the different words of each line, lines ascending; words are codes that sort like `hash`'s order."""
+    offsets, code, words = coded(lines)
+    h = hashes(words)
+    line = np.repeat(np.arange(len(lines)), np.diff(offsets))
+    key = line * max(1, len(h)) + code
+    blank = words.index("").as_py()
+    if blank >= 0:
+        key = key[code != blank]
+    key = np.unique(key)
+    line = key // max(1, len(h))
+    return line, key - line * max(1, len(h)), h
+
+
+def parities(line: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
+    """64 bits for each of n lines, of which each of its words turns over one; lines ascend."""
+    out = np.zeros(n, np.uint64)
+    if len(line):
+        starts = np.flatnonzero(np.diff(line, prepend=-1))
+        out[line[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), starts)
+    return out
+
+
+def _sets(ranks: np.ndarray, least: int, whole: int | None):
+    def of(doc: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
+        split = pc.split_pattern(texts, "\n")
+        edges = split.offsets.to_numpy()
+        lines = split.flatten()
+        docs = np.repeat(doc, np.diff(edges))
+        number = np.arange(len(lines)) - np.repeat(edges[:-1] - edges[0], np.diff(edges))
+        line, code, h = word_sets(lines)
+        n = np.bincount(line, minlength=len(lines))
+        if whole is not None:
+            few = np.flatnonzero((n > 0) & (n < least))
+            trimmed = pc.ascii_trim_whitespace(lines.take(pa.array(few)))
+            full = pc.binary_length(trimmed).to_numpy(zero_copy_only=False) >= whole
+            few, g = few[full], hashes(trimmed.filter(pa.array(full)))
+            zero = np.zeros(len(few), np.int64)
+            none = _nested(zero[:0], zero)
+            yield _rows(docs[few], number[few], _mixed(g ^ np.uint64(2)), _mixed(_mixed(g + np.uint64(3))), n[few], zero.view(np.uint64), none, none)
+        keep = (n >= least)[line]
+        line, code = line[keep], code[keep]
+        at = np.flatnonzero(n >= least)
+        if not len(at):
+            return
+        n = n[at]
+        # the bucket's rank before the rest of the hash: words sort by rarity and equal longs are equal hashes
+        token = ((ranks[_bucket(h)] - RANKS // 2) << 48) | (h & LOW48).astype(np.int64)
+        order = np.argsort(token, kind="stable")
+        place = np.empty(len(h), np.int64)
+        place[order] = np.arange(len(h))
+        row = np.repeat(np.arange(len(at)), n)
+        code = order[np.sort(row * len(h) + place[code]) - row * len(h)]
+        starts = np.cumsum(n) - n
+        own = h[code]
+        twice = [np.add.reduceat(_mixed(own + np.uint64(k)), starts) for k in (1, 2)]
+        short = n - (4 * n + 4) // 5 + 1
+        head = np.arange(len(code)) - np.repeat(starts, n) < np.repeat(short, n)
+        long = np.flatnonzero(n > LONG)
+        in_long = np.isin(row, long)
+        ranges = np.searchsorted(long, row[in_long]) * PARTS + ((own[in_long] >> np.uint64(7)) & np.uint64(PARTS - 1)).astype(np.int64)
+        by = np.argsort(ranges, kind="stable")
+        wide = parities(ranges[by], own[in_long][by], len(long) * PARTS)
+        yield _rows(
+            docs[at], number[at], _mixed(twice[0] + n.astype(np.uint64)), _mixed(twice[1]), n, parities(row, own, len(at)),
+            _nested(wide.view(np.int64), np.where(n > LONG, PARTS, 0)), _nested(token[code][head], short),
+        )
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in chunks(batch, "text"):
+                yield from of(part.column("doc").to_numpy(), part.column("text"))
+
+    return work
+
+
+def _rows(doc, line, h1, h2, n, parity, wide, prefix) -> pa.RecordBatch:
+    columns = [doc, line.astype(np.int32), h1.view(np.int64), h2.view(np.int64), n.astype(np.int32), parity.view(np.int64)]
+    names = ["doc", "line", "h1", "h2", "n", "parity", "wide", "prefix"]
+    return pa.RecordBatch.from_arrays([*map(pa.array, columns), wide, prefix], names)
+
+
+def key_of(id_col: str) -> Column:
+    return F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
+
+
+def occurrences(docs: DataFrame, ranks: np.ndarray, id_col: str, text_col: str, least: int = LEAST, whole: int | None = None) -> DataFrame:
+    """A row for each line that takes part: doc, line, the 128-bit hash of its word set (h1, h2), and what joins need of it.
+
+    A line of fewer than `least` words has the hash of its whole text instead and no prefix.
+
+    prefix: its rarest words, of which two matching lines share one. parity: 64 bits, of which a word turns over one, so sets differ in as many words
+    at least as bits; wide: the same for each of PARTS hash ranges, where there are over LONG words.
+    """
+    return docs.select(key_of(id_col).alias("doc"), F.lower(text_of(text_col)).alias("text")).mapInArrow(_sets(ranks, least, whole), SETS)
 
-    A line of fewer words has the hash of its whole text instead, no prefix, and its bytes (size).
 
-    prefix: its rarest words, of which two matching lines share one. parity: for each of PARTS hash
-    ranges 64 bits, of which a word turns over one, so sets differ in as many words at least as bits; up to LONG words all turn the first 64.
-    """
-    rows = line_rows(docs, id_col, text_col)
-    # LEAST different words take LEAST characters and the gaps between
-    rows = rows.where(F.length("words") >= 2 * LEAST - 1).select("doc", "line", F.btrim("words", F.lit(" \t\n\x0b\f\r")).alias("whole"), tokens(F.col("words"), ranks).alias("tok"))
-    n = F.size("tok")
-    few = n < LEAST
-    fold = lambda words: F.aggregate(words, F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
-    none = F.array().cast("array<bigint>")
-    # a short line has all in the first word, and its tokens needn't be dealt to ranges
-    parity = [fold(F.when(n > LONG, _range(k)).otherwise(none if k else F.col("tok"))) for k in range(PARTS)]
-    return rows.select(
-        "doc",
-        "line",
-        F.struct(
-            F.when(few, F.xxhash64(F.lit(2), F.col("whole"))).otherwise(F.xxhash64("tok")).alias("h1"),
-            F.when(few, F.xxhash64(F.lit(3), F.col("whole"))).otherwise(F.xxhash64(F.lit(1), F.col("tok"))).alias("h2"),
-        ).alias("h"),
-        n.alias("n"),
-        F.when(few, F.octet_length("whole")).alias("size"),
-        F.when(few, none).otherwise(F.slice("tok", F.lit(1), n - F.ceil(4 * n / 5).cast("int") + 1)).alias("prefix"),
-        F.array(*parity).alias("parity"),
-    )
-
-
-def _range(k: int) -> Column:
-    return F.filter("tok", lambda t: t.bitwiseAND(F.lit((PARTS - 1) << 7)) == F.lit(k << 7))
-
-
-def classes_of(rows: DataFrame) -> DataFrame:
-    """A row for each different word set: h, its first place with what occurrences says of it, and how often it occurs."""
-    first = F.struct("doc", "line", "n", "prefix", "parity")
-    return rows.groupBy("h").agg(F.min(first).alias("first"), F.count("*").alias("times"))
-
-
-def _bit(t: Column) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+def place_of(doc: str = "doc", line: str = "line") -> Column:
+    """One number that sorts as (doc, line), as aggregates keep it without boxing."""
+    return (F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col(line).cast("decimal(10,0)")).cast("decimal(38,0)")
 
 
 def flags_of(keys: DataFrame) -> Column:
-    """Which of a fixed number of hash buckets some (doc, line) falls in; lets a scan pass over nearly all other lines."""
-    hit = keys.select(flag(F.col("doc"), F.col("line")).alias("b"), F.lit(True).alias("on")).distinct()
-    every = keys.sparkSession.range(FLAGS).select(F.col("id").cast("int").alias("b"))
-    x = every.join(hit, "b", "left").select(F.struct("b", F.coalesce("on", F.lit(False)).alias("on")).alias("x"))
-    return saved(x.agg(F.array_sort(F.collect_list("x")).alias("f")).select(F.transform("f", lambda y: y["on"]).alias("f")), "flags").scalar()
+    """Which of a fixed number of hash buckets some (doc, line) falls in, 64 to a long; lets a scan pass over nearly all other lines."""
+    at = flag(F.col("doc"), F.col("line"))
+    hit = keys.select(F.shiftright(at, 6).alias("b"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63)).alias("on"))
+    hit = hit.groupBy("b").agg(F.bit_or("on").alias("on"))
+    every = keys.sparkSession.range(FLAGS // 64).select(F.col("id").cast("int").alias("b"))
+    x = every.join(hit, "b", "left").select(F.struct("b", F.coalesce("on", F.lit(0).cast("bigint")).alias("on")).alias("x"))
+    return saved(x.agg(F.sort_array(F.collect_list("x")).alias("f")).select(F.transform("f", lambda y: y["on"]).alias("f")), "flags").scalar()
 
 
 def flag(doc: Column, line: Column) -> Column:
     return F.pmod(F.xxhash64(doc, line), F.lit(FLAGS)).cast("int")
 
 
-def verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
-    """pairs (a, b) of class ids to those (a, b) whose word sets have the similarity. The sets are made again from the texts of just the lines that take part."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    wanted = saved(ids.join(classes.select("id", "doc", "line", "h.h1"), "id"), "wanted")
-    rows = line_rows(docs, id_col, text_col).where(F.get(flags_of(wanted), flag(F.col("doc"), F.col("line"))))
-    rows = rows.join(wanted, ["doc", "line"]).select("id", "h1", tokens(F.col("words"), ranks).alias("tok"))
-    # repeated ids may have other texts
-    sets = rows.where(F.xxhash64("tok") == F.col("h1")).groupBy("id").agg(F.min("tok").alias("tok"))
-    sets = saved(sets, "sets")
-    both = pairs.join(sets.withColumnRenamed("id", "a").withColumnRenamed("tok", "x"), "a").join(sets.withColumnRenamed("id", "b").withColumnRenamed("tok", "y"), "b")
-    same = F.size(F.array_intersect("x", "y"))
-    return both.where(same >= need(F.size("x") + F.size("y"))).select("a", "b")
-
-
-def posted(classes: DataFrame) -> DataFrame:
-    """(tok, pos, id, n2, p0...): a row for each prefix word of each class; n2 is twice the number of words, plus 1 where the class is open."""
-    words = [F.get("parity", F.lit(k)).alias(f"p{k}") for k in range(PARTS)]
-    return classes.select("id", (F.col("n") * 2 + F.col("open").cast("int")).alias("n2"), *words, F.posexplode("prefix").alias("pos", "tok"))
-
-
-def close(l: str, r: str) -> Column:
-    """Whether two posted rows pass the length, positional and parity filters, which no matching pair fails."""
-    n1, n2 = F.shiftright(f"{l}.n2", 1), F.shiftright(f"{r}.n2", 1)
-    o = need(n1 + n2)
-    most = F.least(f"{l}.pos", f"{r}.pos") + F.least(n1 - F.col(f"{l}.pos"), n2 - F.col(f"{r}.pos"))
-    turned = [F.col(f"{l}.p{k}").bitwiseXOR(F.col(f"{r}.p{k}")) for k in range(PARTS)]
-    together, each = turned[0], F.bit_count(turned[0])
-    for t in turned[1:]:
-        together, each = together.bitwiseXOR(t), each + F.bit_count(t)
-    # folding a long line's words gives what a short one has
-    apart = F.when((n1 > LONG) & (n2 > LONG), each).otherwise(F.bit_count(together))
-    return (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (apart <= n1 + n2 - 2 * o) & (most >= o)
-
-
-def first_round(classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of each class b with the first class a that has some word of its prefix in the same role.
-
-    Near copies of a line share prefix words however many there are of them, so a comparison with the first of each word settles a crowd
-    that the join would take by pairs. There is at most one pair a posted row.
+def flagged(flags: Column, doc: Column, line: Column) -> Column:
+    at = flag(doc, line)
+    return F.call_function("shiftright", F.get(flags, F.shiftright(at, 6)), at.bitwiseAND(63)).bitwiseAND(F.lit(1)) == 1
+
+
+def posted(firsts: DataFrame) -> DataFrame:
+    """A row for each prefix word of each class: tok, pos, doc, line, n, parity, wide (null for short lines), open."""
+    wide = F.when(F.col("n") > LONG, F.col("wide"))
+    return firsts.select("doc", "line", "n", "parity", wide.alias("wide"), "open", F.posexplode("prefix").alias("pos", "tok"))
+
+
+class Posted:
+    """Posted rows of whole groups as arrays, sorted by group and number of words; group rows that can't pair are left out."""
+
+    def __init__(self, table: pa.Table, keys: list[str]):
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for k in keys:
+            v = table.column(k).to_numpy()
+            new[1:] |= v[1:] != v[:-1]
+        group = np.cumsum(new) - 1
+        several = np.flatnonzero(np.bincount(group)[group] > 1)
+        n = table.column("n").to_numpy()[several]
+        several = several[np.lexsort((n, group[several]))]
+        table = table.take(pa.array(several))
+        self.group = group[several]
+        self.doc, self.line, self.n, self.pos, self.open = (table.column(c).to_numpy() for c in ("doc", "line", "n", "pos", "open"))
+        self.n, self.pos = self.n.astype(np.int64), self.pos.astype(np.int64)
+        self.parity = table.column("parity").to_numpy().view(np.uint64)
+        self.wide = np.zeros((len(several), PARTS), np.uint64)
+        long = np.flatnonzero(self.n > LONG)
+        if len(long):
+            self.wide[long] = table.column("wide").combine_chunks().drop_null().flatten().to_numpy().view(np.uint64).reshape(-1, PARTS)
+        # one number a place, so that earlier is less; equal places aren't earlier
+        order = np.lexsort((self.line, self.doc))
+        step = np.zeros(len(order), np.int64)
+        step[1:] = (np.diff(self.doc[order]) != 0) | (np.diff(self.line[order]) != 0)
+        self.place = np.empty(len(order), np.int64)
+        self.place[order] = np.cumsum(step)
+
+    def hits(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(i, j, score): rows of a group that pass the length, parity and positional filters, which no matching pair fails.
+
+        In a hit i has no more words than j. Each yield holds a row once at most as i and once at most as j; less is more alike.
+        """
+        i, k = np.arange(len(self.n)), 0
+        while len(i):
+            k += 1
+            i = i[i + k < len(self.n)]
+            i = i[(self.group[i] == self.group[i + k]) & (5 * self.n[i] >= 4 * self.n[i + k])]
+            a, b = i, i + k
+            total = self.n[a] + self.n[b]
+            least = need(total)
+            apart = np.bitwise_count(self.parity[a] ^ self.parity[b]).astype(np.int64)
+            on = np.flatnonzero(apart <= total - 2 * least)
+            a, b, total, least, apart = a[on], b[on], total[on], least[on], apart[on]
+            long = np.flatnonzero(self.n[a] > LONG)
+            if len(long):
+                apart[long] = np.bitwise_count(self.wide[a[long]] ^ self.wide[b[long]]).sum(1)
+            most = np.minimum(self.pos[a], self.pos[b]) + np.minimum(self.n[a] - self.pos[a], self.n[b] - self.pos[b])
+            on = (apart <= total - 2 * least) & (most >= least) & (self.place[a] != self.place[b])
+            if on.any():
+                yield a[on], b[on], (apart[on] << 20) // total[on]
+
+    def rows(self, later: np.ndarray, first: np.ndarray, score: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
+        own = [x.view(np.int64) if x.dtype == np.uint64 else x for x in (self.doc[later], self.line[later], self.parity[later], score)]
+        his = [x.view(np.int64) if x.dtype == np.uint64 else x for x in (self.doc[first], self.line[first], self.parity[first])]
+        names = [c.split()[0] for c in FOUND.split(", ")]
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, *his, others.astype(np.int32))], names)
+
+    def every(self) -> Iterator[pa.RecordBatch]:
+        """All hits whose later row is open."""
+        for a, b, score in self.hits():
+            swap = self.place[a] > self.place[b]
+            later, first = np.where(swap, a, b), np.where(swap, b, a)
+            on = self.open[later]
+            if on.any():
+                yield self.rows(later[on], first[on], score[on], np.zeros(int(on.sum())))
+
+    def best(self) -> Iterator[pa.RecordBatch]:
+        """For each row with hits the most alike earlier one, the earliest of equals, and how many others there are. Nothing grows with the hits."""
+        size = len(self.n)
+        score, first, count = np.full(size, 1 << 40), np.full(size, -1), np.zeros(size, np.int64)
+        for a, b, s in self.hits():
+            for later, early in ((a, b), (b, a)):
+                on = self.place[later] > self.place[early]
+                x, y, v = later[on], early[on], s[on]
+                count[x] += 1
+                less = (v < score[x]) | ((v == score[x]) & (self.place[y] < self.place[first[x]]))
+                score[x[less]], first[x[less]] = v[less], y[less]
+        on = np.flatnonzero(count)
+        if len(on):
+            yield self.rows(on, first[on], score[on], count[on] - 1)
+
+
+def _compared(keys: list[str], best: bool):
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
+            rows = Posted(table, keys)
+            yield from rows.best() if best else rows.every()
+
+        held, n = [], 0
+        for batch in batches:
+            held.append(batch)
+            n += batch.num_rows
+            if n >= _SPAN:
+                table = pa.Table.from_batches(held)
+                last = np.ones(n, bool)
+                for k in keys:
+                    last &= table.column(k).to_numpy() == table.column(k)[n - 1].as_py()
+                cut = n - int(last.sum())
+                if cut:
+                    yield from done(table.slice(0, cut))
+                held, n = table.slice(cut).combine_chunks().to_batches(), n - cut
+        if held:
+            yield from done(pa.Table.from_batches(held))
+
+    return work
+
+
+def candidates(firsts: DataFrame, ranks: np.ndarray, best: bool, words: DataFrame | None = None) -> DataFrame:
+    """Pairs of classes that share a prefix word and pass the filters, the later one first (FOUND): the most alike one a word and later class, or with
+    best=False all pairs whose later class is open. words: (tok) to look at only.
+
+    Rows of a word meet in a task. Words with over CELL rows are dealt: each pair of their parts meets in a task of its own.
     """
-    rows = posted(classes)
-    own = F.struct("id", "n2", "pos", *[f"p{k}" for k in range(PARTS)])
-    firsts = rows.groupBy("tok").agg(F.min(own).alias("f"), F.count("*").alias("_n")).where("_n > 1").select("tok", "f.*")
-    left, right = firsts.alias("l"), rows.alias("r")
-    both = left.join(right, (F.col("l.tok") == F.col("r.tok")) & (F.col("l.id") < F.col("r.id")) & close("l", "r"))
-    return both.select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-
-
-def prefix_join(classes: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b), b the later: classes that share a word of their prefixes and pass the filters.
-
-    Pairs whose later class isn't open (it matched an earlier line already) are left out: they can't remove anything more.
-    """
-    rows = posted(classes).where("id is not null and n2 is not null")
-    # one condition on both sides: a filter on one would make the sides differ, and their shuffle be made twice
-    later = F.when(F.col("r.n2").bitwiseAND(F.lit(1)) == 1, F.col("r.id"))
-    cond = (F.col("l.tok") == F.col("r.tok")) & (F.col("l.id") < later) & close("l", "r")
-    return rows.alias("l").join(rows.alias("r"), cond).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-
-
-def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int | None = None) -> DataFrame:
+    rows = posted(firsts)
+    if words is not None:
+        rows = rows.join(words, "tok", "left_semi")
+    # a word is no more frequent in prefixes than its bucket is in texts, and few buckets are full enough
+    heavy = rows.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    heavy = saved(heavy.select("tok", F.ceil(2 * F.col("n") / CELL).cast("int").alias("parts")), "heavy")
+    crowded = not heavy.isEmpty()
+    light = rows.join(heavy, "tok", "left_anti") if crowded else rows
+    out = light.repartition("tok").sortWithinPartitions("tok").mapInArrow(_compared(["tok"], best), FOUND)
+    if crowded:
+        dealt = rows.join(heavy, "tok").withColumn("part", F.pmod(F.xxhash64("doc", "line", "parity"), F.col("parts")).cast("int"))
+        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other <> part")
+        dealt = dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("parts", "part", "other")
+        keys = ["tok", "p", "q"]
+        out = out.unionByName(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared(keys, best), FOUND))
+    return out
+
+
+OWN = ["doc", "line", "parity"]
+
+
+def alike(x: pa.Array, y: pa.Array) -> np.ndarray:
+    """Whether the word sets of two columns of lines have the similarity, row by row; the words themselves are compared."""
+    n = len(x)
+    line, code, _ = word_sets(pa.concat_arrays([x, y]))
+    size = np.bincount(line, minlength=2 * n)
+    width = int(code.max(initial=0)) + 1
+    pair = np.sort(np.where(line >= n, line - n, line) * width + code)
+    shared = np.bincount(pair[1:][pair[1:] == pair[:-1]] // width, minlength=n) if len(pair) else np.zeros(n, int)
+    total = size[:n] + size[n:]
+    return (shared >= need(total)) & (total > 0)
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in chunks(batch, "text0"):
+            x, y = part.column("text0"), part.column("text")
+            same = alike(x, y)
+            for texts, name in ((x, "parity0"), (y, "parity")):  # repeated ids may have other texts
+                line, code, h = word_sets(texts)
+                same &= parities(line, h[code], len(texts)).view(np.int64) == part.column(name).to_numpy()
+            yield part.select(OWN).filter(pa.array(same))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(doc, line, parity) of the later classes of pairs whose word sets have the similarity. Only lines that take part leave the texts."""
+    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line"))).distinct()
+    wanted = saved(wanted, "wanted")
+    lines = docs.select(key_of(id_col).alias("doc"), F.posexplode(F.split(F.lower(text_of(text_col)), "\n")).alias("line", "text"))
+    lines = lines.where(flagged(flags_of(wanted), F.col("doc"), F.col("line"))).join(wanted, ["doc", "line"], "left_semi").distinct()
+    lines = saved(lines, "wantedlines")
+    early = lines.withColumnsRenamed({"doc": "doc0", "line": "line0", "text": "text0"})
+    both = pairs.join(lines, ["doc", "line"]).join(early, ["doc0", "line0"])
+    return both.select(*OWN, "parity0", "text", "text0").mapInArrow(_verify, "doc long, line int, parity long").distinct()
+
+
+def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int | None = None, least: int = LEAST) -> DataFrame:
     """(doc, removed array<int>): numbers, from 0, of the lines of each document that match a line before them.
 
     Before means in a document with a lower id or higher up in the same one. A line is removed if any earlier line matches it, itself removed or
-    not, so the result doesn't depend on the order of work. Lines with fewer than LEAST different words match equal lines if they take `whole` bytes
-    at least, blank ones never; without `whole` they never match, as OP7_SQL has it. Null and empty texts have no line; rows that repeat an id are judged alike, each by its own text. A null id counts as the lowest.
+    not, so the result doesn't depend on the order of work. Lines with fewer than `least` different words (1 at least) match equal lines if they take `whole` bytes
+    at least, blank ones never; without `whole` they never match, as OP7_SQL has it. Null and empty texts have no line; rows that repeat an id are judged
+    alike, each by its own text. Ids are cast to long; a null id counts as the lowest. An empty table gives an empty result.
+
+    Equal sets are one class. Each class is held against the most alike earlier class that shares a prefix word; only where that fails, and there
+    are others, against all of them. So a crowd of near copies costs a pair for each of its lines, and the result is that of all pairs.
     """
     ranks = rarity(docs.select(text_col), text_col)
     docs = docs.select(id_col, text_col)
-    # the filter is on the written table; before it the optimiser would make the word sets twice, once to filter by
-    every = saved(occurrences(docs, ranks, id_col, text_col), "lines")
-    rows = every.where(F.col("n") >= LEAST if whole is None else (F.col("n") >= LEAST) | ((F.col("n") > 0) & (F.col("size") >= whole)))
-    found = classes_of(rows).select("h", "times", "first.*")
-    found = found.repartitionByRange("doc", "line").sortWithinPartitions("doc", "line", "h")
-    # ids ascend with the place, so that of a pair the greater is the later one
-    classes = saved(found.withColumn("id", F.monotonically_increasing_id()), "lineclasses")
-    places = saved(rows.select("doc", "line", "h"), "places")
-    dropped(every)
-    near = saved(first_round(classes.withColumn("open", F.lit(True))), "near")
-    settled = saved(verified(near, classes, docs, ranks, id_col, text_col).select(F.col("b").alias("id")).distinct(), "settled")
-    opened = classes.join(settled.withColumn("was", F.lit(1)), "id", "left").withColumn("open", F.col("was").isNull())
-    opened = saved(opened.select("id", "n", "prefix", "parity", "open"), "opened")
-    pairs = saved(prefix_join(opened), "pairs")
-    dropped(opened)
-    more = verified(pairs, classes, docs, ranks, id_col, text_col).select(F.col("b").alias("id"))
-    gone = saved(settled.unionByName(more).distinct().withColumn("gone", F.lit(True)), "gone")
-    fate = classes.select("id", "h", "doc", "line", "times").join(gone, "id", "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    every = saved(occurrences(docs, ranks, id_col, text_col, least, whole), "lines")
+    classes = every.groupBy("h1", "h2").agg(F.min(place_of()).alias("place"), F.count("*").alias("times"), F.min("parity").alias("parity"))
+    classes = saved(classes, "lineclasses")
+    opening = classes.select("h1", "h2", "place")
+    firsts = every.where(F.size("prefix") > 0).withColumn("place", place_of()).join(opening, ["h1", "h2", "place"])
+    firsts = saved(firsts.select("doc", "line", "n", "parity", "wide", "prefix").dropDuplicates(OWN).withColumn("open", F.lit(True)), "firsts")
+    tops = candidates(firsts, ranks, best=True)
+    top = F.min(F.struct("score", "doc0", "line0", "parity0"))
+    tops = tops.groupBy(*OWN).agg(top.alias("t"), F.max("others").alias("others"), F.countDistinct("doc0", "line0", "parity0").alias("kinds"))
+    tops = saved(tops.select(*OWN, "t.*", ((F.col("others") > 0) | (F.col("kinds") > 1)).alias("more")), "tops")
+    gone = saved(verified(tops, docs, id_col, text_col), "gone")
+    left = saved(tops.where("more").select(*OWN).join(gone, OWN, "left_anti"), "left")
+    if not left.isEmpty():
+        opened = firsts.drop("open").join(left.withColumn("open", F.lit(True)), OWN, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        words = opened.where("open").select(F.explode("prefix").alias("tok")).distinct()
+        pairs = candidates(opened, ranks, best=False, words=words).select(*OWN, "doc0", "line0", "parity0").distinct()
+        tried = tops.select(*OWN, "doc0", "line0", "parity0")
+        pairs = saved(pairs.join(tried, tried.columns, "left_anti"), "pairs")
+        gone = saved(gone.unionByName(verified(pairs, docs, id_col, text_col)), "goneall")
+    dropped(firsts)
+    gone = gone.select(place_of().alias("place"), "parity", F.lit(True).alias("gone"))
+    fate = classes.join(gone, ["place", "parity"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     # only classes that lose a line matter: those that occur again and those matched by an earlier one
-    fate = saved(fate.where("gone or times > 1"), "fate")
-    again = fate.select("h", F.struct("doc", "line").alias("first"), "times", "gone")
-    total = places.count()
-    judged = with_unique(places, again, "h", "times", total)
-    lost = judged.where(F.col("gone") | (F.col("first") < F.struct("doc", "line")))
+    fate = saved(fate.where("gone or times > 1").select(F.struct("h1", "h2").alias("h"), "place", "times", "gone"), "fate")
+    places = every.select("doc", "line", F.struct("h1", "h2").alias("h"))
+    total = classes.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    judged = with_unique(places, fate, "h", "times", total)
+    lost = judged.where(F.col("gone") | (F.col("place") < place_of()))
     return lost.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
-def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int | None = WHOLE) -> DataFrame:
+def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int | None = WHOLE, least: int = LEAST) -> DataFrame:
     """docs with the matching lines taken out of the text; all columns and rows stay. A text that loses no line is as it was.
 
-    Lines of few words go too, from `whole` bytes on, where they repeat exactly.
+    Lines of fewer than `least` words go too, from `whole` bytes on, where they repeat exactly. Nulls, repeats and empty tables: see removed_lines().
 
     Texts of documents that lose nothing don't move.
     """
     since = written()
-    lost = kept(removed_lines(docs, id_col, text_col, whole), "lost", since)
-    key = F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
-    hit = F.get(flags_of(lost.select("doc", F.lit(0).alias("line"))), flag(key, F.lit(0)))
-    keyed = docs.withColumns({"_doc": key, "_hit": hit})
+    lost = kept(removed_lines(docs, id_col, text_col, whole, least), "lost", since)
+    key = key_of(id_col)
+    hit = flagged(flags_of(lost.select("doc", F.lit(0).alias("line"))), key, F.lit(0))
+    own, gone, some_gone = _fresh(docs.columns, "key"), _fresh(docs.columns, "removed"), _fresh(docs.columns, "hit")
+    keyed = docs.withColumns({own: key, some_gone: hit})
     lines = F.split(F.col(text_col), "\n")
-    staying = F.filter(lines, lambda x, k: ~F.array_contains(F.col("_removed"), k))
-    text = F.when(F.col("_removed").isNull(), F.col(text_col)).otherwise(F.array_join(staying, "\n"))
-    some = keyed.where("_hit").join(lost.select(F.col("doc").alias("_doc"), F.col("removed").alias("_removed")), "_doc", "left").withColumn(text_col, text)
-    return keyed.where("not _hit").select(*docs.columns).unionByName(some.select(*docs.columns))
+    staying = F.filter(lines, lambda x, k: ~F.array_contains(F.col(gone), k))
+    text = F.when(F.col(gone).isNull(), F.col(text_col)).otherwise(F.array_join(staying, "\n"))
+    some = keyed.where(some_gone).join(lost.select(F.col("doc").alias(own), F.col("removed").alias(gone)), own, "left").withColumn(text_col, text)
+    return keyed.where(~F.col(some_gone)).select(*docs.columns).unionByName(some.select(*docs.columns))
+
+
+def _fresh(columns: list[str], name: str) -> str:
+    """A name that no column has."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = f"_{name}"
+    return name
 
 
 def op7_line_dedup(spark, sf_dir) -> DataFrame:
