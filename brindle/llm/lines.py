@@ -29,7 +29,7 @@ CELL = 32_768
 #: Rows of whole groups that a task compares together.
 _SPAN = 1 << 18
 
-SETS = "doc long, line int, h1 long, h2 long, n int, parity long, wide array<long>, prefix array<long>"
+SETS = "doc long, line int, h1 long, h2 long, head boolean, n int, parity long, wide array<long>, prefix array<long>"
 FOUND = "doc long, line int, parity long, score long, doc0 long, line0 int, parity0 long, others int"
 
 
@@ -42,8 +42,8 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(48)).astype(np.int64)
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Rank of each of 65,536 hash buckets by how many words of the whole corpus fall in it, rarest first.
+def rarity(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """Rank of each of 65,536 hash buckets by how many words of the whole corpus fall in it, rarest first, and the first rank of over CELL words.
 
     Its size is fixed, so it goes to every task, and with it a word's hash alone gives its place in the order: no join of words with counts.
     """
@@ -52,19 +52,19 @@ def rarity(docs: DataFrame, text_col: str = "text") -> np.ndarray:
         total = np.zeros(RANKS, np.int64)
         for batch in batches:
             for part in chunks(batch, "text"):
-                _, code, words = coded(part.column("text"))
+                _, code, words = coded(pc.utf8_lower(part.column("text")))
                 total += np.bincount(_bucket(hashes(words)), np.bincount(code, minlength=len(words)), RANKS).astype(np.int64)
         at = np.flatnonzero(total)
         yield pa.record_batch({"b": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
 
-    counted = docs.select(F.lower(text_of(text_col)).alias("text")).mapInArrow(count, "b int, n long")
+    counted = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "b int, n long")
     rows = counted.groupBy("b").agg(F.sum("n").alias("n")).collect()  # a row a bucket at most
     counts = np.zeros(RANKS, np.int64)
     for r in rows:
         counts[r["b"]] = r["n"]
     ranks = np.empty(RANKS, np.int64)
     ranks[np.lexsort((np.arange(RANKS), counts))] = np.arange(RANKS)
-    return ranks
+    return ranks, int((counts <= CELL).sum())
 
 
 def _nested(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
@@ -96,13 +96,14 @@ def parities(line: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
 
 def _sets(ranks: np.ndarray, least: int, whole: int | None):
     def of(doc: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        split = pc.split_pattern(texts, "\n")
+        split = pc.split_pattern(pc.utf8_lower(texts), "\n")
         edges = split.offsets.to_numpy()
         lines = split.flatten()
         docs = np.repeat(doc, np.diff(edges))
         number = np.arange(len(lines)) - np.repeat(edges[:-1] - edges[0], np.diff(edges))
         line, code, h = word_sets(lines)
         n = np.bincount(line, minlength=len(lines))
+        row = np.repeat(np.arange(len(doc)), np.diff(edges))
         if whole is not None:
             few = np.flatnonzero((n > 0) & (n < least))
             trimmed = pc.ascii_trim_whitespace(lines.take(pa.array(few)))
@@ -110,7 +111,7 @@ def _sets(ranks: np.ndarray, least: int, whole: int | None):
             few, g = few[full], hashes(trimmed.filter(pa.array(full)))
             zero = np.zeros(len(few), np.int64)
             none = _nested(zero[:0], zero)
-            yield _rows(docs[few], number[few], _mixed(g ^ np.uint64(2)), _mixed(_mixed(g + np.uint64(3))), n[few], zero.view(np.uint64), none, none)
+            yield _rows(row[few], docs[few], number[few], _mixed(g ^ np.uint64(2)), _mixed(_mixed(g + np.uint64(3))), n[few], zero.view(np.uint64), none, none)
         keep = (n >= least)[line]
         line, code = line[keep], code[keep]
         at = np.flatnonzero(n >= least)
@@ -122,20 +123,20 @@ def _sets(ranks: np.ndarray, least: int, whole: int | None):
         order = np.argsort(token, kind="stable")
         place = np.empty(len(h), np.int64)
         place[order] = np.arange(len(h))
-        row = np.repeat(np.arange(len(at)), n)
-        code = order[np.sort(row * len(h) + place[code]) - row * len(h)]
+        own_row = np.repeat(np.arange(len(at)), n)
+        code = order[np.sort(own_row * len(h) + place[code]) - own_row * len(h)]
         starts = np.cumsum(n) - n
         own = h[code]
         twice = [np.add.reduceat(_mixed(own + np.uint64(k)), starts) for k in (1, 2)]
         short = n - (4 * n + 4) // 5 + 1
         head = np.arange(len(code)) - np.repeat(starts, n) < np.repeat(short, n)
         long = np.flatnonzero(n > LONG)
-        in_long = np.isin(row, long)
-        ranges = np.searchsorted(long, row[in_long]) * PARTS + ((own[in_long] >> np.uint64(7)) & np.uint64(PARTS - 1)).astype(np.int64)
+        in_long = np.repeat(n > LONG, n)
+        ranges = np.searchsorted(long, own_row[in_long]) * PARTS + ((own[in_long] >> np.uint64(7)) & np.uint64(PARTS - 1)).astype(np.int64)
         by = np.argsort(ranges, kind="stable")
         wide = parities(ranges[by], own[in_long][by], len(long) * PARTS)
         yield _rows(
-            docs[at], number[at], _mixed(twice[0] + n.astype(np.uint64)), _mixed(twice[1]), n, parities(row, own, len(at)),
+            row[at], docs[at], number[at], _mixed(twice[0] + n.astype(np.uint64)), _mixed(twice[1]), n, parities(own_row, own, len(at)),
             _nested(wide.view(np.int64), np.where(n > LONG, PARTS, 0)), _nested(token[code][head], short),
         )
 
@@ -147,9 +148,17 @@ def _sets(ranks: np.ndarray, least: int, whole: int | None):
     return work
 
 
-def _rows(doc, line, h1, h2, n, parity, wide, prefix) -> pa.RecordBatch:
-    columns = [doc, line.astype(np.int32), h1.view(np.int64), h2.view(np.int64), n.astype(np.int32), parity.view(np.int64)]
-    names = ["doc", "line", "h1", "h2", "n", "parity", "wide", "prefix"]
+def _rows(row, doc, line, h1, h2, n, parity, wide, prefix) -> pa.RecordBatch:
+    # the first line of its kind in its own text; lines ascend
+    head = np.zeros(len(row), bool)
+    order = np.lexsort((h2, h1, row))
+    new = np.ones(len(row), bool)
+    for v in (row, h1, h2):
+        new[1:] &= v[order][1:] == v[order][:-1]
+    new[:1] = False
+    head[order] = ~new
+    columns = [doc, line.astype(np.int32), h1.view(np.int64), h2.view(np.int64), head, n.astype(np.int32), parity.view(np.int64)]
+    names = ["doc", "line", "h1", "h2", "head", "n", "parity", "wide", "prefix"]
     return pa.RecordBatch.from_arrays([*map(pa.array, columns), wide, prefix], names)
 
 
@@ -165,12 +174,7 @@ def occurrences(docs: DataFrame, ranks: np.ndarray, id_col: str, text_col: str,
     prefix: its rarest words, of which two matching lines share one. parity: 64 bits, of which a word turns over one, so sets differ in as many words
     at least as bits; wide: the same for each of PARTS hash ranges, where there are over LONG words.
     """
-    return docs.select(key_of(id_col).alias("doc"), F.lower(text_of(text_col)).alias("text")).mapInArrow(_sets(ranks, least, whole), SETS)
-
-
-def place_of(doc: str = "doc", line: str = "line") -> Column:
-    """One number that sorts as (doc, line), as aggregates keep it without boxing."""
-    return (F.col(doc).cast("decimal(20,0)") * F.lit(1 << 31).cast("decimal(11,0)") + F.col(line).cast("decimal(10,0)")).cast("decimal(38,0)")
+    return docs.select(key_of(id_col).alias("doc"), text_of(text_col).alias("text")).mapInArrow(_sets(ranks, least, whole), SETS)
 
 
 def flags_of(keys: DataFrame) -> Column:
@@ -193,9 +197,9 @@ def flagged(flags: Column, doc: Column, line: Column) -> Column:
 
 
 def posted(firsts: DataFrame) -> DataFrame:
-    """A row for each prefix word of each class: tok, pos, doc, line, n, parity, wide (null for short lines), open."""
-    wide = F.when(F.col("n") > LONG, F.col("wide"))
-    return firsts.select("doc", "line", "n", "parity", wide.alias("wide"), "open", F.posexplode("prefix").alias("pos", "tok"))
+    """A row for each prefix word of each class: tok, doc, line, at (number of words and place among them), parity, wide (null for short lines) and, where firsts has it, open."""
+    rows = firsts.select(*[c for c in ("doc", "line", "n", "parity", "open") if c in firsts.columns], F.when(F.col("n") > LONG, F.col("wide")).alias("wide"), F.posexplode("prefix").alias("pos", "tok"))
+    return rows.withColumn("at", F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).drop("n", "pos")
 
 
 class Posted:
@@ -209,12 +213,13 @@ class Posted:
             new[1:] |= v[1:] != v[:-1]
         group = np.cumsum(new) - 1
         several = np.flatnonzero(np.bincount(group)[group] > 1)
-        n = table.column("n").to_numpy()[several]
+        n = table.column("at").to_numpy()[several] >> 32
         several = several[np.lexsort((n, group[several]))]
         table = table.take(pa.array(several))
         self.group = group[several]
-        self.doc, self.line, self.n, self.pos, self.open = (table.column(c).to_numpy() for c in ("doc", "line", "n", "pos", "open"))
-        self.n, self.pos = self.n.astype(np.int64), self.pos.astype(np.int64)
+        self.doc, self.line, at = (table.column(c).to_numpy() for c in ("doc", "line", "at"))
+        self.n, self.pos = at >> 32, at & 0xFFFFFFFF
+        self.open = table.column("open").to_numpy() if "open" in table.column_names else None
         self.parity = table.column("parity").to_numpy().view(np.uint64)
         self.wide = np.zeros((len(several), PARTS), np.uint64)
         long = np.flatnonzero(self.n > LONG)
@@ -307,7 +312,7 @@ def _compared(keys: list[str], best: bool):
     return work
 
 
-def candidates(firsts: DataFrame, ranks: np.ndarray, best: bool, words: DataFrame | None = None) -> DataFrame:
+def candidates(firsts: DataFrame, full: int, best: bool, words: DataFrame | None = None) -> DataFrame:
     """Pairs of classes that share a prefix word and pass the filters, the later one first (FOUND): the most alike one a word and later class, or with
     best=False all pairs whose later class is open. words: (tok) to look at only.
 
@@ -317,7 +322,7 @@ def candidates(firsts: DataFrame, ranks: np.ndarray, best: bool, words: DataFram
     if words is not None:
         rows = rows.join(words, "tok", "left_semi")
     # a word is no more frequent in prefixes than its bucket is in texts, and few buckets are full enough
-    heavy = rows.groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+    heavy = rows.where(F.col("tok") >= (full - RANKS // 2) << 48).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
     heavy = saved(heavy.select("tok", F.ceil(2 * F.col("n") / CELL).cast("int").alias("parts")), "heavy")
     crowded = not heavy.isEmpty()
     light = rows.join(heavy, "tok", "left_anti") if crowded else rows
@@ -349,7 +354,7 @@ def alike(x: pa.Array, y: pa.Array) -> np.ndarray:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in chunks(batch, "text0"):
-            x, y = part.column("text0"), part.column("text")
+            x, y = pc.utf8_lower(part.column("text0")), pc.utf8_lower(part.column("text"))
             same = alike(x, y)
             for texts, name in ((x, "parity0"), (y, "parity")):  # repeated ids may have other texts
                 line, code, h = word_sets(texts)
@@ -361,7 +366,7 @@ def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> D
     """(doc, line, parity) of the later classes of pairs whose word sets have the similarity. Only lines that take part leave the texts."""
     wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line"))).distinct()
     wanted = saved(wanted, "wanted")
-    lines = docs.select(key_of(id_col).alias("doc"), F.posexplode(F.split(F.lower(text_of(text_col)), "\n")).alias("line", "text"))
+    lines = docs.select(key_of(id_col).alias("doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("line", "text"))
     lines = lines.where(flagged(flags_of(wanted), F.col("doc"), F.col("line"))).join(wanted, ["doc", "line"], "left_semi").distinct()
     lines = saved(lines, "wantedlines")
     early = lines.withColumnsRenamed({"doc": "doc0", "line": "line0", "text": "text0"})
@@ -380,36 +385,38 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Equal sets are one class. Each class is held against the most alike earlier class that shares a prefix word; only where that fails, and there
     are others, against all of them. So a crowd of near copies costs a pair for each of its lines, and the result is that of all pairs.
     """
-    ranks = rarity(docs.select(text_col), text_col)
+    ranks, full = rarity(docs.select(text_col), text_col)
     docs = docs.select(id_col, text_col)
     every = saved(occurrences(docs, ranks, id_col, text_col, least, whole), "lines")
-    classes = every.groupBy("h1", "h2").agg(F.min(place_of()).alias("place"), F.count("*").alias("times"), F.min("parity").alias("parity"))
+    classes = every.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("times"))
     classes = saved(classes, "lineclasses")
-    opening = classes.select("h1", "h2", "place")
-    firsts = every.where(F.size("prefix") > 0).withColumn("place", place_of()).join(opening, ["h1", "h2", "place"])
-    firsts = saved(firsts.select("doc", "line", "n", "parity", "wide", "prefix").dropDuplicates(OWN).withColumn("open", F.lit(True)), "firsts")
-    tops = candidates(firsts, ranks, best=True)
+    firsts = every.where(F.col("head") & (F.size("prefix") > 0)).join(classes.select("h1", "h2", "doc"), ["h1", "h2", "doc"])
+    if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
+        firsts = firsts.dropDuplicates(OWN)
+    firsts = saved(firsts.select("h1", "h2", *OWN, "n", "wide", "prefix"), "firsts")
+    places = saved(every.select("doc", "line", "h1", "h2", "head"), "lineplaces")
+    dropped(every)
+    tops = candidates(firsts, full, best=True)
     top = F.min(F.struct("score", "doc0", "line0", "parity0"))
     tops = tops.groupBy(*OWN).agg(top.alias("t"), F.max("others").alias("others"), F.countDistinct("doc0", "line0", "parity0").alias("kinds"))
     tops = saved(tops.select(*OWN, "t.*", ((F.col("others") > 0) | (F.col("kinds") > 1)).alias("more")), "tops")
     gone = saved(verified(tops, docs, id_col, text_col), "gone")
     left = saved(tops.where("more").select(*OWN).join(gone, OWN, "left_anti"), "left")
     if not left.isEmpty():
-        opened = firsts.drop("open").join(left.withColumn("open", F.lit(True)), OWN, "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        words = opened.where("open").select(F.explode("prefix").alias("tok")).distinct()
-        pairs = candidates(opened, ranks, best=False, words=words).select(*OWN, "doc0", "line0", "parity0").distinct()
+        opened = firsts.join(left.withColumn("open", F.lit(True)), OWN, "left").withColumn("open", F.coalesce("open", F.lit(False)))
+        words = saved(firsts.join(left, OWN).select(F.explode("prefix").alias("tok")).distinct(), "leftwords")
+        pairs = candidates(opened, full, best=False, words=words).select(*OWN, "doc0", "line0", "parity0").distinct()
         tried = tops.select(*OWN, "doc0", "line0", "parity0")
         pairs = saved(pairs.join(tried, tried.columns, "left_anti"), "pairs")
         gone = saved(gone.unionByName(verified(pairs, docs, id_col, text_col)), "goneall")
+    gone = saved(firsts.select("h1", "h2", *OWN).join(gone, OWN).select("h1", "h2", F.lit(True).alias("gone")).distinct(), "goneclasses")
     dropped(firsts)
-    gone = gone.select(place_of().alias("place"), "parity", F.lit(True).alias("gone"))
-    fate = classes.join(gone, ["place", "parity"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
+    fate = classes.join(gone, ["h1", "h2"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     # only classes that lose a line matter: those that occur again and those matched by an earlier one
-    fate = saved(fate.where("gone or times > 1").select(F.struct("h1", "h2").alias("h"), "place", "times", "gone"), "fate")
-    places = every.select("doc", "line", F.struct("h1", "h2").alias("h"))
+    fate = saved(fate.where("gone or times > 1").select(F.struct("h1", "h2").alias("h"), F.col("doc").alias("first"), "times", "gone"), "fate")
     total = classes.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    judged = with_unique(places, fate, "h", "times", total)
-    lost = judged.where(F.col("gone") | (F.col("place") < place_of()))
+    judged = with_unique(places.select("doc", "line", "head", F.struct("h1", "h2").alias("h")), fate, "h", "times", total)
+    lost = judged.where(F.col("gone") | (F.col("first") < F.col("doc")) | ~F.col("head") & F.col("first").isNotNull())
     return lost.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on together; a longer text goes alone.
-TOGETHER = 16 << 20
+TOGETHER = 4 << 20
 
 
 def chunks(batch: pa.RecordBatch, column: str, most: int = TOGETHER) -> Iterator[pa.RecordBatch]:
