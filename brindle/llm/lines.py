@@ -321,10 +321,11 @@ def candidates(firsts: DataFrame, full: int, best: bool, words: DataFrame | None
     rows = posted(firsts)
     if words is not None:
         rows = rows.join(words, "tok", "left_semi")
-    # a word is no more frequent in prefixes than its bucket is in texts, and few buckets are full enough
-    heavy = rows.where(F.col("tok") >= (full - RANKS // 2) << 48).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-    heavy = saved(heavy.select("tok", F.ceil(2 * F.col("n") / CELL).cast("int").alias("parts")), "heavy")
-    crowded = not heavy.isEmpty()
+    crowded = full < RANKS  # a word is no more frequent in prefixes than its bucket is in texts
+    if crowded:
+        heavy = rows.where(F.shiftright("tok", 48) >= full - RANKS // 2).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
+        heavy = saved(heavy.select("tok", F.ceil(2 * F.col("n") / CELL).cast("int").alias("parts")), "heavy")
+        crowded = not heavy.isEmpty()
     light = rows.join(heavy, "tok", "left_anti") if crowded else rows
     out = light.repartition("tok").sortWithinPartitions("tok").mapInArrow(_compared(["tok"], best), FOUND)
     if crowded:
