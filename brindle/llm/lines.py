@@ -2,16 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, dropped, kept, saved, text_of, with_unique, written
-from brindle.llm.words import _mixed, chunks, coded, hashes
+from brindle.llm.common import GAP, documents, dropped, kept, saved, text_of, with_unique, written
 
 #: Two lines match if their word sets have a Jaccard similarity of 4/5 at least. Shorter lines than LEAST different words recur by chance and stay.
 LEAST = 5
@@ -22,159 +16,96 @@ PARTS = 4
 #: Up to so many different words 64 bits of parity tell lines apart well enough.
 LONG = 72
 RANKS, FLAGS = 1 << 16, 1 << 24
-LOW48 = np.uint64((1 << 48) - 1)
+LOW48 = (1 << 48) - 1
 NO_ID = -(1 << 63)
-#: Posted rows of one word that are compared within one task; those of more frequent prefix words go in pairs of parts.
-CELL = 32_768
-#: Rows of whole groups that a task compares together.
-_SPAN = 1 << 18
-
-SETS = "doc long, line int, h1 long, h2 long, head boolean, n int, parity long, wide array<long>, prefix array<long>"
-FOUND = "doc long, line int, parity long, score long, doc0 long, line0 int, parity0 long, others int"
+#: What names a class: the place of its first line, and the parity for ids that repeat with other texts.
+OWN = ["doc", "line", "parity"]
 
 
-def need(total):
+def need(total: Column) -> Column:
     """Words that two lines with so many words together must share."""
-    return (4 * total + 8) // 9
+    return F.ceil(4 * total / 9)
 
 
-def _bucket(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(48)).astype(np.int64)
+def bucket(h: Column) -> Column:
+    return F.shiftrightunsigned(h, 48).cast("int")
 
 
-def rarity(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray, int]:
-    """Rank of each of 65,536 hash buckets by how many words of the whole corpus fall in it, rarest first, and the first rank of over CELL words.
+def rarity(docs: DataFrame, text_col: str = "text") -> Column:
+    """Rank of each of 65,536 hash buckets by how many words of the whole corpus fall in it, rarest first, as one constant array.
 
-    Its size is fixed, so it goes to every task, and with it a word's hash alone gives its place in the order: no join of words with counts.
+    Its size is fixed, so it is part of the plan, and with it a word's hash alone gives its place in the order: no join of words with counts.
     """
+    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), GAP)).alias("w"))
+    rows = words.groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n")).collect()  # a row a bucket at most
+    counts = {r["b"]: r["n"] for r in rows}
+    ranks = [0] * RANKS
+    for rank, b in enumerate(sorted(range(RANKS), key=lambda b: (counts.get(b, 0), b))):
+        ranks[b] = rank
+    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+
+
+def tokens(line: Column, ranks: Column) -> Column:
+    """A line's different words as sorted longs: the bucket's rank before the rest of the 64-bit hash, so that they
+    sort by rarity and equal longs are equal hashes."""
+
+    def key(w: Column) -> Column:
+        h = F.xxhash64(w)
+        return F.shiftleft(F.get(ranks, bucket(h)).cast("bigint") - F.lit(RANKS // 2), 48).bitwiseOR(h.bitwiseAND(F.lit(LOW48)))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(RANKS, np.int64)
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                _, code, words = coded(pc.utf8_lower(part.column("text")))
-                total += np.bincount(_bucket(hashes(words)), np.bincount(code, minlength=len(words)), RANKS).astype(np.int64)
-        at = np.flatnonzero(total)
-        yield pa.record_batch({"b": pa.array(at.astype(np.int32)), "n": pa.array(total[at])})
-
-    counted = docs.select(text_of(text_col).alias("text")).mapInArrow(count, "b int, n long")
-    rows = counted.groupBy("b").agg(F.sum("n").alias("n")).collect()  # a row a bucket at most
-    counts = np.zeros(RANKS, np.int64)
-    for r in rows:
-        counts[r["b"]] = r["n"]
-    ranks = np.empty(RANKS, np.int64)
-    ranks[np.lexsort((np.arange(RANKS), counts))] = np.arange(RANKS)
-    return ranks, int((counts <= CELL).sum())
-
-
-def _nested(values: np.ndarray, sizes: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32), pa.array(values))
-
-
-def word_sets(lines: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(line, word, hash of each word by code): the different words of each line, lines ascending; words are codes that sort like `hash`'s order."""
-    offsets, code, words = coded(lines)
-    h = hashes(words)
-    line = np.repeat(np.arange(len(lines)), np.diff(offsets))
-    key = line * max(1, len(h)) + code
-    blank = words.index("").as_py()
-    if blank >= 0:
-        key = key[code != blank]
-    key = np.unique(key)
-    line = key // max(1, len(h))
-    return line, key - line * max(1, len(h)), h
-
-
-def parities(line: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """64 bits for each of n lines, of which each of its words turns over one; lines ascend."""
-    out = np.zeros(n, np.uint64)
-    if len(line):
-        starts = np.flatnonzero(np.diff(line, prepend=-1))
-        out[line[starts]] = np.bitwise_xor.reduceat(np.uint64(1) << (h & np.uint64(63)), starts)
-    return out
-
-
-def _sets(ranks: np.ndarray, least: int, whole: int | None):
-    def of(doc: np.ndarray, texts: pa.Array) -> Iterator[pa.RecordBatch]:
-        split = pc.split_pattern(pc.utf8_lower(texts), "\n")
-        edges = split.offsets.to_numpy()
-        lines = split.flatten()
-        docs = np.repeat(doc, np.diff(edges))
-        number = np.arange(len(lines)) - np.repeat(edges[:-1] - edges[0], np.diff(edges))
-        line, code, h = word_sets(lines)
-        n = np.bincount(line, minlength=len(lines))
-        row = np.repeat(np.arange(len(doc)), np.diff(edges))
-        if whole is not None:
-            few = np.flatnonzero((n > 0) & (n < least))
-            trimmed = pc.ascii_trim_whitespace(lines.take(pa.array(few)))
-            full = pc.binary_length(trimmed).to_numpy(zero_copy_only=False) >= whole
-            few, g = few[full], hashes(trimmed.filter(pa.array(full)))
-            zero = np.zeros(len(few), np.int64)
-            none = _nested(zero[:0], zero)
-            yield _rows(row[few], docs[few], number[few], _mixed(g ^ np.uint64(2)), _mixed(_mixed(g + np.uint64(3))), n[few], zero.view(np.uint64), none, none)
-        keep = (n >= least)[line]
-        line, code = line[keep], code[keep]
-        at = np.flatnonzero(n >= least)
-        if not len(at):
-            return
-        n = n[at]
-        # the bucket's rank before the rest of the hash: words sort by rarity and equal longs are equal hashes
-        token = ((ranks[_bucket(h)] - RANKS // 2) << 48) | (h & LOW48).astype(np.int64)
-        order = np.argsort(token, kind="stable")
-        place = np.empty(len(h), np.int64)
-        place[order] = np.arange(len(h))
-        own_row = np.repeat(np.arange(len(at)), n)
-        code = order[np.sort(own_row * len(h) + place[code]) - own_row * len(h)]
-        starts = np.cumsum(n) - n
-        own = h[code]
-        twice = [np.add.reduceat(_mixed(own + np.uint64(k)), starts) for k in (1, 2)]
-        short = n - (4 * n + 4) // 5 + 1
-        head = np.arange(len(code)) - np.repeat(starts, n) < np.repeat(short, n)
-        long = np.flatnonzero(n > LONG)
-        in_long = np.repeat(n > LONG, n)
-        ranges = np.searchsorted(long, own_row[in_long]) * PARTS + ((own[in_long] >> np.uint64(7)) & np.uint64(PARTS - 1)).astype(np.int64)
-        by = np.argsort(ranges, kind="stable")
-        wide = parities(ranges[by], own[in_long][by], len(long) * PARTS)
-        yield _rows(
-            row[at], docs[at], number[at], _mixed(twice[0] + n.astype(np.uint64)), _mixed(twice[1]), n, parities(own_row, own, len(at)),
-            _nested(wide.view(np.int64), np.where(n > LONG, PARTS, 0)), _nested(token[code][head], short),
-        )
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in chunks(batch, "text"):
-                yield from of(part.column("doc").to_numpy(), part.column("text"))
-
-    return work
-
-
-def _rows(row, doc, line, h1, h2, n, parity, wide, prefix) -> pa.RecordBatch:
-    # the first line of its kind in its own text; lines ascend
-    head = np.zeros(len(row), bool)
-    order = np.lexsort((h2, h1, row))
-    new = np.ones(len(row), bool)
-    for v in (row, h1, h2):
-        new[1:] &= v[order][1:] == v[order][:-1]
-    new[:1] = False
-    head[order] = ~new
-    columns = [doc, line.astype(np.int32), h1.view(np.int64), h2.view(np.int64), head, n.astype(np.int32), parity.view(np.int64)]
-    names = ["doc", "line", "h1", "h2", "head", "n", "parity", "wide", "prefix"]
-    return pa.RecordBatch.from_arrays([*map(pa.array, columns), wide, prefix], names)
+    # sort_array compares in the engine; array_sort would call a comparator for each pair
+    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, GAP), ""), key)))
 
 
 def key_of(id_col: str) -> Column:
     return F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID))
 
 
-def occurrences(docs: DataFrame, ranks: np.ndarray, id_col: str, text_col: str, least: int = LEAST, whole: int | None = None) -> DataFrame:
-    """A row for each line that takes part: doc, line, the 128-bit hash of its word set (h1, h2), and what joins need of it.
+def line_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc, line, words): all lines in lower case; a null id counts as the lowest."""
+    return docs.select(key_of(id_col).alias("doc"), F.posexplode(F.split(F.lower(text_of(text_col)), "\n")).alias("line", "words"))
+
+
+def _bit(t: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), t.bitwiseAND(F.lit(63)).cast("int"))
+
+
+def _turned(words: Column) -> Column:
+    return F.aggregate(words, F.lit(0).cast("bigint"), lambda a, t: a.bitwiseXOR(_bit(t)))
+
+
+def _range(k: int) -> Column:
+    return F.filter("tok", lambda t: t.bitwiseAND(F.lit((PARTS - 1) << 7)) == F.lit(k << 7))
 
-    A line of fewer than `least` words has the hash of its whole text instead and no prefix.
 
-    prefix: its rarest words, of which two matching lines share one. parity: 64 bits, of which a word turns over one, so sets differ in as many words
-    at least as bits; wide: the same for each of PARTS hash ranges, where there are over LONG words.
+def occurrences(docs: DataFrame, ranks: Column, id_col: str, text_col: str, least: int = LEAST, whole: int | None = None) -> DataFrame:
+    """A row for each line that may take part: doc, line, its words (tok), their number n, and, for a line of fewer than `least` words, its trimmed text (whole) and bytes (size)."""
+    rows = line_rows(docs, id_col, text_col)
+    # `least` different words take as many characters and the gaps between
+    rows = rows.where(F.length("words") >= 2 * least - 1)
+    text = F.btrim("words", F.lit(" \t\n\x0b\f\r")) if whole is not None else F.lit(None).cast("string")
+    rows = rows.select("doc", "line", text.alias("whole"), tokens(F.col("words"), ranks).alias("tok"))
+    return rows.select("doc", "line", "tok", F.size("tok").alias("n"), F.when(F.size("tok") < least, F.col("whole")).alias("whole"))
+
+
+def described(rows: DataFrame, least: int) -> DataFrame:
+    """occurrences() with the 128-bit hash of each line's word set (h1, h2), or of its text where it has few words, and what joins need of it.
+
+    prefix: its rarest words, of which two matching lines share one. parity: 64 bits, of which a word turns over one, so sets differ in as many words at
+    least as bits; wide: the same for each of PARTS hash ranges, for lines of over LONG words.
     """
-    return docs.select(key_of(id_col).alias("doc"), text_of(text_col).alias("text")).mapInArrow(_sets(ranks, least, whole), SETS)
+    n, few = F.col("n"), F.col("n") < least
+    return rows.select(
+        "doc",
+        "line",
+        F.when(few, F.xxhash64(F.lit(2), F.col("whole"))).otherwise(F.xxhash64("tok")).alias("h1"),
+        F.when(few, F.xxhash64(F.lit(3), F.col("whole"))).otherwise(F.xxhash64(F.lit(1), F.col("tok"))).alias("h2"),
+        "n",
+        F.octet_length("whole").alias("size"),
+        F.when(~few, F.slice("tok", F.lit(1), n - F.ceil(4 * n / 5).cast("int") + 1)).alias("prefix"),
+        F.when(few, 0).otherwise(_turned(F.col("tok"))).cast("bigint").alias("parity"),
+        F.when(n > LONG, F.array(*[_turned(_range(k)) for k in range(PARTS)])).alias("wide"),
+    )
 
 
 def flags_of(keys: DataFrame) -> Column:
@@ -197,182 +128,55 @@ def flagged(flags: Column, doc: Column, line: Column) -> Column:
 
 
 def posted(firsts: DataFrame) -> DataFrame:
-    """A row for each prefix word of each class: tok, doc, line, at (number of words and place among them), parity, wide (null for short lines) and, where firsts has it, open."""
-    rows = firsts.select(*[c for c in ("doc", "line", "n", "parity", "open") if c in firsts.columns], F.when(F.col("n") > LONG, F.col("wide")).alias("wide"), F.posexplode("prefix").alias("pos", "tok"))
-    return rows.withColumn("at", F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).drop("n", "pos")
-
-
-class Posted:
-    """Posted rows of whole groups as arrays, sorted by group and number of words; group rows that can't pair are left out."""
-
-    def __init__(self, table: pa.Table, keys: list[str]):
-        new = np.zeros(len(table), bool)
-        new[:1] = True
-        for k in keys:
-            v = table.column(k).to_numpy()
-            new[1:] |= v[1:] != v[:-1]
-        group = np.cumsum(new) - 1
-        several = np.flatnonzero(np.bincount(group)[group] > 1)
-        n = table.column("at").to_numpy()[several] >> 32
-        several = several[np.lexsort((n, group[several]))]
-        table = table.take(pa.array(several))
-        self.group = group[several]
-        self.doc, self.line, at = (table.column(c).to_numpy() for c in ("doc", "line", "at"))
-        self.n, self.pos = at >> 32, at & 0xFFFFFFFF
-        self.open = table.column("open").to_numpy() if "open" in table.column_names else None
-        self.parity = table.column("parity").to_numpy().view(np.uint64)
-        self.wide = np.zeros((len(several), PARTS), np.uint64)
-        long = np.flatnonzero(self.n > LONG)
-        if len(long):
-            self.wide[long] = table.column("wide").combine_chunks().drop_null().flatten().to_numpy().view(np.uint64).reshape(-1, PARTS)
-        # one number a place, so that earlier is less; equal places aren't earlier
-        order = np.lexsort((self.line, self.doc))
-        step = np.zeros(len(order), np.int64)
-        step[1:] = (np.diff(self.doc[order]) != 0) | (np.diff(self.line[order]) != 0)
-        self.place = np.empty(len(order), np.int64)
-        self.place[order] = np.cumsum(step)
-
-    def hits(self) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(i, j, score): rows of a group that pass the length, parity and positional filters, which no matching pair fails.
-
-        In a hit i has no more words than j. Each yield holds a row once at most as i and once at most as j; less is more alike.
-        """
-        i, k = np.arange(len(self.n)), 0
-        while len(i):
-            k += 1
-            i = i[i + k < len(self.n)]
-            i = i[(self.group[i] == self.group[i + k]) & (5 * self.n[i] >= 4 * self.n[i + k])]
-            a, b = i, i + k
-            total = self.n[a] + self.n[b]
-            least = need(total)
-            apart = np.bitwise_count(self.parity[a] ^ self.parity[b]).astype(np.int64)
-            on = np.flatnonzero(apart <= total - 2 * least)
-            a, b, total, least, apart = a[on], b[on], total[on], least[on], apart[on]
-            long = np.flatnonzero(self.n[a] > LONG)
-            if len(long):
-                apart[long] = np.bitwise_count(self.wide[a[long]] ^ self.wide[b[long]]).sum(1)
-            most = np.minimum(self.pos[a], self.pos[b]) + np.minimum(self.n[a] - self.pos[a], self.n[b] - self.pos[b])
-            on = (apart <= total - 2 * least) & (most >= least) & (self.place[a] != self.place[b])
-            if on.any():
-                yield a[on], b[on], (apart[on] << 20) // total[on]
-
-    def rows(self, later: np.ndarray, first: np.ndarray, score: np.ndarray, others: np.ndarray) -> pa.RecordBatch:
-        own = [x.view(np.int64) if x.dtype == np.uint64 else x for x in (self.doc[later], self.line[later], self.parity[later], score)]
-        his = [x.view(np.int64) if x.dtype == np.uint64 else x for x in (self.doc[first], self.line[first], self.parity[first])]
-        names = [c.split()[0] for c in FOUND.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in (*own, *his, others.astype(np.int32))], names)
-
-    def every(self) -> Iterator[pa.RecordBatch]:
-        """All hits whose later row is open."""
-        for a, b, score in self.hits():
-            swap = self.place[a] > self.place[b]
-            later, first = np.where(swap, a, b), np.where(swap, b, a)
-            on = self.open[later]
-            if on.any():
-                yield self.rows(later[on], first[on], score[on], np.zeros(int(on.sum())))
-
-    def best(self) -> Iterator[pa.RecordBatch]:
-        """For each row with hits the most alike earlier one, the earliest of equals, and how many others there are. Nothing grows with the hits."""
-        size = len(self.n)
-        score, first, count = np.full(size, 1 << 40), np.full(size, -1), np.zeros(size, np.int64)
-        for a, b, s in self.hits():
-            for later, early in ((a, b), (b, a)):
-                on = self.place[later] > self.place[early]
-                x, y, v = later[on], early[on], s[on]
-                count[x] += 1
-                less = (v < score[x]) | ((v == score[x]) & (self.place[y] < self.place[first[x]]))
-                score[x[less]], first[x[less]] = v[less], y[less]
-        on = np.flatnonzero(count)
-        if len(on):
-            yield self.rows(on, first[on], score[on], count[on] - 1)
-
-
-def _compared(keys: list[str], best: bool):
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def done(table: pa.Table) -> Iterator[pa.RecordBatch]:
-            rows = Posted(table, keys)
-            yield from rows.best() if best else rows.every()
-
-        held, n = [], 0
-        for batch in batches:
-            held.append(batch)
-            n += batch.num_rows
-            if n >= _SPAN:
-                table = pa.Table.from_batches(held)
-                last = np.ones(n, bool)
-                for k in keys:
-                    last &= table.column(k).to_numpy() == table.column(k)[n - 1].as_py()
-                cut = n - int(last.sum())
-                if cut:
-                    yield from done(table.slice(0, cut))
-                held, n = table.slice(cut).combine_chunks().to_batches(), n - cut
-        if held:
-            yield from done(pa.Table.from_batches(held))
-
-    return work
-
-
-def candidates(firsts: DataFrame, full: int, best: bool, words: DataFrame | None = None) -> DataFrame:
-    """Pairs of classes that share a prefix word and pass the filters, the later one first (FOUND): the most alike one a word and later class, or with
-    best=False all pairs whose later class is open. words: (tok) to look at only.
-
-    Rows of a word meet in a task. Words with over CELL rows are dealt: each pair of their parts meets in a task of its own.
+    """A row for each prefix word of each class: tok, doc, line, at (number of words and place among them), parity and wide (null for short lines)."""
+    rows = firsts.select(*OWN, "n", "wide", F.posexplode("prefix").alias("pos", "tok"))
+    return rows.select("tok", *OWN, (F.shiftleft(F.col("n").cast("bigint"), 32) + F.col("pos")).alias("at"), "wide")
+
+
+def close(l: str, r: str) -> Column:
+    """Whether two posted rows pass the length, positional and parity filters, which no matching pair fails."""
+    n1, n2 = F.shiftright(f"{l}.at", 32), F.shiftright(f"{r}.at", 32)
+    p1, p2 = F.col(f"{l}.at").bitwiseAND((1 << 32) - 1), F.col(f"{r}.at").bitwiseAND((1 << 32) - 1)
+    o = need(n1 + n2)
+    apart = F.bit_count(F.col(f"{l}.parity").bitwiseXOR(F.col(f"{r}.parity")))
+    wide = sum((F.bit_count(F.get(f"{l}.wide", F.lit(k)).bitwiseXOR(F.get(f"{r}.wide", F.lit(k)))) for k in range(PARTS)), F.lit(0))
+    most = F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
+    near = (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (apart <= n1 + n2 - 2 * o) & (most >= o)
+    # folding a long line's ranges gives its parity, so a short line has nothing to add
+    return near & F.when((n1 > LONG) & (n2 > LONG), wide <= n1 + n2 - 2 * o).otherwise(F.lit(True))
+
+
+def before(l: str, r: str) -> Column:
+    return (F.col(f"{l}.doc") < F.col(f"{r}.doc")) | ((F.col(f"{l}.doc") == F.col(f"{r}.doc")) & (F.col(f"{l}.line") < F.col(f"{r}.line")))
+
+
+def involved(firsts: DataFrame) -> DataFrame:
+    """The posted rows that have some other class under their word which passes the filters with them.
+
+    A semi join: a crowd of near copies gives a row for each posted row, never one for each pair.
     """
     rows = posted(firsts)
-    if words is not None:
-        rows = rows.join(words, "tok", "left_semi")
-    crowded = full < RANKS  # a word is no more frequent in prefixes than its bucket is in texts
-    if crowded:
-        heavy = rows.where(F.shiftright("tok", 48) >= full - RANKS // 2).groupBy("tok").agg(F.count("*").alias("n")).where(F.col("n") > CELL)
-        heavy = saved(heavy.select("tok", F.ceil(2 * F.col("n") / CELL).cast("int").alias("parts")), "heavy")
-        crowded = not heavy.isEmpty()
-    light = rows.join(heavy, "tok", "left_anti") if crowded else rows
-    out = light.repartition("tok").sortWithinPartitions("tok").mapInArrow(_compared(["tok"], best), FOUND)
-    if crowded:
-        dealt = rows.join(heavy, "tok").withColumn("part", F.pmod(F.xxhash64("doc", "line", "parity"), F.col("parts")).cast("int"))
-        dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other <> part")
-        dealt = dealt.withColumns({"p": F.least("part", "other"), "q": F.greatest("part", "other")}).drop("parts", "part", "other")
-        keys = ["tok", "p", "q"]
-        out = out.unionByName(dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_compared(keys, best), FOUND))
-    return out
+    cond = (F.col("l.tok") == F.col("r.tok")) & (before("l", "r") | before("r", "l")) & close("l", "r")
+    return rows.alias("l").join(rows.alias("r"), cond, "left_semi")
 
 
-OWN = ["doc", "line", "parity"]
+def with_words(rows: DataFrame, docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
+    """Posted rows with all words of their line. The words are made again from the texts of just the lines that take part."""
+    wanted = saved(rows.select("doc", "line").distinct(), "wanted")
+    lines = line_rows(docs, id_col, text_col).where(flagged(flags_of(wanted), F.col("doc"), F.col("line")))
+    lines = lines.join(wanted, ["doc", "line"]).select("doc", "line", tokens(F.col("words"), ranks).alias("tok"))
+    # repeated ids may have other texts
+    sets = saved(lines.select("doc", "line", _turned(F.col("tok")).alias("parity"), F.col("tok").alias("words")), "wordsets")
+    return rows.join(sets.groupBy(*OWN).agg(F.first("words").alias("words")), OWN)
 
 
-def alike(x: pa.Array, y: pa.Array) -> np.ndarray:
-    """Whether the word sets of two columns of lines have the similarity, row by row; the words themselves are compared."""
-    n = len(x)
-    line, code, _ = word_sets(pa.concat_arrays([x, y]))
-    size = np.bincount(line, minlength=2 * n)
-    width = int(code.max(initial=0)) + 1
-    pair = np.sort(np.where(line >= n, line - n, line) * width + code)
-    shared = np.bincount(pair[1:][pair[1:] == pair[:-1]] // width, minlength=n) if len(pair) else np.zeros(n, int)
-    total = size[:n] + size[n:]
-    return (shared >= need(total)) & (total > 0)
-
-
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for part in chunks(batch, "text0"):
-            x, y = pc.utf8_lower(part.column("text0")), pc.utf8_lower(part.column("text"))
-            same = alike(x, y)
-            for texts, name in ((x, "parity0"), (y, "parity")):  # repeated ids may have other texts
-                line, code, h = word_sets(texts)
-                same &= parities(line, h[code], len(texts)).view(np.int64) == part.column(name).to_numpy()
-            yield part.select(OWN).filter(pa.array(same))
-
-
-def verified(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc, line, parity) of the later classes of pairs whose word sets have the similarity. Only lines that take part leave the texts."""
-    wanted = pairs.select("doc", "line").unionByName(pairs.select(F.col("doc0").alias("doc"), F.col("line0").alias("line"))).distinct()
-    wanted = saved(wanted, "wanted")
-    lines = docs.select(key_of(id_col).alias("doc"), F.posexplode(F.split(text_of(text_col), "\n")).alias("line", "text"))
-    lines = lines.where(flagged(flags_of(wanted), F.col("doc"), F.col("line"))).join(wanted, ["doc", "line"], "left_semi").distinct()
-    lines = saved(lines, "wantedlines")
-    early = lines.withColumnsRenamed({"doc": "doc0", "line": "line0", "text": "text0"})
-    both = pairs.join(lines, ["doc", "line"]).join(early, ["doc0", "line0"])
-    return both.select(*OWN, "parity0", "text", "text0").mapInArrow(_verify, "doc long, line int, parity long").distinct()
+def matched(rows: DataFrame) -> DataFrame:
+    """OWN of the classes that some earlier class matches, from posted rows with words; a semi join stops at the first match."""
+    rows = saved(rows, "withwords")
+    same = F.size(F.array_intersect("l.words", "r.words"))
+    enough = same >= need(F.size("l.words") + F.size("r.words"))
+    cond = (F.col("l.tok") == F.col("r.tok")) & before("r", "l") & close("l", "r") & enough
+    return rows.alias("l").join(rows.alias("r"), cond, "left_semi").select(*OWN).distinct()
 
 
 def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", whole: int | None = None, least: int = LEAST) -> DataFrame:
@@ -383,41 +187,34 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     at least, blank ones never; without `whole` they never match, as OP7_SQL has it. Null and empty texts have no line; rows that repeat an id are judged
     alike, each by its own text. Ids are cast to long; a null id counts as the lowest. An empty table gives an empty result.
 
-    Equal sets are one class. Each class is held against the most alike earlier class that shares a prefix word; only where that fails, and there
-    are others, against all of them. So a crowd of near copies costs a pair for each of its lines, and the result is that of all pairs.
+    Equal sets are one class. Semi joins first find the classes that have a near partner by the filters, then, with the words of just those, the
+    classes that an earlier one matches; so no table grows with the pairs of a crowd.
     """
-    ranks, full = rarity(docs.select(text_col), text_col)
+    ranks = rarity(docs.select(text_col), text_col)
     docs = docs.select(id_col, text_col)
-    every = saved(occurrences(docs, ranks, id_col, text_col, least, whole), "lines")
-    classes = every.groupBy("h1", "h2").agg(F.min("doc").alias("doc"), F.count("*").alias("times"))
+    # the filter is on the described rows; before it the optimiser would make the word sets twice, once to filter by
+    every = saved(described(occurrences(docs, ranks, id_col, text_col, least, whole), least), "lines")
+    taking = F.col("n") >= least if whole is None else (F.col("n") >= least) | ((F.col("n") > 0) & (F.col("size") >= whole))
+    rows = every.where(taking)
+    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("times"))
     classes = saved(classes, "lineclasses")
-    firsts = every.where(F.col("head") & (F.size("prefix") > 0)).join(classes.select("h1", "h2", "doc"), ["h1", "h2", "doc"])
+    at_first = classes.select("h1", "h2", "first.doc", "first.line")
+    firsts = rows.where(F.col("prefix").isNotNull()).join(at_first, ["h1", "h2", "doc", "line"])
     if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
         firsts = firsts.dropDuplicates(OWN)
     firsts = saved(firsts.select("h1", "h2", *OWN, "n", "wide", "prefix"), "firsts")
-    places = saved(every.select("doc", "line", "h1", "h2", "head"), "lineplaces")
+    places = saved(rows.select("doc", "line", "h1", "h2"), "lineplaces")
     dropped(every)
-    tops = candidates(firsts, full, best=True)
-    top = F.min(F.struct("score", "doc0", "line0", "parity0"))
-    tops = tops.groupBy(*OWN).agg(top.alias("t"), F.max("others").alias("others"), F.countDistinct("doc0", "line0", "parity0").alias("kinds"))
-    tops = saved(tops.select(*OWN, "t.*", ((F.col("others") > 0) | (F.col("kinds") > 1)).alias("more")), "tops")
-    gone = saved(verified(tops, docs, id_col, text_col), "gone")
-    left = saved(tops.where("more").select(*OWN).join(gone, OWN, "left_anti"), "left")
-    if not left.isEmpty():
-        opened = firsts.join(left.withColumn("open", F.lit(True)), OWN, "left").withColumn("open", F.coalesce("open", F.lit(False)))
-        words = saved(firsts.join(left, OWN).select(F.explode("prefix").alias("tok")).distinct(), "leftwords")
-        pairs = candidates(opened, full, best=False, words=words).select(*OWN, "doc0", "line0", "parity0").distinct()
-        tried = tops.select(*OWN, "doc0", "line0", "parity0")
-        pairs = saved(pairs.join(tried, tried.columns, "left_anti"), "pairs")
-        gone = saved(gone.unionByName(verified(pairs, docs, id_col, text_col)), "goneall")
+    near = saved(involved(firsts), "involved")
+    gone = saved(matched(with_words(near, docs, ranks, id_col, text_col)), "gone")
     gone = saved(firsts.select("h1", "h2", *OWN).join(gone, OWN).select("h1", "h2", F.lit(True).alias("gone")).distinct(), "goneclasses")
     dropped(firsts)
     fate = classes.join(gone, ["h1", "h2"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     # only classes that lose a line matter: those that occur again and those matched by an earlier one
-    fate = saved(fate.where("gone or times > 1").select(F.struct("h1", "h2").alias("h"), F.col("doc").alias("first"), "times", "gone"), "fate")
+    fate = saved(fate.where("gone or times > 1").select(F.struct("h1", "h2").alias("h"), "first", "times", "gone"), "fate")
     total = classes.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
-    judged = with_unique(places.select("doc", "line", "head", F.struct("h1", "h2").alias("h")), fate, "h", "times", total)
-    lost = judged.where(F.col("gone") | (F.col("first") < F.col("doc")) | ~F.col("head") & F.col("first").isNotNull())
+    judged = with_unique(places.select("doc", "line", F.struct("h1", "h2").alias("h")), fate, "h", "times", total)
+    lost = judged.where(F.col("gone") | (F.col("first") < F.struct("doc", "line")))
     return lost.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 
 
