@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from collections import Counter
@@ -9,67 +10,83 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from brindle.llm.common import documents, ranked, saved
+from brindle.llm.words import chunks, coded
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
 #: Words a worker remembers, some 200 bytes each; all are forgotten when there are more.
 WORDS = 800_000
-#: Texts whose words are looked up together.
-TOGETHER = 256
-#: Patterns within this part of the best price are used; rounds of the multiplicative weights and their rate; pieces that best fit may take on at the end.
-EPSILON, ROUNDS, RATE, FEW = 0.02, 60, 0.15, 20_000
+#: Patterns within this part of the best price are used; rounds of the multiplicative weights, their least number for what rounding left, and their
+#: rate; pieces that best fit may take on at the end.
+EPSILON, ROUNDS, LATER, RATE, FEW = 0.02, 60, 10, 0.15, 48
 
 #: Rounds in which a plan's patterns take turns where places matter.
 PARTS = 16
 
 #: A control character no text is expected to hold, with an id of its own; words that hold it all the same are encoded alone.
 _MARK = "\x01"
-_STOP = re.compile(rb"[.,](?<=[a-z0-9][.,])(?=[ \n])")
-_TAILED = re.compile(rb"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.S)
+_END = "</w>"
+_TAILED = re.compile(r"(.*[A-Za-z])([!-&(-/:-@\[-`{-~]+)", re.S)
 
 
 class Ids:
-    """Token ids of whole texts, as little-endian unsigned 32-bit bytes.
+    """Token ids of whole texts, as unsigned 32-bit numbers.
 
     The tokenizer never joins what ASCII white space separates, nor a letter and the ASCII punctuation after it (the apostrophe
-    aside), and it ignores case; so each distinct word, and each distinct stem among new words, is encoded once and looked up afterwards.
+    aside), and it ignores case; so each distinct word of a batch is looked up once, and each distinct stem among new words is encoded once.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {"": b""}
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
+        # stems of a-z are one word to the tokenizer, so its model alone can take them; their last token ends a word
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab = self.tokenizer.get_vocab(with_added_tokens=False)
+        self.ends = np.zeros(max(vocab.values()) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(_END)]] = True
 
     def of(self, text: str | None) -> bytes:
-        return self.many([text])[0]
-
-    def many(self, texts: list[str | None]) -> list[bytes]:
-        split = []
-        for text in texts:
-            data = (text or "").encode("utf-8", "replace")
-            if b"<|" not in data:  # else it may name a special token, whose case counts
-                data = _STOP.sub(rb" \g<0>", data.lower())
-            split.append(data.split())
+        return self.many(pa.array([text or ""]))[0].astype("<u4").tobytes()
+
+    def many(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of a column; null counts as empty."""
+        texts = pc.fill_null(texts, "")
+        # such a text may name a special token, whose case and punctuation count
+        special = np.flatnonzero(pc.match_substring(texts, "<|").to_numpy(zero_copy_only=False))
+        offsets, code, words = coded(pc.ascii_lower(texts))
+        found = self._known(words.to_pylist())
+        size = np.fromiter(map(len, found), np.int32, len(found)) // 4
+        ids = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(size)]).astype(np.int32), pa.array(np.frombuffer(b"".join(found), "<u4")))
+        flat = ids.take(pa.array(code)).flatten().to_numpy()
+        ends = np.concatenate([[0], np.cumsum(size[code], dtype=np.int64)])[offsets]
+        out = [flat[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist())]
+        for k in special.tolist():
+            out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
+        return out
+
+    def _known(self, words: list[str]) -> list[bytes]:
         if len(self.words) > WORDS:
-            self.words.clear()
-        known = self.words
-        found = [list(map(known.get, words)) for words in split]
-        new = {w for words, ids in zip(split, found) if None in ids for w, x in zip(words, ids) if x is None}
-        self._learn(new)
-        return [b"".join([known[w] if x is None else x for w, x in zip(words, ids)] if None in ids else ids) for words, ids in zip(split, found)]
-
-    def _learn(self, new: set[bytes]) -> None:
+            self.words = {"": b""}
+        found = list(map(self.words.get, words))
+        self._learn([w for w, x in zip(words, found) if x is None])
+        return [self.words[w] if x is None else x for w, x in zip(words, found)]
+
+    def _learn(self, new: list[str]) -> None:
         known, tailed, todo = self.words, [], set()
         for w in new:
-            stem, tail = w, b""
-            if b"<|" not in w:  # else it may name a special token, whose case and punctuation count
+            stem = w
+            if not w.isalpha():
                 m = _TAILED.fullmatch(w)
                 if m:
                     stem, tail = m.groups()
@@ -78,18 +95,27 @@ class Ids:
                         todo.add(tail)
             if stem not in known:
                 todo.add(stem)
-        plain = [x for x in todo if _MARK.encode() not in x] if self.mark is not None else []
         encode = self.tokenizer.encode_batch_fast
-        for a in range(0, len(plain), 500):
-            some = plain[a : a + 500]
-            ids = np.array(encode([f" {_MARK} ".join([x.decode() for x in some])], add_special_tokens=False)[0].ids, "<u4")
+        letters = [x for x in todo if x.isascii() and x.isalpha()]
+        for a in range(0, len(letters), 2000):
+            some = letters[a : a + 2000]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(self.ends[ids]) + 1
+            data, begin = ids.tobytes(), 0
+            for x, end in zip(some, (4 * ends).tolist(), strict=True):
+                known[x] = data[begin:end]
+                begin = end
+        marked = [x for x in todo if x not in known and _MARK not in x] if self.mark is not None else []
+        for a in range(0, len(marked), 500):
+            some = marked[a : a + 500]
+            ids = np.array(encode([f" {_MARK} ".join(some)], add_special_tokens=False)[0].ids, "<u4")
             data, begin = ids.tobytes(), 0
             for x, end in zip(some, [*(4 * np.flatnonzero(ids == self.mark)).tolist(), len(data)], strict=True):
                 known[x] = data[begin:end]
                 begin = end + 4
         for x in todo:
             if x not in known:
-                known[x] = np.array(encode([x.decode()], add_special_tokens=False)[0].ids, "<u4").tobytes()
+                known[x] = np.array(encode([x], add_special_tokens=False)[0].ids, "<u4").tobytes()
         for w, stem, tail in tailed:
             known[w] = known[stem] + known[tail]
 
@@ -107,29 +133,31 @@ def encoder(path: str) -> Ids:
 def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, place: Column | None = None) -> DataFrame:
     """(id, piece, start, length, ids_crc32): each document's ids with the end id, cut only where it exceeds the capacity; with `place`, a column (place) too."""
 
-    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import os
-
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         ids = encoder(path)
-        end = np.array([END_ID], "<u4").tobytes()
-        for b in batches:
-            out = []
-            for at in range(0, len(b), TOGETHER):
-                some = b.iloc[at : at + TOGETHER]
-                for i, at_, data in zip(some["id"], some["place"], ids.many(some["text"].tolist())):
-                    data += end
-                    for k, a in enumerate(range(0, len(data), 4 * capacity)):
-                        part = data[a : a + 4 * capacity]
-                        out.append((i, k, a // 4, len(part) // 4, zlib.crc32(part), at_))
-            frame = pd.DataFrame(out, columns=["id", "piece", "start", "length", "ids_crc32", "place"])
-            frame["id"] = frame["id"].astype("Int64")
-            yield frame if ordered else frame.drop(columns="place")
+        end = np.array([END_ID], "<u4")
+        for batch in batches:
+            for b in chunks(batch, "text"):
+                row, out = [], []
+                for r, data in enumerate(ids.many(b.column("text"))):
+                    n = len(data) + 1
+                    for k, a in enumerate(range(0, n, capacity)):
+                        crc = zlib.crc32(data[a : a + capacity])
+                        last = a + capacity >= n
+                        row.append(r)
+                        out.append((k, a, min(capacity, n - a), zlib.crc32(end, crc) if last else crc))
+                cut = np.array(out, np.int64).reshape(-1, 4)
+                columns = {"id": b.column("id").take(pa.array(row, pa.int64()))}
+                columns |= {c: pa.array(cut[:, k].astype(t)) for k, (c, t) in enumerate((("piece", np.int32), ("start", np.int64), ("length", np.int32), ("ids_crc32", np.int64)))}
+                if ordered:
+                    columns["place"] = b.column("place").take(pa.array(row, pa.int64()))
+                yield pa.record_batch(columns)
 
     ordered = place is not None
     at = place.cast("string") if ordered else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), at.alias("place"))
-    return rows.mapInPandas(work, "id long, piece int, start long, length int, ids_crc32 long" + ", place string" * ordered)
+    return rows.mapInArrow(work, "id long, piece int, start long, length int, ids_crc32 long" + ", place string" * ordered)
 
 
 def knapsack(price: np.ndarray, lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,55 +240,40 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, rounds: int = ROUNDS, few: int = FEW) -> list[tuple[dict[int, int], int]]:
     """(pattern of length to copies, times): together they hold every piece of the histogram once.
 
-    The fractional uses of the linear program are rounded down; what is left over is planned again until `few` pieces remain,
-    which go by best fit. Fewer pieces than that from the start are planned once too. The work and the size of the plan depend on the capacity, not on the number of pieces.
+    The linear program's fractional uses are rounded down, then, in order of what is left of each, once up where the pieces are there. What no pattern
+    took is the next program's histogram. The residue goes by best fit: `few` pieces at most, or those of which no pattern's pieces are all there.
+    The work and the size of the plan depend on the capacity, not on the number of pieces, and are alike at every size.
     """
     left = Counter({n: c for n, c in histogram.items() if c > 0})
     out: Counter[tuple] = Counter()
     if left.get(capacity):
         out[((capacity, 1),)] = left.pop(capacity)
-    planned = False
-    while left and (not planned or sum(left.values()) > few):
-        planned = True
+
+    def take(named: list[tuple[int, int]], most: int) -> None:
+        times = min(most, *(left[n] // c for n, c in named))
+        if times > 0:
+            out[tuple(named)] += times
+            for n, c in named:
+                left[n] -= c * times
+
+    while sum(left.values()) > few:
         lengths = np.array(sorted(left))
         counts = np.array([left[n] for n in lengths], float)
-        before = sum(left.values())
         used = configuration_lp(lengths, counts, capacity, rounds)
-        for pattern, amount in sorted(used.items(), key=lambda x: (-x[1], x[0])):
-            named = [(int(lengths[k]), c) for k, c in pattern]
-            times = min(int(amount + 1e-9), *(left[n] // c for n, c in named))
-            if times > 0:
-                out[tuple(named)] += times
-                for n, c in named:
-                    left[n] -= c * times
+        patterns = [([(int(lengths[k]), c) for k, c in pattern], amount) for pattern, amount in used.items()]
+        for named, amount in sorted(patterns, key=lambda x: (-x[1], x[0])):
+            take(named, int(amount + 1e-9))
+        for named, amount in sorted(patterns, key=lambda x: (-(x[1] % 1), -sum(n * c for n, c in x[0]), x[0])):
+            take(named, 1)
         left = +left
-        if sum(left.values()) > 0.9 * before:  # too many lengths with too few pieces each for whole patterns
+        if sum(left.values()) == int(counts.sum()):
             break
-    while sum(left.values()) > few:
-        # lengths that no near-best pattern held: fullest patterns of what is there, each as often as the counts allow
-        pattern = fullest(left, capacity)
-        times = min(left[n] // c for n, c in pattern.items())
-        out[tuple(sorted(pattern.items()))] += times
-        for n, c in pattern.items():
-            left[n] -= c * times
-        left = +left
+        rounds = max(LATER, rounds // 2)
     for b in best_fit([n for n, c in left.items() for _ in range(c)], capacity):
         out[tuple(sorted(Counter(b).items()))] += 1
     return [(dict(p), t) for p, t in sorted(out.items())]
 
 
-def fullest(left: Counter, capacity: int) -> dict[int, int]:
-    """The longest length left, filled up with the longest that still fit."""
-    out: Counter[int] = Counter()
-    space = capacity
-    for n in sorted(left, reverse=True):
-        c = min(left[n], space // n)
-        if c:
-            out[n] += c
-            space -= c * n
-    return out
-
-
 def slots(planned: list[tuple[dict[int, int], int]]) -> tuple[np.ndarray, ...]:
     """For each length, runs of ranks that share a pattern: (key, copies, first sequence, first offset), keys ascending."""
     taken: Counter[int] = Counter()
