@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from fractions import Fraction
+from numbers import Rational
 
 import numpy as np
 import pandas as pd
@@ -14,33 +17,39 @@ from pyspark.sql import functions as F
 
 from brindle.llm.common import documents, kept, ranked, written
 
-#: Documents in a block; slots in which the weights come out exactly.
-BLOCK, PERIOD = 16, 1000
+#: Documents in a block; the longest period, in slots, after which a schedule repeats.
+BLOCK, PERIOD = 16, 1 << 20
 OTHER = "<other>"
 #: One large source is held at a tenth, nineteen like ones share the rest; whatever else there is gets a hundredth.
-TARGETS = {"src0": 0.10, **{f"src{k}": 0.89 / 19 for k in range(1, 20)}, OTHER: 0.01}
-
-
-def quotas(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
-    """Whole slots of a period for each source, one at least, by largest remainders."""
-    names = sorted(weights)
-    if len(names) > period:
-        raise ValueError("more sources than slots in a period")
-    total = sum(weights[n] for n in names)
-    exact = {n: weights[n] / total * (period - len(names)) for n in names}
-    out = {n: 1 + int(exact[n]) for n in names}
-    rest = period - sum(out.values())
-    for n in sorted(names, key=lambda n: (int(exact[n]) - exact[n], n))[:rest]:
-        out[n] += 1
-    return out
+TARGETS = {"src0": Fraction(1, 10), **{f"src{k}": Fraction(89, 1900) for k in range(1, 20)}, OTHER: Fraction(1, 100)}
+
+
+def shares(weights: dict[str, Rational | float], period: int = PERIOD) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights; a float counts as the decimal number it prints as.
+
+    Only where their sum would exceed the period, thus for weights without a common denominator up to it, are they rounded to parts of
+    the period, one at least each.
+    """
+    exact = {n: Fraction(w) if isinstance(w, Rational) else Fraction(str(w)) for n, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
+        raise ValueError("weights must be above 0")
+    common = math.lcm(*(w.denominator for w in exact.values()))
+    whole = _least({n: int(w * common) for n, w in exact.items()})
+    total = sum(whole.values())
+    return whole if total <= period else _least({n: max(1, round(Fraction(v * period, total))) for n, v in whole.items()})
+
+
+def _least(whole: dict[str, int]) -> dict[str, int]:
+    g = math.gcd(*whole.values())
+    return {n: v // g for n, v in whole.items()}
 
 
 def schedule(quota: dict[str, int]) -> dict[str, list[int]]:
-    """Slots of each source in one period, ascending.
+    """Slots of each source in one period, which has as many slots as the shares add up to, ascending.
 
     Block k (from 1) of a source with n of the period's P slots may run from floor((k - 1) P / n) and is due by ceil(k P / n). Of the
-    released blocks the one due first runs. As the quotas fill the period, every block meets its window, so
-    after any number of slots each source is less than one block off its share; the next period is the same.
+    released blocks the one due first runs. As the shares fill the period, every block meets its window, so
+    after any number of slots each source is less than one block off its exact share; the next period is the same.
     """
     period = sum(quota.values())
     waiting = [(0, -(-period // n), name, 1) for name, n in sorted(quota.items())]
@@ -66,7 +75,7 @@ class Stretch:
     first: int
     base: int
     slots: np.ndarray = field(repr=False)
-    period: int = PERIOD
+    period: int
 
     def at(self, block: np.ndarray) -> np.ndarray:
         k = block - self.first
@@ -74,17 +83,20 @@ class Stretch:
         return self.base + k // n * self.period + self.slots[k % n]
 
 
-def stretches(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> dict[str, list[Stretch]]:
-    """When each source's blocks run. Whenever one runs out the others share its weight, in proportion, so all blocks run.
+def stretches(blocks: dict[str, int], weights: dict[str, Rational | float], period: int = PERIOD) -> dict[str, list[Stretch]]:
+    """When each source's blocks run. Whenever one runs out the others share its weight, in exact proportion, so all blocks run.
 
-    The work depends on the number of weighted sources and the period, not on the number of blocks.
+    The work depends on the weights' denominators and on how many sources there are, not on the number of blocks.
     """
+    whole = shares({n: weights[n] for n, b in blocks.items() if b > 0}, period) if any(b > 0 for b in blocks.values()) else {}
     left = {n: b for n, b in blocks.items() if b > 0}
     done = dict.fromkeys(left, 0)
     out: dict[str, list[Stretch]] = {n: [] for n in left}
     base = 0
     while left:
-        slots = {n: np.array(s) for n, s in schedule(quotas({n: weights[n] for n in left}, period)).items()}
+        now = _least({n: whole[n] for n in left})
+        period = sum(now.values())
+        slots = {n: np.array(s) for n, s in schedule(now).items()}
         for n in left:
             out[n].append(Stretch(done[n], base, slots[n], period))
         length = min((left[n] - 1) // len(s) * period + int(s[(left[n] - 1) % len(s)]) + 1 for n, s in slots.items())
@@ -98,15 +110,15 @@ def stretches(blocks: dict[str, int], weights: dict[str, float], period: int = P
 
 
 def mixed(
-    docs: DataFrame, weights: dict[str, float] = TARGETS, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", seed: int = 7
+    docs: DataFrame, weights: dict[str, Rational | float] = TARGETS, block: int = BLOCK, period: int = PERIOD, id_col: str = "doc_id", source_col: str = "source", seed: int = 7
 ) -> DataFrame:
-    """(id, source_group, block, slot, position): a place for every document such that, up to any slot of a stretch, each source has its target share less
-    than one block off.
+    """(id, source_group, block, slot, position): a place for every document such that, up to any slot of a stretch, each source has its exact target share
+    less than one block off. A stretch ends when a source has run out; the others then go on in the same proportion.
 
     Sources without a weight, null among them, are one group, as many groups as there are weights at most. Within a source the order is by a hash of the id, ties
-    by id. Positions are gapless from 0. Repeated rows get a place each. An empty table gives an empty result. Only one count a group reaches the driver.
+    by id. Positions are gapless from 0. Repeated rows get a place each. An empty table gives an empty result; without weights all sources are one group. Only one count a group reaches the driver.
     """
-    weights = {OTHER: min(weights.values()), **weights}
+    weights = {OTHER: min(weights.values(), default=1), **weights}
     named = F.col(source_col).isin([n for n in weights if n != OTHER])
     rows = docs.select(F.col(id_col).alias("id"), F.when(named, F.col(source_col)).otherwise(F.lit(OTHER)).alias("source_group"))
     rows = ranked(rows.withColumn("_h", F.xxhash64(F.lit(seed), "id")), ["source_group"], ["_h", "id"], "mixranks").drop("_h")
@@ -141,16 +153,19 @@ def _slot(parts: list[Stretch], firsts: np.ndarray, blocks: np.ndarray) -> np.nd
     return out
 
 
-def in_mixed_order(docs: DataFrame, weights: dict[str, float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
+def in_mixed_order(docs: DataFrame, weights: dict[str, Rational | float] | None = None, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs, all rows and columns, laid out by position: partitions are ranges of it and sorted, so files written from here read in the mixed order.
 
     Rows that share an id take the first of its positions.
     """
-    since = written()
+    spark, since = docs.sparkSession, written()
     place = mixed(docs, TARGETS if weights is None else weights, id_col=id_col, source_col=source_col).groupBy(F.col("id").alias("_id")).agg(F.min("position").alias("_position"))
     place = kept(place, "places", since)
+    parts, n = int(spark.conf.get("spark.sql.shuffle.partitions")), max(1, docs.count())
     both = docs.join(place, docs[id_col].eqNullSafe(place["_id"]), "left")
-    return both.repartitionByRange("_position").sortWithinPartitions("_position").select(*[docs[c] for c in docs.columns])
+    # positions run from 0 without a gap, so their ranges are known and the texts aren't sampled for them
+    dealt = both.repartitionById(parts, F.least(F.lit(parts - 1), F.floor(F.col("_position") * parts / n)).cast("int"))
+    return dealt.sortWithinPartitions("_position").select(*[docs[c] for c in docs.columns])
 
 
 def stored_order(docs: DataFrame) -> Column | None:
