@@ -1,27 +1,55 @@
-"""Kernel queries on rasters made of the test tables; SQL can't express them, so the tests hold them against direct computation."""
+"""Kernel queries on rasters made of the test tables; SQL can't express them, so the tests hold them against slow direct versions."""
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from brindle.operators import forest
 from brindle.plans import workflows as W
 from brindle.plans.registry import register, table
 
+#: Enlargement of an embedding's 8 x 8 values each way, so that kernels have something to work on, and the part of it that is cut out as a crop.
+SCALE = 4
+CUT = (slice(8, 24), slice(12, 28))
+RASTER = "height int, width int, data binary"
+
+
+def picture(embedding: np.ndarray, brighter: int = 0) -> np.ndarray:
+    """Values from -1 to 1 as 8 x 8 gray pixels, enlarged."""
+    gray = np.floor((np.asarray(embedding, float) + 1) * 100 + 0.5) + brighter
+    return np.kron(np.clip(gray, 0, 255).astype(np.uint8).reshape(8, 8), np.ones((SCALE, SCALE), np.uint8))
+
+
+def _drawn(df, keep: str, brighter: int, cut: tuple[slice, slice] = (slice(None), slice(None))):
+    """df's `keep` columns with the raster of its embedding, whole or cut: one array operation a row, nothing by character."""
+
+    def draw(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            made = [picture(e, brighter)[cut] for e in b.pop("embedding")]
+            b["height"], b["width"] = [a.shape[0] for a in made], [a.shape[1] for a in made]
+            b["data"] = [a.tobytes() for a in made]
+            yield b
+
+    names = [k.split()[0] for k in keep.split(", ")]
+    return df.select(*names, "embedding").mapInPandas(draw, f"{keep}, {RASTER}")
+
+
+def _embeddings(spark, sf_dir):
+    """Dealt to all cores, as a small table's one row group would be one task."""
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return table(spark, sf_dir, "embeddings").repartition(parts, "vec_id").withColumn("id", F.col("vec_id").cast("int"))
+
 
 def _rasters(spark, sf_dir, brighter=0):
-    """Each embedding as an 8 x 8 gray image, enlarged four times each way so that kernels have something to work on."""
-    gray = F.transform("embedding", lambda v: F.greatest(F.lit(0), F.least(F.lit(255), F.round((v + 1) * 100) + brighter)).cast("int"))
-    df = table(spark, sf_dir, "embeddings").select(F.col("vec_id").cast("int").alias("id"), "label", gray.alias("g"))
-    hex_ = F.concat(*[F.lpad(F.hex(F.get("g", F.lit(k))), 2, "0") for k in range(64)])
-    rows = F.sequence(F.lit(0), F.lit(31))
-    line = F.transform(rows, lambda y: F.array_join(F.transform(rows, lambda x: F.substring(F.col("h"), ((F.floor(y / 4) * 8 + F.floor(x / 4)) * 2 + 1).cast("int"), F.lit(2))), ""))
-    return df.withColumn("h", hex_).select("id", "label", F.lit(32).alias("height"), F.lit(32).alias("width"), F.unhex(F.array_join(line, "")).alias("data"))
+    return _drawn(_embeddings(spark, sf_dir), "id int, label int", brighter)
 
 
 def _pair(spark, sf_dir):
-    whole = _rasters(spark, sf_dir).withColumn("view", F.lit("ANT"))
-    cut = F.unhex(F.array_join(F.transform(F.sequence(F.lit(8), F.lit(23)), lambda y: F.substring(F.hex("data"), ((y * 32 + 12) * 2 + 1).cast("int"), F.lit(32))), ""))
-    crops = whole.select(F.lit("vertbraANT").alias("component"), F.lit("vertbra").alias("part"), "view", "id", F.lit(16).alias("height"), F.lit(16).alias("width"), cut.alias("data"))
-    return crops, whole.select("view", "id", "height", "width", "data")
+    named = _embeddings(spark, sf_dir).withColumns({"component": F.lit("vertbraANT"), "part": F.lit("vertbra"), "view": F.lit("ANT")})
+    crops = _drawn(named, "component string, part string, view string, id int", 0, CUT)
+    return crops, _drawn(named, "view string, id int", 0)
 
 
 @register("locate_crops")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -44,47 +44,86 @@ def _scored(field: ncc.Field, crop: np.ndarray, mask: np.ndarray | None, compone
     return {"component": component, "id": id_, **m, **values, **dict(zip(MASKED, (masked[k] for k in metrics.NAMES))), "banded": banded}
 
 
+def _by_image(crops: DataFrame, whole: DataFrame, schema: str, work: Callable[[ncc.Field, list], list[dict]]) -> DataFrame:
+    """work(field, its crops' rows) for each whole image (view, id) that has crops.
+
+    Crops and images are dealt by (view, id) into one sorted stream, so a task holds one image and its crops at a time, has no overhead for each
+    image, and decodes and transforms an image once for all its crops. Two whole images for one (view, id) are an error, as either could be meant.
+    """
+    names = [x.split()[0] for x in schema.split(", ")]
+    integers = {x.split()[0]: "Int32" for x in schema.split(", ") if x.split()[1] == "int"}
+
+    def stream(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, image, rows, out = None, None, [], []
+
+        def flush() -> None:
+            if image is not None and rows:
+                out.extend(work(ncc.Field(raster(image)), rows))
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame(out, columns=names).astype(integers)
+
+        for b in batches:
+            for row in b.itertuples():
+                if (row.view, row.id) != key:
+                    flush()
+                    key, image, rows = (row.view, row.id), None, []
+                if not row.crop:
+                    if image is not None:
+                        raise ValueError(f"several whole images for {key}")
+                    image = row
+                elif image is not None:
+                    rows.append(row)
+            if out:
+                yield made()
+                out = []
+        flush()
+        if out:
+            yield made()
+
+    images = whole.select("view", "id", "height", "width", "data", F.lit(False).alias("crop"))
+    both = crops.withColumn("crop", F.lit(True)).unionByName(images, allowMissingColumns=True)
+    # by number: kernels cost far more than their bytes say, so small partitions mustn't be merged
+    parts = int(crops.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return both.repartition(parts, "view", "id").sortWithinPartitions("view", "id", "crop").mapInPandas(stream, schema)
+
+
 def located(
     crops: DataFrame, whole: DataFrame, anchor: str = "vertbra", anchored: tuple[str, ...] = ("shoL", "shoR"), threshold: float = 2, percentile: float | None = None,
     above: int = 100, below: int = 250, use_mask: bool = True, between: tuple[str, str] | None = None,
 ) -> DataFrame:
     """A box for each crop (component, part, view, id, height, width, data) in its whole image (view, id, height, width, data).
 
-    Both sides are grouped by (view, id): a whole image is decoded once and its transforms serve all its crops. Crops of the anchored parts are
+    Crops of the anchored parts are
     searched in a band of rows around the anchor part's box where the band is as high as the crop, else in the whole image. With `between`, two parts, the
     band goes from the bottom of the first one's box to the top of the second one's instead. Metrics are over all pixels, those with _masked_eval over the mask's. Crops without a whole image give no
     row; where nothing can be scored (blank crop or image, or a crop larger than the image) the status says so and metrics are null.
     """
 
-    def work(c: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(c) and len(w):
-            field = ncc.Field(raster(w.iloc[0]))
-            tall = field.image.shape[0]
-            anchors = between or (anchor,)
-            first = c["part"].isin(anchors)
-            band, ends = None, {}
-            for row in pd.concat([c[first], c[~first]]).itertuples():
-                crop = raster(row)
-                if crop.shape[0] > tall or crop.shape[1] > field.image.shape[1]:
-                    rows.append({"component": row.component, "id": row.id, "width": crop.shape[1], "height": crop.shape[0], "status": "too large", "banded": False})
-                    continue
-                mask = None
-                if use_mask:
-                    mask = masks.background(crop, threshold) if percentile is None else masks.percentile(crop, percentile)
-                in_band = row.part in anchored and band is not None and band[1] - band[0] >= crop.shape[0]
-                out = _scored(field, crop, mask, row.component, row.id, *(band if in_band else (0, None)), banded=in_band)
-                rows.append(out)
-                if row.part in anchors and out["status"] == "ok":
-                    ends[row.part] = (out["y"], out["y"] + out["height"])
-                    if not between:
-                        band = (max(0, out["y"] - above), min(tall, out["y"] + below))
-                    elif len(ends) == 2:
-                        band = (ends[between[0]][1], ends[between[1]][0])
-        names = [x.split()[0] for x in SCORED.split(", ")]
-        return pd.DataFrame(rows, columns=names).astype({"x": "Int32", "y": "Int32"})
-
-    return crops.groupBy("view", "id").cogroup(whole.groupBy("view", "id")).applyInPandas(work, SCORED)
+    def work(field: ncc.Field, crops: list) -> list[dict]:
+        out, tall = [], field.image.shape[0]
+        anchors = between or (anchor,)
+        band, ends = None, {}
+        for row in sorted(crops, key=lambda row: row.part not in anchors):
+            crop = raster(row)
+            if crop.shape[0] > tall or crop.shape[1] > field.image.shape[1]:
+                out.append({"component": row.component, "id": row.id, "width": crop.shape[1], "height": crop.shape[0], "status": "too large", "banded": False})
+                continue
+            mask = None
+            if use_mask:
+                mask = masks.background(crop, threshold) if percentile is None else masks.percentile(crop, percentile)
+            in_band = row.part in anchored and band is not None and band[1] - band[0] >= crop.shape[0]
+            found = _scored(field, crop, mask, row.component, row.id, *(band if in_band else (0, None)), banded=in_band)
+            out.append(found)
+            if row.part in anchors and found["status"] == "ok":
+                ends[row.part] = (found["y"], found["y"] + found["height"])
+                if not between:
+                    band = (max(0, found["y"] - above), min(tall, found["y"] + below))
+                elif len(ends) == 2:
+                    band = (ends[between[0]][1], ends[between[1]][0])
+        return out
+
+    return _by_image(crops, whole, SCORED, work)
 
 
 def swept(crops: DataFrame, whole: DataFrame, thresholds: tuple[float, ...] = (2, 10, 20, 30, 50), percentiles: tuple[float, ...] = ()) -> DataFrame:
@@ -92,49 +131,43 @@ def swept(crops: DataFrame, whole: DataFrame, thresholds: tuple[float, ...] = (2
 
     Metrics are over all pixels, those with _masked_eval over the mask's.
     """
-    names = "setting string, value double, background_fraction double, " + SCORED
 
-    def work(c: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(c) and len(w):
-            field = ncc.Field(raster(w.iloc[0]))
-            for row in c.itertuples():
-                crop = raster(row)
-                for setting, values, make in (("threshold", thresholds, masks.background), ("percentile", percentiles, masks.percentile)):
-                    for v in values:
-                        mask = make(crop, v)
-                        rows.append({"setting": setting, "value": float(v), "background_fraction": 1 - masks.coverage(mask), **_scored(field, crop, mask, row.component, row.id)})
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in names.split(", ")])
+    def work(field: ncc.Field, crops: list) -> list[dict]:
+        out = []
+        for row in crops:
+            crop = raster(row)
+            for setting, values, make in (("threshold", thresholds, masks.background), ("percentile", percentiles, masks.percentile)):
+                for v in values:
+                    mask = make(crop, v)
+                    out.append({"setting": setting, "value": float(v), "background_fraction": 1 - masks.coverage(mask), **_scored(field, crop, mask, row.component, row.id)})
+        return out
 
-    return crops.groupBy("view", "id").cogroup(whole.groupBy("view", "id")).applyInPandas(work, names)
+    return _by_image(crops, whole, "setting string, value double, background_fraction double, " + SCORED, work)
 
 
 def turned(crops: DataFrame, whole: DataFrame, angles: tuple[float, ...] = (-15, -10, -5, 0, 5, 10, 15), scales: tuple[float, ...] = (0.9, 0.95, 1.0, 1.05, 1.1)) -> DataFrame:
     """The best of all rotations and scales of each crop, the first of equal ones, with its angle and scale."""
-    names = "angle double, scale double, " + FOUND
-
-    def work(c: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
-        rows = []
-        if len(c) and len(w):
-            field = ncc.Field(raster(w.iloc[0]))
-            for row in c.itertuples():
-                crop = raster(row)
-                base = masks.background(crop).astype(np.uint8)
-                best = None
-                for angle in angles:
-                    for scale in scales:
-                        img, mask = shape.warped(crop, angle, scale), shape.warped(base, angle, scale, nearest=True) > 0
-                        if mask.any():
-                            m = ncc.locate(field, img, mask)
-                            if best is None or m["match_score"] > best[0]["match_score"]:
-                                best = (m, angle, scale, img, mask)
-                if best:
-                    m, angle, scale, img, mask = best
-                    window = field.image[m["y"] : m["y"] + m["height"], m["x"] : m["x"] + m["width"]]
-                    rows.append({"angle": angle, "scale": scale, "component": row.component, "id": row.id, **m, **metrics.compare(img, window, mask), "banded": False})
-        return pd.DataFrame(rows, columns=[x.split()[0] for x in names.split(", ")])
-
-    return crops.groupBy("view", "id").cogroup(whole.groupBy("view", "id")).applyInPandas(work, names)
+
+    def work(field: ncc.Field, crops: list) -> list[dict]:
+        out = []
+        for row in crops:
+            crop = raster(row)
+            base = masks.background(crop).astype(np.uint8)
+            best = None
+            for angle in angles:
+                for scale in scales:
+                    img, mask = shape.warped(crop, angle, scale), shape.warped(base, angle, scale, nearest=True) > 0
+                    if mask.any():
+                        m = ncc.locate(field, img, mask)
+                        if best is None or m["match_score"] > best[0]["match_score"]:
+                            best = (m, angle, scale, img, mask)
+            if best:
+                m, angle, scale, img, mask = best
+                window = field.image[m["y"] : m["y"] + m["height"], m["x"] : m["x"] + m["width"]]
+                out.append({"angle": angle, "scale": scale, "component": row.component, "id": row.id, **m, **metrics.compare(img, window, mask), "banded": False})
+        return out
+
+    return _by_image(crops, whole, "angle double, scale double, " + FOUND, work)
 
 
 def _each(df: DataFrame, schema: str, keep: list[str], f) -> DataFrame:
@@ -224,19 +257,17 @@ def verified(flags: DataFrame, boxes: DataFrame, crops: DataFrame, whole: DataFr
     rows = flags.join(known, ["component", "id"]).join(crops, ["split", "image_id"]).withColumn("view", view)
     names = "component string, id int, split string, image_id int, hamming_distance int, b_x int, b_y int, b_width int, b_height int, x int, y int, width int, height int, match_score double, peak_margin double"
 
-    def work(c: pd.DataFrame, w: pd.DataFrame) -> pd.DataFrame:
+    def work(field: ncc.Field, crops: list) -> list[dict]:
         out = []
-        if len(c) and len(w):
-            field = ncc.Field(raster(w.iloc[0]))
-            for row in c.itertuples():
-                crop = raster(row)
-                mask = masks.background(crop)
-                if mask.any() and crop.shape[0] <= field.image.shape[0] and crop.shape[1] <= field.image.shape[1]:
-                    m = ncc.locate(field, crop, mask)
-                    out.append({**{k.split()[0]: getattr(row, k.split()[0]) for k in names.split(", ")[:9]}, **m})
-        return pd.DataFrame(out, columns=[x.split()[0] for x in names.split(", ")])
-
-    found = rows.groupBy("view", "id").cogroup(whole.groupBy("view", "id")).applyInPandas(work, names)
+        for row in crops:
+            crop = raster(row)
+            mask = masks.background(crop)
+            if mask.any() and crop.shape[0] <= field.image.shape[0] and crop.shape[1] <= field.image.shape[1]:
+                m = ncc.locate(field, crop, mask)
+                out.append({**{k.split()[0]: getattr(row, k.split()[0]) for k in names.split(", ")[:9]}, **m})
+        return out
+
+    found = _by_image(rows, whole, names, work)
     a, b = geometry.box(), geometry.box("b_")
     dx, dy = geometry.displacement(a, b)
     return found.withColumns({"iou": geometry.iou(a, b), "dx": dx, "dy": dy}).drop("b_x", "b_y", "b_width", "b_height")
