@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -21,69 +22,82 @@ def _mean_path(n: float) -> float:
     return 1.0 if n == 2 else 2 * (math.log(n - 1) + 0.5772156649015329) - 2 * (n - 1) / n
 
 
-def grow(x: np.ndarray, rng: np.random.Generator, depth: int) -> tuple:
-    """A tree as (feature, cut, below, above), leaves as (rows,)."""
-    wide = np.flatnonzero(x.max(0) > x.min(0)) if len(x) > 1 else []
-    if depth == 0 or not len(wide):
-        return (len(x),)
-    f = int(rng.choice(wide))
-    cut = float(rng.uniform(x[:, f].min(), x[:, f].max()))
-    on = x[:, f] < cut
-    return (f, cut, grow(x[on], rng, depth - 1), grow(x[~on], rng, depth - 1))
+@dataclass
+class Forest:
+    """All trees' nodes in one set of arrays: feature and cut, both followers (a leaf follows itself) and the path length where a row ends."""
 
+    feature: np.ndarray
+    cut: np.ndarray
+    follow: np.ndarray
+    length: np.ndarray
+    roots: np.ndarray
+    depth: int
+    norm: float
 
-def fit(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> tuple[list[tuple], float]:
+
+def fit(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> Forest:
     rng = np.random.default_rng(seed)
     n = min(sample, len(x))
     depth = max(1, math.ceil(math.log2(max(2, n))))
-    return [grow(x[rng.choice(len(x), n, replace=False)], rng, depth) for _ in range(trees)], _mean_path(n)
-
-
-def _depths(tree: tuple, x: np.ndarray, at: np.ndarray, depth: int, out: np.ndarray) -> None:
-    if len(tree) == 1:
-        out[at] += depth + _mean_path(tree[0])
-        return
-    on = x[at, tree[0]] < tree[1]
-    if on.any():
-        _depths(tree[2], x, at[on], depth + 1, out)
-    if not on.all():
-        _depths(tree[3], x, at[~on], depth + 1, out)
-
-
-def scores(model: tuple[list[tuple], float], x: np.ndarray) -> np.ndarray:
-    """Between 0 and 1; the larger, the easier a row is to set apart."""
-    trees, norm = model
-    out = np.zeros(len(x))
-    for t in trees:
-        _depths(t, x, np.arange(len(x)), 0, out)
-    return 2 ** -(out / len(trees) / (norm or 1))
+    nodes: list[list] = []  # feature, cut, below, above, length
+    roots = []
+    for _ in range(trees):
+        roots.append(len(nodes))
+        nodes.append([0, 0.0, 0, 0, 0.0])
+        open_ = [(roots[-1], x[rng.choice(len(x), n, replace=False)], 0)]
+        while open_:
+            at, rows, level = open_.pop()
+            wide = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) > 1 and level < depth else []
+            if not len(wide):
+                nodes[at] = [0, 0.0, at, at, level + _mean_path(len(rows))]
+                continue
+            f = int(rng.choice(wide))
+            cut = float(rng.uniform(rows[:, f].min(), rows[:, f].max()))
+            on = rows[:, f] < cut
+            nodes[at] = [f, cut, len(nodes), len(nodes) + 1, 0.0]
+            open_ += [(len(nodes), rows[on], level + 1), (len(nodes) + 1, rows[~on], level + 1)]
+            nodes += [[0, 0.0, 0, 0, 0.0], [0, 0.0, 0, 0, 0.0]]
+    columns = list(zip(*nodes))
+    follow = np.array(columns[2:4], np.int32).T.ravel()
+    return Forest(np.array(columns[0], np.int32), np.array(columns[1]), follow, np.array(columns[4]), np.array(roots, np.int32), depth, _mean_path(n) or 1.0)
+
+
+def scores(model: Forest, x: np.ndarray, together: int = 512) -> np.ndarray:
+    """Between 0 and 1; the larger, the easier a row is to set apart. All trees are walked a level at a time for `together` rows."""
+    out = np.empty(len(x))
+    for a in range(0, len(x), together):
+        part = x[a : a + together]
+        at = np.repeat(model.roots[:, None], len(part), 1)
+        row = np.arange(len(part))
+        for _ in range(model.depth):
+            at = model.follow[2 * at + (part[row, model.feature[at]] >= model.cut[at])]
+        out[a : a + together] = 2 ** -(model.length[at].mean(0) / model.norm)
+    return out
 
 
 def anomalies(df: DataFrame, group: str, features: list[str], contamination: float = 0.05, seed: int = 0, pool: int = 20_000) -> DataFrame:
     """Adds anomaly_score and outlier (the top `contamination` of each group), one model a group.
 
-    A model needs TREES samples of SAMPLE rows, so it is fitted on the `pool` rows of a group that come first by a hash of their features; all rows
+    A model needs TREES samples of SAMPLE rows, so it is fitted on a random sample of about `pool` rows of a group, or on all of a smaller one, drawn for all groups in one pass; all rows
     are scored and the cut is the exact percentile over all of them. Rows with a null feature or group get null in both. Groups are few: their models
     are sent to every task.
     """
     ok = F.lit(True)
     for f in [group, *features]:
         ok = ok & F.col(f).isNotNull()
-    rows = df.where(ok).select(F.col(group).cast("string").alias("_g"), *features)
-    total = {r["_g"]: r["n"] for r in rows.groupBy("_g").agg(F.count("*").alias("n")).collect()}
-    models = {}
-    for g in sorted(total):
-        mine = rows.where(F.col("_g") == g)
-        first = mine.orderBy(F.xxhash64(*features)).limit(pool).toPandas()
-        models[g] = fit(first[features].to_numpy(float), seed=seed)
+    rows = df.where(ok).select(F.col(group).cast("string").alias("_g"), *[F.col(f).cast("double").alias(f) for f in features])
+    sizes = rows.groupBy("_g").agg((F.lit(float(pool)) / F.count("*")).alias("_share"))
+    drawn = rows.join(F.broadcast(sizes), "_g").where(F.rand(seed) < F.col("_share")).drop("_share").toPandas()
+    models = {g: fit(part[features].to_numpy(float), seed=seed) for g, part in drawn.groupby("_g")}
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             s = np.full(len(b), np.nan)
             good = b[[group, *features]].notna().all(axis=1).to_numpy()
             for g, at in b[good].groupby(b[group][good].astype(str)).indices.items():
-                at = np.flatnonzero(good)[at]
-                s[at] = np.round(scores(models[g], b[features].to_numpy(float)[at]), 12)
+                if g in models:
+                    at = np.flatnonzero(good)[at]
+                    s[at] = np.round(scores(models[g], b[features].to_numpy(float)[at]), 12)
             b["anomaly_score"] = pd.Series(s, index=b.index).astype("Float64").where(good, pd.NA)
             yield b
 

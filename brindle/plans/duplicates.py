@@ -110,7 +110,7 @@ def _pairs_sql(bits, most):
 @register("hamming_pairs", _pairs_sql(62, 20))
 def hamming_pairs(spark, sf_dir):
     h = _hashes(spark, sf_dir, 62)
-    out = dedup.hamming_join(h, h, "label", "h", 20).where("l_vec_id < r_vec_id")
+    out = dedup.hamming_join(h, h, "label", "h", 20, order="vec_id")
     return out.select(F.col("l_label").alias("label"), F.col("l_vec_id").alias("a"), F.col("r_vec_id").alias("b"), "distance")
 
 

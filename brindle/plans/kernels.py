@@ -105,4 +105,5 @@ def whole_body_boxes(spark, sf_dir):
 @register("isolation_forest")
 def isolation_forest(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")
+    items = items.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
     return forest.anomalies(items, "l_returnflag", ["l_quantity", "l_extendedprice", "l_discount", "l_tax"])

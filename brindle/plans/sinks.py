@@ -34,8 +34,10 @@ def markdown_rows(df: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def markdown(df: DataFrame, columns: dict[str, str], most: int = 10_000) -> str:
-    """The table as text, for summaries; at most `most` rows reach the driver."""
-    lines = [r["line"] for r in markdown_rows(df.limit(most), columns).collect()]
+    """The whole table as text, for summaries; a table of more than `most` rows is refused, as it belongs in files (see markdown_rows)."""
+    lines = [r["line"] for r in markdown_rows(df.limit(most + 1), columns).collect()]
+    if len(lines) > most:
+        raise ValueError(f"over {most} rows; write markdown_rows() as text instead")
     return "\n".join([f"| {' | '.join(columns)} |", "|" + "---|" * len(columns), *lines])
 
 
