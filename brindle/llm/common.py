@@ -14,6 +14,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 #: A value counts as hot above one part in so many of all rows, so there are never more hot values than that.
 HOT_PARTS = 1000
+#: Hash buckets of flags_of().
+FLAGS = 1 << 24
 
 _written: list[str] = []
 
@@ -26,6 +28,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; one of our own only where the session names none."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         path = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
@@ -85,6 +89,28 @@ def release(spark: SparkSession, since: int = 0) -> None:
         _delete(spark, _written.pop())
 
 
+def flags_of(keys: DataFrame, columns: list[str]) -> Column:
+    """Which of a fixed number of hash buckets some key of a table falls in, 64 to a long: 2 MB at any size, so it can go to every task.
+
+    flagged() is true for all keys of the table and for few others while these are fewer than FLAGS; a join decides. So rows that have no partner needn't move.
+    """
+    at = _flag(*[F.col(c) for c in columns])
+    hit = keys.select(F.shiftright(at, 6).alias("b"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63)).alias("on"))
+    hit = hit.groupBy("b").agg(F.bit_or("on").alias("on"))
+    every = keys.sparkSession.range(FLAGS // 64).select(F.col("id").cast("int").alias("b"))
+    x = every.join(hit, "b", "left").select(F.struct("b", F.coalesce("on", F.lit(0).cast("bigint")).alias("on")).alias("x"))
+    return saved(x.agg(F.sort_array(F.collect_list("x")).alias("f")).select(F.transform("f", lambda y: y["on"]).alias("f")), "flags").scalar()
+
+
+def _flag(*columns: Column) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(FLAGS)).cast("int")
+
+
+def flagged(flags: Column, *columns: Column) -> Column:
+    at = _flag(*columns)
+    return F.call_function("shiftright", F.get(flags, F.shiftright(at, 6)), at.bitwiseAND(63)).bitwiseAND(F.lit(1)) == 1
+
+
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import GAP, documents, dropped, kept, saved, text_of, with_unique, written
+from brindle.llm.common import GAP, documents, dropped, flagged, flags_of, kept, saved, text_of, with_unique, written
 
 #: Two lines match if their word sets have a Jaccard similarity of 4/5 at least. Shorter lines than LEAST different words recur by chance and stay.
 LEAST = 5
@@ -15,7 +15,7 @@ WHOLE = 40
 PARTS = 4
 #: Up to so many different words 64 bits of parity tell lines apart well enough.
 LONG = 72
-RANKS, FLAGS = 1 << 16, 1 << 24
+RANKS = 1 << 16
 LOW48 = (1 << 48) - 1
 NO_ID = -(1 << 63)
 #: What names a class: the place of its first line, and the parity for ids that repeat with other texts.
@@ -108,25 +108,6 @@ def described(rows: DataFrame, least: int) -> DataFrame:
     )
 
 
-def flags_of(keys: DataFrame) -> Column:
-    """Which of a fixed number of hash buckets some (doc, line) falls in, 64 to a long; lets a scan pass over nearly all other lines."""
-    at = flag(F.col("doc"), F.col("line"))
-    hit = keys.select(F.shiftright(at, 6).alias("b"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63)).alias("on"))
-    hit = hit.groupBy("b").agg(F.bit_or("on").alias("on"))
-    every = keys.sparkSession.range(FLAGS // 64).select(F.col("id").cast("int").alias("b"))
-    x = every.join(hit, "b", "left").select(F.struct("b", F.coalesce("on", F.lit(0).cast("bigint")).alias("on")).alias("x"))
-    return saved(x.agg(F.sort_array(F.collect_list("x")).alias("f")).select(F.transform("f", lambda y: y["on"]).alias("f")), "flags").scalar()
-
-
-def flag(doc: Column, line: Column) -> Column:
-    return F.pmod(F.xxhash64(doc, line), F.lit(FLAGS)).cast("int")
-
-
-def flagged(flags: Column, doc: Column, line: Column) -> Column:
-    at = flag(doc, line)
-    return F.call_function("shiftright", F.get(flags, F.shiftright(at, 6)), at.bitwiseAND(63)).bitwiseAND(F.lit(1)) == 1
-
-
 def posted(firsts: DataFrame) -> DataFrame:
     """A row for each prefix word of each class: tok, doc, line, at (number of words and place among them), parity and wide (null for short lines)."""
     rows = firsts.select(*OWN, "n", "wide", F.posexplode("prefix").alias("pos", "tok"))
@@ -163,7 +144,7 @@ def involved(firsts: DataFrame) -> DataFrame:
 def with_words(rows: DataFrame, docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
     """Posted rows with all words of their line. The words are made again from the texts of just the lines that take part."""
     wanted = saved(rows.select("doc", "line").distinct(), "wanted")
-    lines = line_rows(docs, id_col, text_col).where(flagged(flags_of(wanted), F.col("doc"), F.col("line")))
+    lines = line_rows(docs, id_col, text_col).where(flagged(flags_of(wanted, ["doc", "line"]), F.col("doc"), F.col("line")))
     lines = lines.join(wanted, ["doc", "line"]).select("doc", "line", tokens(F.col("words"), ranks).alias("tok"))
     # repeated ids may have other texts
     sets = saved(lines.select("doc", "line", _turned(F.col("tok")).alias("parity"), F.col("tok").alias("words")), "wordsets")
@@ -198,8 +179,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = every.where(taking)
     classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("times"))
     classes = saved(classes, "lineclasses")
-    at_first = classes.select("h1", "h2", "first.doc", "first.line")
-    firsts = rows.where(F.col("prefix").isNotNull()).join(at_first, ["h1", "h2", "doc", "line"])
+    # a line alone in its class is its first; only those that flags don't show to be alone are looked up, by their place, so that no frequent line gathers
+    flags = flags_of(classes.where("times > 1"), ["h1", "h2"])
+    several = flagged(flags, F.col("h1"), F.col("h2"))
+    told = rows.where(F.col("prefix").isNotNull())
+    at_first = classes.where(several).select("h1", "h2", "first.doc", "first.line")
+    firsts = told.where(~several).unionByName(told.where(several).join(at_first, ["h1", "h2", "doc", "line"], "left_semi"))
     if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
         firsts = firsts.dropDuplicates(OWN)
     firsts = saved(firsts.select("h1", "h2", *OWN, "n", "wide", "prefix"), "firsts")
@@ -228,7 +213,7 @@ def deduplicated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     since = written()
     lost = kept(removed_lines(docs, id_col, text_col, whole, least), "lost", since)
     key = key_of(id_col)
-    hit = flagged(flags_of(lost.select("doc", F.lit(0).alias("line"))), key, F.lit(0))
+    hit = flagged(flags_of(lost, ["doc"]), key)
     own, gone, some_gone = _fresh(docs.columns, "key"), _fresh(docs.columns, "removed"), _fresh(docs.columns, "hit")
     keyed = docs.withColumns({own: key, some_gone: hit})
     lines = F.split(F.col(text_col), "\n")

@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import kept, saved, with_unique, written
+from brindle.llm.common import flagged, flags_of, kept, saved, with_unique, written
 from brindle.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -245,8 +245,9 @@ def alike(pairs: DataFrame, docs: DataFrame, each: DataFrame, id_col: str, text_
 
     pairs = saved(pairs, "nearpairs")
     wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wantedsets")
-    some = each.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("id").alias("id")).select("id").distinct()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(some, "id", "left_semi").select("text")
+    some = saved(each.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("id").alias("id")).select("id").distinct(), "wantedids")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(flagged(flags_of(some, ["id"]), F.col("id")))
+    rows = rows.join(some, "id", "left_semi").select("text")
     # an id may have other texts too
     sets = rows.mapInPandas(work, "h long, s array<long>").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("s").alias("s"))
     sets = saved(sets, "sets")
@@ -313,10 +314,13 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with the same id are one document and stay together. Rows without an id can't be named, so they take no part and stay.
     """
     since = written()
-    first = alike_components(docs.where(F.col(id_col).isNotNull()), id_col, text_col).where("id = component").select(F.col("id").alias("_id")).distinct()
-    first = kept(first, "firsts", since)
-    named = docs.where(F.col(id_col).isNotNull()).join(first, F.col(id_col) == F.col("_id"), "left_semi")
-    return named.unionByName(docs.where(F.col(id_col).isNull()))
+    taking = docs.where(F.col(id_col).isNotNull())
+    stays = alike_components(taking, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.bool_or(F.col("id") == F.col("component")).alias("_stays"))
+    gone = stays.where("not _stays").select("_id")
+    gone = kept(gone, "nearcopies", since)
+    hit = flagged(flags_of(gone, ["_id"]), F.col(id_col))
+    # only rows that may go are looked up; all others stay where they are
+    return docs.where(~hit | F.col(id_col).isNull()).unionByName(taking.where(hit).join(gone, F.col(id_col) == F.col("_id"), "left_anti"))
 
 
 def hex16(column: str):
