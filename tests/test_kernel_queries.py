@@ -99,10 +99,9 @@ def test_hashes_and_near_duplicates(spark, images):
     same = sum((got[k].phash ^ h) & (2**64 - 1) == 0 for k, h in want.items())
     assert set(got) == set(want) and same >= 0.99 * len(want)  # a coefficient may equal the median but for rounding
     bright = {k: slow_hash(np.minimum(255, images[k[0]][0].astype(float) + 3)) for k in want}
-    pairs = {(r[0], r[1]) for r in catalog.QUERIES["perceptual_near_duplicates"](spark, SF).select("left_id", "right_id").collect()} if "left_id" in catalog.QUERIES["perceptual_near_duplicates"](spark, SF).columns else None
-    if pairs is not None:
-        slow = {(i, j) for (i, x), h in want.items() for (j, y), g in bright.items() if x == y and ((h ^ g) & (2**64 - 1)).bit_count() <= 4}
-        assert len(pairs ^ slow) <= 0.02 * len(slow) + 2
+    pairs = {(r.l_id, r.r_id) for r in catalog.QUERIES["perceptual_near_duplicates"](spark, SF).collect()}
+    slow = {(i, j) for (i, x), h in want.items() for (j, y), g in bright.items() if x == y and ((h ^ g) & (2**64 - 1)).bit_count() <= 4}
+    assert len(pairs ^ slow) <= 0.02 * len(slow) + 2
 
 
 def test_cleaned_boxes(spark, images):
