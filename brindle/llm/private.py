@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import GAP, documents, saved, text_of
+from brindle.llm.common import GAP, documents, flagged, flags_of, saved, text_of
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
 #: In this order; a term that discloses an entity comes last.
@@ -24,6 +24,7 @@ NEEDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "ph
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 TRIM = " .,;:!?\"'()[]{}<>|*#$%&/\\=_`~+-–—…«»“”„’"
 BUCKETS = 1 << 16
+RUN = r"[\p{L}\p{N}]+"
 
 
 @dataclass(frozen=True)
@@ -154,18 +155,32 @@ def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str =
     Co-occurrence is counted by whole line, and again by whole document, for terms that stand on other lines than the entity. A unit counts once
     however often its text occurs, so copies are one witness.
     """
-    text = text_of(text_col)
-    lines = docs.select(F.explode(F.split(text, "\n")).alias("line"))
-    both = _disclosing(lines, rule).unionByName(_disclosing(docs.select(text.alias("line")), rule))
+    texts = docs.select(text_of(text_col).alias("line"))
+    # no match holds a line break, so a document's matches are those of its lines, and only these documents are searched again
+    holders = saved(texts.where(_holds("line")), "holders")
+    both = _disclosing(_lines(texts), _lines(holders), rule).unionByName(_disclosing(texts, holders, rule))
     return both.groupBy("term").agg(F.max("removed").alias("removed"))
 
 
-def _disclosing(lines: DataFrame, rule: Disclosure) -> DataFrame:
-    """(term, removed) with the texts of lines as units.
+def _lines(texts: DataFrame) -> DataFrame:
+    return texts.select(F.explode(F.split("line", "\n")).alias("line"))
+
+
+def _holds(text: str) -> Column:
+    """Whether a text has any valid match."""
+    out = F.lit(False)
+    for kind in PATTERNS:
+        some = F.exists(F.regexp_extract_all(text, F.lit(PATTERNS[kind]), F.lit(0)), lambda m: valid(kind, m))  # noqa: B023
+        out = out | F.when(F.col(text).rlike(NEEDS[kind]), some).otherwise(F.lit(False))
+    return out
+
+
+def _disclosing(lines: DataFrame, holders: DataFrame, rule: Disclosure) -> DataFrame:
+    """(term, removed) with the texts of lines as units; holders has all of them that hold an entity, and maybe others.
 
     Terms are first counted beside entities, which only units with an entity have; only terms with enough support there are then counted over all units.
     """
-    some = lines.where(F.col("line").rlike("@|[0-9]")).select("line", F.xxhash64("line").alias("line_id"))
+    some = holders.where(F.col("line").rlike("@|[0-9]")).select("line", F.xxhash64("line").alias("line_id"))
     near = saved(contexts(some, rule.support), "contexts")
     pairs = saved(near.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support), "support")
     empty = pairs.limit(0).select("term", F.lit(True).alias("removed"))
@@ -191,24 +206,40 @@ def _disclosing(lines: DataFrame, rule: Disclosure) -> DataFrame:
 
 def term_lines(lines: DataFrame, terms: DataFrame) -> DataFrame:
     """(term, line_id), each once: on which different lines each term stands."""
-    words = F.array_distinct(F.transform(F.split("line", GAP), term_of))
-    rows = lines.select(F.xxhash64("line").alias("line_id"), F.explode(words).alias("term"))
-    rows = rows.where(F.get(bucket_filter(terms), bucket(F.col("term"))))
+    rows = lines.select(F.xxhash64("line").alias("line_id"), F.explode(F.split("line", GAP)).alias("word")).select("line_id", term_of(F.col("word")).alias("term"))
+    rows = rows.where(flagged(flags_of(terms, ["term"]), F.col("term")))
     return rows.join(terms, "term", "left_semi").distinct()
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, term, gone): spans of the occurrences of terms (term, removed), whatever their case, and those of removed ones, in the documents that have any."""
-    text = text_of(text_col)
-    words = F.array_distinct(F.transform(F.split(text, GAP), term_of))
-    rows = docs.select(F.col(id_col).alias("id"), text.alias("_t"), F.explode(words).alias("term"))
-    rows = rows.where(F.get(bucket_filter(terms), bucket(F.col("term"))))
+    """(id, term, gone): spans of the occurrences of terms (term, removed), whatever their case, and those of removed ones, in the documents that have any.
+
+    A term holds no white space, so it stands inside one word, and its first run of letters and digits is one of the word's. Words with such a run are
+    found in one pass over the text, and only they are searched for their terms.
+    """
+    heads = saved(terms.withColumn("head", F.regexp_extract("term", RUN, 0)), "heads")
+    flags = flags_of(heads, ["head"])
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_t")).withColumn("_f", flags)
+
+    def runs(word: Column) -> Column:
+        return F.regexp_extract_all(F.lower(word), F.lit(RUN), F.lit(0))
+
+    def step(acc: Column, word: Column) -> Column:
+        hit = F.exists(runs(word), lambda r: flagged(F.col("_f"), r))
+        one = F.array(F.struct(acc["at"].alias("at"), word.alias("word")))
+        return F.struct((acc["at"] + F.length(word) + 1).alias("at"), F.when(hit, F.concat(acc["hits"], one)).otherwise(acc["hits"]).alias("hits"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<at:bigint,word:string>>").alias("hits"))
+    hits = F.aggregate(F.split("_t", r"[\x20\x09-\x0D]", -1), start, step, lambda acc: acc["hits"])
+    rows = rows.select("id", F.explode(hits).alias("hit")).select("id", "hit.at", "hit.word")
+    rows = rows.select("*", F.explode(F.array_distinct(runs(F.col("word")))).alias("head")).where(flagged(flags, F.col("head"))).join(heads, "head")
     pattern = F.concat(F.lit(r"(?iu)(?<![\p{L}\p{N}])\Q"), F.replace(F.col("term"), F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![\p{L}\p{N}])"))
-    spans = placed(F.regexp_extract_all("_t", pattern, F.lit(0)), F.split("_t", pattern, F.lit(-1)), "term")
-    rows = rows.select("id", "term", spans.alias("spans"))
-    gone = F.collect_list(F.when(F.col("removed"), F.col("spans")))
-    every = F.collect_list("spans")
-    return rows.join(terms, "term").groupBy("id").agg(F.array_distinct(F.flatten(every)).alias("term"), F.array_distinct(F.flatten(gone)).alias("gone"))
+    spans = placed(F.regexp_extract_all("word", pattern, F.lit(0)), F.split("word", pattern, F.lit(-1)), "term")
+    moved = F.transform(spans, lambda s: F.struct((s["start"] + F.col("at")).alias("start"), s["kind"].alias("kind"), (s["end"] + F.col("at")).alias("end")))
+    rows = rows.select("id", "removed", moved.alias("spans"))
+    every, gone = F.collect_list("spans"), F.collect_list(F.when(F.col("removed"), F.col("spans")))
+    out = rows.groupBy("id").agg(F.array_distinct(F.flatten(every)).alias("term"), F.array_distinct(F.flatten(gone)).alias("gone"))
+    return out.where(F.size("term") > 0)
 
 
 def personal(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
