@@ -14,6 +14,22 @@ def exact_groups(df: DataFrame, content: str, member: list[str], digest: str = "
     return hashed.groupBy(digest).agg(F.count("*").alias("n"), F.array_sort(F.collect_list("m")).alias("members")).where("n > 1")
 
 
+def first_groups(df: DataFrame, content: str, item: str, n: int) -> DataFrame:
+    """(md5, n, first_<item>): of the contents that occur more than once the n with the smallest item, by it. Members are never gathered."""
+    hashed = df.where(F.col(content).isNotNull()).select(F.md5(F.col(content).cast("binary")).alias("md5"), item)
+    first = f"first_{item.rsplit('_', 1)[-1]}"
+    return hashed.groupBy("md5").agg(F.count("*").alias("n"), F.min(item).alias(first)).where("n > 1").orderBy(first, "md5").limit(n)
+
+
+def duplicate_counts(df: DataFrame, content: str) -> DataFrame:
+    """One row: files, unique contents, groups of equal ones, files in them, the largest group."""
+    hashed = df.where(F.col(content).isNotNull()).groupBy(F.md5(F.col(content).cast("binary")).alias("md5")).agg(F.count("*").alias("n"))
+    several = F.when(F.col("n") > 1, F.col("n"))
+    return hashed.agg(
+        F.sum("n").alias("files"), F.count("*").alias("unique"), F.count(several).alias("groups"), F.coalesce(F.sum(several), F.lit(0)).alias("grouped files"), F.max("n").alias("largest group")
+    )
+
+
 def hash_counts(df: DataFrame, content: str) -> DataFrame:
     """(files, unique_hashes)."""
     return df.where(F.col(content).isNotNull()).agg(F.count("*").alias("files"), F.count_distinct(F.md5(F.col(content).cast("binary"))).alias("unique_hashes"))

@@ -43,3 +43,15 @@ def classify(text: Column, phrases: dict[str, str], strict: bool = False) -> Col
     hits = F.array_compact(F.array(*[F.when(F.contains(F.lower(text), F.lit(p)), F.lit(code)) for p, code in phrases.items()]))
     fault = F.raise_error(F.concat(F.lit("not exactly one phrase: "), text)).cast("string") if strict else F.lit(None).cast("string")
     return F.when(F.size(hits) == 1, F.get(hits, F.lit(0))).otherwise(fault)
+
+
+def note_columns(df: DataFrame, keys: list[str], by: str, names: dict[str, str], values: list[str], form: str) -> DataFrame:
+    """A row a key with one note column for each named value of `by`: its rows' values in the given form, sorted, joined by semicolons; null without rows.
+
+    One aggregation gives all columns, so a table takes them by one join instead of one a column. Notes are meant for a few rows a key.
+    """
+    rows = df.where(F.col(by).isin(*names))
+    said = F.struct(*values, F.format_string(form, *map(F.col, values)).alias("_said"))
+    lists = [F.array_sort(F.collect_list(F.when(F.col(by) == k, said))).alias(name) for k, name in names.items()]
+    joined = [F.nullif(F.array_join(F.transform(name, lambda x: x["_said"]), ";"), F.lit("")).alias(name) for name in names.values()]
+    return rows.groupBy(*keys).agg(*lists).select(*keys, *joined)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -79,12 +79,37 @@ def raster_stats(values: str) -> dict[str, Column]:
     return {"pixel_min": F.array_min(v), "pixel_max": F.array_max(v), "pixel_mean": mean, "pixel_median": median, "pixel_std": F.sqrt(var)}
 
 
-def sampled_ids(df: DataFrame, key: str, n: int, seed: int = 0) -> list:
-    """The seeded sample that Python's random gives on the sorted distinct ids; for id lists that fit the driver."""
+def sampled_ids(df: DataFrame, key: str, n: int, seed: int = 0, width: int = 16) -> list:
+    """The seeded sample that Python's random gives on the sorted distinct integer ids.
+
+    random chooses places, which need the number of ids alone; only the n ids at those places come to the driver, with a count for each 2^width ids.
+    """
+    import bisect
+    import itertools
     import random
 
-    ids = sorted(r[0] for r in df.where(F.col(key).isNotNull()).select(key).distinct().collect())
-    return random.Random(seed).sample(ids, min(n, len(ids)))
+    ids = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id")).distinct()
+    block = F.shiftright("id", width)
+    counts = [tuple(r) for r in ids.groupBy(block.alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()]
+    ends = list(itertools.accumulate(c for _, c in counts))
+    total = ends[-1] if ends else 0
+    wanted = []
+    for place in random.Random(seed).sample(range(total), min(n, total)):
+        k = bisect.bisect_right(ends, place)
+        wanted.append((counts[k][0], place - (ends[k] - counts[k][1])))
+    if not wanted:
+        return []
+    order = Window.partitionBy("b").orderBy("id")
+    rows = ids.withColumn("b", block).where(F.col("b").isin([b for b, _ in wanted])).withColumn("r", F.row_number().over(order) - 1)
+    picks = df.sparkSession.createDataFrame(wanted, "b bigint, r int")
+    found = {(x["b"], x["r"]): x["id"] for x in rows.join(F.broadcast(picks), ["b", "r"]).collect()}
+    return [found[w] for w in wanted]
+
+
+def sampled_row(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
+    """(group, key): one row a group, the same for a seed: the key with the least hash. Each task keeps one row a group, and nothing is sorted."""
+    at = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key))
+    return df.where(F.col(group).isNotNull()).groupBy(group).agg(F.min_by(key, at).alias(key))
 
 
 def sweep(df: DataFrame, params: DataFrame) -> DataFrame:

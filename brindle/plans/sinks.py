@@ -44,3 +44,18 @@ def markdown(df: DataFrame, columns: dict[str, str], most: int = 10_000) -> str:
 def plot_points(df: DataFrame, x: Column, y: Column, panel: str, flag: str) -> DataFrame:
     """(panel, x, y, flagged): what a scatter grid draws."""
     return df.select(F.col(panel).alias("panel"), x.cast("double").alias("x"), y.cast("double").alias("y"), F.col(flag).alias("flagged"))
+
+
+def counted_lines(counts: DataFrame) -> DataFrame:
+    """(name, n): the columns of a one-row table of counts as lines."""
+    each = [F.struct(F.lit(c).alias("name"), F.col(c).cast("bigint").alias("n")) for c in counts.columns]
+    return counts.select(F.inline(F.array(*each)))
+
+
+def console(counts: DataFrame, of: str | None = None) -> str:
+    """Prints a one-row table of counts, a line each, with its share of the count named `of`; gives the text back."""
+    row = counts.first()
+    total = row[of] if of else None
+    text = "\n".join(f"{c}: {row[c]}" + (f" ({row[c] / total:.1%})" if total and c != of else "") for c in counts.columns)
+    print(text)
+    return text

@@ -36,3 +36,19 @@ def gray(bgr: np.ndarray) -> np.ndarray:
     if bgr.ndim == 2 or bgr.shape[2] == 1:
         return bgr.reshape(bgr.shape[:2])
     return np.round(bgr[..., 0] * 0.114 + bgr[..., 1] * 0.587 + bgr[..., 2] * 0.299).astype(np.uint8)
+
+
+def outlined(img: np.ndarray, boxes: list[tuple[int, int, int, int]], alpha: float = 1.0, colour: tuple[int, int, int] = (0, 255, 255)) -> np.ndarray:
+    """The raster in three channels with a line of one pixel from (x, y) to (x + width, y + height) around each box, blended once where boxes cross.
+
+    What lies outside the raster isn't drawn.
+    """
+    tall, wide = img.shape
+    ys, xs = np.mgrid[:tall, :wide]
+    on = np.zeros(img.shape, bool)
+    for x, y, w, h in boxes:
+        level, upright = np.isin(ys, (y, y + h)), np.isin(xs, (x, x + w))
+        on |= (level & (xs >= x) & (xs <= x + w)) | (upright & (ys >= y) & (ys <= y + h))
+    out = np.repeat(img[..., None], 3, axis=2).astype(float)
+    out[on] = (1 - alpha) * out[on] + alpha * np.asarray(colour, float)
+    return out.astype(np.uint8)

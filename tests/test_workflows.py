@@ -5,8 +5,9 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from brindle import sources, streaming
-from brindle.operators import dedup, enrich, forest, geometry, robust
+from brindle.operators import dedup, enrich, forest, geometry, profile, robust
 from brindle.plans import sinks, workflows
+from brindle.raster import mask as masks
 
 IMG = "view string, id int, height int, width int, data binary"
 CROP = "component string, part string, view string, id int, height int, width int, data binary"
@@ -179,3 +180,33 @@ def test_metrics_both_ways(spark):
     for r in (workflows.located(c, w).first(), workflows.swept(c, w, thresholds=(2,)).first()):
         assert (r.x, r.y) == (10, 20) and r.mae_masked_eval == 0 and abs(r.mae - img[20:25, 10:30].sum() / 400) < 1e-9
         assert r.near_exact_fraction == 0.75 and r.near_exact_fraction_masked_eval == 1
+
+
+def test_samples_reports_and_outlines(spark, capsys):
+    import random
+
+    ids = [5, 9, -3, 70000, 70001, 131072, 131073, 12, 5]
+    df = spark.createDataFrame([(i,) for i in [*ids, None]], "id long")
+    for seed in range(3):
+        assert profile.sampled_ids(df, "id", 4, seed) == random.Random(seed).sample(sorted(set(ids)), 4)
+    assert profile.sampled_ids(df.limit(0), "id", 4) == []
+    counts = dedup.duplicate_counts(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string"), "t")
+    assert sinks.console(counts, "files") == capsys.readouterr().out.rstrip("\n")
+    assert [tuple(r) for r in sinks.counted_lines(counts).collect()] == [("files", 3), ("unique", 2), ("groups", 1), ("grouped files", 2), ("largest group", 2)]
+    img = np.full((6, 8), 100, np.uint8)
+    out = masks.outlined(img, [(1, 1, 3, 2), (6, 4, 9, 9)], alpha=0.5)
+    want = {(y, x) for x in range(1, 5) for y in (1, 3)} | {(2, 1), (2, 4), (4, 6), (4, 7), (5, 6)}
+    assert {(int(y), int(x)) for y, x in zip(*np.nonzero((out != 100).any(axis=2)))} == want and tuple(out[1, 1]) == (50, 177, 177)
+
+
+def test_stream_of_windows_and_first_seen(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    rows = [{"ts": f"2024-01-01T0{h}:10:00", "event_type": "a", "value": v, "md5": m} for h, v, m in ((1, 1.0, "x"), (1, 3.0, "x"), (2, 5.0, "y"), (9, 0.0, "z"))]
+    (tmp_path / "e" / "1.json").write_text("\n".join(map(json.dumps, rows)))
+    made = spark.readStream.schema("ts timestamp, event_type string, value double, md5 string").json(str(tmp_path / "e"))
+    for name, df in (("win", streaming.windowed_counts(made)), ("once", streaming.first_seen(made, time="ts"))):
+        q = df.writeStream.format("memory").queryName(name).outputMode("append").start()
+        q.processAllAvailable()
+        q.stop()
+    assert sorted((r.n, r["mean"]) for r in spark.table("win").collect()) == [(1, 5.0), (2, 2.0)]
+    assert sorted(r.md5 for r in spark.table("once").collect()) == ["x", "y", "z"]
