@@ -50,9 +50,9 @@ def two_key_order(spark, sf_dir):
     return listed.select("x.o_orderpriority", "x.o_totalprice", "x.o_orderkey", (F.col("place") + 1).alias("place"))
 
 
-@register("suffix_filter", "SELECT p_partkey, p_type FROM part WHERE suffix(p_type, '')")
+@register("suffix_filter", "SELECT p_partkey, p_type FROM part WHERE suffix(p_type, 'ARD')")
 def suffix_filter(spark, sf_dir):
-    return table(spark, sf_dir, "part").where(F.col("p_type").endswith("")).select("p_partkey", "p_type")
+    return table(spark, sf_dir, "part").where(F.col("p_type").endswith("ARD")).select("p_partkey", "p_type")
 
 
 @register(
