@@ -89,25 +89,25 @@ def release(spark: SparkSession, since: int = 0) -> None:
         _delete(spark, _written.pop())
 
 
-def flags_of(keys: DataFrame, columns: list[str]) -> Column:
+def flags_of(keys: DataFrame, columns: list[str], buckets: int = FLAGS) -> Column:
     """Which of a fixed number of hash buckets some key of a table falls in, 64 to a long: 2 MB at any size, so it can go to every task.
 
-    flagged() is true for all keys of the table and for few others while these are fewer than FLAGS; a join decides. So rows that have no partner needn't move.
+    flagged() is true for all keys of the table and for few others while these are fewer than the buckets; a join decides. So rows that have no partner needn't move.
     """
-    at = _flag(*[F.col(c) for c in columns])
+    at = _flag(*[F.col(c) for c in columns], buckets=buckets)
     hit = keys.select(F.shiftright(at, 6).alias("b"), F.call_function("shiftleft", F.lit(1).cast("bigint"), at.bitwiseAND(63)).alias("on"))
     hit = hit.groupBy("b").agg(F.bit_or("on").alias("on"))
-    every = keys.sparkSession.range(FLAGS // 64).select(F.col("id").cast("int").alias("b"))
+    every = keys.sparkSession.range(buckets // 64).select(F.col("id").cast("int").alias("b"))
     x = every.join(hit, "b", "left").select(F.struct("b", F.coalesce("on", F.lit(0).cast("bigint")).alias("on")).alias("x"))
     return saved(x.agg(F.sort_array(F.collect_list("x")).alias("f")).select(F.transform("f", lambda y: y["on"]).alias("f")), "flags").scalar()
 
 
-def _flag(*columns: Column) -> Column:
-    return F.pmod(F.xxhash64(*columns), F.lit(FLAGS)).cast("int")
+def _flag(*columns: Column, buckets: int = FLAGS) -> Column:
+    return F.pmod(F.xxhash64(*columns), F.lit(buckets)).cast("int")
 
 
-def flagged(flags: Column, *columns: Column) -> Column:
-    at = _flag(*columns)
+def flagged(flags: Column, *columns: Column, buckets: int = FLAGS) -> Column:
+    at = _flag(*columns, buckets=buckets)
     return F.call_function("shiftright", F.get(flags, F.shiftright(at, 6)), at.bitwiseAND(63)).bitwiseAND(F.lit(1)) == 1
 
 

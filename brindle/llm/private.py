@@ -109,8 +109,8 @@ def spans_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def term_of(word: Column) -> Column:
-    return F.btrim(F.lower(word), F.lit(TRIM))
+def term_of(lower_word: Column) -> Column:
+    return F.btrim(lower_word, F.lit(TRIM))
 
 
 def contexts(units: DataFrame, support: int) -> DataFrame:
@@ -118,21 +118,25 @@ def contexts(units: DataFrame, support: int) -> DataFrame:
 
     Only valid matches are entities and cut out of the text; those on fewer than `support` units are left out up to collisions of buckets.
     """
-    per_kind = []
+    out = None
     for kind in PATTERNS:
-        matches = F.filter(F.regexp_extract_all("line", F.lit(PATTERNS[kind]), F.lit(0)), lambda m: valid(kind, m))  # noqa: B023
-        rows = units.where(F.col("line").rlike(NEEDS[kind])).select("line_id", "line", F.array_distinct(matches).alias("m")).where(F.size("m") > 0)
-        rest = F.aggregate("m", F.col("line"), lambda text, m: F.replace(text, m, F.lit(" ")))
-        rows = rows.select("line_id", rest.alias("rest"), F.explode("m").alias("match"))
-        name = F.lower("match") if kind in ("email", "ip") else F.regexp_replace("match", "[^0-9]", "")
-        per_kind.append(rows.select("line_id", "rest", F.concat(F.lit(kind + ":"), name).alias("entity")))
-    out = per_kind[0]
-    for other in per_kind[1:]:
-        out = out.unionByName(other)
-    often = out.select("line_id", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support)
+        matches, gaps = found(F.col("line"), kind)
+        rows = units.where(F.col("line").rlike(NEEDS[kind])).select("line_id", matches.alias("m"), gaps.alias("g")).where(F.size("m") > 0)
+        parts = F.zip_with("g", "m", lambda g, m: F.struct(g.alias("gap"), m.alias("match"), (m.isNotNull() & F.coalesce(valid(kind, m), F.lit(False))).alias("ok")))  # noqa: B023
+        rows = rows.select("line_id", parts.alias("p")).where(F.exists("p", lambda x: x["ok"]))
+        rest = F.array_join(F.transform("p", lambda x: F.concat(x["gap"], F.when(x["ok"], F.lit(" ")).otherwise(F.coalesce(x["match"], F.lit(""))))), "")
+        good = F.array_distinct(F.transform(F.filter("p", lambda x: x["ok"]), lambda x: x["match"]))
+        rows = rows.select("line_id", F.lit(kind).alias("kind"), rest.alias("rest"), good.alias("m"))
+        out = rows if out is None else out.unionByName(rows)
+    out = saved(out, "units")
+    digits = F.regexp_replace("match", "[^0-9]", "")
+    name = F.concat("kind", F.lit(":"), F.when(F.col("kind").isin("email", "ip"), F.lower("match")).otherwise(digits))
+    often = out.select("line_id", "kind", F.explode("m").alias("match")).select("line_id", name.alias("entity"))
+    often = often.distinct().groupBy("entity").agg(F.count("*").alias("n")).where(F.col("n") >= support)
     often = saved(often.select(F.col("entity").alias("term")), "entities")
-    out = out.where(F.get(bucket_filter(often), bucket(F.col("entity"))))
-    out = out.select("line_id", "entity", F.explode(F.array_distinct(F.transform(F.split("rest", GAP), term_of))).alias("term"))
+    out = out.select("line_id", "kind", F.array_distinct(F.transform(F.split(F.lower("rest"), GAP), term_of)).alias("terms"), F.explode("m").alias("match"))
+    out = out.select("line_id", name.alias("entity"), "terms").where(F.get(bucket_filter(often), bucket(F.col("entity"))))
+    out = out.select("line_id", "entity", F.explode("terms").alias("term"))
     # a letter makes a term; digits alone are the patterns' business
     return out.where(F.col("term").rlike(r"\p{L}") & ~F.col("term").rlike("[0-9@]")).distinct()
 
@@ -149,16 +153,27 @@ def bucket_filter(terms: DataFrame) -> Column:
     return flags.agg(F.array_sort(F.collect_list("x")).alias("f")).select(F.transform("f", lambda x: x["on"])).scalar()
 
 
-def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text") -> DataFrame:
+def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str = "text", holders: DataFrame | None = None) -> DataFrame:
     """(term, removed): the terms that disclose an entity by the rule, from all lines and from all documents of docs.
 
     Co-occurrence is counted by whole line, and again by whole document, for terms that stand on other lines than the entity. A unit counts once
-    however often its text occurs, so copies are one witness.
+    however often its text occurs, so copies are one witness. holders, if given, has the texts (line) that have a valid match.
+
+    Terms are first counted beside entities, which only holders have; only terms with enough support there are then counted over all texts, for lines
+    and documents in the same pass.
     """
     texts = docs.select(text_of(text_col).alias("line"))
-    # no match holds a line break, so a document's matches are those of its lines, and only these documents are searched again
-    holders = saved(texts.where(_holds("line")), "holders")
-    both = _disclosing(_lines(texts), _lines(holders), rule).unionByName(_disclosing(texts, holders, rule))
+    if holders is None:
+        holders = saved(texts.where(_holds("line")), "holders")
+    # no match holds a line break, so a document's matches are those of its lines
+    totals = {"line": _lines(texts).select(F.xxhash64("line").alias("id")), "document": texts.select(F.xxhash64("line").alias("id"))}
+    totals = {unit: max(1, ids.distinct().count()) for unit, ids in totals.items()}
+    pairs = {unit: _supported(_lines(holders) if unit == "line" else holders, totals[unit], rule) for unit in totals}
+    every = saved(pairs["line"].select("term").unionByName(pairs["document"].select("term")).distinct(), "candidates")
+    if every.isEmpty():
+        return every.select("term", F.lit(True).alias("removed"))
+    standing = saved(term_units(texts, every), "termunits")
+    both = _scored(pairs["line"], standing, "line", totals["line"], rule).unionByName(_scored(pairs["document"], standing, "document", totals["document"], rule))
     return both.groupBy("term").agg(F.max("removed").alias("removed"))
 
 
@@ -175,28 +190,21 @@ def _holds(text: str) -> Column:
     return out
 
 
-def _disclosing(lines: DataFrame, holders: DataFrame, rule: Disclosure) -> DataFrame:
-    """(term, removed) with the texts of lines as units; holders has all of them that hold an entity, and maybe others.
-
-    Terms are first counted beside entities, which only units with an entity have; only terms with enough support there are then counted over all units.
-    """
-    some = holders.where(F.col("line").rlike("@|[0-9]")).select("line", F.xxhash64("line").alias("line_id"))
+def _supported(units: DataFrame, total: int, rule: Disclosure) -> DataFrame:
+    """(term, entity, n_te, n_e) of the pairs that may pass: on enough units together, and not ruled out by the term's units beside any entity."""
+    some = units.where(F.col("line").rlike("@|[0-9]")).select("line", F.xxhash64("line").alias("line_id")).dropDuplicates(["line_id"])
     near = saved(contexts(some, rule.support), "contexts")
     pairs = saved(near.groupBy("term", "entity").agg(F.count("*").alias("n_te")).where(F.col("n_te") >= rule.support), "support")
-    empty = pairs.limit(0).select("term", F.lit(True).alias("removed"))
-    if pairs.isEmpty():
-        return empty
-    total = lines.select(F.xxhash64("line").alias("id")).distinct().count()
     n_e = near.select("entity", "line_id").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
     beside = near.select("term", "line_id").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    # a term is on no fewer lines than those beside entities; the least such count that would fail rules its pair out exactly
+    # a term is on no fewer units than those beside entities; the least such count that would fail rules its pair out exactly
     pairs = pairs.join(n_e, "entity").join(beside, "term")
     bar = F.pow(F.col("n_e") / total, F.lit(1 - rule.alpha))
-    pairs = saved(pairs.where(F.col("n_te") / F.col("n_near") >= bar * (1 - 1e-9)).drop("n_near"), "pairs")
-    if pairs.isEmpty():
-        return empty
-    terms = pairs.select("term").distinct()
-    n_t = term_lines(lines, terms).groupBy("term").agg(F.count("*").alias("n_t"))
+    return saved(pairs.where(F.col("n_te") / F.col("n_near") >= bar * (1 - 1e-9)).drop("n_near"), "pairs")
+
+
+def _scored(pairs: DataFrame, standing: DataFrame, unit: str, total: int, rule: Disclosure) -> DataFrame:
+    n_t = standing.select("term", unit).distinct().groupBy("term").agg(F.count("*").alias("n_t"))
     scored = pairs.join(n_t, "term")
     content = -F.log(F.col("n_e") / total)
     pmi = F.log(F.col("n_te") * float(total) / (F.col("n_t") * F.col("n_e")))
@@ -204,9 +212,12 @@ def _disclosing(lines: DataFrame, holders: DataFrame, rule: Disclosure) -> DataF
     return scored.groupBy("term").agg((F.max("share") >= rule.remove).alias("removed"))
 
 
-def term_lines(lines: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, line_id), each once: on which different lines each term stands."""
-    rows = lines.select(F.xxhash64("line").alias("line_id"), F.explode(F.split("line", GAP)).alias("word")).select("line_id", term_of(F.col("word")).alias("term"))
+def term_units(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, line, document), each once: hashes of the different lines, and of the different texts, on which each term stands."""
+    rows = texts.select(F.xxhash64("line").alias("document"), F.explode(F.split("line", "\n")).alias("line"))
+    rows = rows.select("document", F.xxhash64("line").alias("line"), F.explode(F.split(F.lower("line"), GAP)).alias("word"))
+    # exploded, a term is made once; the filter would make it again
+    rows = rows.select("document", "line", F.explode(F.array(term_of(F.col("word")))).alias("term"))
     rows = rows.where(flagged(flags_of(terms, ["term"]), F.col("term")))
     return rows.join(terms, "term", "left_semi").distinct()
 
@@ -214,18 +225,22 @@ def term_lines(lines: DataFrame, terms: DataFrame) -> DataFrame:
 def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, term, gone): spans of the occurrences of terms (term, removed), whatever their case, and those of removed ones, in the documents that have any.
 
-    A term holds no white space, so it stands inside one word, and its first run of letters and digits is one of the word's. Words with such a run are
-    found in one pass over the text, and only they are searched for their terms.
+    A term holds no white space, so it stands inside one word, and its first run of letters and digits is one of the word's. Documents with such a run
+    are found first; in one more pass over just their texts, the words with one, and only these are searched for their terms.
     """
     heads = saved(terms.withColumn("head", F.regexp_extract("term", RUN, 0)), "heads")
     flags = flags_of(heads, ["head"])
-    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_t")).withColumn("_f", flags)
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_t"))
+    held = rows.select("id", F.explode(F.split(F.lower("_t"), r"[^\p{L}\p{N}]+", -1)).alias("head")).where(flagged(flags, F.col("head")))
+    held = saved(held.join(heads.select("head").distinct(), "head", "left_semi").select("id").distinct(), "held")
+    # a column, as a function of each word can't hold the flags themselves; so they are few enough to go with every row
+    rows = rows.where(flagged(flags_of(held, ["id"]), F.col("id"))).withColumn("_f", flags_of(heads, ["head"], BUCKETS))
 
     def runs(word: Column) -> Column:
         return F.regexp_extract_all(F.lower(word), F.lit(RUN), F.lit(0))
 
     def step(acc: Column, word: Column) -> Column:
-        hit = F.exists(runs(word), lambda r: flagged(F.col("_f"), r))
+        hit = F.exists(runs(word), lambda r: flagged(F.col("_f"), r, buckets=BUCKETS))
         one = F.array(F.struct(acc["at"].alias("at"), word.alias("word")))
         return F.struct((acc["at"] + F.length(word) + 1).alias("at"), F.when(hit, F.concat(acc["hits"], one)).otherwise(acc["hits"]).alias("hits"))
 
@@ -251,8 +266,11 @@ def personal(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "do
     """
     rows = base_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), text_of("text"))
     counts = [F.size(k).cast("long").alias(f"n_{k}") for k in PATTERNS]
-    base = rows.select("id", F.array_sort(F.concat(*PATTERNS)).alias("base"), *counts)
-    terms = saved(disclosing(docs, rule, text_col), "terms")
+    base = rows.select("id", F.array_sort(F.concat(*PATTERNS)).alias("base"), *counts, F.col("text").alias("line"))
+    # one pass finds the patterns; the few texts that have any are kept for the terms beside them
+    base = saved(base.withColumn("line", F.when(F.size("base") > 0, F.col("line"))), "base")
+    terms = saved(disclosing(docs, rule, text_col, base.where("line is not null").select("line")), "terms")
+    base = base.drop("line")
     if terms.isEmpty():
         return base.withColumn("spans", F.col("base")).withColumn("removed", F.array().cast(SPAN))
     more = term_spans(docs, terms, id_col, text_col)
