@@ -172,7 +172,11 @@ def disclosing(docs: DataFrame, rule: Disclosure = Disclosure(), text_col: str =
     every = saved(pairs["line"].select("term").unionByName(pairs["document"].select("term")).distinct(), "candidates")
     if every.isEmpty():
         return every.select("term", F.lit(True).alias("removed"))
-    standing = saved(term_units(texts, every), "termunits")
+    # sketches of the number of units show the words that are far too common, whose rows then needn't be written
+    sizes = saved(term_rows(texts, every).groupBy("term").agg(*[F.approx_count_distinct(unit).alias(f"about_{unit}") for unit in totals]), "sizes")
+    pairs = {unit: saved(_not_common(pairs[unit], sizes, unit, totals[unit], rule), "rarer") for unit in totals}
+    every = saved(pairs["line"].select("term").unionByName(pairs["document"].select("term")).distinct(), "candidates")
+    standing = saved(term_rows(texts, every).join(every, "term", "left_semi").distinct(), "termunits")
     both = _scored(pairs["line"], standing, "line", totals["line"], rule).unionByName(_scored(pairs["document"], standing, "document", totals["document"], rule))
     return both.groupBy("term").agg(F.max("removed").alias("removed"))
 
@@ -212,14 +216,20 @@ def _scored(pairs: DataFrame, standing: DataFrame, unit: str, total: int, rule:
     return scored.groupBy("term").agg((F.max("share") >= rule.remove).alias("removed"))
 
 
-def term_units(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, line, document), each once: hashes of the different lines, and of the different texts, on which each term stands."""
+def _not_common(pairs: DataFrame, sizes: DataFrame, unit: str, total: int, rule: Disclosure) -> DataFrame:
+    """Pairs without those that the rule refuses even at half the sketched number of the term's units, twenty times the sketch's standard error off."""
+    most = F.col("n_te") / F.pow(F.col("n_e") / total, F.lit(1 - rule.alpha))
+    rows = pairs.join(sizes.select("term", f"about_{unit}"), "term", "left")
+    return rows.where(F.coalesce(F.col(f"about_{unit}"), F.lit(0)) <= 2 * most + 8).drop(f"about_{unit}")
+
+
+def term_rows(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, line, document): hashes of the line and the text in which each occurrence of a term stands, and few occurrences of others."""
     rows = texts.select(F.xxhash64("line").alias("document"), F.explode(F.split("line", "\n")).alias("line"))
     rows = rows.select("document", F.xxhash64("line").alias("line"), F.explode(F.split(F.lower("line"), GAP)).alias("word"))
     # exploded, a term is made once; the filter would make it again
     rows = rows.select("document", "line", F.explode(F.array(term_of(F.col("word")))).alias("term"))
-    rows = rows.where(flagged(flags_of(terms, ["term"]), F.col("term")))
-    return rows.join(terms, "term", "left_semi").distinct()
+    return rows.where(flagged(flags_of(terms, ["term"]), F.col("term")))
 
 
 def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
