@@ -8,6 +8,7 @@ from brindle.llm.mixing import op5_pfair_mixing
 from brindle.llm.packing import op2_best_fit_packing
 from brindle.llm.private import op9_disclosure
 from brindle.llm.rules import op8_quality_rules
+from brindle.llm.search import OP12_SQL, op12_ranked_search
 from brindle.llm.shards import OP3_SQL, op3_byte_shards
 from brindle.llm.simhash import op6_simhash
 
@@ -22,9 +23,11 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_disclosure": op9_disclosure,
     "op10_html_extraction": op10_html_extraction,
+    "op12_ranked_search": op12_ranked_search,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op3_byte_shards": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
+    "op12_ranked_search": OP12_SQL,
 }
