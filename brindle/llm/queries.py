@@ -5,6 +5,7 @@ from brindle.llm.digest import op4_canonical_digest
 from brindle.llm.extract import op10_html_extraction
 from brindle.llm.lines import OP7_SQL, op7_line_dedup
 from brindle.llm.mixing import op5_pfair_mixing
+from brindle.llm.negatives import OP13_SQL, op13_hard_negatives
 from brindle.llm.packing import op2_best_fit_packing
 from brindle.llm.private import op9_disclosure
 from brindle.llm.rules import op8_quality_rules
@@ -24,10 +25,12 @@ QUERIES = {
     "op9_disclosure": op9_disclosure,
     "op10_html_extraction": op10_html_extraction,
     "op12_ranked_search": op12_ranked_search,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 ORACLE_SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL,
     "op3_byte_shards": OP3_SQL,
     "op7_line_dedup": OP7_SQL,
     "op12_ranked_search": OP12_SQL,
+    "op13_hard_negatives": OP13_SQL,
 }
