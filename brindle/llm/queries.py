@@ -6,6 +6,7 @@ from brindle.llm.extract import op10_html_extraction
 from brindle.llm.lines import OP7_SQL, op7_line_dedup
 from brindle.llm.mixing import op5_pfair_mixing
 from brindle.llm.negatives import OP13_SQL, op13_hard_negatives
+from brindle.llm.neighbours import op11_quality_neighbours
 from brindle.llm.packing import op2_best_fit_packing
 from brindle.llm.private import op9_disclosure
 from brindle.llm.rules import op8_quality_rules
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_quality_rules": op8_quality_rules,
     "op9_disclosure": op9_disclosure,
     "op10_html_extraction": op10_html_extraction,
+    "op11_quality_neighbours": op11_quality_neighbours,
     "op12_ranked_search": op12_ranked_search,
     "op13_hard_negatives": op13_hard_negatives,
 }
