@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from brindle import sources
 from brindle.operators import forest
 from brindle.plans import workflows as W
 from brindle.plans.registry import register, table
@@ -84,6 +85,35 @@ def raster_pixel_stats(spark, sf_dir):
     return W.pixel_stats(_rasters(spark, sf_dir), ["id"])
 
 
+_PIXELS = "list_transform(embedding, lambda x: greatest(0, least(255, floor((x::DOUBLE + 1) * 100 + 0.5))))"
+
+
+@register(
+    "payload_stats",
+    f"""WITH p AS (SELECT vec_id::INT AS id, {_PIXELS} AS v FROM embeddings)
+    SELECT id, 32 AS height, 32 AS width, 'ok' AS status, 1024::BIGINT AS area, list_min(v)::INT AS pixel_min, list_max(v)::INT AS pixel_max, round(list_avg(v), 6) AS pixel_mean,
+    round(list_median(v), 6) AS pixel_median, round(list_stddev_pop(v), 6) AS pixel_std FROM p""",
+)
+def payload_stats(spark, sf_dir):
+    """Rasters written as image files in base64, as payload tables hold them, decoded again and measured."""
+    lines = sources.encoded(_rasters(spark, sf_dir)).select("id", sources.base64_of().alias("b64"))
+    back = sources.decoded(lines.select("id", F.try_to_binary("b64", F.lit("base64")).alias("content")))
+    out = W.pixel_stats(back, ["id", "height", "width", "status"])
+    return out.withColumns({c: F.round(c, 6) for c in ("pixel_mean", "pixel_median", "pixel_std")})
+
+
+@register("cross_collection_payloads")
+def cross_collection_payloads(spark, sf_dir):
+    """Crops against a second collection of encoded payloads, slightly brighter: hashed by region, matched, and verified by location."""
+    crops, whole = _pair(spark, sf_dir)
+    region = F.col("id") % 16
+    named = _embeddings(spark, sf_dir).withColumn("split", F.when(F.col("id") % 3 == 0, "test").otherwise("train"))
+    files = sources.encoded(_drawn(named, "split string, id int", 3, CUT)).select("split", F.col("id").alias("image_id"), sources.base64_of().alias("b64"))
+    other = sources.decoded(files.select("split", "image_id", (F.col("image_id") % 16).alias("region"), F.try_to_binary("b64", F.lit("base64")).alias("content")))
+    boxes = crops.select("component", "id", F.lit(CUT[1].start).alias("x"), F.lit(CUT[0].start).alias("y"), "width", "height")
+    return W.cross_collection(crops.withColumn("region", region), other, boxes, whole)
+
+
 @register("raster_centroids")
 def raster_centroids(spark, sf_dir):
     return W.centroids(_rasters(spark, sf_dir), ["id"], threshold=110)

@@ -273,6 +273,19 @@ def verified(flags: DataFrame, boxes: DataFrame, crops: DataFrame, whole: DataFr
     return found.withColumns({"iou": geometry.iou(a, b), "dx": dx, "dy": dy}).drop("b_x", "b_y", "b_width", "b_height")
 
 
+def cross_collection(own: DataFrame, other: DataFrame, boxes: DataFrame, whole: DataFrame, most: int = 4) -> DataFrame:
+    """Pairs of crops of two collections whose perceptual hashes differ by `most` bits at most, verified by where the second one lies in the first one's whole image.
+
+    own: component, id, region, height, width, data. other: split, image_id, region, height, width, data, as decoded() gives it; rows without pixels take no part.
+    boxes: component, id, x, y, width, height. whole: view, id, height, width, data. Only hashes are joined; pixels of the second collection move once, for the pairs they are in.
+    """
+    ours = hashed(own.where("data is not null"), ["component", "id", "region"])
+    theirs = hashed(other.where("data is not null"), ["split", "image_id", "region"])
+    pairs = near_duplicates(ours, theirs, "region", most)
+    flags = pairs.select(*[F.col(f"l_{c}").alias(c) for c in ("component", "id")], *[F.col(f"r_{c}").alias(c) for c in ("split", "image_id")], F.col("distance").cast("int").alias("hamming_distance"))
+    return verified(flags, boxes, other.where("data is not null").select("split", "image_id", "height", "width", "data"), whole)
+
+
 def whole_bodies(images: DataFrame, extra: DataFrame, region_ids: DataFrame, pad: int = 5, threshold: float = 2, contamination: float = 0.05) -> DataFrame:
     """(id, view, source, box, features, flags) for all images and those of extra whose (view, id) isn't among them; one forest a view over both.
 

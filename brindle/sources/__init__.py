@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.payload import base64_of, decoded, encoded, headers  # noqa: F401
+
 LABELS = "filename string, label int"
 ENCODED = "image_id int, b64 string"
 CAPTIONS = "text string, image_ids array<int>"
@@ -40,13 +42,8 @@ def images(spark: SparkSession, path: str) -> DataFrame:
 
 
 def dimensions(spark: SparkSession, path: str) -> DataFrame:
-    """(component, id, height, width) from the frame header of each JPEG, without decoding pixels."""
-    df = contents(spark, path)
-    marks = F.hex("content")
-    # a start-of-frame marker is C0 to CF but for C4, C8 and CC; length and precision follow, then height and width
-    frame = F.regexp_extract(marks, r"^(?:..)*?FFC[0-35-79-BD-F].{4}.{2}(.{8})", 1)
-    number = lambda a: F.conv(F.substring(frame, a, 4), 16, 10).cast("int")
-    return df.where(frame != "").select("component", "id", number(1).alias("height"), number(5).alias("width"))
+    """(component, id, height, width) from the frame header of each JPEG: a few ranges of each file are read, no pixels are decoded. Other files give no row."""
+    return headers(listing(spark, path)).where("status = 'ok'").select("component", "id", "height", "width")
 
 
 def labels(spark: SparkSession, path: str) -> DataFrame:
