@@ -1,5 +1,7 @@
 """Reports on collections: first groups, samples, note columns, ordered lists, merged layers, summary lines."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from brindle import sources
@@ -7,6 +9,7 @@ from brindle.operators import dedup, enrich, profile
 from brindle.plans import sinks
 from brindle.plans import workflows as W
 from brindle.plans.registry import register, table
+from brindle.sources.stores import shared_dir
 
 
 @register(
@@ -111,3 +114,20 @@ def containment_sweep(spark, sf_dir):
 def duplicate_report(spark, sf_dir):
     """The lines of a console report on exact duplicates; sinks.console() prints them."""
     return sinks.counted_lines(dedup.duplicate_counts(table(spark, sf_dir, "documents"), "text"))
+
+
+@register(
+    "workbook_columns",
+    """SELECT 'events' AS sheet, event_type AS name, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL
+    UNION ALL SELECT 'items', l_returnflag, count(*), round(avg(l_quantity), 6) FROM lineitem GROUP BY ALL""",
+)
+def workbook_columns(spark, sf_dir):
+    """Two summaries as sheets of one spreadsheet, read back by three of their columns."""
+    path = f"{shared_dir(spark)}/brindle/summary-{uuid.uuid4().hex}.xlsx"
+    sheets = {}
+    for name, source, group, value in (("events", "events", "event_type", "value"), ("items", "lineitem", "l_returnflag", "l_quantity")):
+        means = table(spark, sf_dir, source).groupBy(F.col(group).alias("name"))
+        sheets[name] = means.agg(F.min(value).alias("least"), F.count("*").alias("n"), F.max(value).alias("most"), F.round(F.avg(value), 6).alias("mean"))
+    sinks.workbook(sheets, path)
+    parts = [sources.sheet(spark, path, name, "mean double, name string, n long").withColumn("sheet", F.lit(name)) for name in sheets]
+    return parts[0].unionByName(parts[1])

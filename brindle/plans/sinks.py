@@ -5,15 +5,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.workbook import add_sheet
+
 
 def csv(df: DataFrame, path: str) -> None:
     df.write.option("header", "true").csv(path)
 
 
 def workbook(sheets: dict[str, DataFrame], path: str) -> None:
-    """A Parquet dataset for each sheet, in a folder of its own."""
-    for name, df in sheets.items():
-        df.write.parquet(f"{path}/{name}")
+    """A new spreadsheet file with a sheet for each table, in order."""
+    for k, (name, df) in enumerate(sheets.items()):
+        add_sheet(df, path, name, overwrite=k == 0)
 
 
 def json_report(df: DataFrame, path: str) -> None:

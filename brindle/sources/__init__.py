@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from brindle.sources.payload import base64_of, decoded, encoded, headers  # noqa: F401
+from brindle.sources.workbook import sheet  # noqa: F401
 
 LABELS = "filename string, label int"
 ENCODED = "image_id int, b64 string"

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
 
 from brindle.raster import jpeg, png
+from brindle.sources.stores import opened
 
 #: Decoded bytes that are handed on together, so that a batch of payloads isn't held as pixels all at once.
 TOGETHER = 16 << 20
@@ -98,14 +98,6 @@ class Ranges:
         return self.held[start - self.begin : start - self.begin + size]
 
 
-def open_file(path: str):
-    """A file for random access, in any store that Arrow knows; file:/x, as Spark writes it, counts as /x."""
-    import pyarrow.fs as stores
-
-    store, inner = stores.FileSystem.from_uri(re.sub(r"^file:/+", "file:///", path) if ":" in path.split("/")[0] else "file://" + path)
-    return store.open_input_file(inner)
-
-
 def headers(files: DataFrame) -> DataFrame:
     """files, of which path names a JPEG, with height, width, nChannels, bytes_read and status.
 
@@ -120,7 +112,7 @@ def headers(files: DataFrame) -> DataFrame:
         for b in batches:
             rows = []
             for path in b.column("path").to_pylist():
-                with open_file(path) as file:
+                with opened(path) as file:
                     read = Ranges(file)
                     try:
                         rows.append((*jpeg.dimensions(read), read.bytes, "ok"))

@@ -132,7 +132,7 @@ def test_sources_and_sinks(spark, tmp_path):
     assert t[0].a == float("-inf") and t[0].b != t[0].b and t[1].b == float("inf")
     df = spark.createDataFrame([("head", 0.99954)], "component string, ssim double")
     sinks.csv(df, str(tmp_path / "out"))
-    sinks.workbook({"summary": df}, str(tmp_path / "book"))
+    sinks.workbook({"summary": df}, str(tmp_path / "book.xlsx"))
     sinks.json_report(df, str(tmp_path / "j"))
     assert spark.read.parquet(sinks.versioned(df, str(tmp_path / "v"), 1)).count() == 1
     assert sinks.markdown(df, {"component": "%s", "ssim": "%.4f"}).endswith("| head | 0.9995 |")
