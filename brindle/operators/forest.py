@@ -12,6 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
+from brindle.operators import quantile
+
 TREES, SAMPLE = 100, 256
 
 
@@ -103,7 +105,7 @@ def anomalies(df: DataFrame, group: str, features: list[str], contamination: flo
 
     schema = StructType([*df.schema.fields, StructField("anomaly_score", DoubleType())])
     scored = df.mapInPandas(score, schema)
-    cut = scored.where("anomaly_score is not null").groupBy(F.col(group).alias("_cg")).agg(F.percentile("anomaly_score", 1 - contamination).alias("_cut"))
+    cut = quantile.quantiles(scored, [group], "anomaly_score", [1 - contamination]).select(F.col(group).alias("_cg"), F.get("q", F.lit(0)).alias("_cut"))
     out = scored.join(cut, F.col(group) == F.col("_cg"), "left")
     return out.withColumn("outlier", F.col("anomaly_score") > F.col("_cut")).drop("_cg", "_cut")
 

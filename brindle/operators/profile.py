@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.operators import quantile
+
 
 def finite(c: Column) -> Column:
     """Null for infinite and NaN values, so that means pass over them."""
@@ -41,7 +43,7 @@ def ratio_summary(df: DataFrame, group: str, columns: list[str]) -> DataFrame:
 def five_numbers(df: DataFrame, group: str, column: str) -> DataFrame:
     """What a box plot without fliers shows: quartiles, and the outermost points within one and a half interquartile ranges."""
     df = df.where(F.col(group).isNotNull() & F.col(column).isNotNull())
-    q = df.groupBy(group).agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"))
+    q = quantile.quantiles(df, [group], column, [0.25, 0.5, 0.75])
     q = q.select(group, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(column)
@@ -52,8 +54,8 @@ def five_numbers(df: DataFrame, group: str, column: str) -> DataFrame:
 
 def described(df: DataFrame, column: str) -> DataFrame:
     """Exact count, mean, sample deviation, minimum, quartiles and maximum."""
-    q = F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), q.alias("q"), F.max(column).alias("max"))
+    out = df.agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    out = out.withColumn("q", quantile.quantiles(df, [], column, [0.25, 0.5, 0.75]).select("q").scalar())
     return out.select("n", "mean", "std", "min", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q25", "q50", "q75"))], "max")
 
 

@@ -4,44 +4,28 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.operators import quantile
+
 #: 0.6745 makes the MAD comparable with a standard deviation; 3.5 is the customary cut.
 MAD_SCALE, Z_CUT = 0.6745, 3.5
 
 
-def with_group_median(df: DataFrame, group: str, values: dict[str, Column], large: bool = False) -> DataFrame:
-    """Adds one median per group and name; rows without a group are dropped, as grouping by null would keep them.
+def with_group_median(df: DataFrame, group: str, values: dict[str, Column]) -> DataFrame:
+    """Adds one exact median per group and name; rows without a group are dropped, as grouping by null would keep them.
 
-    One aggregation and an equi-join on the group. The statistics have one row a group, so Spark
-    broadcasts them as long as they fit its threshold and shuffles otherwise; no window gathers a group.
-    The built-in exact median holds a counter for each distinct value of a group; large=True bounds that (see bracketed_medians).
+    Medians are selected in bounded memory (see quantile). They have one row a group, so Spark broadcasts them as long as they fit its threshold and shuffles otherwise; no
+    window gathers a group.
     """
     df = df.where(F.col(group).isNotNull())
-    if large:
-        for name, c in values.items():
-            df = df.join(bracketed_medians(df.select(group, c.alias("_v")), group, "_v").withColumnRenamed("median", name), group, "left")
-        return df
-    stats = df.groupBy(group).agg(*[F.median(c).alias(n) for n, c in values.items()])
-    return df.join(stats, group)
+    return df.join(quantile.medians(df, [group], values), group, "left")
 
 
 def bracketed_medians(df: DataFrame, group: str, value: str) -> DataFrame:
-    """(group, median), exact, in memory that doesn't grow with a group.
-
-    Approximate percentiles on both sides of the middle bracket it for certain, as their rank error is a tenth of the
-    margin. What lies below is counted; only the bracket, about one row in five hundred, is sorted, by a window that spills.
-    """
-    df = df.where(F.col(value).isNotNull())
-    ends = df.groupBy(group).agg(F.percentile_approx(value, F.array(F.lit(0.499), F.lit(0.501)), 10_000).alias("_e"), F.count("*").alias("_n"))
-    both = df.join(ends, group).withColumns({"_lo": F.get("_e", F.lit(0)), "_hi": F.get("_e", F.lit(1))})
-    below = both.groupBy(group).agg(F.count_if(F.col(value) < F.col("_lo")).alias("_below"))
-    order = Window.partitionBy(group).orderBy(value)
-    middle = both.where(F.col(value).between(F.col("_lo"), F.col("_hi"))).withColumn("_r", F.row_number().over(order)).join(below, group)
-    rank = F.col("_below") + F.col("_r")
-    picked = middle.where((rank == F.floor((F.col("_n") + 1) / 2)) | (rank == F.ceil((F.col("_n") + 1) / 2)))
-    return picked.groupBy(group).agg(F.avg(value).alias("median"))
+    """(group, median), exact, in memory that doesn't grow with a group."""
+    return quantile.medians(df, [group], {"median": F.col(value)})
 
 
 def robust_z(dist: str, med: str, mad: str) -> Column:
@@ -49,16 +33,16 @@ def robust_z(dist: str, med: str, mad: str) -> Column:
     return F.when(F.col(mad) == 0, F.lit(0.0)).otherwise(F.lit(MAD_SCALE) * (F.col(dist) - F.col(med)) / F.col(mad))
 
 
-def position_outliers(df: DataFrame, group: str, axes: list[str], cut: float = Z_CUT, large: bool = False) -> DataFrame:
+def position_outliers(df: DataFrame, group: str, axes: list[str], cut: float = Z_CUT) -> DataFrame:
     """Distance of each row from its group's median point, its robust z, and a one-sided flag (z > cut)."""
-    df = with_group_median(df, group, {f"_m_{a}": F.col(a) for a in axes}, large)
+    df = with_group_median(df, group, {f"_m_{a}": F.col(a) for a in axes})
     if len(axes) == 1:
         dist = F.abs(F.col(axes[0]) - F.col(f"_m_{axes[0]}"))
     else:
         dist = F.sqrt(reduce(lambda a, b: a + b, [F.pow(F.col(a) - F.col(f"_m_{a}"), 2) for a in axes]))
     df = df.withColumn("dist", dist).drop(*[f"_m_{a}" for a in axes])
-    df = with_group_median(df, group, {"_dmed": F.col("dist")}, large)
-    df = with_group_median(df, group, {"_mad": F.abs(F.col("dist") - F.col("_dmed"))}, large)
+    df = with_group_median(df, group, {"_dmed": F.col("dist")})
+    df = with_group_median(df, group, {"_mad": F.abs(F.col("dist") - F.col("_dmed"))})
     return df.withColumn("z", robust_z("dist", "_dmed", "_mad")).withColumn("outlier", F.col("z") > cut).drop("_dmed", "_mad")
 
 
@@ -82,6 +66,6 @@ def offsets(df: DataFrame, reference: DataFrame, keys: list[str], axes: dict[str
 def typical_offset(df: DataFrame, group: str, axes: list[str]) -> DataFrame:
     """Per group: n, the median of each axis and its spread (median absolute deviation)."""
     df = with_group_median(df, group, {f"typical_{a}": F.col(a) for a in axes})
+    spread = quantile.medians(df, [group], {f"{a}_spread": F.abs(F.col(a) - F.col(f"typical_{a}")) for a in axes})
     keep = [F.first(f"typical_{a}").alias(f"typical_{a}") for a in axes]
-    spread = [F.median(F.abs(F.col(a) - F.col(f"typical_{a}"))).alias(f"{a}_spread") for a in axes]
-    return df.groupBy(group).agg(F.count("*").alias("n"), *keep, *spread)
+    return df.groupBy(group).agg(F.count("*").alias("n"), *keep).join(spread, group, "left")

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators import dedup, enrich, forest, geometry
+from brindle.operators import dedup, enrich, forest, geometry, quantile
 from brindle.raster import mask as masks
 from brindle.raster import metrics, ncc, shape
 
@@ -237,9 +237,9 @@ def cleaned_boxes(images: DataFrame, keep: list[str], min_areas: tuple[int, ...]
 def containment(boxes: DataFrame, regions: DataFrame) -> DataFrame:
     """(step, value, n, n_contains, median_kept, median_width_frac): how often cleaned boxes hold the union (id, rx0, ry0, rx1, ry1) of an image's regions."""
     inside = geometry.contains(tuple(map(F.col, ("x0", "y0", "x1", "y1"))), tuple(map(F.col, ("rx0", "ry0", "rx1", "ry1"))))
-    return boxes.join(regions, "id").groupBy("step", "value").agg(
-        F.count("*").alias("n"), F.count_if(inside).alias("n_contains"), F.median("kept").alias("median_kept"), F.median("width_frac").alias("median_width_frac")
-    )
+    both = boxes.join(regions, "id")
+    middle = quantile.medians(both, ["step", "value"], {"median_kept": F.col("kept"), "median_width_frac": F.col("width_frac")})
+    return both.groupBy("step", "value").agg(F.count("*").alias("n"), F.count_if(inside).alias("n_contains")).join(middle, ["step", "value"], "left")
 
 
 def near_duplicates(left: DataFrame, right: DataFrame, block: str, most: int = 4) -> DataFrame:

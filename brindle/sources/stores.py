@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def located(path: str):
@@ -32,3 +32,12 @@ def shared_dir(spark: SparkSession) -> str:
         path = tempfile.mkdtemp(prefix="brindle-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the shared folder, so that what follows neither repeats it nor depends on the executors that made it."""
+    spark = df.sparkSession
+    context = spark.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(spark))
+    return df.checkpoint()
