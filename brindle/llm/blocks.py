@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import html
 import re
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
 
@@ -25,18 +25,102 @@ BLOCK = frozenset(
 )
 #: An opening tag of these ends an open element of the same kinds, as the standard's optional end tags say.
 ENDS = {"p": {"p"}, "li": {"li", "p"}, "dt": {"dt", "dd", "p"}, "dd": {"dt", "dd", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
-_MARKUP = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+_TAG = re.compile(r"<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>")
+_START = re.compile(r"<[A-Za-z/!?]")
 _ATTR = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[A-Za-z]+|[0-9]+")
 
 
+class Node:
+    """An open element: its names, those above it through its parent, and how often each bucket of names occurs on the way down to it, up to 3."""
+
+    __slots__ = ("parent", "tag", "names", "_counts")
+
+    def __init__(self, parent: Node | None, tag: str, names: tuple[str, ...]):
+        self.parent, self.tag, self.names, self._counts = parent, tag, names, None
+
+    def path(self) -> tuple[str, ...]:
+        out, node = [], self
+        while node:
+            out.append(node.names)
+            node = node.parent
+        return tuple(t for names in reversed(out) for t in names)
+
+    def counts(self) -> np.ndarray:
+        """Made once for every element, from those of the one above, so deep pages cost no more than flat ones."""
+        todo, node = [], self
+        while node and node._counts is None:
+            todo.append(node)
+            node = node.parent
+        for at in reversed(todo):
+            own = at.parent._counts.copy() if at.parent else np.zeros(PATH_DIM, np.uint8)
+            for name in at.names:
+                k = _bucket(name, PATH_DIM)
+                own[k] = min(3, own[k] + 1)
+            at._counts = own
+        return self._counts
+
+
+#: Above all elements.
+TOP = Node(None, "", ())
+
+
 @dataclass
 class Leaf:
     text: str
-    path: tuple[str, ...]
+    node: Node | None
     linked: int
-    after: int = 0
-    words: list[str] = field(default_factory=list)
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        return self.node.path() if self.node else ()
+
+
+class Markup:
+    """A page's tags and declarations one after the other, in time that grows with the page alone."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.ends: tuple[np.ndarray, np.ndarray] | None = None
+
+    def after(self, at: int) -> tuple[int, int, re.Match | None]:
+        """(start, end, tag) of the next tag, comment or declaration; start is the page's length if there is none."""
+        page = self.page
+        while m := _START.search(page, at):
+            start = m.start()
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                return start, close + 3 if close >= 0 else len(page), None
+            if start > self.last:  # nothing ends any more, but for a comment
+                at = page.find("<!--", start)
+                if at < 0:
+                    break
+                continue
+            if page[start + 1] in "!?":
+                return start, page.index(">", start) + 1, None
+            if self.ends is None or self._ends_from(start):
+                tag = _TAG.match(page, start)
+                if tag:
+                    return start, tag.end(), tag
+                if self.ends is None:
+                    self._learn()
+            at = start + 1
+        return len(page), len(page), None
+
+    def _learn(self) -> None:
+        """For each bracket or quote whether a tag that reads on from there ever ends: worked out once, from the page's end."""
+        found = [(m.start(), m[0]) for m in re.finditer("[>\"']", self.page)]
+        ends = np.zeros(len(found) + 1, bool)
+        later: dict[str, int] = {}
+        for k in range(len(found) - 1, -1, -1):
+            c = found[k][1]
+            ends[k] = c == ">" or (c in later and ends[later[c] + 1])
+            later[c] = k
+        self.ends = np.array([p for p, _ in found]), ends
+
+    def _ends_from(self, start: int) -> bool:
+        places, ends = self.ends
+        return bool(ends[np.searchsorted(places, start)])
 
 
 def leaves(page: str | None) -> list[Leaf]:
@@ -46,11 +130,11 @@ def leaves(page: str | None) -> list[Leaf]:
     """
     page = page or ""
     out: list[Leaf] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
+    stack: list[Node] = []
     open_: dict[str, int] = {}
     parts: list[str] = []
     linked = skipped = at = 0
-    where: tuple[str, ...] | None = None
+    where: Node | None = None
     last: dict[str, int] = {}
 
     def flush() -> None:
@@ -58,13 +142,13 @@ def leaves(page: str | None) -> list[Leaf]:
         if parts:
             text = " ".join("".join(parts).split())
             if text:
-                out.append(Leaf(text, where or (), linked))
+                out.append(Leaf(text, where, linked))
             parts.clear()
         linked, where = 0, None
 
     def pop() -> None:
         nonlocal skipped
-        tag, _ = stack.pop()
+        tag = stack.pop().tag
         open_[tag] -= 1
         skipped -= tag in SKIPPED
 
@@ -73,21 +157,19 @@ def leaves(page: str | None) -> list[Leaf]:
         text = html.unescape(raw)
         parts.append(text)
         if where is None and not text.isspace():
-            where = tuple(t for _, names in stack for t in names)
+            where = stack[-1] if stack else TOP
         if open_.get("a"):
             linked += len(text)
 
-    while True:
-        m = _MARKUP.search(page, at)
-        end = m.start() if m else len(page)
-        if end > at and not skipped:
-            add(page[at:end])
+    markup = Markup(page)
+    while at < len(page):
+        start, end, m = markup.after(at)
+        if start > at and not skipped:
+            add(page[at:start])
+        at = end
         if not m:
-            break
-        at = m.end()
-        tag = (m[2] or "").lower()
-        if not tag:
             continue
+        tag = m[2].lower()
         # the first tag that cannot be in a head ends it
         if not m[1] and open_.get("head") and tag not in HEAD:
             while open_.get("head"):
@@ -96,7 +178,7 @@ def leaves(page: str | None) -> list[Leaf]:
             flush()
         if m[1]:
             if open_.get(tag):
-                while stack[-1][0] != tag:
+                while stack[-1].tag != tag:
                     pop()
                 pop()
             continue
@@ -104,7 +186,7 @@ def leaves(page: str | None) -> list[Leaf]:
             continue
         ends = ENDS.get(tag)
         if ends:
-            while stack and stack[-1][0] in ends or (stack and stack[-1][0] not in BLOCK and any(open_.get(e) for e in ends) and _inline_down_to(stack, ends)):
+            while stack and stack[-1].tag in ends or (stack and stack[-1].tag not in BLOCK and any(open_.get(e) for e in ends) and _inline_down_to(stack, ends)):
                 pop()
         if m[3].rstrip().endswith("/"):
             continue
@@ -118,7 +200,7 @@ def leaves(page: str | None) -> list[Leaf]:
             at = close.end()
             continue
         names = (tag, *_names(tag, m[3])) if m[3] else (tag,)
-        stack.append((tag, names))
+        stack.append(Node(stack[-1] if stack else None, tag, names))
         open_[tag] = open_.get(tag, 0) + 1
         skipped += tag in SKIPPED
         if tag in RAW:
@@ -131,7 +213,7 @@ def leaves(page: str | None) -> list[Leaf]:
 
 def _inline_down_to(stack: list, ends: set[str]) -> bool:
     """Whether only inline elements lie above one that ends here."""
-    for tag, _ in reversed(stack):
+    for tag in (node.tag for node in reversed(stack)):
         if tag in ends:
             return True
         if tag in BLOCK:
@@ -157,9 +239,11 @@ def vectors(found: list[Leaf]) -> np.ndarray:
     """A row per leaf: hashed tag path, hashed words, and plain measures."""
     x = np.zeros((len(found), DIM), np.float32)
     for k, leaf in enumerate(found):
-        path = leaf.path
-        for depth, name in enumerate(path):
-            x[k, _bucket(name, PATH_DIM)] += 1.0
+        path, node = (), leaf.node
+        if node:
+            x[k, :PATH_DIM] = node.counts()
+        while node and len(path) < 2:
+            path, node = (*node.names[len(path) - 2 :], *path), node.parent
         for name in path[-2:]:
             x[k, _bucket("leaf:" + name, PATH_DIM)] += 1.0
         words = leaf.text.lower().split()

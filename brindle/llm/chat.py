@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 #: A turn is "### role: text</turn>\n". Control strings inside texts are escaped, so the end mark occurs only as one.
 OPEN, SEP, CLOSE = "### ", ": ", "</turn>\n"
 TURNS = "array<struct<role:string,text:string>>"
+#: The JSON parser refuses strings of over 20 million characters unless told otherwise.
+ANY_LENGTH = {"maxStringLen": str((1 << 31) - 1)}
 
 
 @dataclass(frozen=True)
@@ -53,30 +55,33 @@ def known_names(mappings: tuple[Mapping, ...] = MAPPINGS) -> list[str]:
     return sorted({p for m in mappings for p in m.paths})
 
 
-def field_paths(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    """The nested field paths of a JSON record, those that some mapping names: keys, and for arrays the keys of any of their objects."""
+def fields_of(record: Column) -> Column:
+    """The top-level fields of a JSON record as texts, nested ones as JSON; null for what is no JSON object."""
+    return F.from_json(record, "map<string,string>", ANY_LENGTH)
+
+
+def field_paths(fields: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    """The nested field paths of a record's fields, those that some mapping names: keys, and for arrays the keys of any of their objects."""
     known = F.array(*[F.lit(p) for p in known_names(mappings)])
-    keys = F.coalesce(F.json_object_keys(record), F.array().cast("array<string>"))
-    lists = sorted({m.list_path for m in mappings if m.list_path})
-    found = [keys]
-    for name in lists:
-        items = F.from_json(F.get_json_object(record, f"$.{name}"), "array<map<string,string>>")
+    found = [F.coalesce(F.map_keys(fields), F.array().cast("array<string>"))]
+    for name in sorted({m.list_path for m in mappings if m.list_path}):
+        items = F.from_json(fields[name], "array<map<string,string>>", ANY_LENGTH)
         under = F.array_distinct(F.flatten(F.transform(items, F.map_keys)))
         found.append(F.coalesce(F.split(F.concat(F.lit(f"{name}[]."), F.array_join(under, f"\n{name}[].")), "\n"), F.array().cast("array<string>")))
     return F.array_sort(F.array_intersect(F.concat(*found), known))
 
 
-def schema_fingerprint(record: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
-    return F.sha2(F.array_join(field_paths(record, mappings), "\n"), 256)
+def schema_fingerprint(fields: Column, mappings: tuple[Mapping, ...] = MAPPINGS) -> Column:
+    return F.sha2(F.array_join(field_paths(fields, mappings), "\n"), 256)
 
 
 def _turn(role: Column, text: Column) -> Column:
     return F.struct(F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
 
 
-def mapped(record: Column, m: Mapping) -> Column:
+def mapped(fields: Column, m: Mapping) -> Column:
     if m.list_path:
-        items = F.from_json(F.get_json_object(record, f"$.{m.list_path}"), f"array<struct<`{m.role}`:string,`{m.text}`:string>>")
+        items = F.from_json(fields[m.list_path], f"array<struct<`{m.role}`:string,`{m.text}`:string>>", ANY_LENGTH)
 
         def turn(x: Column) -> Column:
             role = x[m.role]
@@ -85,13 +90,12 @@ def mapped(record: Column, m: Mapping) -> Column:
             return _turn(role, x[m.text])
 
         return F.transform(items, turn)
-    flat = F.from_json(record, ", ".join(f"`{p}` string" for p in sorted({q for f in m.fields for q in f[0].split("+")})))
     turns = []
     for path, role, optional in m.fields:
-        parts = [F.nullif(flat[p], F.lit("")) for p in path.split("+")]
-        text = F.concat_ws("\n", *parts) if len(parts) > 1 else flat[path]
+        parts = [F.nullif(fields[p], F.lit("")) for p in path.split("+")]
+        text = F.concat_ws("\n", *parts) if len(parts) > 1 else fields[path]
         one = F.array(_turn(F.lit(role), text))
-        turns.append(F.when(F.nullif(flat[path], F.lit("")).isNull(), F.array().cast(TURNS)).otherwise(one) if optional else one)
+        turns.append(F.when(F.nullif(fields[path], F.lit("")).isNull(), F.array().cast(TURNS)).otherwise(one) if optional else one)
     return F.concat(*turns)
 
 
@@ -99,15 +103,16 @@ def canonical(records: DataFrame, record_col: str = "record", mappings: tuple[Ma
     """Adds schema (the fingerprint), layout (the mapping's name) and turns (role, text).
 
     Records whose fingerprint no mapping has, nulls and broken JSON keep their row with null layout and turns. Fields that no
-    mapping names don't count. Null roles and texts become empty.
+    mapping names don't count. Null roles and texts become empty. Texts may be as long as a row can be.
     """
-    df = records.withColumn("schema", schema_fingerprint(F.col(record_col), mappings))
+    df = records.withColumn("_fields", fields_of(F.col(record_col)))
+    df = df.withColumn("schema", schema_fingerprint(F.col("_fields"), mappings))
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
     for m in reversed(mappings):
         hit = F.col("schema") == fingerprint_of(m.paths)
         layout = F.when(hit, F.lit(m.name)).otherwise(layout)
-        turns = F.when(hit, mapped(F.col(record_col), m)).otherwise(turns)
-    return df.withColumn("layout", layout).withColumn("turns", turns)
+        turns = F.when(hit, mapped(F.col("_fields"), m)).otherwise(turns)
+    return df.withColumn("layout", layout).withColumn("turns", turns).drop("_fields")
 
 
 def escaped(text: Column) -> Column:
@@ -130,7 +135,10 @@ def role_unescaped(role: Column) -> Column:
 
 
 def formatted(df: DataFrame, turns: str = "turns", learned: str = "assistant") -> DataFrame:
-    """Adds formatted (the template's text) and loss_spans: start (from 0) and chars in it of each learned role's escaped text."""
+    """Adds formatted (the template's text) and loss_spans: start (from 0) and chars in it of each learned role's escaped text.
+
+    Null turns give null in both, no turns an empty text; columns of these names are replaced, repeated rows are formatted each.
+    """
 
     def piece(t: Column) -> Column:
         head = F.concat(F.lit(OPEN), role_escaped(t["role"]), F.lit(SEP))

@@ -11,16 +11,28 @@ from pyspark.sql import functions as F
 from brindle.llm import lstm
 from brindle.llm.blocks import leaves, vectors
 
-#: Pages labelled together; bounds a worker's memory.
-TOGETHER = 512
+#: Pages labelled together, and blocks from which on fewer are; bounds a worker's memory, but for a single page.
+TOGETHER, BLOCKS = 512, 20_000
 
 
 def main_texts(model: lstm.Model, pages: list[str | None]) -> list[str]:
     out: list[str] = []
-    for a in range(0, len(pages), TOGETHER):
-        found = [leaves(p) for p in pages[a : a + TOGETHER]]
+    found: list[list] = []
+
+    def work() -> None:
         marks = lstm.label(model, [vectors(f) for f in found])
-        out += ["\n".join(leaf.text for leaf, on in zip(f, m) if on) for f, m in zip(found, marks)]
+        out.extend("\n".join(leaf.text for leaf, on in zip(f, m) if on) for f, m in zip(found, marks))
+        found.clear()
+
+    blocks = 0
+    for p in pages:
+        found.append(leaves(p))
+        blocks += len(found[-1])
+        if len(found) == TOGETHER or blocks >= BLOCKS:
+            work()
+            blocks = 0
+    if found:
+        work()
     return out
 
 

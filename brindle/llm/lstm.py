@@ -11,6 +11,8 @@ from brindle.llm.blocks import DIM, leaves, vectors
 from brindle.llm.sample_pages import page
 
 HIDDEN, PAGES, EPOCHS, BATCH, RATE = 20, 1200, 6, 24, 0.01
+#: Pages that are labelled side by side, and steps that they fill together.
+ROWS, STEPS = 64, 16_384
 Model = dict[str, np.ndarray]
 
 
@@ -138,13 +140,22 @@ def labeller(pages: int = PAGES, seed: int = 0) -> Model:
 
 
 def label(m: Model, seqs: list[np.ndarray]) -> list[np.ndarray]:
-    """Whether each block is main text, for each page; pages of like length go together."""
+    """Whether each block is main text, for each page; pages of like length go together, as many as fill so many steps with the longest; a page beyond that goes alone."""
     out: list[np.ndarray] = [np.zeros(0, bool)] * len(seqs)
-    order = [k for k in np.argsort([len(s) for s in seqs], kind="stable") if len(seqs[k])]
-    for a in range(0, len(order), 64):
-        group = order[a : a + 64]
+    group: list[int] = []
+
+    def work() -> None:
         x, on, _ = padded([seqs[k] for k in group])
         s = score(m, x, on) > 0
         for c, k in enumerate(group):
             out[k] = s[: len(seqs[k]), c]
+        group.clear()
+
+    for k in np.argsort([len(s) for s in seqs], kind="stable"):
+        if group and (len(group) == ROWS or (len(group) + 1) * len(seqs[k]) > STEPS):
+            work()
+        if len(seqs[k]):
+            group.append(int(k))
+    if group:
+        work()
     return out

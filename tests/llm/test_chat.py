@@ -61,3 +61,23 @@ def test_rows_with_nulls_and_ties(spark):
     out = chat.canonical(chat.records_of(rows)).select(F.explode("turns").alias("t")).select("t.*").collect()
     assert [tuple(r) for r in out] == [("user", ""), ("", "b"), ("assistant", "a"), ("assistant", "a")]
     assert chat.canonical(chat.records_of(rows.limit(0))).count() == 0
+
+
+def test_very_long_texts(spark):
+    """Over the 20 million characters at which the JSON parser stops by default, in rows and in either kind of record."""
+    n = 30_000_000
+    rows = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.inline(F.array(
+        F.struct(F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("#"), 3).alias("text")),
+        F.struct(F.lit(1).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.repeat(F.lit("a"), n).alias("text")),
+    )))
+    pair = spark.range(1).select(F.lit(2).cast("long").alias("conv_id"), F.to_json(F.struct(F.lit("q").alias("prompt"), F.repeat(F.lit("b"), n).alias("completion"))).alias("record"))
+    out = chat.formatted(chat.canonical(chat.records_of(rows).unionByName(pair))).withColumn("back", chat.read_back())
+    got = {r.conv_id: r for r in out.select("conv_id", "layout", F.length("formatted").alias("n"), F.transform("back", lambda t: F.length(t["text"])).alias("sizes"), F.length(chat.loss_text()).alias("loss")).collect()}
+    assert (got[1].layout, got[1].sizes, got[1].loss) == ("messages", [3, n], n) and got[1].n > n
+    assert (got[2].layout, got[2].sizes, got[2].loss) == ("prompt_completion", [1, n], n)
+
+
+def test_extra_columns(spark):
+    df = spark.createDataFrame([('{"prompt": "q", "completion": "a"}', 1, "x")], "record string, formatted int, turns string")
+    r = chat.formatted(chat.canonical(df)).first()
+    assert r.formatted == "### user: q</turn>\n### assistant: a</turn>\n" and [t.text for t in r.turns] == ["q", "a"]

@@ -93,3 +93,34 @@ def test_markers_above_many_classes_are_seen():
     assert len(found[1].path) > 24 and (a[:64] != b[:64]).any()
     text = extract.main_texts(lstm.labeller(), [page])[0]
     assert "joka" in text and "noka" not in text and not text.endswith("Ander fogu.")
+
+
+def test_long_and_unclosed_pages():
+    """Time grows with the page: tags without an end, open quotes and declarations are read once, deep nesting costs no more than flat."""
+    import time
+
+    pages = {
+        "<div class='x' " * 350_000: 1, "<x " * 500_000 + '"': 1, "<!" * 1_000_000: 1, "</" * 500_000: 1, "<x '" * 500_000 + ">": 0, "<!-- " * 1_000_000: 0, "<div>x" * 100_000: 100_000, "<b 'y' \"" * 100_000 + ">": 1,
+    }
+    for page, n in pages.items():
+        began = time.perf_counter()
+        found = leaves(page)
+        assert time.perf_counter() - began < 10, page[:20]
+        assert (len(found) == n) if n != 1 else len(found) <= 1, page[:20]
+    assert [x.text for x in leaves("a <b c='> <i>d</i>")] == ["a <b c='> d"]
+
+
+def test_many_blocks_in_bounded_memory():
+    """A page of 40,000 blocks among small ones, with no more for the small ones than they need, and the same labels as alone."""
+    import tracemalloc
+
+    model = lstm.labeller()
+    small = [PAGE, "<p>Ander fogu.</p>"] * 40
+    want = extract.main_texts(model, small)
+    long = "<article>" + "<p>Ander fogu hiis joka the lemmi of nopa and quire suti verwo the xeyl." * 40_000
+    tracemalloc.start()
+    got = extract.main_texts(model, [*small[:40], long, *small[40:]])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got[:40] + got[41:] == want and got[40].count("\n") > 38_000
+    assert peak < 1 << 28  # so 200,000 blocks stay far below a GB
