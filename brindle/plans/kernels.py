@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from brindle import sources
 from brindle.operators import forest
+from brindle.plans import figures
 from brindle.plans import workflows as W
 from brindle.plans.registry import register, table
 
@@ -132,6 +133,29 @@ def whole_body_boxes(spark, sf_dir):
     return W.whole_bodies(first.drop("label"), every.drop("label"), first.where(F.col("label").isin(0, 3, 6)).select("id", "source"), threshold=110)
 
 
+@register("sample_sheets")
+def sample_sheets(spark, sf_dir):
+    """Two sheets of a seeded sample of ten rasters with the boxes at which their crops were found."""
+    return W.preview_sheets(*_pair(spark, sf_dir), n=10, rows=1, columns=5, threshold=90)
+
+
+_EDGE = """(SELECT l_returnflag AS panel, l_quantity AS x, l_extendedprice AS y, l_discount >= 0.1 AS f, min(l_quantity) OVER w AS x0, max(l_quantity) OVER w AS x1,
+  min(l_extendedprice) OVER w AS y0, max(l_extendedprice) OVER w AS y1 FROM lineitem WINDOW w AS (PARTITION BY l_returnflag))"""
+
+
+@register(
+    "figure_pixels",
+    f"""SELECT panel, least(119, floor((x - x0) / (x1 - x0) * 120))::INT AS px, least(89, floor((y - y0) / (y1 - y0) * 90))::INT AS py, bool_or(f) AS marked
+    FROM {_EDGE} GROUP BY ALL""",
+)
+def figure_pixels(spark, sf_dir):
+    """Scatter figures of all line items as image files, read back: every pixel that isn't paper, and whether it is marked."""
+    items = table(spark, sf_dir, "lineitem")
+    bins = figures.pixel_bins(items, "l_returnflag", F.col("l_quantity"), F.col("l_extendedprice"), F.col("l_discount") >= 0.1, 120, 90)
+    drawn = sources.decoded(figures.scatters(bins, 120, 90))
+    return W.coloured(drawn, ["panel"], figures.PAPER, figures.MARK)
+
+
 @register("isolation_forest")
 def isolation_forest(spark, sf_dir):
     items = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_returnflag", "l_quantity", "l_extendedprice", "l_discount", "l_tax")

@@ -9,7 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.operators import dedup, enrich, forest, geometry, quantile
+from brindle.operators import dedup, enrich, forest, geometry, profile, quantile
+from brindle.plans import figures
 from brindle.raster import mask as masks
 from brindle.raster import metrics, ncc, shape
 
@@ -201,6 +202,20 @@ def pixel_stats(images: DataFrame, keep: list[str]) -> DataFrame:
     return _each(images, "area long, pixel_min int, pixel_max int, pixel_mean double, pixel_median double, pixel_std double", keep, one)
 
 
+def coloured(images: DataFrame, keep: list[str], paper: tuple[int, int, int], mark: tuple[int, int, int]) -> DataFrame:
+    """(keep, px, py, marked): the pixels of colour images that aren't paper, and whether they have the mark's colour."""
+    kinds = {x.name: x.dataType.simpleString() for x in images.schema}
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for row in b.itertuples():
+                a = np.frombuffer(row.data, np.uint8).reshape(row.height, row.width, 3)
+                py, px = np.nonzero((a != paper).any(2))
+                yield pd.DataFrame({**{k: getattr(row, k) for k in keep}, "px": px, "py": py, "marked": (a[py, px] == mark).all(1)})
+
+    return images.select(*keep, "height", "width", "data").mapInPandas(work, ", ".join([*[f"{k} {kinds[k]}" for k in keep], "px int, py int, marked boolean"]))
+
+
 def centroids(images: DataFrame, keep: list[str], threshold: float = 2) -> DataFrame:
     """Centre of mass of what is above the threshold; images without any give no row."""
 
@@ -286,6 +301,15 @@ def cross_collection(own: DataFrame, other: DataFrame, boxes: DataFrame, whole:
     return verified(flags, boxes, other.where("data is not null").select("split", "image_id", "height", "width", "data"), whole)
 
 
+def preview_sheets(crops: DataFrame, whole: DataFrame, n: int = 5, seed: int = 0, rows: int = 1, columns: int = 5, **how) -> DataFrame:
+    """(panel, content): sheets with the whole images of a seeded sample of n ids, the located box of each of their crops outlined. how: as for located()."""
+    spark = whole.sparkSession
+    places = spark.createDataFrame(list(enumerate(profile.sampled_ids(crops, "id", n, seed))), "place int, id long")
+    ids = F.broadcast(places.select("id"))
+    found = located(crops.join(ids, "id", "left_semi"), whole.join(ids, "id", "left_semi"), **how)
+    return figures.sheets(whole, found, F.broadcast(places), rows, columns)
+
+
 def whole_bodies(images: DataFrame, extra: DataFrame, region_ids: DataFrame, pad: int = 5, threshold: float = 2, contamination: float = 0.05) -> DataFrame:
     """(id, view, source, box, features, flags) for all images and those of extra whose (view, id) isn't among them; one forest a view over both.
 
