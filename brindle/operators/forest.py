@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,8 +13,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from brindle.operators import quantile
+from brindle.sources.stores import cut
 
 TREES, SAMPLE = 100, 256
+#: Rows of a group that a task scores at a time.
+PART = 100_000
 
 
 def _mean_path(n: float) -> float:
@@ -37,16 +40,19 @@ class Forest:
     norm: float
 
 
-def fit(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 0) -> Forest:
+def fit(x: np.ndarray, trees: int = TREES, sample: int = SAMPLE, seed: int = 0, times: np.ndarray | None = None) -> Forest:
+    """Trees on random samples of x, whose rows may stand for several equal ones each."""
     rng = np.random.default_rng(seed)
-    n = min(sample, len(x))
+    often = times is not None and times.max() > 1
+    n = min(sample, int(times.sum()) if often else len(x))
+    picked = (lambda: rng.choice(len(x), n, p=times / times.sum())) if often else (lambda: rng.choice(len(x), n, replace=False))
     depth = max(1, math.ceil(math.log2(max(2, n))))
     nodes: list[list] = []  # feature, cut, below, above, length
     roots = []
     for _ in range(trees):
         roots.append(len(nodes))
         nodes.append([0, 0.0, 0, 0, 0.0])
-        open_ = [(roots[-1], x[rng.choice(len(x), n, replace=False)], 0)]
+        open_ = [(roots[-1], x[picked()], 0)]
         while open_:
             at, rows, level = open_.pop()
             wide = np.flatnonzero(rows.max(0) > rows.min(0)) if len(rows) > 1 and level < depth else []
@@ -77,37 +83,66 @@ def scores(model: Forest, x: np.ndarray, together: int = 512) -> np.ndarray:
     return out
 
 
-def anomalies(df: DataFrame, group: str, features: list[str], contamination: float = 0.05, seed: int = 0, pool: int = 20_000) -> DataFrame:
+def drawn(rows: DataFrame, group: str, features: list[str], key: list[str], pool: int, seed: int) -> DataFrame:
+    """About `pool` rows of each group, or all of a smaller one: those whose key hashes below pool / n. Which ones depends on the rows alone, not on how they are dealt.
+
+    Equal rows become one with their number before they are shuffled.
+    """
+    sizes = rows.groupBy(group).agg((F.lit(float(pool)) / F.count("*")).alias("_share"))
+    at = F.xxhash64(F.lit(seed), *key)
+    place = F.shiftrightunsigned(at, 11) / float(1 << 53)
+    some = rows.join(sizes, group).withColumn("_place", place).where(F.col("_place") < F.col("_share"))
+    return some.groupBy(group, *features, "_place").agg(F.count("*").alias("_times"))
+
+
+def models(rows: DataFrame, group: str, features: list[str], key: list[str], pool: int, seed: int) -> DataFrame:
+    """(group, n, model): a forest of each group, fitted by a task on its drawn rows in the order of their hashes, and the group's size."""
+
+    def one(part: pd.DataFrame) -> pd.DataFrame:
+        part = part.sort_values(["_place", *features], kind="stable")
+        made = fit(part[features].to_numpy(float), seed=seed, times=part["_times"].to_numpy())
+        return pd.DataFrame({group: [part[group].iloc[0]], "model": [pickle.dumps(made)]})
+
+    kind = rows.schema[group].dataType.simpleString()
+    fitted = drawn(rows, group, features, key, pool, seed).groupBy(group).applyInPandas(one, f"`{group}` {kind}, model binary")
+    return cut(fitted.join(rows.groupBy(group).agg(F.count("*").alias("n")), group))
+
+
+def anomalies(df: DataFrame, group: str, features: list[str], contamination: float = 0.05, seed: int = 0, pool: int = 20_000, key: list[str] | None = None) -> DataFrame:
     """Adds anomaly_score and outlier (the top `contamination` of each group), one model a group.
 
-    A model needs TREES samples of SAMPLE rows, so it is fitted on a random sample of about `pool` rows of a group, or on all of a smaller one, drawn for all groups in one pass; all rows
-    are scored and the cut is the exact percentile over all of them. Rows with a null feature or group get null in both. Groups are few: their models
-    are sent to every task.
+    A model needs TREES samples of SAMPLE rows, so it is fitted on about `pool` rows of a group, drawn by a hash of the key columns (all columns by default; rows that are equal in them
+    are drawn together), or on all of a smaller one. All rows are scored and the cut is the exact percentile over all of them. Models are fitted and kept by executors and meet
+    their group's rows in parts of PART rows, so neither many groups nor a large one are too much for a task or the driver, and scores don't depend on the partitions.
+    Rows with a null feature or group get null in both.
     """
     ok = F.lit(True)
     for f in [group, *features]:
         ok = ok & F.col(f).isNotNull()
-    rows = df.where(ok).select(F.col(group).cast("string").alias("_g"), *[F.col(f).cast("double").alias(f) for f in features])
-    sizes = rows.groupBy("_g").agg((F.lit(float(pool)) / F.count("*")).alias("_share"))
-    drawn = rows.join(F.broadcast(sizes), "_g").where(F.rand(seed) < F.col("_share")).drop("_share").toPandas()
-    models = {g: fit(part[features].to_numpy(float), seed=seed) for g, part in drawn.groupby("_g")}
-
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            s = np.full(len(b), np.nan)
-            good = b[[group, *features]].notna().all(axis=1).to_numpy()
-            for g, at in b[good].groupby(b[group][good].astype(str)).indices.items():
-                if g in models:
-                    at = np.flatnonzero(good)[at]
-                    s[at] = np.round(scores(models[g], b[features].to_numpy(float)[at]), 12)
-            b["anomaly_score"] = pd.Series(s, index=b.index).astype("Float64").where(good, pd.NA)
-            yield b
+    key = key or [c for c, kind in df.dtypes if not kind.startswith("map")]
+    inputs = [f"_f{k}" for k in range(len(features))]
+    known = df.where(ok).select(F.col(group).alias("_g"), *[F.col(f).cast("double").alias(c) for f, c in zip(features, inputs)], F.xxhash64(*key).alias("_key"))
+    fitted = models(known, "_g", inputs, ["_key"], pool, seed)
+    parts = (F.floor(F.col("n") / PART) + 1).cast("int")
+    # a part for each PART rows of a group; its model goes along with every part
+    sized = df.where(ok).join(fitted.select("_g", parts.alias("_parts")), F.col(group) == F.col("_g")).drop("_g")
+    rows = sized.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).drop("_parts")
+    each = fitted.select("_g", "model", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
+
+    def score(keys: tuple, part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
+        if len(part):
+            made = pickle.loads(model["model"].iloc[0])
+            part["anomaly_score"] = np.round(scores(made, part[features].to_numpy(float)), 12)
+        else:
+            part["anomaly_score"] = np.zeros(0)
+        return part.drop(columns="_part")
 
     schema = StructType([*df.schema.fields, StructField("anomaly_score", DoubleType())])
-    scored = df.mapInPandas(score, schema)
-    cut = quantile.quantiles(scored, [group], "anomaly_score", [1 - contamination]).select(F.col(group).alias("_cg"), F.get("q", F.lit(0)).alias("_cut"))
-    out = scored.join(cut, F.col(group) == F.col("_cg"), "left")
-    return out.withColumn("outlier", F.col("anomaly_score") > F.col("_cut")).drop("_cg", "_cut")
+    scored = cut(rows.groupBy(group, "_part").cogroup(each.groupBy("_g", "_part")).applyInPandas(score, schema))
+    limit = quantile.quantiles(scored, [group], "anomaly_score", [1 - contamination]).select(F.col(group).alias("_cg"), F.get("q", F.lit(0)).alias("_cut"))
+    out = scored.join(limit, F.col(group) == F.col("_cg"), "left").withColumn("outlier", F.col("anomaly_score") > F.col("_cut")).drop("_cg", "_cut")
+    rest = df.where(~F.coalesce(ok, F.lit(False))).withColumns({"anomaly_score": F.lit(None).cast("double"), "outlier": F.lit(None).cast("boolean")})
+    return out.unionByName(rest)
 
 
 def likely_corrupt(outlier: str = "outlier", ratio: str = "largest_cc_aspect_ratio", most: float = 1.5):

@@ -13,6 +13,7 @@ from brindle.operators import dedup, enrich, forest, geometry, profile, quantile
 from brindle.plans import figures
 from brindle.raster import mask as masks
 from brindle.raster import metrics, ncc, shape
+from brindle.sources.stores import cut
 
 FOUND = (
     "component string, id int, x int, y int, width int, height int, match_score double, peak_margin double, near_exact_fraction double, mae double, "
@@ -318,7 +319,7 @@ def whole_bodies(images: DataFrame, extra: DataFrame, region_ids: DataFrame, pad
     more = extra.where(F.col("id").isNotNull()).join(images.select("view", "id"), ["view", "id"], "left_anti")
     rows = _each(images.unionByName(more), BODY.replace("width int, height int", "bw int, bh int"), ["id", "view", "source"], lambda a: [{("bw" if k == "width" else "bh" if k == "height" else k): v for k, v in shape.body_box(a, pad, threshold).items()}])
     rows = rows.withColumnsRenamed({"bw": "width", "bh": "height"})
-    scored = forest.anomalies(rows, "view", BODY_FEATURES, contamination)
+    scored = forest.anomalies(cut(rows), "view", BODY_FEATURES, contamination)  # rasters are measured once
     own = scored.withColumn("_k", F.concat_ws(":", "source", "id"))
     known = region_ids.select(F.concat_ws(":", "source", "id").alias("_k"))
     out = enrich.exists_flag(own, known, "_k", "has_region_crops").drop("_k")
