@@ -133,6 +133,17 @@ def whole_body_boxes(spark, sf_dir):
     return W.whole_bodies(first.drop("label"), every.drop("label"), first.where(F.col("label").isin(0, 3, 6)).select("id", "source"), threshold=110)
 
 
+@register("box_deliverable")
+def box_deliverable(spark, sf_dir):
+    """All boxes with label, diagnosis and notes; every third raster's crop also stands for the one after it, so there are duplicates."""
+    crops, whole = _pair(spark, sf_dir)
+    other = crops.where("id % 3 = 0").select("component", "part", "view", (F.col("id") + 1).alias("id"), "height", "width", "data")
+    crops = crops.where("id % 3 <> 1").unionByName(other.join(crops.select("id"), "id", "left_semi"))
+    marks = _embeddings(spark, sf_dir).where("label < 8").select(F.lit("vertbraANT").alias("component"), "id", (F.col("label") % 2).alias("label"))
+    table_, _ = W.box_table(crops, whole, marks, cross_collection_payloads(spark, sf_dir), {0: "normal", 1: "abnormal"}, threshold=90)
+    return table_
+
+
 @register("sample_sheets")
 def sample_sheets(spark, sf_dir):
     """Two sheets of a seeded sample of ten rasters with the boxes at which their crops were found."""

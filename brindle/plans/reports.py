@@ -131,3 +131,19 @@ def workbook_columns(spark, sf_dir):
     sinks.workbook(sheets, path)
     parts = [sources.sheet(spark, path, name, "mean double, name string, n long").withColumn("sheet", F.lit(name)) for name in sheets]
     return parts[0].unionByName(parts[1])
+
+
+@register(
+    "nested_report_back",
+    """WITH g AS (SELECT md5(text) AS md5, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1)
+    SELECT md5 AS name, n, first_id FROM g UNION ALL SELECT 'groups', count(*), NULL FROM g""",
+)
+def nested_report_back(spark, sf_dir):
+    """Duplicate groups written as sections of one JSON document, an object by hash beside a list of counts, and read back from it."""
+    path = f"{shared_dir(spark)}/brindle/report-{uuid.uuid4().hex}.json"
+    docs = table(spark, sf_dir, "documents").where("text is not null")
+    groups = docs.groupBy(F.md5(F.col("text").cast("binary")).alias("md5")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_id")).where("n > 1")
+    sinks.nested_report({"groups": (groups, "md5"), "totals": groups.agg(F.count("*").alias("groups")), "made by": "md5"}, path)
+    back = sources.report(spark, path, "groups map<string, struct<n: bigint, first_id: bigint>>, totals array<struct<groups: bigint>>")
+    each = back.select(F.explode("groups").alias("name", "x")).select("name", "x.n", "x.first_id")
+    return each.unionByName(back.select(F.inline("totals")).select(F.lit("groups").alias("name"), F.col("groups").alias("n"), F.lit(None).cast("bigint").alias("first_id")))

@@ -302,6 +302,22 @@ def cross_collection(own: DataFrame, other: DataFrame, boxes: DataFrame, whole:
     return verified(flags, boxes, other.where("data is not null").select("split", "image_id", "height", "width", "data"), whole)
 
 
+def box_table(crops: DataFrame, whole: DataFrame, labels: DataFrame, matches: DataFrame, names: dict[int, str], least_iou: float = 0.5, content: str = "data", **how) -> tuple[DataFrame, DataFrame]:
+    """(table, summary): every located box with its label, notes of duplicates and of verified matches, and the means of each component.
+
+    labels: component, id, label. matches: as verified() or cross_collection() gives them; those with a lower overlap give no note. names: what labels are called. how: as for located().
+    The table has the rows of located(), none more or less: a component and id has one label, one partner and one note at most.
+    """
+    found = located(crops, whole, **how)
+    out = enrich.lookup_join(found, labels, ["component", "id"], ["label"]).withColumn("diagnosis", enrich.code_names(F.col("label"), names))
+    partners = dedup.pair_notes(crops, content, "id", "component").withColumnsRenamed({"other_item": "duplicate_of_id", "other_part": "duplicate_of_component"})
+    out = enrich.lookup_join(out, partners, ["component", "id"], ["duplicate_of_id", "duplicate_of_component"])
+    notes = dedup.match_notes(matches.where(F.col("iou") >= least_iou), ["component", "id"], "split", "image_id", "hamming_distance", "iou").withColumnRenamed("note", "matches")
+    out = cut(out.join(notes, ["component", "id"], "left"))  # the located boxes, which cost most, are made once
+    measures = ["match_score", "peak_margin", *metrics.NAMES]
+    return out, profile.grouped_means(out, "component", measures, scrub=True, suffix="_mean")
+
+
 def preview_sheets(crops: DataFrame, whole: DataFrame, n: int = 5, seed: int = 0, rows: int = 1, columns: int = 5, **how) -> DataFrame:
     """(panel, content): sheets with the whole images of a seeded sample of n ids, the located box of each of their crops outlined. how: as for located()."""
     spark = whole.sparkSession
