@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from brindle.sources.stores import cut
+
+#: Hashes of a block that are compared in one piece, and rows of it at a time.
+CHUNK, STRIP = 4096, 256
+#: Bands of a 64-bit hash that are looked up, and how many bits of one are turned at most.
+BANDS, RADIUS = 4, 2
+
 
 def exact_groups(df: DataFrame, content: str, member: list[str], digest: str = "md5") -> DataFrame:
     """(md5, n, members): contents that occur more than once, with their members sorted. Null contents are no duplicates."""
@@ -133,17 +144,77 @@ def banded_hamming_join(left: DataFrame, right: DataFrame, block: str, hash_: st
     return a.join(b, cond).withColumn("distance", F.bit_count(x)).drop("l_band", "r_band", "l_key", "r_key")
 
 
-def best_distance(left: DataFrame, right: DataFrame, block: str, hash_: str, row_id: str, other: bool = False) -> DataFrame:
-    """(block, id, best): the least distance from each right row to any left row of its block, or to any with another id.
+def best_distance(left: DataFrame, right: DataFrame, block: str, hash_: str, row_id: str, other: bool = False, chunk: int = CHUNK) -> DataFrame:
+    """(block, id, best): the least distance from each right row to any left row of its block, or with `other` to any with another id; null where there is none.
 
-    All pairs of a block are compared, but equal hashes of a block are first put together, so copies cost nothing.
+    Equal hashes are found by a join and every hash counts once. Blocks of up to `chunk` different hashes are compared in one piece. Rows of larger ones are looked up by growing radius: with
+    BANDS bands, pairs that differ by up to r bits in every band but one are seen by probing bands with r bits turned, so a row whose best is BANDS * (r + 1) at most is proven and
+    done. Only what is still unproven after RADIUS is compared with its whole block, in pieces of `chunk` by `chunk`; pairs of rows are never made. Rows with a null block, id or hash, or of a block that
+    left doesn't have, are left out.
     """
-    some = left.groupBy(block, hash_).agg(F.count("*").alias("_n"), F.min(row_id).alias("_one")).withColumnsRenamed({block: "_b", hash_: "_h"})
-    both = right.join(some, F.col(block) == F.col("_b"))
+    kinds = {c: right.schema[c].dataType.simpleString() for c in (block, row_id)}
+    some = left.where(F.col(block).isNotNull() & F.col(hash_).isNotNull()).groupBy(F.col(block).alias("b"), F.col(hash_).alias("h")).agg(F.count("*").alias("_n"), F.min(row_id).alias("_one"))
+    some = cut(some)
+    rows = right.select(F.col(block).alias("b"), F.col(row_id).alias("id"), F.col(hash_).alias("h")).dropna().distinct()
+    sizes = some.groupBy("b").agg(F.count("*").alias("_size"))
+    rows = rows.join(sizes, "b").join(some, ["b", "h"], "left")
     # a hash that only the row itself has is no other row's
-    own = (F.col("_n") == 1) & (F.col("_one") == F.col(row_id))
-    d = hamming(F.col(hash_), F.col("_h"))
-    return both.groupBy(block, row_id).agg(F.min(F.when(~own, d) if other else d).alias("best"))
+    equal = F.col("_n").isNotNull() & ((F.col("_n") > 1) | (F.col("_one") != F.col("id")) if other else F.lit(True))
+    rows = cut(rows.select("b", "id", "h", "_size", F.when(equal, F.lit(0)).alias("best")))
+    done, todo = [rows.where("best = 0")], rows.where("best is null")
+    hashes = some.select("b", "h").join(sizes, "b")
+    if sizes.where(F.col("_size") > chunk).limit(1).count():
+        done.append(todo.where(F.col("_size") <= chunk).transform(lambda x: _in_pieces(x, hashes, chunk, kinds)))
+        todo, index = todo.where(F.col("_size") > chunk), _banded(hashes.where(F.col("_size") > chunk), [0]).drop("_size").withColumnRenamed("h", "g")
+        for radius in range(RADIUS + 1):
+            probes = _banded(todo, [m for m in range(1 << 64 // BANDS) if m.bit_count() == radius])
+            d = hamming(F.col("h"), F.col("g"))
+            found = probes.join(index, ["b", "_band", "_key"]).where(d > 0).groupBy("b", "id", "h").agg(F.min(d).alias("_d"))
+            todo = cut(todo.join(found, ["b", "id", "h"], "left").withColumn("best", F.least("best", "_d")).drop("_d"))
+            proven = F.coalesce(F.col("best") <= BANDS * (radius + 1), F.lit(False))
+            done.append(todo.where(proven))
+            todo = todo.where(~proven)
+    done.append(_in_pieces(todo, hashes, chunk, kinds))
+    every = reduce(DataFrame.unionByName, [x.select("b", "id", "best") for x in done])
+    return every.groupBy(F.col("b").alias(block), F.col("id").alias(row_id)).agg(F.min("best").alias("best"))
+
+
+def _banded(rows: DataFrame, turned: list[int]) -> DataFrame:
+    """A row for each band of the hash, with its bits turned in each of the given ways."""
+    bits = 64 // BANDS
+    keys = [F.shiftrightunsigned("h", bits * k).bitwiseAND(F.lit((1 << bits) - 1)) for k in range(BANDS)]
+    each = rows.select("*", F.posexplode(F.array(*keys)).alias("_band", "_own"))
+    return each.withColumn("_key", F.explode(F.transform(F.array(*map(F.lit, turned)), lambda m: F.col("_own").bitwiseXOR(m.cast("long"))))).drop("_own")
+
+
+def _in_pieces(rows: DataFrame, hashes: DataFrame, chunk: int, kinds: dict[str, str]) -> DataFrame:
+    """(b, id, best) of rows against all hashes of their block but equal ones: pieces of either side meet by block, a task holds one pair of them."""
+    block_kind, id_kind = kinds.values()
+
+    def pieces(df: DataFrame, columns: list[str], size: Column, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64(*columns), F.ceil(size / chunk))
+        return df.groupBy("b", part.alias(name)).agg(*[F.collect_list(c).alias(f"{name}_{c}") for c in columns])
+
+    count = rows.groupBy("b").agg(F.count("*").alias("_rows"))
+    # one list of structs keeps ids, hashes and distances together
+    r = rows.join(count, "b").withColumn("x", F.struct("id", "h", "best"))
+    both = pieces(r, ["x"], F.col("_rows"), "r").join(pieces(hashes, ["h"], F.col("_size"), "l"), "b")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                one = batch.slice(k, 1)
+                x, g = one.column("r_x").flatten(), one.column("l_h").flatten().to_numpy()
+                ids, h, best = (x.field(c) for c in range(3))
+                h, known = h.to_numpy(), pc.fill_null(best, 65).to_numpy()
+                for a in range(0, len(h), STRIP):
+                    d = np.bitwise_count((h[a : a + STRIP, None] ^ g).view(np.uint64)).astype(np.int32)
+                    least = np.minimum(np.where(d > 0, d, 65).min(1, initial=65), known[a : a + STRIP])
+                    ids_ = ids.slice(a, STRIP)
+                    block_ = pa.array([one.column("b")[0].as_py()] * len(least), one.schema.field("b").type)
+                    yield pa.RecordBatch.from_arrays([block_, ids_, pa.array(least, pa.int32(), mask=least > 64)], names=["b", "id", "best"])
+
+    return both.select("b", "r_x", "l_h").mapInArrow(compare, f"b {block_kind}, id {id_kind}, best int")
 
 
 def best_summary(best: DataFrame, block: str) -> DataFrame:
