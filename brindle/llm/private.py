@@ -10,8 +10,12 @@ from pyspark.sql import functions as F
 from brindle.llm.common import GAP, documents, flagged, flags_of, saved, text_of
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
-#: In this order; a term that discloses an entity comes last.
-KINDS = ("email", "ip", "card", "phone", "term")
+#: In this order; a term that discloses an entity and an identifier that is a secret come last.
+KINDS = ("email", "ip", "card", "phone", "term", "secret")
+#: An identifier is a run of so many of these characters at least, with a letter and a digit; the word before it, up to so many other characters away on its line, is what announces it.
+IDENTIFIER = r"(?:(?<![A-Za-z0-9_+/-])|\G)[A-Za-z0-9_+/-]{20,}+={0,2}+"
+NEEDS_IDENTIFIER = r"[A-Za-z0-9_+/-]{20}"
+ANNOUNCED = r"([\p{L}\p{N}_]+)[^\p{L}\p{N}_\n]{1,8}$"
 #: The patterns of the four kinds. A lookbehind lets a run that failed at its first character not be tried from each later one; \\G allows
 #: what follows a match directly. Possessive repeats never need what they took, so long texts neither backtrack nor recurse.
 PATTERNS = {
@@ -267,11 +271,55 @@ def term_spans(docs: DataFrame, terms: DataFrame, id_col: str = "doc_id", text_c
     return out.where(F.size("term") > 0)
 
 
+def identifiers(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, document, key, word, start, end): every identifier of the texts, with the word that announces it, lower-cased and empty without one; document is the text's hash."""
+    rows = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("_t")).where(F.col("_t").rlike(NEEDS_IDENTIFIER))
+    mixed = lambda m: m.rlike("[A-Za-z]") & m.rlike("[0-9]")
+    matches, gaps = F.regexp_extract_all("_t", F.lit(IDENTIFIER), F.lit(0)), F.split("_t", IDENTIFIER, -1)
+    rows = rows.select("id", F.xxhash64("_t").alias("document"), matches.alias("_m"), gaps.alias("_g")).where(F.exists("_m", mixed))
+    each = F.arrays_zip(F.col("_m").alias("key"), F.transform(F.slice("_g", F.lit(1), F.size("_m")), lambda g: F.struct(F.length(g).alias("n"), F.lower(F.regexp_extract(g, ANNOUNCED, 1)).alias("word"))).alias("gap"))
+
+    def step(acc: Column, x: Column) -> Column:
+        a = acc["at"] + x["gap"]["n"]
+        b = a + F.length(x["key"])
+        one = F.array(F.struct(x["key"].alias("key"), x["gap"]["word"].alias("word"), a.alias("start"), b.alias("end")))
+        return F.struct(b.alias("at"), F.when(mixed(x["key"]), F.concat(acc["out"], one)).otherwise(acc["out"]).alias("out"))
+
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<struct<key:string,word:string,start:bigint,end:bigint>>").alias("out"))
+    return rows.select("id", "document", F.inline(F.aggregate(each, start, step, lambda acc: acc["out"])))
+
+
+def secret_spans(docs: DataFrame, rule: Disclosure, id_col: str, text_col: str) -> DataFrame | None:
+    """(id, secret, hidden): spans of the secrets and those of removed ones, in the documents that have any; None if there are none.
+
+    That a document holds an identifier is what is protected here. A word tells it by the rule if knowing the word gives away at least alpha of that information: if nearly every different document that
+    has the word has it announcing an identifier, with `support` different identifiers at least. An identifier that such a word announces anywhere is a secret wherever it stands; prose words that
+    happen to stand before one aren't near the rule.
+    """
+    keys = saved(identifiers(docs, id_col, text_col), "identifiers")
+    told = keys.where("word <> ''").groupBy("word").agg(F.count_distinct("key").alias("n_keys"), F.count_distinct("document").alias("n_te")).where(F.col("n_keys") >= rule.support)
+    told = saved(told, "announcing")
+    if told.isEmpty():
+        return None
+    texts = docs.select(F.xxhash64(text_of(text_col)).alias("document"), text_of(text_col).alias("_t"))
+    total = max(1, texts.select("document").distinct().count())
+    held = texts.select("document", F.explode(F.array_distinct(F.split(F.lower("_t"), r"[^\p{L}\p{N}_]+", -1))).alias("word")).where(flagged(flags_of(told, ["word"]), F.col("word")))
+    known = held.join(told.select("word"), "word", "left_semi").groupBy("word").agg(F.count_distinct("document").alias("n_t"))
+    n_e = keys.agg(F.count_distinct("document").alias("n")).select("n").scalar()
+    content = F.greatest(-F.log(n_e / F.lit(float(total))), F.lit(1e-9))
+    share = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * n_e)) / content
+    words = told.join(known, "word").withColumn("share", share).where(F.col("share") >= rule.alpha)
+    secrets = keys.join(F.broadcast(words.select("word", "share")) if told.count() <= BUCKETS else words.select("word", "share"), "word").groupBy("key").agg((F.max("share") >= rule.remove).alias("hidden"))
+    span = F.struct("start", F.lit(KINDS.index("secret")).alias("kind"), "end")
+    found = keys.join(saved(secrets, "secrets"), "key").groupBy("id").agg(F.collect_set(span).alias("secret"), F.collect_set(F.when(F.col("hidden"), span)).alias("hidden"))
+    return saved(found, "secretspans")
+
+
 def personal(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, base, spans, n_email, n_ip, n_card, n_phone, removed): spans of the patterns, and these with the disclosing terms', sorted by start, then kind;
-    removed holds those of the terms to be cut out, which sanitised() takes.
+    """(id, base, spans, n_email, n_ip, n_card, n_phone, secret, removed): spans of the patterns, and these with the disclosing terms', sorted by start, then kind; apart from
+    them those of secrets; removed holds those of terms and secrets to be cut out. sanitised() takes them all.
 
-    Null and empty texts have none. Repeated rows and ids each keep their row; rows that share an id also share its terms' spans, so give
+    Null and empty texts have none. Repeated rows and ids each keep their row; rows that share an id also share its terms' and secrets' spans, so give
     ids that are unique. Other columns of docs are not read.
     """
     rows = base_spans(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), text_of("text"))
@@ -280,14 +328,14 @@ def personal(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "do
     # one pass finds the patterns; the few texts that have any are kept for the terms beside them
     base = saved(base.withColumn("line", F.when(F.size("base") > 0, F.col("line"))), "base")
     terms = saved(disclosing(docs, rule, text_col, base.where("line is not null").select("line")), "terms")
-    base = base.drop("line")
-    if terms.isEmpty():
-        return base.withColumn("spans", F.col("base")).withColumn("removed", F.array().cast(SPAN))
-    more = term_spans(docs, terms, id_col, text_col)
-    out = base.join(more, "id", "left")
+    secrets = secret_spans(docs, rule, id_col, text_col)
     none = F.array().cast(SPAN)
-    out = out.withColumn("spans", F.array_sort(F.concat("base", F.coalesce("term", none))))
-    return out.withColumn("removed", F.coalesce("gone", none)).drop("term", "gone")
+    out = base.drop("line").withColumns({c: none for c in ("term", "gone", "secret", "hidden")})
+    for found in ([] if terms.isEmpty() else [term_spans(docs, terms, id_col, text_col)]) + ([] if secrets is None else [secrets]):
+        names = [c for c in found.columns if c != "id"]
+        out = out.drop(*names).join(found, "id", "left").withColumns({c: F.coalesce(c, none) for c in names})
+    out = out.withColumns({"spans": F.array_sort(F.concat("base", "term")), "removed": F.concat("gone", "hidden"), "secret": F.array_sort("secret")})
+    return out.drop("term", "gone", "hidden")
 
 
 def merged(spans: Column) -> Column:
@@ -326,5 +374,6 @@ def sanitised(text: Column, spans: Column, removed: Column | None = None) -> Col
 def op9_disclosure(spark, sf_dir) -> DataFrame:
     out = personal(documents(spark, sf_dir))
     return out.select(
-        F.col("id").alias("doc_id"), *[f"n_{k}" for k in PATTERNS], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans")
-    )
+        F.col("id").alias("doc_id"), *[f"n_{k}" for k in PATTERNS], F.sha2(spans_text(F.col("base")), 256).alias("base_sha256"), spans_text(F.col("spans")).alias("spans"),
+        F.size("secret").cast("long").alias("n_secret"), spans_text(F.col("secret")).alias("secret_spans"),
+    )

@@ -118,3 +118,38 @@ def test_terms_far_off_or_on_other_lines_are_found(spark):
     rows += [(500 + i, "Snark\n\nno@corp.example") for i in range(9)]
     got = {r.term for r in P.disclosing(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert {"quibble", "zorblax", "wumpus"} <= got and "snark" not in got
+
+
+def test_secrets_are_found_by_the_words_that_announce_them(spark):
+    import random
+
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choices("abcdefgh", k=rng.randrange(2, 7)))
+    prose = lambda: " ".join(word() for _ in range(30))
+    key = lambda: "".join(rng.choices("0123456789abcdef", k=39)) + "7a"
+    keys = [key() for _ in range(12)]
+    rows = [(k, f'{prose()}\nToken = "{keys[k]}" and {prose()} é', 1) for k in range(10)]
+    rows += [(20 + k, rows[0][1], 1) for k in range(5)]  # copies are one witness
+    rows += [(30, f"{prose()} {keys[3]}.", 1), (31, f"{prose()} about {keys[10]} x", 0), (32, f"about {prose()}", 0), (33, f"about {prose()}", 0)]
+    rows += [(40 + k, f"about {prose()}", 0) for k in range(40)]  # a common word stands before identifiers by chance
+    rows += [(90 + k, f"about {key()} {prose()}", 0) for k in range(3)]
+    rows += [(100, "https://example/" + "a" * 40, 0), (101, "1" * 40, 0), (102, None, 0), (103, "", 0), (104, f"token={keys[1]}", 1), (104, f"token={keys[1]}", 1)]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, want int, spans string")
+    got = P.personal(df.drop("want")).withColumn("said", P.spans_text(F.col("secret"))).collect()
+    assert len(got) == len(rows)
+    texts = {i: t for i, t, _ in rows}
+    for r in got:
+        found = [tuple(map(int, x.split(":")[1:])) for x in r.said.split(",") if x.startswith("secret")]
+        assert len(found) == {i: w for i, _, w in rows}[r.id], r.id
+        assert all(texts[r.id][a:b] in keys for a, b in found)
+    cut = df.join(P.personal(df), df.doc_id == F.col("id")).where("doc_id = 2").select(P.sanitised(F.col("text"), F.col("secret"), F.col("removed"))).first()[0]
+    assert keys[2] not in cut and cut.replace('""', f'"{keys[2]}"') == texts[2]
+
+
+def test_query_finds_the_secrets_of_the_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
+    got = {r.doc_id: r for r in P.op9_disclosure(spark, "/root/testdata/sf0.01").collect()}
+    want = {i: [m.span(1) for m in re.finditer(r'token = "([0-9a-f]{40})"', t or "", re.I)] for i, t in docs.items()}
+    found = {i: [tuple(map(int, x.split(":")[1:])) for x in r.secret_spans.split(",") if x] for i, r in got.items()}
+    assert found == want and sum(map(len, want.values())) >= 13
+    assert all(r.n_secret == len(want[i]) for i, r in got.items())
