@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -303,11 +304,16 @@ def secret_spans(docs: DataFrame, rule: Disclosure, id_col: str, text_col: str)
         return None
     texts = docs.select(F.xxhash64(text_of(text_col)).alias("document"), text_of(text_col).alias("_t"))
     total = max(1, texts.select("document").distinct().count())
-    held = texts.select("document", F.explode(F.array_distinct(F.split(F.lower("_t"), r"[^\p{L}\p{N}_]+", -1))).alias("word")).where(flagged(flags_of(told, ["word"]), F.col("word")))
-    known = held.join(told.select("word"), "word", "left_semi").groupBy("word").agg(F.count_distinct("document").alias("n_t"))
-    n_e = keys.agg(F.count_distinct("document").alias("n")).select("n").scalar()
-    content = F.greatest(-F.log(n_e / F.lit(float(total))), F.lit(1e-9))
-    share = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * n_e)) / content
+    n_e = keys.agg(F.count_distinct("document")).first()[0]
+    # a word is in no fewer documents than in those with identifiers; prose words fail by these alone, so they needn't be counted in all texts
+    bar = (n_e / total) ** (1 - rule.alpha) * (1 - 1e-9)
+    beside = _holding(texts.where(F.col("_t").rlike(NEEDS_IDENTIFIER)), told).withColumnRenamed("n_t", "n_near")
+    told = saved(told.join(beside, "word").where(F.col("n_te") >= bar * F.col("n_near")).drop("n_near"), "announcing")
+    if told.isEmpty():
+        return None
+    known = _holding(texts, told)
+    content = F.lit(max(1e-9, -math.log(n_e / total)))
+    share = F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.lit(n_e))) / content
     words = told.join(known, "word").withColumn("share", share).where(F.col("share") >= rule.alpha)
     secrets = keys.join(F.broadcast(words.select("word", "share")) if told.count() <= BUCKETS else words.select("word", "share"), "word").groupBy("key").agg((F.max("share") >= rule.remove).alias("hidden"))
     span = F.struct("start", F.lit(KINDS.index("secret")).alias("kind"), "end")
@@ -315,6 +321,13 @@ def secret_spans(docs: DataFrame, rule: Disclosure, id_col: str, text_col: str)
     return saved(found, "secretspans")
 
 
+def _holding(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(word, n_t): in how many different documents each of the words stands."""
+    each = texts.select("document", F.explode(F.array_distinct(F.split(F.lower("_t"), r"[^\p{L}\p{N}_]+", -1))).alias("word"))
+    each = each.where(flagged(flags_of(words, ["word"]), F.col("word"))).join(words.select("word"), "word", "left_semi")
+    return each.groupBy("word").agg(F.count_distinct("document").alias("n_t"))
+
+
 def personal(docs: DataFrame, rule: Disclosure = Disclosure(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans, n_email, n_ip, n_card, n_phone, secret, removed): spans of the patterns, and these with the disclosing terms', sorted by start, then kind; apart from
     them those of secrets; removed holds those of terms and secrets to be cut out. sanitised() takes them all.
