@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from brindle.raster import mask as masks
 from brindle.raster import png
-from brindle.sources.stores import located
+from brindle.sources.stores import cut, located
 
 WIDE, TALL = 320, 240
 #: Blue, green, red.
@@ -132,5 +132,4 @@ def files(figures: DataFrame, path: str) -> DataFrame:
             yield pd.DataFrame(out, columns=["panel", "path", "bytes"])
 
     kind = figures.schema["panel"].dataType.simpleString()
-    done = figures.mapInPandas(write, f"panel {kind}, path string, bytes long")
-    return done.sparkSession.createDataFrame(done.collect(), done.schema)  # a row a file
+    return cut(figures.mapInPandas(write, f"panel {kind}, path string, bytes long"))
