@@ -215,7 +215,7 @@ _MIX = _mixers()
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, fp, bands): the hash of the shingle set, its SimHash (a bit is 1 if over half the different shingles have it) and its bands."""
+    """(id, h, size, fp, bands): the hash of the shingle set, how many it has, its SimHash (a bit is 1 if over half the different shingles have it) and its bands."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -227,15 +227,16 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     part = found[at : at + _SPAN].astype("<u8").view(np.uint8).reshape(-1, 8)
                     ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
                 fp = int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little", signed=True)
-                out.append((xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED) - (1 << 63), fp, bands(found)))
-            yield pd.DataFrame({"id": b["id"], **dict(zip(("h", "fp", "bands"), map(list, zip(*out))))} if out else {c: [] for c in ("id", "h", "fp", "bands")})
+                out.append((xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED) - (1 << 63), len(found), fp, bands(found)))
+            names = ("h", "size", "fp", "bands")
+            yield pd.DataFrame({"id": b["id"], **dict(zip(names, map(list, zip(*out))))} if out else {c: [] for c in ("id", *names)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(work, f"id {kind}, h long, fp long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(work, f"id {kind}, h long, size int, fp long, bands array<long>")
 
 
-def alike(pairs: DataFrame, docs: DataFrame, each: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """pairs (a, b) of set hashes to those whose sets have a Jaccard similarity of LIKE at least; just the sets that take part are made again."""
+def sets_of(wanted: DataFrame, docs: DataFrame, each: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(h, s): the shingle sets of the given hashes, made again from one text each."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -243,61 +244,120 @@ def alike(pairs: DataFrame, docs: DataFrame, each: DataFrame, id_col: str, text_
             h = [xxhash.xxh64_intdigest(x.astype("<u8").tobytes(), SEED) - (1 << 63) for x in made]
             yield pd.DataFrame({"h": h, "s": [x.view(np.int64) for x in made]})
 
-    pairs = saved(pairs, "nearpairs")
-    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wantedsets")
     some = saved(each.join(wanted, "h", "left_semi").groupBy("h").agg(F.min("id").alias("id")).select("id").distinct(), "wantedids")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).where(flagged(flags_of(some, ["id"]), F.col("id")))
     rows = rows.join(some, "id", "left_semi").select("text")
     # an id may have other texts too
-    sets = rows.mapInPandas(work, "h long, s array<long>").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("s").alias("s"))
-    sets = saved(sets, "sets")
+    return rows.mapInPandas(work, "h long, s array<long>").join(wanted, "h", "left_semi").groupBy("h").agg(F.first("s").alias("s"))
+
+
+def alike(pairs: DataFrame, docs: DataFrame, each: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """pairs (a, b) of set hashes to those whose sets have a Jaccard similarity of LIKE at least; just the sets that take part are made again."""
+    pairs = saved(pairs, "nearpairs")
+    wanted = saved(pairs.select(F.explode(F.array("a", "b")).alias("h")).distinct(), "wantedsets")
+    sets = saved(sets_of(wanted, docs, each, id_col, text_col), "sets")
     both = pairs.join(sets.select(F.col("h").alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col("h").alias("b"), F.col("s").alias("y")), "b")
     same = F.size(F.array_intersect("x", "y"))
     # same / (all - same) >= 4 / 5
     return both.where(9 * same >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
 
 
+def rare_shingles(sets: DataFrame) -> DataFrame:
+    """(n, lo, mid, hi): for each shingle that three of the sets hold at most, how many and which: mid where n is 3, lo = hi where it is 1.
+
+    The third holder is what remains of all holders' XOR, so a shingle of any number of sets is a row of fixed size.
+    """
+    rows = sets.select("h", F.explode("s").alias("s"))
+    held = rows.groupBy("s").agg(F.count("*").alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi"), F.bit_xor("h").alias("x"))
+    return held.where("n <= 3").select("n", "lo", F.col("x").bitwiseXOR(F.col("lo")).bitwiseXOR(F.col("hi")).alias("mid"), "hi")
+
+
+def bounded(members: DataFrame, rare: DataFrame) -> DataFrame:
+    """members (h, fp, comp, size) with rest, the number of shingles that over three members hold."""
+    holders = F.when(F.col("n") == 1, F.array("lo")).when(F.col("n") == 2, F.array("lo", "hi")).otherwise(F.array("lo", "mid", "hi"))
+    few = rare.select(F.explode(holders).alias("h")).groupBy("h").agg(F.count("*").alias("few"))
+    return members.join(few, "h", "left").select("h", "fp", "comp", "size", (F.col("size") - F.coalesce("few", F.lit(0))).alias("rest"))
+
+
+def met(members: DataFrame, rare: DataFrame) -> DataFrame:
+    """Pairs (a, b) in different components that share rare shingles and may reach LIKE: those they share and the rest of the one with less is the most that they have in common."""
+    pair = [F.struct(F.col(x).alias("a"), F.col(y).alias("b")) for x, y in combinations(("lo", "mid", "hi"), 2)]
+    pairs = rare.where("n > 1").select(F.explode(F.when(F.col("n") == 2, F.array(pair[1])).otherwise(F.array(*pair))).alias("p"))
+    pairs = pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("c"))
+    x, y = (members.select(F.col("h").alias(k), F.struct("fp", "comp", "size", "rest").alias(f"of{k}")) for k in "ab")
+    near = (F.col("ofa.comp") != F.col("ofb.comp")) & (F.bit_count(F.col("ofa.fp").bitwiseXOR(F.col("ofb.fp"))) <= BITS)
+    most = F.col("c") + F.least("ofa.rest", "ofb.rest")
+    return pairs.join(x, "a").join(y, "b").where(near & (9 * most >= 4 * (F.col("ofa.size") + F.col("ofb.size")))).select("a", "b")
+
+
 def _across(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Pairs of one cell that no component joins yet and whose fingerprints differ by BITS at most.
+    """Pairs of one cell that no component joins yet, whose fingerprints differ by BITS at most and that reach LIKE if they share all shingles but rare ones.
 
-    The largest component is never compared with itself, so a crowd costs each outsider one row of comparisons.
+    For that one of the two has 8/9 of its shingles at least among those, so light ones are never held against each other. The largest component
+    is never compared with itself, so a crowd costs each outsider one row of comparisons.
     """
     for b in batches:
         for m in b["m"]:
             fp = np.array([x["fp"] for x in m], np.int64).view(np.uint64)
-            h, comp = np.array([x["h"] for x in m], np.int64), np.array([x["comp"] for x in m], np.int64)
+            h, comp, size, rest = (np.array([x[c] for x in m], np.int64) for c in ("h", "comp", "size", "rest"))
+            heavy = 9 * rest >= 8 * size
             names, counts = np.unique(comp, return_counts=True)
+            outside = comp != names[counts.argmax()]
             out = []
-            for k in np.flatnonzero(comp != names[counts.argmax()]):
-                hit = np.flatnonzero((comp != comp[k]) & (np.bitwise_count(fp ^ fp[k]) <= BITS))
-                out.append(np.stack([np.minimum(h[hit], h[k]), np.maximum(h[hit], h[k])], 1))
+
+            def hold(some: np.ndarray, against: np.ndarray) -> None:
+                for k in some:
+                    near = (comp[against] != comp[k]) & (np.bitwise_count(fp[against] ^ fp[k]) <= BITS)
+                    hit = against[near & (9 * np.minimum(rest[against], rest[k]) >= 4 * (size[against] + size[k]))]
+                    out.append(np.stack([np.minimum(h[hit], h[k]), np.maximum(h[hit], h[k])], 1))
+
+            hold(np.flatnonzero(outside & heavy), np.arange(len(h)))
+            hold(*sorted((np.flatnonzero(outside & ~heavy), np.flatnonzero(~outside & heavy)), key=len))
             if out:
                 yield pd.DataFrame(np.unique(np.concatenate(out), axis=0), columns=["a", "b"])
 
 
+def across(named: DataFrame, classes: DataFrame, docs: DataFrame, each: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Pairs (a, b) of set hashes that share a cell, or a rare shingle, and may be alike, but are in different components.
+
+    Only shingles of sets in cells with several components are counted. A crowd of texts from one template, each with words of its own, can't reach LIKE by
+    what many of them share; so it gives no pairs, where pairs of its cells would grow with its square.
+    """
+    mixed = named.groupBy("cell").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p <> q").select("cell")
+    named = saved(named.join(mixed, "cell", "left_semi"), "mixedcells")
+    members = named.select("h", "comp").distinct().join(classes.select("h", "fp", "size"), "h")
+    members = saved(members, "members")
+    rare = saved(rare_shingles(sets_of(members.select("h"), docs, each, id_col, text_col)), "rareshingles")
+    members = saved(bounded(members, rare), "boundedmembers")
+    cells = saved(named.select("cell", "h").join(members, "h"), "boundedcells")
+    heavy = F.max((9 * F.col("rest") >= 8 * F.col("size")).cast("int"))
+    open_cells = cells.groupBy("cell").agg(heavy.alias("heavy"), F.count("*").alias("n")).where("heavy = 1").select("cell", "n")
+    parts = F.when(F.col("n") > CELL, F.ceil(2 * F.col("n") / CELL).cast("int")).otherwise(1)
+    dealt = cells.join(open_cells, "cell").withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other <> part")
+    blocks = dealt.groupBy("cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q"))
+    blocks = blocks.agg(F.collect_list(F.struct("h", "fp", "comp", "size", "rest")).alias("m"))
+    return blocks.select("m").mapInPandas(_across, "a long, b long").unionByName(met(members, rare)).distinct()
+
+
 def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, component): the smallest id reachable over pairs whose sets of WORDS-word shingles have a Jaccard similarity of LIKE at least.
 
-    Candidates share a band and differ by BITS bits of the SimHash at most; the sets themselves decide. First each member of a cell is held
-    against the cell's least one, which settles crowds of near copies; then all pairs of a cell that are still in different components. Texts without words are alike.
+    Candidates share a band, or a rare shingle, and differ by BITS bits of the SimHash at most; the sets themselves decide. First each member of a cell is held
+    against the cell's least one, which settles crowds of near copies; then the pairs that are still in different components. Texts without words are alike.
     """
     each = saved(sketches(docs, id_col, text_col), "sketches")
-    classes = each.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("fp").alias("fp"), F.first("bands").alias("bands"))
-    classes = saved(classes, "setclasses")
+    first = [F.first(c).alias(c) for c in ("fp", "size", "bands")]
+    classes = saved(each.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *first), "setclasses")
     cells = saved(classes.select("h", "fp", F.explode("bands").alias("cell")), "bandcells")
     least = cells.groupBy("cell").agg(F.min(F.struct("h", "fp")).alias("l"), F.count("*").alias("_n")).where("_n > 1").select("cell", "l")
     shared = saved(cells.join(least, "cell"), "sharedcells")
     star = shared.where((F.col("h") != F.col("l.h")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("l.fp"))) <= BITS))
     links = saved(alike(star.select(F.col("l.h").alias("a"), F.col("h").alias("b")).distinct(), docs, each, id_col, text_col), "starlinks")
     found = saved(components(links), "starfound")
-    named = shared.drop("l").join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("component", "h"))
-    named = saved(named.select("cell", "h", "fp", "comp"), "namedcells")
-    mixed = named.groupBy("cell").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("n")).where("p <> q").select("cell", "n")
-    parts = F.ceil(2 * F.col("n") / CELL).cast("int")
-    dealt = named.join(mixed, "cell").withColumn("parts", F.when(F.col("n") > CELL, parts).otherwise(1)).withColumn("part", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).where("parts = 1 or other <> part")
-    blocks = dealt.groupBy("cell", F.least("part", "other").alias("p"), F.greatest("part", "other").alias("q")).agg(F.collect_list(F.struct("h", "fp", "comp")).alias("m"))
-    more = saved(blocks.select("m").mapInPandas(_across, "a long, b long").distinct(), "across")
+    named = shared.drop("l", "fp").join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("component", "h"))
+    named = saved(named.select("cell", "h", "comp"), "namedcells")
+    more = saved(across(named, classes, docs, each, id_col, text_col), "across")
     if not more.isEmpty():
         found = saved(components(links.unionByName(alike(more, docs, each, id_col, text_col))), "allfound")
     classes = classes.select("h", "rep", "n").join(found.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("component", "h"))

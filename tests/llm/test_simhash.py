@@ -142,3 +142,42 @@ def test_stage_finds_copies_of_similarity_four_fifths(spark, monkeypatch):
     assert missed_by_bits > len(close) / 3 and got == {i: find(i) for i in texts}
     assert {r.doc_id for r in simhash.without_near_copies(docs).collect()} == {i for i in texts if find(i) == i}
     assert simhash.without_near_copies(docs.limit(0)).count() == 0
+
+
+def test_template_crowd_gives_no_pairs(spark, monkeypatch):
+    """Texts of one template with words of their own, just below the bound: candidates stay in proportion, near copies among them are found."""
+    rng = random.Random(8)
+    template = ["t%d" % k for k in range(400)]
+
+    def filled(i, own):
+        return " ".join(template[:200] + [f"w{i}x{k}" for k in range(own)] + template[200:])
+
+    texts = {i: filled(i, 46 + i % 4) for i in range(600)}
+    for i in range(40):  # near copies of some: one word more at the end
+        texts[1000 + i] = texts[i] + f" e{i}"
+    for i in range(3):  # over the bound with each other by a passage that only they share
+        texts[2000 + i] = filled(2000 + i, 12) + " " + " ".join(f"c{k}" for k in range(36))
+    counted = []
+    inner = simhash.across
+
+    def seen(*args):
+        out = inner(*args).cache()
+        counted.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "across", seen)
+    docs = spark.createDataFrame(sorted(texts.items(), key=lambda x: rng.random()), "doc_id long, text string")
+    got = {r.id: r.component for r in simhash.alike_components(docs).collect()}
+    sets = {i: slow_shingles(t) for i, t in texts.items()}
+    for x, y in [(0, 1), (3, 599), (0, 2000), (2000, 2001), (2000, 2002), (5, 1005)]:
+        same = len(sets[x] & sets[y])
+        assert (9 * same >= 4 * (len(sets[x]) + len(sets[y]))) == (got[x] == got[y]), (x, y)
+    assert got == {i: i - 1000 if 1000 <= i < 2000 else 2000 if i >= 2000 else i for i in texts}
+    assert counted[0] <= len(texts)
+
+
+def test_rare_shingles_name_their_holders(spark):
+    sets = {1: [1, 2, 3, 4], -2: [2, 3, 4], 3: [3, 4, 9], 5: [4]}
+    rows = simhash.rare_shingles(spark.createDataFrame(list(sets.items()), "h long, s array<long>")).collect()
+    got = sorted((r.n, r.lo, r.mid if r.n == 3 else None, r.hi) for r in rows)
+    assert got == sorted([(1, 1, None, 1), (1, 3, None, 3), (2, -2, None, 1), (3, -2, 1, 3)], key=lambda x: (x[0], x[1]))
