@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import bisect
+import itertools
+import random
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.operators import quantile
+from brindle.sources.stores import cut
 
 
 def finite(c: Column) -> Column:
@@ -81,33 +86,45 @@ def raster_stats(values: str) -> dict[str, Column]:
     return {"pixel_min": F.array_min(v), "pixel_max": F.array_max(v), "pixel_mean": mean, "pixel_median": median, "pixel_std": F.sqrt(var)}
 
 
-def sampled_ids(df: DataFrame, key: str, n: int, seed: int = 0, width: int = 16) -> list:
+def sampled_ids(df: DataFrame, key: str, n: int, seed: int = 0, width: int = 16, split: int = 8) -> list:
     """The seeded sample that Python's random gives on the sorted distinct integer ids.
 
-    random chooses places, which need the number of ids alone; only the n ids at those places come to the driver, with a count for each 2^width ids.
+    random chooses places, which need the number of ids alone. Ids are counted by blocks of equal width; those that hold a chosen place are split
+    into 2^split narrower ones and counted again, down to 2^width ids. So n * 2^split counts at most come to the driver at a time, however many ids there are and however far apart.
     """
-    import bisect
-    import itertools
-    import random
-
-    ids = df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id")).distinct()
-    block = F.shiftright("id", width)
-    counts = [tuple(r) for r in ids.groupBy(block.alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()]
-    ends = list(itertools.accumulate(c for _, c in counts))
-    total = ends[-1] if ends else 0
-    wanted = []
-    for place in random.Random(seed).sample(range(total), min(n, total)):
-        k = bisect.bisect_right(ends, place)
-        wanted.append((counts[k][0], place - (ends[k] - counts[k][1])))
+    ids = cut(df.where(F.col(key).isNotNull()).select(F.col(key).cast("bigint").alias("id")).distinct())
+    total, low, high = ids.agg(F.count("*"), F.min("id"), F.max("id")).first()
+    wanted = [(None, place) for place in random.Random(seed).sample(range(total), min(n, total))]
     if not wanted:
         return []
+    shift = next(k for k in range(64) if (high >> k) - (low >> k) < 1 << split)
+    wanted = _within(ids, wanted, None, shift)
+    while shift > width:
+        narrower = max(width, shift - split)
+        wanted = _within(ids, wanted, shift, narrower)
+        shift = narrower
+    block = F.shiftright("id", shift)
     order = Window.partitionBy("b").orderBy("id")
-    rows = ids.withColumn("b", block).where(F.col("b").isin([b for b, _ in wanted])).withColumn("r", F.row_number().over(order) - 1)
+    rows = ids.where(block.isin([b for b, _ in wanted])).select("id", block.alias("b")).withColumn("r", F.row_number().over(order) - 1)
     picks = df.sparkSession.createDataFrame(wanted, "b bigint, r int")
     found = {(x["b"], x["r"]): x["id"] for x in rows.join(F.broadcast(picks), ["b", "r"]).collect()}
     return [found[w] for w in wanted]
 
 
+def _within(ids: DataFrame, wanted: list[tuple], wide: int | None, narrow: int) -> list[tuple]:
+    """(block, place in it) for blocks of 2^narrow ids, from the same for blocks of 2^wide ids (None: one block of all ids)."""
+    outer = F.lit(None).cast("bigint") if wide is None else F.shiftright("id", wide)
+    some = ids if wide is None else ids.where(outer.isin([b for b, _ in wanted]))
+    counts = some.groupBy(outer.alias("o"), F.shiftright("id", narrow).alias("b")).agg(F.count("*").alias("n")).orderBy("b").collect()
+    inner = {o: list(g) for o, g in itertools.groupby(counts, lambda r: r["o"])}
+    ends = {o: list(itertools.accumulate(r["n"] for r in g)) for o, g in inner.items()}
+    out = []
+    for o, place in wanted:
+        k = bisect.bisect_right(ends[o], place)
+        out.append((inner[o][k]["b"], place - (ends[o][k - 1] if k else 0)))
+    return out
+
+
 def sampled_row(df: DataFrame, group: str, key: str, seed: int = 0) -> DataFrame:
     """(group, key): one row a group, the same for a seed: the key with the least hash. Each task keeps one row a group, and nothing is sorted."""
     at = F.struct(F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string"))), F.col(key))

@@ -190,6 +190,12 @@ def test_samples_reports_and_outlines(spark, capsys):
     for seed in range(3):
         assert profile.sampled_ids(df, "id", 4, seed) == random.Random(seed).sample(sorted(set(ids)), 4)
     assert profile.sampled_ids(df.limit(0), "id", 4) == []
+    # far apart, uneven and at both ends of the type: few blocks are counted, whatever the ids
+    sparse = [-(1 << 63), (1 << 63) - 1, *(k * 10**13 - 7 for k in range(-300, 300)), *range(10**15, 10**15 + 500)]
+    df = spark.createDataFrame([(i,) for i in sparse], "id long")
+    for seed, n in ((0, 5), (1, 40), (2, 2000)):
+        ids = sorted(set(sparse))
+        assert profile.sampled_ids(df, "id", n, seed, width=3) == random.Random(seed).sample(ids, min(n, len(ids)))
     counts = dedup.duplicate_counts(spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "t string"), "t")
     assert sinks.console(counts, "files") == capsys.readouterr().out.rstrip("\n")
     assert [tuple(r) for r in sinks.counted_lines(counts).collect()] == [("files", 3), ("unique", 2), ("groups", 1), ("grouped files", 2), ("largest group", 2)]
