@@ -22,10 +22,7 @@ FOUND = (
 #: The same measures over the mask's pixels alone.
 MASKED = [f"{k}_masked_eval" for k in metrics.NAMES]
 SCORED = FOUND + "".join(f", {k} double" for k in MASKED)
-BODY = (
-    "x int, y int, width int, height int, coverage double, aspect_ratio double, center_x_offset double, top_margin_frac double, "
-    "bottom_margin_frac double, width_frac double, height_frac double, fallback boolean, largest_cc_aspect_ratio double"
-)
+BODY = "x int, y int, width int, height int, coverage double, fallback boolean, largest_cc_aspect_ratio double"
 BODY_FEATURES = ["coverage", "aspect_ratio", "center_x_offset", "top_margin_frac", "bottom_margin_frac", "width_frac", "height_frac"]
 
 
@@ -333,8 +330,10 @@ def whole_bodies(images: DataFrame, extra: DataFrame, region_ids: DataFrame, pad
     images and extra: view, id, source, height, width, data. region_ids: (id, source) that have region crops.
     """
     more = extra.where(F.col("id").isNotNull()).join(images.select("view", "id"), ["view", "id"], "left_anti")
-    rows = _each(images.unionByName(more), BODY.replace("width int, height int", "bw int, bh int"), ["id", "view", "source"], lambda a: [{("bw" if k == "width" else "bh" if k == "height" else k): v for k, v in shape.body_box(a, pad, threshold).items()}])
-    rows = rows.withColumnsRenamed({"bw": "width", "bh": "height"})
+    both = images.unionByName(more).withColumns({"columns": F.col("width"), "rows": F.col("height")})
+    boxes = _each(both, BODY, ["id", "view", "source", "columns", "rows"], lambda a: [shape.body_box(a, pad, threshold)])
+    x, y, canvas = F.col("x"), F.col("y"), (F.col("columns"), F.col("rows"))
+    rows = boxes.withColumns(geometry.features(x, y, x + F.col("width"), y + F.col("height"), *canvas)).drop("columns", "rows")
     scored = forest.anomalies(cut(rows), "view", BODY_FEATURES, contamination)  # rasters are measured once
     own = scored.withColumn("_k", F.concat_ws(":", "source", "id"))
     known = region_ids.select(F.concat_ws(":", "source", "id").alias("_k"))

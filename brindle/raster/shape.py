@@ -158,26 +158,6 @@ def perceptual_hash(img: np.ndarray, side: int = 8, factor: int = 4) -> int:
     return int("".join("1" if b else "0" for b in bits.ravel()), 2)
 
 
-def padded(box: tuple[int, int, int, int], pad: int, canvas: tuple[int, int]) -> tuple[int, int, int, int]:
-    """An inclusive box grown by `pad` on each side, within a canvas of (rows, columns)."""
-    low = np.maximum(np.array(box[:2]) - pad, 0)
-    high = np.minimum(np.array(box[2:]) + pad, np.array(canvas[::-1]) - 1)
-    return (*low.tolist(), *high.tolist())
-
-
-def box_features(box: tuple[int, int, int, int], canvas: tuple[int, int]) -> dict[str, float]:
-    """How an inclusive box lies in its canvas; sizes are differences of its corners."""
-    (x0, y0, x1, y1), (rows, columns) = box, canvas
-    size = np.array([x1 - x0, y1 - y0], float)
-    wide, high = size / (columns, rows)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        ratio = size[0] / size[1] if size[1] else np.nan
-    return dict(
-        aspect_ratio=float(ratio), center_x_offset=(x0 + x1 - columns) / 2, width_frac=float(wide), height_frac=float(high),
-        top_margin_frac=y0 / rows, bottom_margin_frac=1 - y1 / rows,
-    )
-
-
 def main_aspect(mask: np.ndarray) -> float:
     """Height over width of the largest component; 0 without one."""
     labels = components(mask)
@@ -186,9 +166,14 @@ def main_aspect(mask: np.ndarray) -> float:
 
 
 def body_box(img: np.ndarray, pad: int = 5, threshold: float = 2) -> dict:
-    """The padded box of all that is above the threshold, with its features and those of the largest component; a blank canvas falls back to all of it."""
+    """The box of all that is above the threshold, padded within the canvas, its coverage and the aspect of the largest component; a blank canvas falls back to all of it.
+
+    Sizes are differences of the box's corners, which are inclusive.
+    """
     mask = masks.background(img, threshold)
     lit = masks.bounds(mask)
-    box = padded(lit, pad, img.shape) if lit else (0, 0, img.shape[1] - 1, img.shape[0] - 1)
-    out = dict(zip(("x", "y", "width", "height"), (box[0], box[1], box[2] - box[0], box[3] - box[1])))
-    return out | box_features(box, img.shape) | {"coverage": masks.coverage(mask), "fallback": lit is None, "largest_cc_aspect_ratio": main_aspect(mask)}
+    rows, columns = img.shape[:2]
+    x0, y0, x1, y1 = lit or (0, 0, columns - 1, rows - 1)
+    x, y = max(x0 - pad, 0), max(y0 - pad, 0)
+    size = {"x": x, "y": y, "width": min(x1 + pad, columns - 1) - x, "height": min(y1 + pad, rows - 1) - y}
+    return size | {"coverage": masks.coverage(mask), "fallback": lit is None, "largest_cc_aspect_ratio": main_aspect(mask)}
