@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -173,12 +173,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component, which is null if the class has no id. Other columns of docs are not read.
     """
     each = saved(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
+    named, total = fingerprint_components(each, distance)
+    return with_unique(each, named, "fp", "n", total)
+
+
+def fingerprint_components(each: DataFrame, distance: int = DISTANCE) -> tuple[DataFrame, int]:
+    """(fp, n, component) for the different fingerprints of each (id, fp), and the number of all rows."""
     classes = saved(each.groupBy("fp").agg(F.min("id").alias("rep"), F.count("*").alias("n")), "classes")
     total, n = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     found = saved(components(near_links(classes.where("rep is not null"), n, distance)), "found")
     named = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left")
-    named = saved(named.select("fp", "n", F.coalesce("component", "rep").alias("component")), "named")
-    return with_unique(each, named, "fp", "n", total)
+    return saved(named.select("fp", "n", F.coalesce("component", "rep").alias("component")), "named"), total
 
 
 def shingles(text: str | None, shingle: int = WORDS) -> np.ndarray:
@@ -215,7 +220,7 @@ _MIX = _mixers()
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, size, fp, bands): the hash of the shingle set, how many it has, its SimHash (a bit is 1 if over half the different shingles have it) and its bands."""
+    """(id, near, h, size, fp, bands): fingerprint(), the hash of the shingle set, how many it has, its SimHash (a bit is 1 if over half the different shingles have it) and its bands."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -227,12 +232,13 @@ def sketches(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                     part = found[at : at + _SPAN].astype("<u8").view(np.uint8).reshape(-1, 8)
                     ones += np.unpackbits(part, axis=1, bitorder="little").sum(0, dtype=np.int64)
                 fp = int.from_bytes(np.packbits(2 * ones > len(found), bitorder="little").tobytes(), "little", signed=True)
-                out.append((xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED) - (1 << 63), len(found), fp, bands(found)))
-            names = ("h", "size", "fp", "bands")
+                near = int(np.uint64(fingerprint(t)).astype(np.int64))
+                out.append((near, xxhash.xxh64_intdigest(found.astype("<u8").tobytes(), SEED) - (1 << 63), len(found), fp, bands(found)))
+            names = ("near", "h", "size", "fp", "bands")
             yield pd.DataFrame({"id": b["id"], **dict(zip(names, map(list, zip(*out))))} if out else {c: [] for c in ("id", *names)})
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(work, f"id {kind}, h long, size int, fp long, bands array<long>")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(work, f"id {kind}, near long, h long, size int, fp long, bands array<long>")
 
 
 def sets_of(wanted: DataFrame, docs: DataFrame, each: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -347,6 +353,32 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     against the cell's least one, which settles crowds of near copies; then the pairs that are still in different components. Texts without words are alike.
     """
     each = saved(sketches(docs, id_col, text_col), "sketches")
+    of, total = set_components(each, docs, id_col, text_col)
+    return with_unique(each.select("id", "h"), of, "h", "n", total).select("id", "component")
+
+
+def copy_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, component): the smallest id reachable over links of fingerprints, as near_components() finds them, and over pairs that alike_components() links.
+
+    Components of either kind are joined where a document is in both. Ids must not be null.
+    """
+    each = saved(sketches(docs, id_col, text_col), "sketches")
+    named, _ = fingerprint_components(each.select("id", F.col("near").alias("fp")))
+    of, total = set_components(each, docs, id_col, text_col)
+    both = saved(each.select("near", "h").distinct(), "kinds")
+    often = both.groupBy("near").agg(F.count("*").alias("_n")).join(named.select(F.col("fp").alias("near"), F.col("component").alias("a")), "near")
+    links = with_unique(both, saved(often, "oftenkinds"), "near", "_n", both.count())
+    links = links.join(of.select("h", F.col("component").alias("b")), "h").select("a", "b").where("a <> b").distinct()
+    # a component's name is its smallest id, so the smallest name is the smallest id of all that are joined
+    joint = saved(components(links), "joint").select(F.col("node").alias("component"), F.col("component").alias("least"))
+    sized = saved(of.groupBy("component").agg(F.count("*").alias("_n")).join(joint, "component", "left"), "sizedcomponents")
+    names = with_unique(of, sized, "component", "_n", of.count()).select("h", "n", F.coalesce("least", "component").alias("component"))
+    names = saved(names, "jointsets")
+    return with_unique(each.select("id", "h"), names, "h", "n", total).select("id", "component")
+
+
+def set_components(each: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """(h, n, component) for the different shingle sets of each, and the number of all rows."""
     first = [F.first(c).alias(c) for c in ("fp", "size", "bands")]
     classes = saved(each.groupBy("h").agg(F.min("id").alias("rep"), F.count("*").alias("n"), *first), "setclasses")
     cells = saved(classes.select("h", "fp", F.explode("bands").alias("cell")), "bandcells")
@@ -364,18 +396,17 @@ def alike_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     classes = saved(classes.select("h", "rep", "n", "comp"), "labelled")
     firsts = saved(classes.groupBy("comp").agg(F.min("rep").alias("component"), F.count("*").alias("_n")), "setfirsts")
     rows, kinds = classes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    of = saved(with_unique(classes, firsts, "comp", "_n", kinds).select("h", "n", "component"), "ofsets")
-    return with_unique(each.select("id", "h"), of, "h", "n", rows).select("id", "component")
+    return saved(with_unique(classes, firsts, "comp", "_n", kinds).select("h", "n", "component"), "ofsets"), rows
 
 
-def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs, with all columns, whose id is the smallest of its component of near copies (alike_components).
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", of: Callable[..., DataFrame] = alike_components) -> DataFrame:
+    """The rows of docs, with all columns, whose id is the smallest of its component of near copies, as `of` finds them.
 
     Rows with the same id are one document and stay together. Rows without an id can't be named, so they take no part and stay.
     """
     since = written()
     taking = docs.where(F.col(id_col).isNotNull())
-    stays = alike_components(taking, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.bool_or(F.col("id") == F.col("component")).alias("_stays"))
+    stays = of(taking, id_col, text_col).groupBy(F.col("id").alias("_id")).agg(F.bool_or(F.col("id") == F.col("component")).alias("_stays"))
     gone = stays.where("not _stays").select("_id")
     gone = kept(gone, "nearcopies", since)
     hit = flagged(flags_of(gone, ["_id"]), F.col(id_col))

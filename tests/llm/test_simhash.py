@@ -181,3 +181,31 @@ def test_rare_shingles_name_their_holders(spark):
     rows = simhash.rare_shingles(spark.createDataFrame(list(sets.items()), "h long, s array<long>")).collect()
     got = sorted((r.n, r.lo, r.mid if r.n == 3 else None, r.hi) for r in rows)
     assert got == sorted([(1, 1, None, 1), (1, 3, None, 3), (2, -2, None, 1), (3, -2, 1, 3)], key=lambda x: (x[0], x[1]))
+
+
+def test_stage_links_fingerprints_and_sets(spark):
+    """The pipeline's stage has both kinds of links: texts three bits apart at most whatever their sets, and sets of 0.8 whatever the bits, in one component where they meet."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+
+    def far(a, b):
+        x, y = slow_shingles(a), slow_shingles(b)
+        return 9 * len(x & y) < 4 * (len(x) + len(y))
+
+    def bits(a, b):
+        return (slow_fingerprint(a) ^ slow_fingerprint(b)).bit_count()
+
+    def changed(text, n):
+        words = text.split()
+        for k in rng.sample(range(len(words)), n):
+            words[k] = f"x{rng.random()}"
+        return " ".join(words)
+
+    base = " ".join(f"w{k}" for k in range(300))
+    by_bits = next(t for t in iter(lambda: changed(base, 8), None) if far(base, t) and bits(base, t) <= 3)
+    by_set = next(t for t in iter(lambda: changed(by_bits, 4), None) if not far(by_bits, t) and bits(by_bits, t) > 3 and far(base, t) and bits(base, t) > 3)
+    docs = spark.createDataFrame([(7, by_set), (3, base), (5, by_bits), (9, "another text of its own")], "doc_id long, text string")
+    assert {r.id: r.component for r in simhash.copy_components(docs).collect()} == {3: 3, 5: 3, 7: 3, 9: 9}
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {3, 9}
+    assert simhash.copy_components(docs.limit(0)).count() == 0
