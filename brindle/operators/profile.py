@@ -49,10 +49,10 @@ def five_numbers(df: DataFrame, group: str, column: str) -> DataFrame:
     """What a box plot without fliers shows: quartiles, and the outermost points within one and a half interquartile ranges."""
     df = df.where(F.col(group).isNotNull() & F.col(column).isNotNull())
     q = quantile.quantiles(df, [group], column, [0.25, 0.5, 0.75])
-    q = q.select(group, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3"))
+    q = cut(q.select(group, F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("median"), F.get("q", F.lit(2)).alias("q3")))
     reach = 1.5 * (F.col("q3") - F.col("q1"))
     v = F.col(column)
-    both = df.join(q, group)
+    both = quantile.by_group(df, q, [group])
     inside = F.when((v >= F.col("q1") - reach) & (v <= F.col("q3") + reach), v)
     return both.groupBy(group, "q1", "median", "q3").agg(F.min(inside).alias("low"), F.max(inside).alias("high"))
 

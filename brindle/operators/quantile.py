@@ -17,6 +17,16 @@ WHOLE = round(20 / MARGIN)
 #: Different values of a bracket that are put in order in one task; larger ones are counted into bins of their range and narrowed first.
 SORTED = 100_000
 BINS = 4096
+#: A table of so many groups at most goes to every task.
+FEW = 100_000
+
+
+def by_group(rows: DataFrame, groups: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined with groups, a table from cut() with one row a group, without moving the rows where there are few groups.
+
+    Spark takes such a table to be as large as what it was made from, and so would shuffle the rows by group: a task would get all rows of the largest one.
+    """
+    return rows.join(F.broadcast(groups) if groups.count() <= FEW else groups, on, how)
 
 
 def quantiles(df: DataFrame, group: list[str], value: str, at: list[float], most: int = SORTED, whole: int = WHOLE) -> DataFrame:
@@ -34,7 +44,7 @@ def quantiles(df: DataFrame, group: list[str], value: str, at: list[float], most
     ends = [x for p in at for x in (max(0.0, p - MARGIN), min(1.0, p + MARGIN))]
     edges = rows.groupBy(*group).agg(F.count("*").alias("n"), F.percentile_approx("_v", F.array(*map(F.lit, ends)), ACCURACY).alias("_e"), F.min("_v").alias("_min"), F.max("_v").alias("_max"))
     edges = cut(edges)
-    joined = rows.join(edges, group)
+    joined = by_group(rows, edges, group)
     small = F.col("n") < whole
 
     def entry(k: int) -> Column:

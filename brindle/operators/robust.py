@@ -16,11 +16,10 @@ MAD_SCALE, Z_CUT = 0.6745, 3.5
 def with_group_median(df: DataFrame, group: str, values: dict[str, Column]) -> DataFrame:
     """Adds one exact median per group and name; rows without a group are dropped, as grouping by null would keep them.
 
-    Medians are selected in bounded memory (see quantile). They have one row a group, so Spark broadcasts them as long as they fit its threshold and shuffles otherwise; no
-    window gathers a group.
+    Medians are selected in bounded memory (see quantile). They have one row a group and go to every task where there are few; no window or join gathers a group.
     """
     df = df.where(F.col(group).isNotNull())
-    return df.join(quantile.medians(df, [group], values), group, "left")
+    return quantile.by_group(df, quantile.medians(df, [group], values), [group], "left")
 
 
 def bracketed_medians(df: DataFrame, group: str, value: str) -> DataFrame:
