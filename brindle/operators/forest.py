@@ -88,10 +88,10 @@ def drawn(rows: DataFrame, group: str, features: list[str], key: list[str], pool
 
     Equal rows become one with their number before they are shuffled.
     """
-    sizes = rows.groupBy(group).agg((F.lit(float(pool)) / F.count("*")).alias("_share"))
+    sizes = cut(rows.groupBy(group).agg((F.lit(float(pool)) / F.count("*")).alias("_share")))
     at = F.xxhash64(F.lit(seed), *key)
     place = F.shiftrightunsigned(at, 11) / float(1 << 53)
-    some = rows.join(sizes, group).withColumn("_place", place).where(F.col("_place") < F.col("_share"))
+    some = quantile.by_group(rows, sizes, [group]).withColumn("_place", place).where(F.col("_place") < F.col("_share"))
     return some.groupBy(group, *features, "_place").agg(F.count("*").alias("_times"))
 
 
@@ -125,8 +125,8 @@ def anomalies(df: DataFrame, group: str, features: list[str], contamination: flo
     fitted = models(known, "_g", inputs, ["_key"], pool, seed)
     parts = (F.floor(F.col("n") / PART) + 1).cast("int")
     # a part for each PART rows of a group; its model goes along with every part
-    sized = df.where(ok).join(fitted.select("_g", parts.alias("_parts")), F.col(group) == F.col("_g")).drop("_g")
-    rows = sized.withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).drop("_parts")
+    sized = quantile.by_group(df.where(ok), fitted.select(F.col("_g").alias(group), parts.alias("_parts")), [group])
+    rows = sized.select(*df.columns, "_parts").withColumn("_part", F.pmod(F.monotonically_increasing_id(), F.col("_parts")).cast("int")).drop("_parts")
     each = fitted.select("_g", "model", F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"))
 
     def score(keys: tuple, part: pd.DataFrame, model: pd.DataFrame) -> pd.DataFrame:
@@ -139,8 +139,9 @@ def anomalies(df: DataFrame, group: str, features: list[str], contamination: flo
 
     schema = StructType([*df.schema.fields, StructField("anomaly_score", DoubleType())])
     scored = cut(rows.groupBy(group, "_part").cogroup(each.groupBy("_g", "_part")).applyInPandas(score, schema))
-    limit = quantile.quantiles(scored, [group], "anomaly_score", [1 - contamination]).select(F.col(group).alias("_cg"), F.get("q", F.lit(0)).alias("_cut"))
-    out = scored.join(limit, F.col(group) == F.col("_cg"), "left").withColumn("outlier", F.col("anomaly_score") > F.col("_cut")).drop("_cg", "_cut")
+    limit = cut(quantile.quantiles(scored, [group], "anomaly_score", [1 - contamination]).select(group, F.get("q", F.lit(0)).alias("_cut")))
+    out = quantile.by_group(scored, limit, [group], "left").withColumn("outlier", F.col("anomaly_score") > F.col("_cut"))
+    out = out.select(*df.columns, "anomaly_score", "outlier")
     rest = df.where(~F.coalesce(ok, F.lit(False))).withColumns({"anomaly_score": F.lit(None).cast("double"), "outlier": F.lit(None).cast("boolean")})
     return out.unionByName(rest)
 
