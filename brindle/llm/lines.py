@@ -18,6 +18,8 @@ LONG = 72
 RANKS = 1 << 16
 LOW48 = (1 << 48) - 1
 NO_ID = -(1 << 63)
+#: Of so many equal parts of all words, those of the first one are joined before the others: most lines that match an earlier one share a word of it.
+SHARES = 4
 #: What names a class: the place of its first line, and the parity for ids that repeat with other texts.
 OWN = ["doc", "line", "parity"]
 
@@ -108,6 +110,11 @@ def described(rows: DataFrame, least: int) -> DataFrame:
     )
 
 
+def in_first(tok: Column) -> Column:
+    """Whether a word is in the first of the SHARES parts, by bits that neither ranks nor parities use."""
+    return F.pmod(F.shiftright(tok, 10), F.lit(SHARES)) == 0
+
+
 def posted(firsts: DataFrame) -> DataFrame:
     """A row for each prefix word of each class: tok, doc, line, at (number of words and place among them), parity and wide (null for short lines)."""
     rows = firsts.select(*OWN, "n", "wide", F.posexplode("prefix").alias("pos", "tok"))
@@ -131,20 +138,27 @@ def before(l: str, r: str) -> Column:
     return (F.col(f"{l}.doc") < F.col(f"{r}.doc")) | ((F.col(f"{l}.doc") == F.col(f"{r}.doc")) & (F.col(f"{l}.line") < F.col(f"{r}.line")))
 
 
-def involved(firsts: DataFrame) -> DataFrame:
+def involved(rows: DataFrame) -> DataFrame:
     """The posted rows that have some other class under their word which passes the filters with them.
 
     A semi join: a crowd of near copies gives a row for each posted row, never one for each pair.
     """
-    rows = posted(firsts)
     cond = (F.col("l.tok") == F.col("r.tok")) & (before("l", "r") | before("r", "l")) & close("l", "r")
     return rows.alias("l").join(rows.alias("r"), cond, "left_semi")
 
 
+def undecided(rows: DataFrame, gone: DataFrame) -> DataFrame:
+    """Of involved rows those whose class, or a later partner's under the same word, isn't among the classes (OWN) that are known to be matched."""
+    rows = saved(rows.join(gone.withColumn("known", F.lit(True)), OWN, "left").withColumn("open", F.isnull("known")).drop("known"), "openrows")
+    cond = (F.col("l.tok") == F.col("r.tok")) & ((before("r", "l") & F.col("l.open")) | (before("l", "r") & F.col("r.open"))) & close("l", "r")
+    return rows.alias("l").join(rows.alias("r"), cond, "left_semi").drop("open")
+
+
 def with_words(rows: DataFrame, docs: DataFrame, ranks: Column, id_col: str, text_col: str) -> DataFrame:
     """Posted rows with all words of their line. The words are made again from the texts of just the lines that take part."""
     wanted = saved(rows.select("doc", "line").distinct(), "wanted")
-    lines = line_rows(docs, id_col, text_col).where(flagged(flags_of(wanted, ["doc", "line"]), F.col("doc"), F.col("line")))
+    some = docs.where(flagged(flags_of(wanted, ["doc"]), key_of(id_col)))
+    lines = line_rows(some, id_col, text_col).where(flagged(flags_of(wanted, ["doc", "line"]), F.col("doc"), F.col("line")))
     lines = lines.join(wanted, ["doc", "line"]).select("doc", "line", tokens(F.col("words"), ranks).alias("tok"))
     # repeated ids may have other texts
     sets = saved(lines.select("doc", "line", _turned(F.col("tok")).alias("parity"), F.col("tok").alias("words")), "wordsets")
@@ -169,7 +183,8 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     alike, each by its own text. Ids are cast to long; a null id counts as the lowest. An empty table gives an empty result.
 
     Equal sets are one class. Semi joins first find the classes that have a near partner by the filters, then, with the words of just those, the
-    classes that an earlier one matches; so no table grows with the pairs of a crowd.
+    classes that an earlier one matches; so no table grows with the pairs of a crowd. That is done for one part of all words and then for the others, where
+    only classes that are still unmatched need a partner, so the posted rows are never on disk at once and few rows take their line's words along.
     """
     ranks = rarity(docs.select(text_col), text_col)
     docs = docs.select(id_col, text_col)
@@ -190,8 +205,13 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     firsts = saved(firsts.select("h1", "h2", *OWN, "n", "wide", "prefix"), "firsts")
     places = saved(rows.select("doc", "line", "h1", "h2"), "lineplaces")
     dropped(every)
-    near = saved(involved(firsts), "involved")
+    rows = posted(firsts)
+    near = saved(involved(rows.where(in_first(F.col("tok")))), "involved")
     gone = saved(matched(with_words(near, docs, ranks, id_col, text_col)), "gone")
+    # a line that one word settles needs no other, neither its own nor an earlier line's for it
+    near = saved(involved(rows.where(~in_first(F.col("tok")))), "involved")
+    near = saved(undecided(near, gone), "undecided")
+    gone = gone.unionByName(saved(matched(with_words(near, docs, ranks, id_col, text_col)), "gone")).distinct()
     gone = saved(firsts.select("h1", "h2", *OWN).join(gone, OWN).select("h1", "h2", F.lit(True).alias("gone")).distinct(), "goneclasses")
     dropped(firsts)
     fate = classes.join(gone, ["h1", "h2"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))

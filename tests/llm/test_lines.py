@@ -102,3 +102,27 @@ def test_long_lines_of_few_words_go_where_they_repeat(spark):
     out = {r.doc_id: r.text for r in L.deduplicated(df).collect()}
     assert out == {**dict(rows), 2: "one\nyes."}
     assert L.removed_lines(df).count() == 0
+
+
+def test_few_rows_take_their_words_along(spark, monkeypatch):
+    """Of a crowd of long near copies one part of the words settles most lines; the rest needs no words again."""
+    rng = random.Random(9)
+    base = [f"c{k}" for k in range(70)]
+    rows = []
+    for i in range(150):
+        words = list(base)
+        words[rng.randrange(70)] = f"own{i}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    counted = []
+    inner = L.with_words
+
+    def seen(some, *args):
+        counted.append(some.count())
+        return inner(some, *args)
+
+    monkeypatch.setattr(L, "with_words", seen)
+    lost = {r.doc: r.removed for r in L.removed_lines(docs).collect()}
+    assert lost == {i: [0] for i in range(1, 150)}
+    # each line has 15 rarest words, 14 or 15 of them in the others' too
+    assert sum(counted) < 150 * 14 / 2
