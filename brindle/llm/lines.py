@@ -38,7 +38,8 @@ def rarity(docs: DataFrame, text_col: str = "text") -> Column:
 
     Its size is fixed, so it is part of the plan, and with it a word's hash alone gives its place in the order: no join of words with counts.
     """
-    words = docs.select(F.explode(F.split(F.lower(text_of(text_col)), GAP)).alias("w"))
+    lines = docs.select(F.explode(F.split(F.lower(text_of(text_col)), "\n")).alias("words"))
+    words = lines.select(F.explode(split_words(F.col("words"))).alias("w"))
     rows = words.groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n")).collect()  # a row a bucket at most
     counts = {r["b"]: r["n"] for r in rows}
     ranks = [0] * RANKS
@@ -47,16 +48,26 @@ def rarity(docs: DataFrame, text_col: str = "text") -> Column:
     return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
 
 
+def split_words(text: Column) -> Column:
+    """The words of a text, empty ones among them. Where the blank is its only white space it is cut there, without a regular expression."""
+    other = F.contains(text, F.lit("\t"))
+    for c in "\x0b\f\r\n":
+        other = other | F.contains(text, F.lit(c))
+    return F.when(other, F.split(text, GAP)).otherwise(F.split(text, " "))
+
+
 def tokens(line: Column, ranks: Column) -> Column:
     """A line's different words as sorted longs: the bucket's rank before the rest of the 64-bit hash, so that they
     sort by rarity and equal longs are equal hashes."""
 
-    def key(w: Column) -> Column:
-        h = F.xxhash64(w)
-        return F.shiftleft(F.get(ranks, bucket(h)).cast("bigint") - F.lit(RANKS // 2), 48).bitwiseOR(h.bitwiseAND(F.lit(LOW48)))
+    def key(h: Column) -> Column:
+        # a rank is there for each bucket; arrays that can't hold nulls sort as plain longs
+        rank = F.coalesce(F.get(ranks, bucket(h)), F.lit(0)).cast("bigint")
+        return F.shiftleft(rank - F.lit(RANKS // 2), 48).bitwiseOR(h.bitwiseAND(F.lit(LOW48)))
 
-    # sort_array compares in the engine; array_sort would call a comparator for each pair
-    return F.sort_array(F.array_distinct(F.transform(F.array_remove(F.split(line, GAP), ""), key)))
+    # hashes first, as key needs each twice; sort_array compares in the engine; array_sort would call a comparator for each pair
+    hashes = F.transform(F.array_remove(split_words(line), ""), lambda w: F.xxhash64(w))
+    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
 
 
 def key_of(id_col: str) -> Column:
@@ -122,13 +133,16 @@ def posted(firsts: DataFrame) -> DataFrame:
 
 
 def close(l: str, r: str) -> Column:
-    """Whether two posted rows pass the length, positional and parity filters, which no matching pair fails."""
+    """Whether two posted rows pass the length, positional and parity filters, which no matching pair fails under the first word that it shares.
+
+    Before that word it shares none, so all it shares are this word and those behind it on either side; under later words it needn't pass.
+    """
     n1, n2 = F.shiftright(f"{l}.at", 32), F.shiftright(f"{r}.at", 32)
     p1, p2 = F.col(f"{l}.at").bitwiseAND((1 << 32) - 1), F.col(f"{r}.at").bitwiseAND((1 << 32) - 1)
     o = need(n1 + n2)
     apart = F.bit_count(F.col(f"{l}.parity").bitwiseXOR(F.col(f"{r}.parity")))
     wide = sum((F.bit_count(F.get(f"{l}.wide", F.lit(k)).bitwiseXOR(F.get(f"{r}.wide", F.lit(k)))) for k in range(PARTS)), F.lit(0))
-    most = F.least(p1, p2) + F.least(n1 - p1, n2 - p2)
+    most = F.least(n1 - p1, n2 - p2)
     near = (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (apart <= n1 + n2 - 2 * o) & (most >= o)
     # folding a long line's ranges gives its parity, so a short line has nothing to add
     return near & F.when((n1 > LONG) & (n2 > LONG), wide <= n1 + n2 - 2 * o).otherwise(F.lit(True))
@@ -192,13 +206,17 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     every = saved(described(occurrences(docs, ranks, id_col, text_col, least, whole), least), "lines")
     taking = F.col("n") >= least if whole is None else (F.col("n") >= least) | ((F.col("n") > 0) & (F.col("size") >= whole))
     rows = every.where(taking)
-    classes = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("times"))
-    classes = saved(classes, "lineclasses")
-    # a line alone in its class is its first; only those that flags don't show to be alone are looked up, by their place, so that no frequent line gathers
-    flags = flags_of(classes.where("times > 1"), ["h1", "h2"])
+    # counts alone are summed up by hashing; least structs are sorted, so only those lines that flags don't show to be alone in their class have them sought
+    counts = saved(rows.groupBy("h1", "h2").agg(F.count("*").alias("times")), "linecounts")
+    flags = flags_of(counts.where("times > 1"), ["h1", "h2"])
     several = flagged(flags, F.col("h1"), F.col("h2"))
+    total = counts.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    dropped(counts)
+    classes = rows.where(several).groupBy("h1", "h2").agg(F.min(F.struct("doc", "line")).alias("first"), F.count("*").alias("times"))
+    classes = saved(classes, "lineclasses")
+    # a line alone in its class is its first; the others are looked up, by their place, so that no frequent line gathers
     told = rows.where(F.col("prefix").isNotNull())
-    at_first = classes.where(several).select("h1", "h2", "first.doc", "first.line")
+    at_first = classes.select("h1", "h2", "first.doc", "first.line")
     firsts = told.where(~several).unionByName(told.where(several).join(at_first, ["h1", "h2", "doc", "line"], "left_semi"))
     if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
         firsts = firsts.dropDuplicates(OWN)
@@ -214,10 +232,10 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     gone = gone.unionByName(saved(matched(with_words(near, docs, ranks, id_col, text_col)), "gone")).distinct()
     gone = saved(firsts.select("h1", "h2", *OWN).join(gone, OWN).select("h1", "h2", F.lit(True).alias("gone")).distinct(), "goneclasses")
     dropped(firsts)
-    fate = classes.join(gone, ["h1", "h2"], "left").withColumn("gone", F.coalesce("gone", F.lit(False)))
     # only classes that lose a line matter: those that occur again and those matched by an earlier one
-    fate = saved(fate.where("gone or times > 1").select(F.struct("h1", "h2").alias("h"), "first", "times", "gone"), "fate")
-    total = classes.agg(F.coalesce(F.sum("times"), F.lit(0))).first()[0]
+    fate = classes.where("times > 1").join(gone, ["h1", "h2"], "full")
+    fate = fate.select(F.struct("h1", "h2").alias("h"), "first", F.coalesce("times", F.lit(1)).alias("times"), F.coalesce("gone", F.lit(False)).alias("gone"))
+    fate = saved(fate, "fate")
     judged = with_unique(places.select("doc", "line", F.struct("h1", "h2").alias("h")), fate, "h", "times", total)
     lost = judged.where(F.col("gone") | (F.col("first") < F.struct("doc", "line")))
     return lost.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))

@@ -126,3 +126,18 @@ def test_few_rows_take_their_words_along(spark, monkeypatch):
     assert lost == {i: [0] for i in range(1, 150)}
     # each line has 15 rarest words, 14 or 15 of them in the others' too
     assert sum(counted) < 150 * 14 / 2
+
+
+def test_rows_pass_only_under_a_first_shared_word(spark):
+    """Two lines of 18 words that match share 16, so their first shared word has at most two words before it on either side."""
+    at = lambda n, pos: (n << 32) + pos
+    rows = [(100 + pos, doc, 0, 0, at(18, pos), None) for pos in range(4) for doc in (1, 2)]
+    df = spark.createDataFrame(rows, "tok long, doc long, line int, parity long, at long, wide array<long>")
+    assert sorted({r.tok for r in L.involved(df).collect()}) == [100, 101, 102]
+
+
+def test_words_are_cut_at_any_white_space(spark):
+    texts = ["a b", "", " a  b ", "a\tb", "a\x0bb c", "a\fb", "a\rb", "a\u00a0b \u2003c", "a\nb"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.split_words(F.col("t")).alias("w"))
+    for r in df.collect():
+        assert [w for w in r.w if w] == re.findall(r"[^\x20\x09-\x0D]+", r.t), repr(r.t)
