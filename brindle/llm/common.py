@@ -69,6 +69,19 @@ def _delete(spark: SparkSession, path: str) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+ARROW_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def modest_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """From now on the session sends Python at most so many rows at once, for whole texts: both sides hold a batch, beside a heap that doesn't shrink.
+
+    A smaller number that is set already stays; no result depends on it.
+    """
+    now = int(spark.conf.get(ARROW_ROWS, "10000"))
+    if now <= 0 or now > rows:
+        spark.conf.set(ARROW_ROWS, str(rows))
+
+
 def written() -> int:
     """How many tables saved() has written and release() not deleted."""
     return len(_written)

@@ -15,13 +15,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, ranked, saved
+from brindle.llm.common import documents, modest_batches, ranked, saved
 from brindle.llm.words import chunks, coded
 
 CAPACITY, END_ID = 2048, 0
 VOCABULARY = "word_bpe_49k.json"
-#: Words a worker remembers, some 200 bytes each; all are forgotten when there are more.
-WORDS = 800_000
+#: Words a worker remembers, some 200 bytes each; all are forgotten when there are more. Each of an executor's cores has a worker that keeps them beside the heap.
+WORDS = 250_000
 #: Patterns within this part of the best price are used; rounds of the multiplicative weights, their least number for what rounding left, and their
 #: rate; pieces that best fit may take on at the end.
 EPSILON, ROUNDS, LATER, RATE, FEW = 0.02, 60, 10, 0.15, 48
@@ -75,9 +75,14 @@ class Ids:
             out[k] = np.array(self.tokenizer.encode(texts[k].as_py(), add_special_tokens=False).ids, "<u4")
         return out
 
+    def forget(self) -> None:
+        """Lets go of all words, and of the memory that Arrow keeps for later."""
+        self.words = {"": b""}
+        pa.default_memory_pool().release_unused()
+
     def _known(self, words: list[str]) -> list[bytes]:
         if len(self.words) > WORDS:
-            self.words = {"": b""}
+            self.forget()
         found = list(map(self.words.get, words))
         self._learn([w for w, x in zip(words, found) if x is None])
         return [self.words[w] if x is None else x for w, x in zip(words, found)]
@@ -124,7 +129,7 @@ _encoders: dict[str, Ids] = {}
 
 
 def encoder(path: str) -> Ids:
-    """One for each worker process, so that later tasks find its words known."""
+    """One for each worker process, so that later tasks needn't load the vocabulary."""
     if path not in _encoders:
         _encoders[path] = Ids(path)
     return _encoders[path]
@@ -153,7 +158,9 @@ def pieces(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
                 if ordered:
                     columns["place"] = b.column("place").take(pa.array(row, pa.int64()))
                 yield pa.record_batch(columns)
+        ids.forget()  # the process lives on and may serve other stages
 
+    modest_batches(docs.sparkSession)
     ordered = place is not None
     at = place.cast("string") if ordered else F.lit("")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), at.alias("place"))

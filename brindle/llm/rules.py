@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import documents, saved
+from brindle.llm.common import documents, modest_batches, saved
 
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\v\f\r"
@@ -67,6 +67,7 @@ def with_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             out.insert(0, "id", b["id"].to_numpy())
             yield out
 
+    modest_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, " + ", ".join(f"{c} long" for c in COUNTS)
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(work, schema)

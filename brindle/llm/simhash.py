@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from brindle.llm.common import flagged, flags_of, kept, saved, with_unique, written
+from brindle.llm.common import flagged, flags_of, kept, modest_batches, saved, with_unique, written
 from brindle.llm.components import components
 
 SEED, SHINGLE, DISTANCE = 42, 3, 3
@@ -55,6 +55,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fp = np.fromiter((fingerprint(t, shingle) for t in b["text"]), np.uint64, len(b))
             yield pd.DataFrame({"id": b["id"], "fp": fp.view(np.int64)})
 
+    modest_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInPandas(work, f"id {kind}, fp long")
 

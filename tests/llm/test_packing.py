@@ -1,10 +1,13 @@
 import math
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
@@ -89,3 +92,51 @@ def test_small_tables_are_planned_by_the_program_too(monkeypatch):
     planned = P.plan({100: 300, 156: 300}, 256)
     assert calls and holds(planned, {100: 300, 156: 300}, 256) and sum(t for _, t in planned) <= 303
     assert P.plan({}, 256) == []
+
+
+_MANY_WORDS = """
+import re
+import pyarrow as pa
+import public_tokenizers
+from brindle.llm import packing as P
+
+def anonymous():
+    return sum(map(int, re.findall(r"\\nPss_Anon:\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+ids = P.Ids(public_tokenizers.path(P.VOCABULARY))
+before = anonymous()
+for k in range(0, 720_000, 40_000):
+    ids.many(pa.array([" ".join(f"the{n:06d}" for n in range(k, k + 40_000))]))
+print(anonymous() - before)
+"""
+
+
+def test_a_worker_stays_small_over_many_words():
+    done = subprocess.run([sys.executable, "-c", _MANY_WORDS], capture_output=True, text=True, timeout=300, check=True)
+    assert float(done.stdout) < 80
+
+
+def test_texts_go_to_python_in_modest_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(key)
+    try:
+        spark.conf.set(key, "10000")
+        docs = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+        P.pieces(docs, PATH)
+        assert spark.conf.get(key) == "1000"
+        spark.conf.set(key, "50")
+        P.pieces(docs, PATH)
+        assert spark.conf.get(key) == "50"
+    finally:
+        spark.conf.set(key, was)
+
+
+def test_a_task_leaves_no_words_behind(spark):
+    def words(batches):
+        for b in batches:
+            pass
+        yield pa.record_batch({"n": pa.array([sum(len(x.words) for x in P._encoders.values())])})
+
+    docs = spark.createDataFrame([(k, f"w{k} x{k}") for k in range(50)], "doc_id long, text string").coalesce(1)
+    assert P.pieces(docs, PATH).count() == 50
+    assert docs.mapInArrow(words, "n long").first()[0] <= 1
