@@ -33,11 +33,15 @@ def raster(row) -> np.ndarray:
     return masks.gray(data.reshape(row.height, row.width, n))
 
 
-def _scored(field: ncc.Field, crop: np.ndarray, mask: np.ndarray | None, component: str, id_: int, top: int = 0, bottom: int | None = None, banded: bool = False) -> dict:
+def _scored(field: ncc.Field, crop: np.ndarray, mask: np.ndarray | None, component: str, id_: int, top: int = 0, bottom: int | None = None, banded: bool = False, seen: dict | None = None) -> dict:
+    """seen: the crop's measures over all pixels by place, for a crop that is scored several times."""
     m = ncc.locate(field, crop, mask, top, bottom)
     window = field.image[m["y"] : m["y"] + m["height"], m["x"] : m["x"] + m["width"]]
     ok = m["status"] == "ok"
-    values = metrics.compare(crop, window) if ok else dict.fromkeys(metrics.NAMES)
+    seen = {} if seen is None else seen
+    if ok and (m["x"], m["y"]) not in seen:
+        seen[m["x"], m["y"]] = metrics.compare(crop, window)
+    values = seen[m["x"], m["y"]] if ok else dict.fromkeys(metrics.NAMES)
     # without a mask there is nothing to compare under it
     masked = metrics.compare(crop, window, mask) if ok and mask is not None else dict.fromkeys(metrics.NAMES)
     return {"component": component, "id": id_, **m, **values, **dict(zip(MASKED, (masked[k] for k in metrics.NAMES))), "banded": banded}
@@ -134,11 +138,11 @@ def swept(crops: DataFrame, whole: DataFrame, thresholds: tuple[float, ...] = (2
     def work(field: ncc.Field, crops: list) -> list[dict]:
         out = []
         for row in crops:
-            crop = raster(row)
+            crop, seen = raster(row), {}
             for setting, values, make in (("threshold", thresholds, masks.background), ("percentile", percentiles, masks.percentile)):
                 for v in values:
                     mask = make(crop, v)
-                    out.append({"setting": setting, "value": float(v), "background_fraction": 1 - masks.coverage(mask), **_scored(field, crop, mask, row.component, row.id)})
+                    out.append({"setting": setting, "value": float(v), "background_fraction": 1 - masks.coverage(mask), **_scored(field, crop, mask, row.component, row.id, seen=seen)})
         return out
 
     return _by_image(crops, whole, "setting string, value double, background_fraction double, " + SCORED, work)

@@ -175,3 +175,21 @@ def test_warp_and_hash():
     h = shape.perceptual_hash(smooth)
     assert (h ^ shape.perceptual_hash(np.clip(smooth.astype(int) + 2, 0, 255).astype(np.uint8))).bit_count() <= 10
     assert shape.perceptual_hash(img).bit_count() == 32
+
+
+def test_a_sweep_measures_a_place_once_over_all_pixels(monkeypatch):
+    from brindle.plans import workflows as W
+
+    calls = []
+    compare = metrics.compare
+    monkeypatch.setattr(metrics, "compare", lambda *a: calls.append(len(a)) or compare(*a))
+    image = np.random.default_rng(3).integers(0, 255, (32, 32)).astype(np.uint8)
+    crop, seen = image[8:24, 12:28], {}
+    found = [W._scored(ncc.Field(image), crop, crop > v, "c", 1, seen=seen) for v in (80, 100)]
+    assert sorted(calls) == [2, 3, 3] and found[0]["ssim"] == found[1]["ssim"] == 1
+
+
+def test_window_sums_of_a_stack_are_those_of_each_raster():
+    a = np.random.default_rng(4).integers(0, 255, (5, 12, 9)).astype(float)
+    slow = [[[x[i : i + 7, j : j + 7].sum() for j in range(3)] for i in range(6)] for x in a]
+    assert np.array_equal(metrics._box_sums(a, 7), slow)
