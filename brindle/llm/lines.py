@@ -14,9 +14,10 @@ LEAST = 5
 WHOLE = 40
 PARTS = 4
 #: Up to so many different words 64 bits of parity tell lines apart well enough.
-LONG = 72
+LONG = 96
 RANKS = 1 << 16
-LOW48 = (1 << 48) - 1
+#: Counters of a row when words are counted: so many times fewer groups stay in the small hash table that Spark compiles for them.
+COUNTERS = 4
 NO_ID = -(1 << 63)
 #: Of so many equal parts of all words, those of the first one are joined before the others: most lines that match an earlier one share a word of it.
 SHARES = 4
@@ -34,18 +35,28 @@ def bucket(h: Column) -> Column:
 
 
 def rarity(docs: DataFrame, text_col: str = "text") -> Column:
-    """Rank of each of 65,536 hash buckets by how many words of the whole corpus fall in it, rarest first, as one constant array.
+    """For each of 65,536 hash buckets what turns a hash's upper 16 bits into the bucket's rank by how many words of the whole corpus fall in it, rarest first.
 
-    Its size is fixed, so it is part of the plan, and with it a word's hash alone gives its place in the order: no join of words with counts.
+    A constant array for key(). Its size is fixed, so it is part of the plan, and with it a word's hash alone gives its place in the order: no join of words with counts.
     """
     lines = docs.select(F.explode(F.split(F.lower(text_of(text_col)), "\n")).alias("words"))
     words = lines.select(F.explode(split_words(F.col("words"))).alias("w"))
-    rows = words.groupBy(bucket(F.xxhash64("w")).alias("b")).agg(F.count("*").alias("n")).collect()  # a row a bucket at most
-    counts = {r["b"]: r["n"] for r in rows}
-    ranks = [0] * RANKS
+    at = words.select(bucket(F.xxhash64("w")).alias("b"))
+    low, high = F.col("b").bitwiseAND(RANKS // COUNTERS - 1), F.shiftright("b", (RANKS // COUNTERS).bit_length() - 1)
+    rows = at.groupBy(low.alias("low")).agg(*[F.count(F.when(high == k, 1)).alias(f"n{k}") for k in range(COUNTERS)]).collect()  # 16,384 at most
+    counts = {k * (RANKS // COUNTERS) + r["low"]: r[f"n{k}"] for r in rows for k in range(COUNTERS)}
+    turns = [0] * RANKS
     for rank, b in enumerate(sorted(range(RANKS), key=lambda b: (counts.get(b, 0), b))):
-        ranks[b] = rank
-    return F.split(F.lit(",".join(map(str, ranks))), ",").cast("array<int>")
+        # keys are signed
+        turn = (rank - RANKS // 2) % RANKS ^ b
+        turns[b] = (turn - RANKS if turn >= RANKS // 2 else turn) << 48
+    return F.split(F.lit(",".join(map(str, turns))), ",").cast("array<bigint>")
+
+
+def key(h: Column, ranks: Column) -> Column:
+    """A word's hash with the bucket's rank in place of the bucket: equal keys are equal hashes."""
+    # a number is there for each bucket; arrays that can't hold nulls sort as plain longs
+    return F.coalesce(F.get(ranks, bucket(h)), F.lit(0).cast("bigint")).bitwiseXOR(h)
 
 
 def split_words(text: Column) -> Column:
@@ -60,14 +71,11 @@ def tokens(line: Column, ranks: Column) -> Column:
     """A line's different words as sorted longs: the bucket's rank before the rest of the 64-bit hash, so that they
     sort by rarity and equal longs are equal hashes."""
 
-    def key(h: Column) -> Column:
-        # a rank is there for each bucket; arrays that can't hold nulls sort as plain longs
-        rank = F.coalesce(F.get(ranks, bucket(h)), F.lit(0)).cast("bigint")
-        return F.shiftleft(rank - F.lit(RANKS // 2), 48).bitwiseOR(h.bitwiseAND(F.lit(LOW48)))
-
     # hashes first, as key needs each twice; sort_array compares in the engine; array_sort would call a comparator for each pair
-    hashes = F.transform(F.array_remove(split_words(line), ""), lambda w: F.xxhash64(w))
-    return F.sort_array(F.array_distinct(F.transform(hashes, key)))
+    hashes = F.transform(split_words(line), lambda w: F.xxhash64(w))
+    keys = F.array_distinct(F.transform(hashes, lambda h: key(h, ranks)))
+    # the empty word goes last: outside of transform() longs are compared in compiled code
+    return F.sort_array(F.array_remove(keys, key(F.xxhash64(F.lit("")), ranks)))
 
 
 def key_of(id_col: str) -> Column:
@@ -139,13 +147,13 @@ def close(l: str, r: str) -> Column:
     """
     n1, n2 = F.shiftright(f"{l}.at", 32), F.shiftright(f"{r}.at", 32)
     p1, p2 = F.col(f"{l}.at").bitwiseAND((1 << 32) - 1), F.col(f"{r}.at").bitwiseAND((1 << 32) - 1)
-    o = need(n1 + n2)
     apart = F.bit_count(F.col(f"{l}.parity").bitwiseXOR(F.col(f"{r}.parity")))
     wide = sum((F.bit_count(F.get(f"{l}.wide", F.lit(k)).bitwiseXOR(F.get(f"{r}.wide", F.lit(k)))) for k in range(PARTS)), F.lit(0))
-    most = F.least(n1 - p1, n2 - p2)
-    near = (5 * F.least(n1, n2) >= 4 * F.greatest(n1, n2)) & (apart <= n1 + n2 - 2 * o) & (most >= o)
+    # In whole numbers. Sets of n1 and n2 words that share need(n1 + n2) differ in a ninth of n1 + n2 at most; bits that differ are as many as words that differ, or fewer by
+    # an even number, so nothing is lost by rounding. Four ninths of both must be left from the word on; for the whole of a set that is the length filter.
+    near = (9 * apart <= n1 + n2) & (9 * (n1 - p1) >= 4 * (n1 + n2)) & (9 * (n2 - p2) >= 4 * (n1 + n2))
     # folding a long line's ranges gives its parity, so a short line has nothing to add
-    return near & F.when((n1 > LONG) & (n2 > LONG), wide <= n1 + n2 - 2 * o).otherwise(F.lit(True))
+    return near & ((n1 <= LONG) | (n2 <= LONG) | (9 * wide <= n1 + n2))
 
 
 def before(l: str, r: str) -> Column:
@@ -157,8 +165,11 @@ def involved(rows: DataFrame) -> DataFrame:
 
     A semi join: a crowd of near copies gives a row for each posted row, never one for each pair.
     """
-    cond = (F.col("l.tok") == F.col("r.tok")) & (before("l", "r") | before("r", "l")) & close("l", "r")
-    return rows.alias("l").join(rows.alias("r"), cond, "left_semi")
+    # columns that can't be null are compared without a look at that, and the filters come first: the join holds each row against many
+    zero = F.lit(0)
+    rows = rows.select("tok", *[F.coalesce(c, zero.cast(rows.schema[c].dataType)).alias(c) for c in (*OWN, "at")], "wide")
+    other = (F.col("l.doc") != F.col("r.doc")) | (F.col("l.line") != F.col("r.line"))
+    return rows.alias("l").join(rows.alias("r"), (F.col("l.tok") == F.col("r.tok")) & close("l", "r") & other, "left_semi")
 
 
 def undecided(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -217,12 +228,12 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     # a line alone in its class is its first; the others are looked up, by their place, so that no frequent line gathers
     told = rows.where(F.col("prefix").isNotNull())
     at_first = classes.select("h1", "h2", "first.doc", "first.line")
-    firsts = told.where(~several).unionByName(told.where(several).join(at_first, ["h1", "h2", "doc", "line"], "left_semi"))
+    places = rows.select("doc", "line", F.struct("h1", "h2").alias("h"))
+    told = told.select("h1", "h2", *OWN, "n", "wide", "prefix")
+    # the others are read where they are
+    firsts = told.where(~several).unionByName(saved(told.where(several).join(at_first, ["h1", "h2", "doc", "line"], "left_semi"), "firsts"))
     if not docs.groupBy(id_col).count().where("count > 1").isEmpty():
-        firsts = firsts.dropDuplicates(OWN)
-    firsts = saved(firsts.select("h1", "h2", *OWN, "n", "wide", "prefix"), "firsts")
-    places = saved(rows.select("doc", "line", "h1", "h2"), "lineplaces")
-    dropped(every)
+        firsts = saved(firsts.dropDuplicates(OWN), "firsts")
     rows = posted(firsts)
     near = saved(involved(rows.where(in_first(F.col("tok")))), "involved")
     gone = saved(matched(with_words(near, docs, ranks, id_col, text_col)), "gone")
@@ -231,12 +242,11 @@ def removed_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     near = saved(undecided(near, gone), "undecided")
     gone = gone.unionByName(saved(matched(with_words(near, docs, ranks, id_col, text_col)), "gone")).distinct()
     gone = saved(firsts.select("h1", "h2", *OWN).join(gone, OWN).select("h1", "h2", F.lit(True).alias("gone")).distinct(), "goneclasses")
-    dropped(firsts)
     # only classes that lose a line matter: those that occur again and those matched by an earlier one
     fate = classes.where("times > 1").join(gone, ["h1", "h2"], "full")
     fate = fate.select(F.struct("h1", "h2").alias("h"), "first", F.coalesce("times", F.lit(1)).alias("times"), F.coalesce("gone", F.lit(False)).alias("gone"))
     fate = saved(fate, "fate")
-    judged = with_unique(places.select("doc", "line", F.struct("h1", "h2").alias("h")), fate, "h", "times", total)
+    judged = with_unique(places, fate, "h", "times", total)
     lost = judged.where(F.col("gone") | (F.col("first") < F.struct("doc", "line")))
     return lost.groupBy("doc").agg(F.sort_array(F.collect_set("line")).alias("removed"))
 

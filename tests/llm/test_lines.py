@@ -141,3 +141,35 @@ def test_words_are_cut_at_any_white_space(spark):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", L.split_words(F.col("t")).alias("w"))
     for r in df.collect():
         assert [w for w in r.w if w] == re.findall(r"[^\x20\x09-\x0D]+", r.t), repr(r.t)
+
+
+def test_lines_alone_in_their_class_are_written_once(spark, monkeypatch):
+    """The prefixes of such lines are read where they were first written, and so are all lines' places."""
+    rows = [(i, " ".join(f"v{i}x{k}" for k in range(9))) for i in range(60)] + [(100 + i, "one line that all these have") for i in range(3)]
+    written, inner = {}, L.saved
+
+    def seen(df, name):
+        out = inner(df, name)
+        written[name] = written.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(L, "saved", seen)
+    lost = {r.doc: r.removed for r in L.removed_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert lost == {101: [0], 102: [0]}
+    assert written["lines"] == 63 and written["firsts"] < 60 and "lineplaces" not in written
+
+
+def test_filters_in_whole_numbers_lose_no_pair(spark):
+    """Whatever two sizes and places: where sets can share what they need from a word on, and differ in as many words as they may, they pass."""
+    rows = []
+    for n1 in range(5, 60):
+        for n2 in range(5, 60):
+            o = -(-4 * (n1 + n2) // 9)
+            d = n1 + n2 - 2 * o
+            if o <= min(n1, n2):
+                for p1, p2, apart, good in ((n1 - o, n2 - o, d, True), (n1 - o + 1, 0, d, False), (0, n2 - o + 1, d, False), (0, 0, d + 2, False)):
+                    if apart < 64:
+                        rows.append(((n1 << 32) + p1, 0, None, (n2 << 32) + p2, (1 << apart) - 1 if apart < 63 else -1 >> 1, None, good))
+    side = "struct<at: long, parity: long, wide: array<long>>"
+    df = spark.createDataFrame([((a, b, c), (d, e, f), g) for a, b, c, d, e, f, g in rows], f"l {side}, r {side}, good boolean")
+    assert df.where(L.close("l", "r") != F.col("good")).isEmpty()
