@@ -38,6 +38,7 @@ def rarity(docs: DataFrame, text_col: str = "text") -> Column:
     """For each of 65,536 hash buckets what turns a hash's upper 16 bits into the bucket's rank by how many words of the whole corpus fall in it, rarest first.
 
     A constant array for key(). Its size is fixed, so it is part of the plan, and with it a word's hash alone gives its place in the order: no join of words with counts.
+    The driver holds a plan's constants as text several times, for each description of it, so they are small numbers; key() moves them to the upper bits.
     """
     lines = docs.select(F.explode(F.split(F.lower(text_of(text_col)), "\n")).alias("words"))
     words = lines.select(F.explode(split_words(F.col("words"))).alias("w"))
@@ -47,16 +48,15 @@ def rarity(docs: DataFrame, text_col: str = "text") -> Column:
     counts = {k * (RANKS // COUNTERS) + r["low"]: r[f"n{k}"] for r in rows for k in range(COUNTERS)}
     turns = [0] * RANKS
     for rank, b in enumerate(sorted(range(RANKS), key=lambda b: (counts.get(b, 0), b))):
-        # keys are signed
-        turn = (rank - RANKS // 2) % RANKS ^ b
-        turns[b] = (turn - RANKS if turn >= RANKS // 2 else turn) << 48
+        # keys are signed, so the lowest ranks are those whose highest bit is set
+        turns[b] = (rank - RANKS // 2) % RANKS ^ b
     return F.split(F.lit(",".join(map(str, turns))), ",").cast("array<bigint>")
 
 
 def key(h: Column, ranks: Column) -> Column:
     """A word's hash with the bucket's rank in place of the bucket: equal keys are equal hashes."""
     # a number is there for each bucket; arrays that can't hold nulls sort as plain longs
-    return F.coalesce(F.get(ranks, bucket(h)), F.lit(0).cast("bigint")).bitwiseXOR(h)
+    return F.shiftleft(F.coalesce(F.get(ranks, bucket(h)), F.lit(0).cast("bigint")), 48).bitwiseXOR(h)
 
 
 def split_words(text: Column) -> Column:

@@ -173,3 +173,20 @@ def test_filters_in_whole_numbers_lose_no_pair(spark):
     side = "struct<at: long, parity: long, wide: array<long>>"
     df = spark.createDataFrame([((a, b, c), (d, e, f), g) for a, b, c, d, e, f, g in rows], f"l {side}, r {side}, good boolean")
     assert df.where(L.close("l", "r") != F.col("good")).isEmpty()
+
+
+def test_ranks_stay_short_in_the_text_of_plans(spark):
+    """The driver writes the constants of a plan out with each description of it, for the event log and for the status store."""
+    docs = spark.createDataFrame([(1, "a b c d e")], "doc_id long, text string")
+    ranks = L.rarity(docs)
+    made = L.described(L.occurrences(docs, ranks, "doc_id", "text"), L.LEAST)
+    assert len(made._jdf.queryExecution().executedPlan().toString()) < 1 << 19
+
+
+def test_keys_sort_by_rarity_and_hash(spark):
+    docs = spark.createDataFrame([(1, "often often often often twice twice once often")], "doc_id long, text string")
+    ranks = L.rarity(docs)
+    words = spark.createDataFrame([("often",), ("twice",), ("once",)], "w string")
+    rows = words.select("w", F.xxhash64("w").alias("h"), L.key(F.xxhash64("w"), ranks).alias("k")).collect()
+    assert [r.w for r in sorted(rows, key=lambda r: r.k)] == ["once", "twice", "often"]
+    assert all((r.h ^ r.k) & ((1 << 48) - 1) == 0 for r in rows)
